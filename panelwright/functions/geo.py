@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRES_PER_DEGREE = 111000.0
@@ -33,25 +33,33 @@ def _atanh(v: Column) -> Column:
     return F.lit(0.5) * F.log((1 + v) / (1 - v))
 
 
-def project_utm(lon: Column, lat: Column, zone: Column | None = None) -> tuple[Column, Column]:
-    """Forward transverse Mercator by the Krueger series to fourth order, in metres.
-
-    ``zone`` pins all points of a city to one zone; by default each point's own.
-    """
-    zone = utm_zone(lon) if zone is None else zone
-    phi = F.radians(lat)
-    lam = F.radians(lon - (zone * 6 - 183))
-    s = F.sin(phi)
-    t = F.sinh(_atanh(s) - ECC * _atanh(ECC * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = _atanh(F.sin(lam) / F.sqrt(1 + t * t))
+def _series(xi: Column, eta: Column, south: Column) -> Column:
     east, north = eta, xi
     for j, a in enumerate(ALPHA, start=1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    x = _E0 + _K0 * RECTIFYING * east
-    y = F.when(lat < 0, F.lit(_N0)).otherwise(F.lit(0.0)) + _K0 * RECTIFYING * north
-    return x, y
+    shift = F.when(south, F.lit(_N0)).otherwise(F.lit(0.0))
+    return F.struct((_E0 + _K0 * RECTIFYING * east).alias("x"),
+                    (shift + _K0 * RECTIFYING * north).alias("y"))
+
+
+def project_utm(df: DataFrame, lon: str = "lon", lat: str = "lat", out: tuple = ("ux", "uy"),
+                zone: Column | None = None) -> DataFrame:
+    """Forward transverse Mercator by the Krueger series to fourth order, in metres.
+
+    ``zone`` pins all points of a city to one zone; by default each point's own.
+    The series is exploded from a one-element array: a generator is a barrier,
+    so later filters on x and y are not rewritten into copies of the formula.
+    """
+    zone = utm_zone(F.col(lon)) if zone is None else zone
+    d = df.withColumn("_s", F.sin(F.radians(lat))).withColumn(
+        "_lam", F.radians(F.col(lon) - (zone * 6 - 183)))
+    d = d.withColumn("_t", F.sinh(_atanh(F.col("_s")) - ECC * _atanh(ECC * F.col("_s"))))
+    d = d.withColumn("_xi", F.atan2(F.col("_t"), F.cos("_lam"))).withColumn(
+        "_eta", _atanh(F.sin("_lam") / F.sqrt(1 + F.col("_t") * F.col("_t"))))
+    xy = _series(F.col("_xi"), F.col("_eta"), F.col(lat) < 0)
+    d = d.select(*df.columns, F.explode(F.array(xy)).alias("_xy"))
+    return d.select(*df.columns, F.col("_xy.x").alias(out[0]), F.col("_xy.y").alias(out[1]))
 
 
 def pad_bbox(w: Column, s: Column, e: Column, n: Column, metres: float):

@@ -28,6 +28,8 @@ RIDGE = 1e-10
 TOL = 1e-9
 MAX_ITER = 200
 ETA_CAP = 30.0
+# the per-model state (a key and p doubles per row) is broadcast only up to this many models
+BROADCAST_MODELS = 50_000
 
 
 class Spec:
@@ -87,7 +89,14 @@ def _base(xs: list[str]) -> Column:
     return F.exp(F.least(F.greatest(eta, F.lit(-ETA_CAP)), F.lit(ETA_CAP)))
 
 
-def group_moments(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+def join_state(d: DataFrame, state: DataFrame, keys: list[str], n_models: int | None) -> DataFrame:
+    """Attach slopes to rows; small states (by count) are broadcast, others join by shuffle."""
+    s = state.select(*keys, "b")
+    return d.join(F.broadcast(s) if n_models is not None and n_models <= BROADCAST_MODELS else s, keys)
+
+
+def group_moments(d: DataFrame, state: DataFrame, keys: list[str],
+                  n_models: int | None = None) -> DataFrame:
     """Per (model, group) sums at the current slopes."""
     xs = _xs(d)
     e = F.col("w") * F.col("_e")
@@ -96,7 +105,7 @@ def group_moments(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
         aggs += [F.sum(F.col("w") * F.col("y") * F.col(x)).alias(f"syx{j}"),
                  F.sum(e * F.col(x)).alias(f"sex{j}")]
         aggs += [F.sum(e * F.col(x) * F.col(xs[k])).alias(f"sxx{j}_{k}") for k in range(j + 1)]
-    return (d.join(state.select(*keys, "b"), keys)
+    return (join_state(d, state, keys, n_models)
              .withColumn("_e", _base(xs))
              .groupBy(*keys, "grp").agg(*aggs))
 
@@ -158,10 +167,11 @@ def newton_slopes(d: DataFrame, keys: list[str], max_iter: int = MAX_ITER,
     p = len(_xs(d))
     zero = F.array_repeat(F.lit(0.0), p)
     active = cut(d.select(*keys).distinct().withColumn("b", zero))
+    moving = active.count()
     done = []
     out_schema = f"{_schema(d, keys)}, b array<double>, step double"
     for it in range(1, max_iter + 1):
-        sums = model_moments(group_moments(d, active, keys), keys, p)
+        sums = model_moments(group_moments(d, active, keys, moving), keys, p)
         solved = (sums.join(active.select(*keys, "b"), keys).select(*keys, "b", "score", "hess")
                       .mapInPandas(_newton, out_schema))
         moved = cut(solved.withColumn("iters", F.lit(it)))
@@ -172,7 +182,7 @@ def newton_slopes(d: DataFrame, keys: list[str], max_iter: int = MAX_ITER,
             done.append(last.withColumn("converged", F.col("step") < tol).drop("step"))
         if left[0] == 0 or it == max_iter:
             break
-        active = moved.where(~fixed)
+        active, moving = moved.where(~fixed), left[0]
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
@@ -195,7 +205,7 @@ def _sandwich(batches):
 def cluster_sandwich(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Clustered and naive standard errors plus identification diagnostics at given slopes."""
     p = len(_xs(d))
-    m = model_moments(group_moments(d, state, keys), keys, p, meat=True)
+    m = model_moments(group_moments(d, state, keys, state.count()), keys, p, meat=True)
     top = F.array_max(F.transform("score", F.abs))
     m = m.withColumn("max_abs_score", top).drop("score")
     schema = (f"{_schema(d, keys)}, nobs double, events double, n_groups bigint, "
@@ -209,7 +219,7 @@ def cluster_sandwich(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFra
 def fitted_mu(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the fitted mean ``mu`` and Pearson residual, from the slopes alone."""
     xs = _xs(d)
-    e = d.join(state.select(*keys, "b"), keys).withColumn("_e", _base(xs)).drop("b")
+    e = join_state(d, state, keys, state.count()).withColumn("_e", _base(xs)).drop("b")
     e = with_group(e, [*keys, "grp"], _sy=F.sum(F.col("w") * F.col("y")),
                    _se=F.sum(F.col("w") * F.col("_e")))
     mu = F.col("_e") * F.greatest("_sy", F.lit(1e-12)) / F.greatest("_se", F.lit(1e-12))
@@ -279,8 +289,11 @@ def poisson_glm(df: DataFrame, y: str, x: list[str], keys: list[str], offset: st
                   "bse array<double>, naive array<double>, cov array<double>")
         se = m.select(*keys_m, "hess", "nobs", "events", "n_groups", "n_singleton_groups",
                       "n_allzero_groups", "meat", "max_abs_score").mapInPandas(_sandwich, schema)
-        # slot 0 is the intercept; drop it so b and bse line up
-        se = se.withColumn("bse", F.slice("bse", 2, p)).withColumn("naive", F.slice("naive", 2, p))
+        # slot 0 is the intercept; drop it so b and bse line up, and apply the row-count
+        # correction (n-1)/(n-k) the unabsorbed estimator carries
+        small = F.sqrt((F.col("nobs") - 1) / (F.col("nobs") - p - 1))
+        se = se.withColumn("bse", F.transform(F.slice("bse", 2, p), lambda v: v * small))
+        se = se.withColumn("naive", F.slice("naive", 2, p))
         return cut(state.join(se, keys_m))
     finally:
         d.unpersist()

@@ -253,8 +253,7 @@ def utm_sql(source: str) -> str:
 @query("project_utm", f"WITH {VALID_SQL}, {utm_sql('anch')} SELECT event_id, {q6('ux', 4)} AS ux, {q6('uy', 4)} AS uy FROM utm")
 def _(t):
     d = clean.median_anchor_filter(valid(t), "feed")
-    x, y = geo.project_utm(F.col("lon"), F.col("lat"))
-    return d.select("event_id", r6(x, 4).alias("ux"), r6(y, 4).alias("uy"))
+    return geo.project_utm(d).select("event_id", r6("ux", 4).alias("ux"), r6("uy", 4).alias("uy"))
 
 
 DESC_SQL = "(coalesce(desc1, '') || ' ' || coalesce(event_type, '') || ' ' || coalesce(subcat, ''))"
