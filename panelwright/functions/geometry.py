@@ -6,7 +6,7 @@ its first vertex.  All distances are in the units of the coordinates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -164,41 +164,49 @@ def clip_side(ring: Column, axis: str, bound: Column, keep_above: bool) -> Colum
     return _clip_half(ring, axis, bound, keep_above)
 
 
-def centroid(ring: Column) -> Column:
-    """Area centroid as struct<x,y>; the vertex mean for a ring without area."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    ox, oy = ring[0]["x"], ring[0]["y"]
+def pin(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns behind a generator, so each is computed once per row.
+
+    The optimiser merges stacked projections; a long geometry expression used
+    several times downstream would be copied, and inside a lambda re-evaluated
+    per element.  A generator is not merged.
+    """
+    for name, c in cols.items():
+        keep = [x for x in df.columns if x != name]
+        df = df.select(*keep, F.explode(F.array(c)).alias(name))
+    return df
+
+
+def with_representative_point(df: DataFrame, ring: str = "ring", px: str = "px", py: str = "py") -> DataFrame:
+    """A point certain to lie in the ring: its area centroid if inside, else the middle of
+    the widest span of the interior at mid-height."""
+    r = F.col(ring)
+    ox, oy = r[0]["x"], r[0]["y"]
 
     def add(acc, e):
-        ax, ay, bx, by = e["x1"] - ox, e["y1"] - oy, e["x2"] - ox, e["y2"] - oy
+        ax, ay, bx, by = e["x1"] - acc["ox"], e["y1"] - acc["oy"], e["x2"] - acc["ox"], e["y2"] - acc["oy"]
         c = ax * by - bx * ay
         return F.struct((acc["s"] + c).alias("s"), (acc["x"] + (ax + bx) * c).alias("x"),
-                        (acc["y"] + (ay + by) * c).alias("y"))
+                        (acc["y"] + (ay + by) * c).alias("y"), acc["ox"].alias("ox"), acc["oy"].alias("oy"))
 
-    m = F.aggregate(edges(close_ring(ring)), zero, add)
-    n = F.size(ring)
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda a, v: a + v[k]) / n
-    return F.struct(
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), ox.alias("ox"), oy.alias("oy"))
+    d = pin(df, _e=edges(close_ring(r)), _m=F.aggregate(edges(close_ring(r)), zero, add))
+    m = F.col("_m")
+    mean = lambda k: F.aggregate(r, F.lit(0.0), lambda a, v: a + v[k]) / F.size(r)
+    d = pin(d, _c=F.struct(
         F.when(m["s"] != 0, ox + m["x"] / (3.0 * m["s"])).otherwise(mean("x")).alias("x"),
-        F.when(m["s"] != 0, oy + m["y"] / (3.0 * m["s"])).otherwise(mean("y")).alias("y"))
-
-
-def representative_point(ring: Column) -> Column:
-    """A point certain to lie in the ring: the centroid if inside, else the middle of the
-    widest span of the ring's interior at mid-height."""
-    c = centroid(ring)
-    x0, y0, x1, y1 = bbox(ring)
-    mid = (y0 + y1) / 2.0
-    crossing = F.filter(edges(close_ring(ring)), lambda e: (e["y1"] > mid) != (e["y2"] > mid))
-    xs = F.array_sort(F.transform(
-        crossing, lambda e: e["x1"] + (mid - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    spans = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - 1, F.lit(1))),
-                    lambda i: F.struct((F.get(xs, i) - F.get(xs, i - 1)).alias("w"),
-                                       ((F.get(xs, i) + F.get(xs, i - 1)) / 2).alias("x"),
-                                       (i % 2 == 1).alias("inside"))),
-        lambda s: s["inside"] & s["w"].isNotNull())
-    best = F.array_max(spans)
-    ok = in_ring(c["x"], c["y"], ring)
-    return F.struct(F.when(ok, c["x"]).otherwise(best["x"]).alias("x"),
-                    F.when(ok, c["y"]).otherwise(mid).alias("y"))
+        F.when(m["s"] != 0, oy + m["y"] / (3.0 * m["s"])).otherwise(mean("y")).alias("y")))
+    d = pin(d, _cx=F.col("_c.x"), _cy=F.col("_c.y"))
+    d = pin(d, _ok=in_ring(F.col("_cx"), F.col("_cy"), r), _mid=(bbox(r)[1] + bbox(r)[3]) / 2.0)
+    mid = F.col("_mid")
+    crossing = F.filter("_e", lambda e: (e["y1"] > mid) != (e["y2"] > mid))
+    d = pin(d, _xs=F.array_sort(F.transform(
+        crossing, lambda e: e["x1"] + (mid - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))))
+    xs = F.col("_xs")
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - 1, F.lit(1)), F.lit(2)),
+                        lambda i: F.struct((F.get(xs, i) - F.get(xs, i - 1)).alias("w"),
+                                           ((F.get(xs, i) + F.get(xs, i - 1)) / 2).alias("x")))
+    d = pin(d, _best=F.array_max(spans))
+    keep = [c for c in df.columns if c not in (px, py)]
+    return d.select(*keep, F.when(F.col("_ok"), F.col("_cx")).otherwise(F.col("_best.x")).alias(px),
+                    F.when(F.col("_ok"), F.col("_cy")).otherwise(mid).alias(py))

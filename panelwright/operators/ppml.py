@@ -26,6 +26,7 @@ from panelwright.session import cut
 
 RIDGE = 1e-10
 TOL = 1e-9
+SCORE_FLOOR = 1e-13
 MAX_ITER = 200
 ETA_CAP = 30.0
 # the per-model state (a key and p doubles per row) is broadcast only up to this many models
@@ -77,7 +78,12 @@ def centre_within(d: DataFrame, keys: list[str]) -> DataFrame:
     """Subtract plain group means: slopes are unchanged, cross-products lose no digits."""
     xs = _xs(d)
     out = with_group(d, [*keys, "grp"], **{f"_m{x}": F.avg(x) for x in xs})
-    return out.withColumns({x: F.col(x) - F.col(f"_m{x}") for x in xs}).drop(*[f"_m{x}" for x in xs])
+    # a group-constant regressor must be exactly zero, not rounding noise the ridge would amplify
+    for x in xs:
+        dev, m = F.col(x) - F.col(f"_m{x}"), F.col(f"_m{x}")
+        noise = F.abs(dev) <= 1e-12 * F.greatest(F.abs(m), F.lit(1.0))
+        out = out.withColumn(x, F.when(noise, 0.0).otherwise(dev))
+    return out.drop(*[f"_m{x}" for x in xs])
 
 
 def _linear(xs: list[str], beta: str = "b") -> Column:
@@ -95,38 +101,35 @@ def join_state(d: DataFrame, state: DataFrame, keys: list[str], n_models: int |
     return d.join(F.broadcast(s) if n_models is not None and n_models <= BROADCAST_MODELS else s, keys)
 
 
-def group_moments(d: DataFrame, state: DataFrame, keys: list[str],
-                  n_models: int | None = None) -> DataFrame:
-    """Per (model, group) sums at the current slopes."""
-    xs = _xs(d)
-    e = F.col("w") * F.col("_e")
-    aggs = [F.sum("w").alias("gn"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(e).alias("se")]
-    for j, x in enumerate(xs):
-        aggs += [F.sum(F.col("w") * F.col("y") * F.col(x)).alias(f"syx{j}"),
-                 F.sum(e * F.col(x)).alias(f"sex{j}")]
-        aggs += [F.sum(e * F.col(x) * F.col(xs[k])).alias(f"sxx{j}_{k}") for k in range(j + 1)]
-    return (join_state(d, state, keys, n_models)
-             .withColumn("_e", _base(xs))
-             .groupBy(*keys, "grp").agg(*aggs))
-
-
-def model_moments(g: DataFrame, keys: list[str], p: int, meat: bool = False) -> DataFrame:
-    """Sum group rows to one row per model: score, Hessian and (optionally) the clustered meat."""
-    ratio = F.when(F.col("se") > 0, F.col("sy") / F.col("se")).otherwise(0.0)
-    s = [F.col(f"syx{j}") - ratio * F.col(f"sex{j}") for j in range(p)]
-    h, m = [], []
-    for j in range(p):
-        for k in range(j + 1):
-            cross = F.col(f"sex{j}") * F.col(f"sex{k}") / F.col("se")
-            h.append(F.sum(ratio * (F.col(f"sxx{j}_{k}") - cross)))
-            m.append(F.sum(s[j] * s[k]))
-    aggs = [F.array(*[F.sum(v) for v in s]).alias("score"), F.array(*h).alias("hess"),
-            F.sum("gn").alias("nobs"), F.sum("sy").alias("events"), F.count("*").alias("n_groups"),
-            F.count_if(F.col("gn") == 1).alias("n_singleton_groups"),
-            F.count_if(F.col("sy") == 0).alias("n_allzero_groups")]
-    if meat:
-        aggs.append(F.array(*m).alias("meat"))
-    return g.groupBy(*keys).agg(*aggs)
+class Moments:
+    """The sums of one Newton step as reusable Column lists (they do not depend on the state)."""
+
+    def __init__(self, xs: list[str]):
+        self.xs, p = xs, len(xs)
+        e, col = F.col("w") * F.col("_e"), F.col
+        self.base = _base(xs)
+        self.group = [F.first("b").alias("b"), F.sum("w").alias("gn"),
+                      F.sum(col("w") * col("y")).alias("sy"), F.sum(e).alias("se")]
+        for j, x in enumerate(xs):
+            self.group += [F.sum(col("w") * col("y") * col(x)).alias(f"syx{j}"),
+                           F.sum(e * col(x)).alias(f"sex{j}")]
+            self.group += [F.sum(e * col(x) * col(xs[k])).alias(f"sxx{j}_{k}") for k in range(j + 1)]
+        ratio = F.when(col("se") > 0, col("sy") / col("se")).otherwise(0.0)
+        s = [col(f"syx{j}") - ratio * col(f"sex{j}") for j in range(p)]
+        tri = [(j, k) for j in range(p) for k in range(j + 1)]
+        cross = lambda j, k: col(f"sex{j}") * col(f"sex{k}") / col("se")
+        self.step = [F.first("b").alias("b"), F.array(*[F.sum(v) for v in s]).alias("score"),
+                     F.array(*[F.sum(ratio * (col(f"sxx{j}_{k}") - cross(j, k))) for j, k in tri]).alias("hess"),
+                     F.sum("sy").alias("events")]
+        self.report = [F.sum("gn").alias("nobs"), F.count("*").alias("n_groups"),
+                       F.count_if(col("gn") == 1).alias("n_singleton_groups"),
+                       F.count_if(col("sy") == 0).alias("n_allzero_groups"),
+                       F.array(*[F.sum(s[j] * s[k]) for j, k in tri]).alias("meat")]
+
+    def groups(self, d: DataFrame, state: DataFrame, keys: list[str], n_models: int | None) -> DataFrame:
+        """Per (model, group) sums at the current slopes, partially aggregated before the shuffle."""
+        return (join_state(d, state, keys, n_models).withColumn("_e", self.base)
+                .groupBy(*keys, "grp").agg(*self.group))
 
 
 def _full(flat, p: int) -> np.ndarray:
@@ -138,15 +141,19 @@ def _full(flat, p: int) -> np.ndarray:
 def _newton(batches):
     for pdf in batches:
         out = []
-        for b, score, hess in zip(pdf["b"], pdf["score"], pdf["hess"]):
+        for b, score, hess, events in zip(pdf["b"], pdf["score"], pdf["hess"], pdf["events"]):
             b, score = np.asarray(b, float), np.asarray(score, float)
             h = _full(hess, len(b)) + RIDGE * np.eye(len(b))
             try:
                 step = np.linalg.solve(h, score)
             except np.linalg.LinAlgError:
                 step = np.full(len(b), np.nan)
-            out.append((list(b + step), float(np.max(np.abs(step)))))
-        pdf = pdf.drop(columns=["score", "hess"])
+            # the first-order condition is the one to trust: at the rounding floor of the
+            # score a nearly collinear fit keeps stepping by noise
+            flat = np.max(np.abs(score)) <= SCORE_FLOOR * max(events, 1.0)
+            size = 0.0 if flat else float(np.max(np.abs(step)))
+            out.append((list(b + step), size))
+        pdf = pdf.drop(columns=["score", "hess", "events"])
         pdf["b"] = [o[0] for o in out]
         pdf["step"] = [o[1] for o in out]
         yield pdf
@@ -164,15 +171,14 @@ def newton_slopes(d: DataFrame, keys: list[str], max_iter: int = MAX_ITER,
     Converged models leave the active set, so late rounds touch only the rows
     of models that still move.  State is checkpointed between rounds.
     """
-    p = len(_xs(d))
-    zero = F.array_repeat(F.lit(0.0), p)
+    sums = Moments(_xs(d))
+    zero = F.array_repeat(F.lit(0.0), len(sums.xs))
     active = cut(d.select(*keys).distinct().withColumn("b", zero))
     moving = active.count()
     done = []
     out_schema = f"{_schema(d, keys)}, b array<double>, step double"
     for it in range(1, max_iter + 1):
-        sums = model_moments(group_moments(d, active, keys, moving), keys, p)
-        solved = (sums.join(active.select(*keys, "b"), keys).select(*keys, "b", "score", "hess")
+        solved = (sums.groups(d, active, keys, moving).groupBy(*keys).agg(*sums.step)
                       .mapInPandas(_newton, out_schema))
         moved = cut(solved.withColumn("iters", F.lit(it)))
         fixed = (F.col("step") < tol) | F.isnan("step")
@@ -204,10 +210,10 @@ def _sandwich(batches):
 
 def cluster_sandwich(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Clustered and naive standard errors plus identification diagnostics at given slopes."""
-    p = len(_xs(d))
-    m = model_moments(group_moments(d, state, keys, state.count()), keys, p, meat=True)
+    sums = Moments(_xs(d))
+    m = sums.groups(d, state, keys, state.count()).groupBy(*keys).agg(*sums.step, *sums.report)
     top = F.array_max(F.transform("score", F.abs))
-    m = m.withColumn("max_abs_score", top).drop("score")
+    m = m.withColumn("max_abs_score", top)
     schema = (f"{_schema(d, keys)}, nobs double, events double, n_groups bigint, "
               "n_singleton_groups bigint, n_allzero_groups bigint, max_abs_score double, "
               "bse array<double>, naive array<double>, cov array<double>")

@@ -81,7 +81,7 @@ def panel(t) -> DataFrame:
     s = t.supplier.select(
         F.col("s_suppkey").alias("GEOID"), "s_nationkey",
         F.when(F.col("s_suppkey") % 17 != 0, F.col("s_acctbal") * 10).alias("median_hh_income"),
-        (F.col("s_acctbal") * 100).alias("median_home_value"))
+        (40000.0 + (F.col("s_suppkey") * 7919) % 1000 * 300).alias("median_home_value"))
     return units.join(s, "GEOID").withColumns({
         "city": F.concat(F.lit("city_"), F.col("GEOID") % 5),
         "x": (F.col("cell") % 20) * 100.0 + 50.0, "y": F.col("GEOID") * 100.0 + 50.0,
@@ -110,7 +110,7 @@ PANEL_SQL = """u AS (
   FROM lineitem GROUP BY 1, 2),
 panel AS (
   SELECT u.*, s_nationkey, CASE WHEN s_suppkey % 17 <> 0 THEN s_acctbal * 10 END AS median_hh_income,
-    s_acctbal * 100 AS median_home_value, 'city_' || ("GEOID" % 5) AS city,
+    40000.0::DOUBLE + (s_suppkey * 7919) % 1000 * 300 AS median_home_value, 'city_' || ("GEOID" % 5) AS city,
     (cell % 20) * 100.0::DOUBLE + 50.0 AS x, "GEOID" * 100.0::DOUBLE + 50.0 AS y,
     ((cell * 7) % 50)::DOUBLE / 50.0 AS owner_share, ((cell * 11) % 30)::DOUBLE / 100.0 AS vacancy_rate,
     CASE WHEN "GEOID" % 13 <> 0 THEN 20000.0::DOUBLE + "GEOID" * 10 END AS "ALAND",
@@ -245,12 +245,12 @@ def lines(t) -> DataFrame:
 LIN_SQL = """lin AS (SELECT c_custkey AS seg_id, (c_custkey % 60) * 100.0::DOUBLE + a % 30 AS ax,
     (c_custkey // 60) * 100.0::DOUBLE + a % 20 AS ay,
     (c_custkey % 60) * 100.0::DOUBLE + a % 30 + 60.0 + a % 25 AS bx,
-    (c_custkey // 60) * 100.0::DOUBLE + a % 20 + 10.0 AS by,
+    (c_custkey // 60) * 100.0::DOUBLE + a % 20 + 10.0 AS bq,
     (c_custkey % 60) * 100.0::DOUBLE + a % 30 + 70.0 + a % 25 AS cx,
     (c_custkey // 60) * 100.0::DOUBLE + a % 20 + 60.0 + a % 45 AS cy, (1 + a % 9)::DOUBLE AS value
   FROM (SELECT c_custkey, round(abs(c_acctbal))::BIGINT AS a FROM customer)),
-le AS (SELECT seg_id, 1 AS k, ax AS x1, ay AS y1, bx AS x2, by AS y2 FROM lin
-       UNION ALL SELECT seg_id, 2, bx, by, cx, cy FROM lin)"""
+le AS (SELECT seg_id, 1 AS k, ax AS x1, ay AS y1, bx AS x2, bq AS y2 FROM lin
+       UNION ALL SELECT seg_id, 2, bx, bq, cx, cy FROM lin)"""
 
 
 def places(t) -> DataFrame:

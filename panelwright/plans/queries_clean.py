@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import geo, terrain, text
-from panelwright.functions.stats import norm_cdf
+from panelwright.functions.stats import _ERFC, norm_cdf
 from panelwright.operators import clean, fields, sample
 from panelwright.plans import inputs as I
 from panelwright.plans.inputs import INC_SQL, PANEL_SQL, q6, r6
@@ -367,9 +367,11 @@ def _(t):
 # ---- scalar families ----------------------------------------------------------------
 def erf_sql(z: str) -> str:
     a = f"(abs({z}) / sqrt(2.0::DOUBLE))"
-    tt = f"(1.0 / (1.0 + 0.3275911::DOUBLE * {a}))"
-    poly = f"((((1.061405429::DOUBLE * {tt} - 1.453152027) * {tt} + 1.421413741) * {tt} - 0.284496736) * {tt} + 0.254829592) * {tt}"
-    tail = f"({poly} * exp(-{a} * {a}) / 2.0)"
+    tt = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * {a}))"
+    poly = repr(_ERFC[-1]) + "::DOUBLE"
+    for c in reversed(_ERFC[:-1]):
+        poly = f"({poly} * {tt} + ({c!r}))"
+    tail = f"({tt} * exp({poly} - {a} * {a}) / 2.0)"
     return f"(CASE WHEN {z} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
 
 

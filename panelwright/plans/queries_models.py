@@ -137,8 +137,8 @@ def _(t):
 
 def _ladder_sql():
     names = [f"n_{c}" for c in text.PROPERTY_CLASSES]
-    arms = " UNION ALL ".join(f"""SELECT '{n}' AS kk, city, "GEOID", "{n}" AS y, slope_deg, {OFF} FROM panel""" for n in names)
-    return f"""WITH {PANEL_SQL}, long AS (SELECT *, kk || '|' || city AS ck FROM ({arms})), {newton_sql('long', 'y', 'slope_deg', OFF, '"GEOID"', key='ck')}
+    arms = " UNION ALL ".join(f"""SELECT '{n}' AS kk, city, "GEOID", "{n}" AS yy, slope_deg, {OFF} FROM panel""" for n in names)
+    return f"""WITH {PANEL_SQL}, long AS (SELECT *, kk || '|' || city AS ck FROM ({arms})), {newton_sql('long', 'yy', 'slope_deg', OFF, '"GEOID"', key='ck')}
       SELECT split_part(k, '|', 1) AS model_id, split_part(k, '|', 2) AS city, {q6('b', 7)} AS beta, {q6('se', 7)} AS se FROM nfit"""
 
 
@@ -221,8 +221,8 @@ def _(t):
         "city", F.col("model_id").alias("target"), "beta", "se", "pct", "nobs")
 
 
-@query("temporal_split", f"""WITH {PANEL_SQL}, lg AS (SELECT 'pre|' || city AS ck, *, "n_MASS_1" + "n_MASS_2" + "n_MASS_3" AS y FROM panel UNION ALL SELECT 'post|' || city, *, "n_MVT" FROM panel),
-   {newton_sql('lg', 'y', 'slope_deg', OFF, '"GEOID"', key='ck')}
+@query("temporal_split", f"""WITH {PANEL_SQL}, lg AS (SELECT 'pre|' || city AS ck, *, "n_MASS_1" + "n_MASS_2" + "n_MASS_3" AS yy FROM panel UNION ALL SELECT 'post|' || city, *, "n_MVT" FROM panel),
+   {newton_sql('lg', 'yy', 'slope_deg', OFF, '"GEOID"', key='ck')}
    SELECT split_part(k, '|', 2) AS city, split_part(k, '|', 1) AS period, events::BIGINT AS events, {q6('CASE WHEN events >= 3000 THEN b END', 7)} AS beta FROM nfit""")
 def _(t):
     d = I.panel(t).withColumns({"n_pre": sample.sum_classes("n_MASS_1", "n_MASS_2", "n_MASS_3"), "n_post": F.col("n_MVT")})
