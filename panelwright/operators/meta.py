@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.stats import chi2_cdf, chi2_ppf, norm_cdf, norm_ppf, pct, t_cdf, t_ppf
 from panelwright.operators.ppml import BROADCAST_MODELS
 from panelwright.operators.ranks import with_group
+from panelwright.operators.tables import div
 from panelwright.session import cut
 
 NEGLIGIBLE_PCT = 5.0
@@ -77,7 +78,7 @@ def _spread(tag: str) -> Column:
 def _q_step(t: str, tag: str, target: Column) -> Column:
     """Newton on 1/Q, which is nearly a straight line in the variance; zero when Q(0) is below target."""
     q = _q_of(tag)
-    return F.greatest(F.col(t) + q * (q / target - 1) / _spread(tag), F.lit(0.0))
+    return F.greatest(F.col(t) + F.coalesce(div(q * (div(q, target) - 1), _spread(tag)), F.lit(0.0)), F.lit(0.0))
 
 
 def tau2_all(df: DataFrame, keys: list[str], y: str = "beta", s: str = "se", level: float = 0.95) -> DataFrame:
@@ -90,8 +91,8 @@ def tau2_all(df: DataFrame, keys: list[str], y: str = "beta", s: str = "se", lev
             F.sum(w * F.col("yc")).alias("B"), F.sum(w * F.col("yc") * F.col("yc")).alias("C"))
         g = g.withColumn("Q", F.greatest(F.col("C") - F.col("B") * F.col("B") / F.col("A"), F.lit(0.0)))
         free, denom = F.col("k") - 1, F.col("A") - F.col("A2") / F.col("A")
-        g = g.withColumn("tau2_dl", F.when(denom > 0, F.greatest((F.col("Q") - free) / denom, F.lit(0.0))).otherwise(0.0))
-        g = g.withColumn("typical", free * F.col("A") / (F.col("A") * F.col("A") - F.col("A2")))
+        g = g.withColumn("tau2_dl", F.when((free > 0) & (denom > 0), F.greatest((F.col("Q") - free) / denom, F.lit(0.0))).otherwise(0.0))
+        g = g.withColumn("typical", div(free * F.col("A"), F.when(F.col("k") > 1, F.col("A") * F.col("A") - F.col("A2"))))
         a = (1 - level) / 2
         g = g.withColumn("c_lo", chi2_ppf(1 - a, free)).withColumn("c_hi", chi2_ppf(a, free))
         base = cut(g)
@@ -106,7 +107,7 @@ def tau2_all(df: DataFrame, keys: list[str], y: str = "beta", s: str = "se", lev
         # REML score and expected information
         trace = F.col("A1") - F.col("D1") / F.col("A1")
         info = F.col("D1") - 2 * F.col("H1") / F.col("A1") + (F.col("D1") / F.col("A1")) ** 2
-        reml = F.greatest(F.col("t1") + (_spread("1") - trace) / info, F.lit(0.0))
+        reml = F.greatest(F.col("t1") + F.coalesce(div(_spread("1") - trace, info), F.lit(0.0)), F.lit(0.0))
         new = {"n1": F.when(many, reml).otherwise(0.0), "n2": F.when(many, _q_step("t2", "2", F.col("k") - 1)).otherwise(0.0),
                "n3": F.when(profile, _q_step("t3", "3", F.col("c_lo"))).otherwise(0.0),
                "n4": F.when(profile, _q_step("t4", "4", F.col("c_hi")))}
@@ -147,12 +148,12 @@ def pool_random(df: DataFrame, keys: list[str], y: str = "beta", s: str = "se",
     one, a, z = F.col("k") == 1, (1 - level) / 2, norm_ppf(1 - (1 - level) / 2)
     free = F.col("k") - 1
     g = g.withColumn("mu", F.col("m0") + F.col("sb") / F.col("sw")).withColumn("se", F.sqrt(1 / F.col("sw")))
-    q_hk = F.greatest((F.col("sc") - F.col("sb") * F.col("sb") / F.col("sw")) / free, F.lit(1e-12))
+    q_hk = F.greatest(div(F.col("sc") - F.col("sb") * F.col("sb") / F.col("sw"), free), F.lit(1e-12))
     g = g.withColumn("se_hk", F.when(one, F.col("se")).otherwise(F.col("se") * F.sqrt(q_hk)))
     g = g.withColumn("_t1", t_ppf(1 - a, free)).withColumn("_t2", t_ppf(1 - a, F.col("k") - 2))
     half = F.when(one, z * F.col("se")).otherwise(F.col("_t1") * F.col("se_hk"))
     pred = F.when(F.col("k") >= 3, F.col("_t2") * F.sqrt(F.col("tau2") + F.col("se") * F.col("se")))
-    i2 = lambda t: F.col(t) / (F.col(t) + F.col("typical"))
+    i2 = lambda t: div(F.col(t), F.col(t) + F.col("typical"))
     total = F.col("tau2") + F.col("typical")
     out = g.withColumns({
         "lo": F.col("mu") - half, "hi": F.col("mu") + half,
@@ -246,7 +247,7 @@ def meta_regression(df: DataFrame, keys: list[str], x: list[str], y: str = "beta
     r = r.select(*k, "k", F.col("_t2").alias("tau2_resid"), "tau2_null", "R2", F.col("qe").alias("Qe"), "Qe_p", F.explode(terms).alias("_t")).select(
         *k, "_t.*", "k", "tau2_resid", "tau2_null", "R2", "Qe", "Qe_p")
     z = norm_ppf(1 - (1 - level) / 2)
-    r = r.withColumn("t", F.col("beta") / F.col("se")).withColumn("_c", F.coalesce(t_ppf(1 - (1 - level) / 2, F.col("k") - p), F.lit(z)))
+    r = r.withColumn("t", div(F.col("beta"), F.col("se"))).withColumn("_c", F.coalesce(t_ppf(1 - (1 - level) / 2, F.col("k") - p), F.lit(z)))
     pt = F.when(F.col("k") > p, 2 * (1 - t_cdf(F.abs("t"), F.col("k") - p))).otherwise(2 * (1 - norm_cdf(F.abs("t"))))
     r = r.withColumns({"p": pt, "lo": F.col("beta") - F.col("_c") * F.col("se"), "hi": F.col("beta") + F.col("_c") * F.col("se")})
     return r.withColumns({"pct": pct(F.col("beta")), "pct_lo": pct(F.col("lo")), "pct_hi": pct(F.col("hi"))}).drop("_c", *([] if keys else ["_all"]))
@@ -273,12 +274,12 @@ def wls_line(df: DataFrame, keys: list[str], x: str, y: str = "beta", s: str = "
     sm = lambda e: F.sum(F.col("_w") * e)
     g = d.groupBy(*k).agg(F.count("*").alias("n"), F.first("_mx").alias("mx"), F.first("_my").alias("my"), F.sum("_w").alias("sw"),
                           sm(dx * dx).alias("xx"), sm(dx * dy).alias("xy"), sm(dy * dy).alias("yy"), F.min(x).alias("x_min"), F.max(x).alias("x_max"))
-    slope = F.col("xy") / F.col("xx")
+    slope = div(F.col("xy"), F.col("xx"))
     s2 = F.greatest(F.col("yy") - slope * F.col("xy"), F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1))
     b0 = F.col("my") - slope * F.col("mx")
     return g.select(*keys, "n", "x_min", "x_max", b0.alias("intercept"), slope.alias("slope"),
-                    F.sqrt(s2 * (1 / F.col("sw") + F.col("mx") * F.col("mx") / F.col("xx"))).alias("intercept_se"),
-                    F.sqrt(s2 / F.col("xx")).alias("slope_se"), pct(b0).alias("intercept_pct"), pct(F.col("my")).alias("naive_mean_pct"))
+                    F.sqrt(s2 * (1 / F.col("sw") + div(F.col("mx") * F.col("mx"), F.col("xx")))).alias("intercept_se"),
+                    F.sqrt(div(s2, F.col("xx"))).alias("slope_se"), pct(b0).alias("intercept_pct"), pct(F.col("my")).alias("naive_mean_pct"))
 
 
 def tost(df: DataFrame, diff: str, se: str, margin: Column, level: float = 0.90) -> DataFrame:

@@ -30,13 +30,15 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     sketch = v.groupBy(*keys).agg(
         F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("*").alias("_n"))
     m = len(probs)
+    # a bracket narrower than a few rows could miss the neighbour the interpolation needs
+    tiny = F.col("_n") <= 20 * accuracy
     spans = sketch.select(*keys, "_n", F.posexplode(F.array(*[
         F.struct(F.lit(p).alias("p"), F.col("_q")[i].alias("a"), F.col("_q")[m + i].alias("b"))
         for i, p in enumerate(probs)])).alias("_i", "_s")
     ).select(*keys, "_n", "_i", (F.col("_s.p") * (F.col("_n") - 1)).alias("_pos"),
-             F.when(F.lit(slack) >= F.col("_s.p"), F.lit(float("-inf")))
+             F.when(tiny | (F.lit(slack) >= F.col("_s.p")), F.lit(float("-inf")))
               .otherwise(F.col("_s.a")).alias("_a"),
-             F.when(F.col("_s.p") >= 1 - slack, F.lit(float("inf")))
+             F.when(tiny | (F.col("_s.p") >= 1 - slack), F.lit(float("inf")))
               .otherwise(F.col("_s.b")).alias("_b"))
     nested = spans.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_n", "_pos", "_a", "_b")).alias("_w"))
     parts = v.join(nested, keys).select(
