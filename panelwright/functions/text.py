@@ -113,12 +113,42 @@ SEPARATORS = r"[-_/|]+"
 # ---- end of fixed values ----------------------------------------------------
 
 FLAGS = "(?iU)"
+# Words of which every match of a rule holds at least one, in rule order.  A plain substring
+# test is an order of magnitude cheaper than a pattern, and most text fails all of them.
+NEEDS_V1 = [
+    ["burglary"],
+    ["theft", "stolen", "gta", "larceny"],
+    ["vandal", "criminal", "malicious", "arson", "graffiti", "destruction", "damage"],
+    ["pocket", "purse"],
+    ["catalytic", "part", "burglary"],
+    ["burglar", "breaking and entering", "&", "bicycle", "bike"],
+    ["from", "auto", "shoplift", "retail theft"],
+    ["larceny", "theft", "stolen property", "embezzle"],
+    ["robbery", "carjack"],
+]
+NEEDS_V2 = [
+    ["theft", "embezzle", "forgery", "counterfeit", "card", "fraud", "pretens", "swindle", "confidence", "collar", "unauth", "stolen"],
+    ["robbery", "carjack"],
+    ["vandal", "criminal", "malicious", "arson", "graffiti", "destruction", "damage"],
+    ["pocket", "purse", "person"],
+    ["catalytic", "part", "burglar", "&", "breaking"],
+    ["from", "auto", "shoplift", "retail theft", "burglar"],
+    ["theft", "stolen", "gta", "larceny"],
+    ["burglar", "breaking and entering", "&"],
+    ["bicycle", "bike"],
+    ["larceny", "theft"],
+]
 
 
 def _found(text: Column, pattern: str) -> Column:
     return text.rlike(FLAGS + pattern)
 
 
+def _folded(text: Column) -> Column:
+    """Lower case, with the letters that only fold to i, s and k under Unicode rules."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
 def norm_text(text: Column) -> Column:
     """Runs of hyphen, underscore, slash and pipe become one space; null becomes ''."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " ")
@@ -129,24 +159,41 @@ def concat_desc(*cols: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
 
 
-def cascade(text: Column, rules, default: str = "OTHER") -> Column:
-    """First matching rule wins; a rule with a guard also needs the guard to match."""
+def cascade(text: Column, rules, default: str = "OTHER", needs=None) -> Column:
+    """First matching rule wins; a rule with a guard also needs the guard to match.
+
+    ``needs`` lists, per rule, words of which any match must hold one; they are
+    tried first on case-folded text.  The text and its folding are bound once
+    per row by a one-element ``transform``.
+    """
+    if not rules:
+        return F.lit(default)
     t = F.coalesce(text, F.lit(""))
-    out = None
-    for klass, pattern, guard in rules:
-        hit = _found(t, pattern)
-        if guard:
-            hit = hit & _found(t, guard)
-        out = F.when(hit, klass) if out is None else out.when(hit, klass)
-    return F.lit(default) if out is None else out.otherwise(default)
+
+    def classed(s: Column) -> Column:
+        out = None
+        for i, (klass, pattern, guard) in enumerate(rules):
+            hit = _found(s["t"], pattern)
+            if needs:
+                any_word = s["f"].contains(needs[i][0])
+                for word in needs[i][1:]:
+                    any_word = any_word | s["f"].contains(word)
+                hit = any_word & hit
+            if guard:
+                hit = hit & _found(s["t"], guard)
+            out = F.when(hit, klass) if out is None else out.when(hit, klass)
+        return out.otherwise(default)
+
+    bound = F.transform(F.array(t), lambda x: F.struct(x.alias("t"), _folded(x).alias("f")))
+    return F.get(F.transform(bound, classed), F.lit(0))
 
 
 def classify_text(text: Column) -> Column:
-    return cascade(text, RULES_V1)
+    return cascade(text, RULES_V1, needs=NEEDS_V1)
 
 
 def classify_text_v2(text: Column) -> Column:
-    return cascade(norm_text(text), RULES_V2)
+    return cascade(norm_text(text), RULES_V2, needs=NEEDS_V2)
 
 
 def _lookup(key: Column, table: dict, typ: str) -> Column:

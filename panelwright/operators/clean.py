@@ -28,10 +28,20 @@ def valid_latlon(lat: Column, lon: Column) -> Column:
     return lat.between(-90, 90) & lon.between(-180, 180) & (lat != 0) & (lon != 0)
 
 
+def axis_percentiles(df: DataFrame, feed: str, lat: str, lon: str, probs: list[float],
+                     names: list[str]) -> DataFrame:
+    """Percentiles of both coordinates in one pass: columns lat_<name>, lon_<name>."""
+    both = F.array(F.struct(F.lit("lat").alias("axis"), F.col(lat).alias("v")),
+                   F.struct(F.lit("lon").alias("axis"), F.col(lon).alias("v")))
+    long = df.select(feed, F.explode(both).alias("_b")).select(feed, "_b.axis", "_b.v")
+    q = exact_percentiles(long, [feed, "axis"], "v", probs, names)
+    return q.groupBy(feed).agg(*[F.max(F.when(F.col("axis") == a, F.col(n))).alias(f"{a}_{n}")
+                                 for a in ("lat", "lon") for n in names])
+
+
 def feed_medians(df: DataFrame, feed: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    a = exact_percentiles(df, [feed], lat, [0.5], ["med_lat"])
-    b = exact_percentiles(df, [feed], lon, [0.5], ["med_lon"])
-    return a.join(b, feed)
+    m = axis_percentiles(df, feed, lat, lon, [0.5], ["med"])
+    return m.select(feed, F.col("lat_med").alias("med_lat"), F.col("lon_med").alias("med_lon"))
 
 
 def median_anchor_filter(df: DataFrame, feed: str, lat: str = "lat", lon: str = "lon",
@@ -83,10 +93,9 @@ def date_window(ts: Column, now: Column, first: str = "2000-01-01") -> Column:
 def robust_bbox(df: DataFrame, feed: str, pad_m: float = 1500.0,
                 lat: str = "lat", lon: str = "lon") -> DataFrame:
     """0.3 to 99.7 percentile box, padded in metres."""
-    a = exact_percentiles(df, [feed], lat, [0.003, 0.997], ["s", "n"])
-    b = exact_percentiles(df, [feed], lon, [0.003, 0.997], ["w", "e"])
-    w, s, e, n = geo.pad_bbox(F.col("w"), F.col("s"), F.col("e"), F.col("n"), pad_m)
-    return a.join(b, feed).select(feed, w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
+    q = axis_percentiles(df, feed, lat, lon, [0.003, 0.997], ["a", "b"])
+    w, s, e, n = geo.pad_bbox(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"), pad_m)
+    return q.select(feed, w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
 
 
 def cap_recent(df: DataFrame, feed: str, ts: str, tie: str, cap: int = MAX_ROWS) -> DataFrame:

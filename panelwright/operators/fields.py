@@ -147,21 +147,24 @@ def class_share_profile(df: DataFrame, feed: str, klass: str = "klass") -> DataF
 def merge_shards(layers: DataFrame, most: int = 6) -> DataFrame:
     """Per city, walk layers best first and keep those that overlap none kept so far.
 
-    A city's layers are feed manifests (a handful of rows each), folded in one
-    ``aggregate`` over a sorted array; rows of data never enter it.
+    Only the best layer's host can contribute, and of layers with one date
+    range only the best can be kept (a second would overlap it).  Both cuts are
+    grouped reductions made before a city's distinct ranges are folded.
     """
     rank = F.struct(F.col("no_loot").cast("int").alias("a"), F.col("date_max").alias("b"),
                     F.col("rows").alias("c"), F.col("url"))
     item = F.struct(rank.alias("rank"), "url", "host", "date_min", "date_max", "rows")
-    ordered = layers.groupBy("city").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_l"))
+    best = layers.groupBy("city").agg(F.max(item)["host"].alias("host"))
+    home = layers.join(best, ["city", "host"], "left_semi")
+    one = home.groupBy("city", "date_min", "date_max").agg(F.max(item).alias("_x"))
+    ordered = one.groupBy("city").agg(F.reverse(F.array_sort(F.collect_list("_x"))).alias("_l"))
     empty = F.slice("_l", 1, 0)
 
     def step(kept, x):
         clash = F.exists(kept, lambda k: ~((x["date_max"] < k["date_min"]) | (k["date_max"] < x["date_min"])))
-        foreign = (F.size(kept) > 0) & (F.coalesce(F.get(kept, F.lit(0))["host"] != x["host"], F.lit(False)))
-        return F.when(clash | foreign, kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(clash | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = ordered.select("city", F.slice(F.aggregate("_l", empty, step), 1, most).alias("k"))
+    kept = ordered.select("city", F.aggregate("_l", empty, step).alias("k"))
     total = F.aggregate("k", F.lit(0).cast("bigint"), lambda a, x: a + x["rows"])
     return kept.select("city", F.array_join(F.transform("k", lambda x: x["url"]), "|").alias("url"),
                        total.alias("rows"),

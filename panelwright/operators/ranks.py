@@ -13,44 +13,49 @@ from pyspark.sql import functions as F
 from panelwright.session import partitions
 
 
+SLICES = 64
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                       names: list[str], accuracy: int = 1000) -> DataFrame:
     """Linear-interpolated percentiles per key, exact at any size.
 
-    An approximate sketch brackets each wanted order statistic; rows below the
-    bracket are counted, and only the thin slice inside it is put in order.
+    An approximate sketch brackets each wanted order statistic.  Rows below the
+    bracket are only counted; distinct values inside it are counted too, and
+    put in order in even slices of the bracket, so no task orders a whole key.
     """
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
     if not keys:
         one = exact_percentiles(v.withColumn("_all", F.lit(1)), ["_all"], "_v", probs, names, accuracy)
         return one.drop("_all")
-    probs = [float(p) for p in probs]
+    probs, m = [float(p) for p in probs], len(probs)
     slack = 4.0 / accuracy
     ask = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     sketch = v.groupBy(*keys).agg(
-        F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("*").alias("_n"))
-    m = len(probs)
-    # a bracket narrower than a few rows could miss the neighbour the interpolation needs
-    tiny = F.col("_n") <= 20 * accuracy
-    spans = sketch.select(*keys, "_n", F.posexplode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col("_q")[i].alias("a"), F.col("_q")[m + i].alias("b"))
-        for i, p in enumerate(probs)])).alias("_i", "_s")
-    ).select(*keys, "_n", "_i", (F.col("_s.p") * (F.col("_n") - 1)).alias("_pos"),
-             F.when(tiny | (F.lit(slack) >= F.col("_s.p")), F.lit(float("-inf")))
-              .otherwise(F.col("_s.a")).alias("_a"),
-             F.when(tiny | (F.col("_s.p") >= 1 - slack), F.lit(float("inf")))
-              .otherwise(F.col("_s.b")).alias("_b"))
-    nested = spans.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_n", "_pos", "_a", "_b")).alias("_w"))
-    parts = v.join(nested, keys).select(
-        *keys, "_v", F.explode("_w").alias("_w")).select(*keys, "_v", "_w.*").where("_v <= _b")
-    counts = parts.groupBy(*keys, "_i", "_n", "_pos",
-                           F.when(F.col("_v") >= F.col("_a"), F.col("_v")).alias("_x")
-                           ).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first())
-    ranked = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    at = lambda pos: F.max(F.when((F.col("_lo") <= pos) & (pos < F.col("_hi")), F.col("_x")))
-    low, high = F.floor("_pos"), F.ceil("_pos")
-    picked = ranked.groupBy(*keys, "_i", "_pos").agg(at(low).alias("_l"), at(high).alias("_h"))
+        F.percentile_approx("_v", ask, accuracy).alias("_q"), F.count("*").alias("_n"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # in a small key a bracket of few rows could miss the neighbour the interpolation needs
+    small = F.col("_n") <= 20 * accuracy
+    spans = [F.struct(
+        F.lit(i).alias("i"), (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
+        (F.col("_min") if p <= slack else F.when(small, F.col("_min")).otherwise(F.col("_q")[i])).alias("a"),
+        (F.col("_max") if p >= 1 - slack else F.when(small, F.col("_max")).otherwise(F.col("_q")[m + i])).alias("b"))
+        for i, p in enumerate(probs)]
+    wanted = sketch.select(*keys, F.array(*spans).alias("_w"))
+    part = v.join(wanted, keys).select(*keys, "_v", F.explode("_w").alias("_w")).where("_v <= _w.b")
+    width = F.col("_w.b") - F.col("_w.a")
+    piece = F.when(F.col("_v") < F.col("_w.a"), -1).when(width > 0, F.least(
+        F.floor((F.col("_v") - F.col("_w.a")) / width * SLICES), F.lit(SLICES - 1))).otherwise(0)
+    counts = part.groupBy(
+        *keys, F.col("_w.i").alias("_i"), F.col("_w.pos").alias("_pos"), piece.cast("int").alias("_p"),
+        F.when(F.col("_v") >= F.col("_w.a"), F.col("_v")).alias("_x")).agg(F.count("*").alias("_c"))
+    k = [*keys, "_i"]
+    sums = counts.groupBy(*k, "_p").agg(F.sum("_c").alias("_t"))
+    sums = sums.withColumn("_o", F.sum("_t").over(Window.partitionBy(*k).orderBy("_p")) - F.col("_t")).drop("_t")
+    inner = F.sum("_c").over(Window.partitionBy(*k, "_p").orderBy("_x"))
+    ranked = counts.withColumn("_hi", inner).join(sums, [*k, "_p"]).withColumn("_hi", F.col("_hi") + F.col("_o"))
+    at = lambda pos: F.max(F.when((F.col("_hi") - F.col("_c") <= pos) & (pos < F.col("_hi")), F.col("_x")))
+    picked = ranked.groupBy(*k, "_pos").agg(at(F.floor("_pos")).alias("_l"), at(F.ceil("_pos")).alias("_h"))
     value_at = F.col("_l") + (F.col("_pos") - F.floor("_pos")) * (F.col("_h") - F.col("_l"))
     return picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)])

@@ -144,7 +144,9 @@ def area_apportion(units: Column, cell_area: Column, land_frac: Column, aland: C
 def value_counts_norm(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Share of each value among the key's rows, from counts (never from rows)."""
     c = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    if not keys:
+        return value_counts_norm(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
+    return with_group(c, keys, _t=F.sum("n")).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
 def county_share_filter(df: DataFrame, keys: list[str], county: str, least: float = 0.02) -> DataFrame:
