@@ -86,8 +86,8 @@ def centre_within(d: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop(*[f"_m{x}" for x in xs])
 
 
-def _linear(xs: list[str], beta: str = "b") -> Column:
-    return reduce(lambda a, b: a + b, [F.get(beta, F.lit(j)) * F.col(x) for j, x in enumerate(xs)])
+def _linear(xs: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(f"_b{j}") * F.col(x) for j, x in enumerate(xs)])
 
 
 def _base(xs: list[str]) -> Column:
@@ -96,8 +96,9 @@ def _base(xs: list[str]) -> Column:
 
 
 def join_state(d: DataFrame, state: DataFrame, keys: list[str], n_models: int | None) -> DataFrame:
-    """Attach slopes to rows; small states (by count) are broadcast, others join by shuffle."""
-    s = state.select(*keys, "b")
+    """Attach slopes to rows as plain columns _b0.. (an array in an aggregation buffer would turn
+    hash into sort aggregation); small states (by count) are broadcast, others join by shuffle."""
+    s = state.select(*keys, *[F.get("b", F.lit(j)).alias(f"_b{j}") for j in range(len(_xs(d)))])
     return d.join(F.broadcast(s) if n_models is not None and n_models <= BROADCAST_MODELS else s, keys)
 
 
@@ -108,7 +109,8 @@ class Moments:
         self.xs, p = xs, len(xs)
         e, col = F.col("w") * F.col("_e"), F.col
         self.base = _base(xs)
-        self.group = [F.first("b").alias("b"), F.sum("w").alias("gn"),
+        slopes = [f"_b{j}" for j in range(p)]
+        self.group = [*[F.first(b).alias(b) for b in slopes], F.sum("w").alias("gn"),
                       F.sum(col("w") * col("y")).alias("sy"), F.sum(e).alias("se")]
         for j, x in enumerate(xs):
             self.group += [F.sum(col("w") * col("y") * col(x)).alias(f"syx{j}"),
@@ -118,7 +120,7 @@ class Moments:
         s = [col(f"syx{j}") - ratio * col(f"sex{j}") for j in range(p)]
         tri = [(j, k) for j in range(p) for k in range(j + 1)]
         cross = lambda j, k: col(f"sex{j}") * col(f"sex{k}") / col("se")
-        self.step = [F.first("b").alias("b"), F.array(*[F.sum(v) for v in s]).alias("score"),
+        self.step = [F.array(*[F.first(b) for b in slopes]).alias("b"), F.array(*[F.sum(v) for v in s]).alias("score"),
                      F.array(*[F.sum(ratio * (col(f"sxx{j}_{k}") - cross(j, k))) for j, k in tri]).alias("hess"),
                      F.sum("sy").alias("events")]
         self.report = [F.sum("gn").alias("nobs"), F.count("*").alias("n_groups"),
@@ -225,7 +227,7 @@ def cluster_sandwich(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFra
 def fitted_mu(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the fitted mean ``mu`` and Pearson residual, from the slopes alone."""
     xs = _xs(d)
-    e = join_state(d, state, keys, state.count()).withColumn("_e", _base(xs)).drop("b")
+    e = join_state(d, state, keys, state.count()).withColumn("_e", _base(xs)).drop(*[f"_b{j}" for j in range(len(xs))])
     e = with_group(e, [*keys, "grp"], _sy=F.sum(F.col("w") * F.col("y")),
                    _se=F.sum(F.col("w") * F.col("_e")))
     mu = F.col("_e") * F.greatest("_sy", F.lit(1e-12)) / F.greatest("_se", F.lit(1e-12))

@@ -711,3 +711,9 @@ def _(t):
 @query("window_select", f"WITH {I.PTS_SQL} SELECT id FROM pts WHERE x >= -100 AND x < 100 AND y >= -50 AND y < 150")
 def _(t):
     return I.points(t).where("x >= -100 and x < 100 and y >= -50 and y < 150").select("id")
+
+
+@query("json_access", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def _(t):
+    """Payload access without parsing the whole document into columns first."""
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

@@ -252,3 +252,16 @@ def _(t):
     v = I.points(t).select("id", "grp", F.col("x").alias("resid"), F.explode(arms).alias("_v")).select("id", "grp", "resid", "_v.*")
     values = t.spark.createDataFrame([(0, 1.0), (1, 0.6), (2, 0.3)], "vec int, lam double")
     return dependence.select_eigenvectors(v, values, "grp", most=2).select("vec", r6("score").alias("score"))
+
+
+TAGS = ["house", "Retail", "garage", "yes", "Apartments", "school", "warehouse", "pond"]
+
+
+@query("osm_use_class", f"""WITH g AS (SELECT p_partkey AS b, CASE WHEN p_partkey % 13 <> 0 THEN ({I.sql_list(TAGS)})[(p_partkey % {len(TAGS)} + 1)::INT] END AS tag, p_size % 5 = 0 OR p_size % 7 = 0 AS biz FROM part)
+   SELECT b, CASE WHEN tag IN ('Retail', 'warehouse') THEN 'commercial' WHEN tag IN ('house', 'Apartments') THEN 'residential' WHEN biz THEN 'commercial' WHEN tag IN ('garage', 'school') THEN 'other' ELSE 'unknown' END AS use FROM g""")
+def _(t):
+    from panelwright.functions.buildings import osm_use_class
+    k = F.col("p_partkey")
+    tag = F.when(k % 13 != 0, F.element_at(F.array(*[F.lit(v) for v in TAGS]), (k % len(TAGS) + 1).cast("int")))
+    shop, office = F.when(F.col("p_size") % 5 == 0, "x"), F.when(F.col("p_size") % 7 == 0, "y")
+    return t.part.select(k.alias("b"), osm_use_class(tag, shop, office).alias("use"))

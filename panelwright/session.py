@@ -25,6 +25,7 @@ def build_session(app: str = "panelwright", master: str | None = None, **conf) -
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for k, v in settings.items():
