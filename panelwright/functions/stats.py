@@ -62,6 +62,14 @@ def safe_div(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pairwise-complete correlation; null (not an error) where a side does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    sd = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(sd > 0, F.covar_pop(x, y) / F.when(sd > 0, sd))
+
+
 # ---- distribution helpers on result rows ------------------------------------
 def _gamma_p(a: float, x: float) -> float:
     """Regularised lower incomplete gamma: series below a+1, continued fraction above."""

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.stats import safe_corr
 from panelwright.operators.ranks import exact_percentiles
 
 
@@ -44,7 +45,7 @@ def panel_audit(panel: DataFrame, city: str = "city") -> DataFrame:
 def redownload_audit(old: DataFrame, new: DataFrame, keys: list[str], city: str = "city") -> DataFrame:
     """Correlation and volume of two independent builds of the same cells (old, new columns)."""
     m = old.join(new, keys, "left").withColumn("new", F.coalesce("new", F.lit(0))).where("old + new > 0")
-    g = m.groupBy(city).agg(F.corr(F.col("old").cast("double"), F.col("new").cast("double")).alias("r"),
+    g = m.groupBy(city).agg(safe_corr(F.col("old").cast("double"), F.col("new").cast("double")).alias("r"),
                             (F.sum("new") / F.greatest(F.sum("old"), F.lit(1))).alias("ratio"))
     return _rows(g, city, [("redownload_correlates", F.col("r") > 0.99, "fail", F.col("r")),
                            ("redownload_volume", F.lit(True), "info", F.col("ratio"))])

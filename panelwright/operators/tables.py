@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.stats import safe_corr
 from panelwright.functions.text import ALL_CLASSES
 from panelwright.operators.ranks import average_rank, exact_percentiles, with_group
 
@@ -225,9 +226,9 @@ def city_profile(df: DataFrame, city: str = "city", radius: int = 500) -> DataFr
     g = df.groupBy(city).agg(
         F.count("*").alias("n_cells"), F.countDistinct("GEOID").alias("n_bg"),
         F.sum("n_total").cast("bigint").alias("n_events"),
-        F.corr(F.when(F.col("median_hh_income").isNotNull(), F.col(t)), "median_hh_income").alias("rho_income"),
-        F.corr(F.when(F.col("median_home_value").isNotNull(), F.col(t)), "median_home_value").alias("rho_value"),
-        F.corr(F.when(F.col("median_hh_income").isNotNull(), F.col("elev")), "median_hh_income").alias("rho_abs_income"),
+        safe_corr(F.col(t).cast("double"), F.col("median_hh_income").cast("double")).alias("rho_income"),
+        safe_corr(F.col(t).cast("double"), F.col("median_home_value").cast("double")).alias("rho_value"),
+        safe_corr(F.col("elev").cast("double"), F.col("median_hh_income").cast("double")).alias("rho_abs_income"),
         F.stddev_samp("elev").alias("relief_sd"), F.stddev_samp(t).alias("tpi_sd"),
         F.avg(F.when(F.col("n_total") == 0, 1.0).otherwise(0.0)).alias("share_zero"))
     rel = exact_percentiles(df, [city], "elev", [0.01, 0.99], ["_p1", "_p99"])
@@ -258,11 +259,11 @@ def corr_pairs(df: DataFrame, keys: list[str], pairs: list[tuple[str, Column, Co
     out = None
     if "pearson" in methods:
         out = long.where("method = 'pearson'").groupBy(*keys, "metric").agg(
-            F.when(F.count("*") > 2, F.corr("a", "b")).alias("r"))
+            F.when(F.count("*") > 2, safe_corr(F.col("a"), F.col("b"))).alias("r"))
     if "spearman" in methods:
         k = [*keys, "metric"]
         s = average_rank(average_rank(long.where("method = 'spearman'"), k, "a", "ra"), k, "b", "rb")
-        s = s.groupBy(*k).agg(F.when(F.count("*") > 2, F.corr("ra", "rb")).alias("r"))
+        s = s.groupBy(*k).agg(F.when(F.count("*") > 2, safe_corr(F.col("ra"), F.col("rb"))).alias("r"))
         out = s if out is None else out.unionByName(s)
     return out
 
