@@ -59,7 +59,8 @@ def over_texts(df: DataFrame, schema: str, start: Callable, text: str = "text")
         f = start()
         for batch in batches:
             for rows, texts in text_slices(batch, text):
-                yield from (x for x in f(rows, texts) if x.num_rows)
+                if (out := f(rows, texts)).num_rows:
+                    yield out
     return df.mapInArrow(run, schema)
 
 
@@ -132,6 +133,29 @@ class Rows:
         self.n = 0
 
 
+class ListMemo:
+    """Integer lists of words: ``learn(new words)`` gives their lists end to end, and the sizes."""
+
+    def __init__(self, learn: Callable, limit: int = 600_000):
+        self.make = learn
+        self.ids, self.start, self.size = Rows(dtype=np.int32), Rows(dtype=np.int64), Rows(dtype=np.int64)
+        self.memo = WordMemo(self._learn, lambda: [x.clear() for x in (self.ids, self.start, self.size)], limit)
+
+    def _learn(self, words):
+        flat, size = self.make(words)
+        self.start.add(self.ids.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(flat)
+
+    def lists(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """(the lists of all words of all texts end to end, where each text ends)."""
+        at = self.memo.rows([w for x in split for w in x])
+        start, size = self.start.data[at], self.size.data[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        words = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return self.ids.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends[words]
+
+
 def word_ngrams(words: list[bytes], sizes: tuple, buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram of ``<word>``, first n-gram of each word); with ``whole`` the word itself counts as one."""
     flat = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint64)

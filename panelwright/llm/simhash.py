@@ -197,6 +197,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc: str = "doc_id",
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each group of near-duplicates: that of least id (of equal rows, any one); columns unchanged."""
-    least = near_duplicates(docs, doc=doc, text=text, **how).filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(least, F.col(doc).cast("bigint").eqNullSafe(least["doc_id"]), "left_semi")
-    return kept.dropDuplicates([doc])
+    least = near_duplicates(docs, doc=doc, text=text, **how).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(least, F.col(doc).cast("bigint").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([doc])

@@ -13,6 +13,7 @@ whole stream follows from the parts' totals, one row a part.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import WordMemo, kept, one_thread, text_slices
+from panelwright.llm.common import ListMemo, kept, one_thread, text_slices
 
 FORMAT = {
     "compression": "zstd",
@@ -46,13 +47,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_str(file), by_word
-        self.memo = WordMemo(self.learn, self.forget, 600_000)
-        self.forget()
-
-    def forget(self):
-        self.ids, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.n = 0
+        self.memo = ListMemo(self.learn)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,16 +55,7 @@ class _Encoder:
     def learn(self, words):
         lists = self.encode([w.decode("utf-8", "replace") for w in words])
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.n + len(size) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-        self.ids[self.used: self.used + len(flat)] = flat
-        self.start[self.n: self.n + len(size)] = self.used + np.cumsum(size) - size
-        self.size[self.n: self.n + len(size)] = size
-        self.used += len(flat)
-        self.n += len(size)
+        return np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())), size
 
     def lists(self, texts: list, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; each text's number of ids)."""
@@ -77,14 +63,8 @@ class _Encoder:
             lists = self.encode([(t or b"").decode("utf-8", "replace") for t in texts])
             size = np.array([len(x) + 1 for x in lists], np.int64)
             return np.array([i for x in lists for i in (*x, end)], np.int32), size
-        split = [(t or b"").split() for t in texts]
-        at = self.memo.rows([w for x in split for w in x])
-        start, size = self.start[at], self.size[at]
-        words = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.concatenate([[0], np.cumsum(size)])
-        n = np.diff(ends[np.concatenate([[0], np.cumsum(words)])]) + 1
-        ids = self.ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-        return np.insert(ids, np.cumsum(n - 1), end).astype(np.int32), n
+        ids, ends = self.memo.lists([(t or b"").split() for t in texts])
+        return np.insert(ids, ends, end), np.diff(ends, prepend=0) + 1
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, by_word: bool = False,
@@ -92,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, b
     """Encodes every text (null: as empty, giving the end id alone) and writes the table."""
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
-        file = spark.sparkContext.broadcast(f.read())
+        file, key = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
     ordered = (docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
                .withColumn("__h", F.xxhash64("text"))
                .repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h"))
@@ -100,7 +80,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, b
     def encode(batches):
         one_thread()
         part, done = TaskContext.get().partitionId(), 0
-        coder = kept(("tokens", (file.id, by_word)), lambda: _Encoder(file.value, by_word))
+        coder = kept(("tokens", key), lambda: _Encoder(file.value, by_word))
         for batch in batches:
             for rows, texts in text_slices(batch, "text"):
                 ids, n = coder.lists(texts, end_id)

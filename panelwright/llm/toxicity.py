@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import Rows, WordMemo, bounded_sample, fields, keep_rows, kept, over_texts, sums, with_results, word_ngrams
 
-SIZES, BUCKETS, WIDTH = (3, 4, 5), 1 << 16, 8
+SIZES, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 4
 SEGMENT, NEUTRAL = 40, 4
-SAMPLE_ROWS = 1500          # labelled rows of each label to fit on
+SAMPLE_ROWS = 1000          # labelled rows of each label to fit on
 SAMPLE_CHARS = 60_000       # longer texts are not used to fit
 
 
@@ -47,52 +47,68 @@ def _bags(split: list[list[bytes]], segment: int) -> tuple[np.ndarray, np.ndarra
 
 
 class _Trainer:
-    """Adagrad on embeddings (buckets x width) and softmax weights (width x 2)."""
+    """Accelerated full-batch steps on embeddings (buckets x width) and softmax weights (width x 2).
 
-    def __init__(self, words: list[bytes], seed: int):
+    Embeddings start at zero, so n-grams that were not seen say nothing, and each is
+    scaled by its share of the sample, with a floor that keeps rare ones from being learned by heart.
+    """
+
+    FLOOR = 1e-5
+
+    def __init__(self, words: list[bytes], text: np.ndarray, first: np.ndarray, seed: int):
         r = np.random.default_rng(seed)
-        self.grams, self.first = word_ngrams(words, SIZES, BUCKETS, True)
-        self.many = np.diff(np.append(self.first, len(self.grams)))
-        self.e = r.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-        self.w = r.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
+        self.text = text
+        self.grams, self.start = word_ngrams(words, SIZES, BUCKETS, True)
+        self.many = np.diff(np.append(self.start, len(self.grams)))
+        self.used, self.at = np.unique(self.grams, return_inverse=True)
+        self.e = np.zeros((len(self.used), WIDTH), np.float32)
+        self.w = r.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
-        self.past = [np.full_like(x, 1e-3) for x in (self.e, self.w, self.b)]
-
-    def _spans(self, first, size):
-        ends = np.cumsum(size)
-        return np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-    def vectors(self, words):
-        g = self.grams[self._spans(self.first[words], self.many[words])]
-        starts = np.cumsum(self.many[words]) - self.many[words]
-        return g, starts, (np.add.reduceat(self.e[g], starts, axis=0) / self.many[words][:, None]).astype(np.float32)
-
-    def margins(self, words, first):
-        """Chance-of-toxic margins of the bags of words that begin at ``first``."""
-        u, back = np.unique(words, return_inverse=True)
-        _, _, v = self.vectors(u)
-        n = np.diff(np.append(first, len(words)))
-        return (sums((v @ (self.w[:, 1] - self.w[:, 0]))[back], first) / (n + NEUTRAL)) + self.b[1] - self.b[0]
-
-    def step(self, words, first, y, weight, rate):
-        u, back = np.unique(words, return_inverse=True)
-        g, starts, v = self.vectors(u)
-        n = (np.diff(np.append(first, len(words))) + NEUTRAL).astype(np.float32)
-        bag = (np.add.reduceat(v[back], first, axis=0) / n[:, None]).astype(np.float32)
-        z = bag @ self.w + self.b
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p *= (weight / weight.sum())[:, None].astype(np.float32)
-        per_word = np.repeat((p @ self.w.T) / n[:, None], np.diff(np.append(first, len(words))), axis=0)
-        dv = np.stack([np.bincount(back, per_word[:, k], len(u)) for k in range(WIDTH)], 1) / self.many[u][:, None]
-        dg = np.repeat(dv, self.many[u], axis=0)
-        ug, gb = np.unique(g, return_inverse=True)
-        de = np.stack([np.bincount(gb, dg[:, k], len(ug)) for k in range(WIDTH)], 1).astype(np.float32)
-        for x, past, at, d in ((self.e, self.past[0], ug, de), (self.w, self.past[1], slice(None), bag.T @ p), (self.b, self.past[2], slice(None), p.sum(0))):
-            past[at] += d * d
-            x[at] -= rate * d / np.sqrt(past[at] + 1e-12)
+        self.scale = np.ones(len(self.used), np.float32)
+        share = self.back(np.full((len(first), 1), 1 / len(first), np.float32), first)[:, 0]
+        self.scale = (1 / np.sqrt(share + self.FLOOR)).astype(np.float32)
+
+    def bags(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        v = np.add.reduceat((e * self.scale[:, None])[self.at], self.start, axis=0) / self.many[:, None].astype(np.float32)
+        n = np.diff(np.append(first, len(self.text))) + NEUTRAL
+        return np.add.reduceat(v[self.text], first, axis=0) / n[:, None].astype(np.float32)
+
+    def back(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The gradient of the embeddings, given that of the bags."""
+        n = np.diff(np.append(first, len(self.text)))
+        p = p / (n + NEUTRAL)[:, None]
+        out = np.empty((len(self.used), p.shape[1]), np.float32)
+        for k in range(p.shape[1]):
+            word = np.bincount(self.text, np.repeat(p[:, k], n), len(self.many)) / self.many
+            out[:, k] = np.bincount(self.at, np.repeat(word, self.many), len(self.used))
+        return out * self.scale[:, None]
+
+    def margins(self, first: np.ndarray) -> np.ndarray:
+        return self.bags(self.e, first) @ (self.w[:, 1] - self.w[:, 0]) + self.b[1] - self.b[0]
+
+    def go(self, first: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int) -> None:
+        """``weight`` sums to one; bags of weight zero take no part."""
+        weight = weight[:, None].astype(np.float32)
+        v = np.ones((len(self.used), 1), np.float32)
+        for _ in range(4):
+            v = self.back(weight * self.bags(v, first), first)
+            top = float(np.linalg.norm(v))
+            v /= top + 1e-30
+        last = self.e
+        for t in range(rounds):
+            z = self.e + np.float32(t / (t + 3.0)) * (self.e - last)
+            bag = self.bags(z, first)
+            g = bag @ self.w + self.b
+            g -= g.max(1, keepdims=True)
+            p = np.exp(g)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            p *= weight
+            d = self.back(p @ self.w.T, first)
+            rate = 1 / (top * float(np.square(self.w).sum()) / 2 + 1e-12)
+            last, self.e = self.e, z - np.float32(rate) * d
+            self.w -= np.float32(0.05) * (bag.T @ p)
+            self.b -= p.sum(0)
 
 
 def fit(labelled: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, seed: int = 5) -> Model:
@@ -112,40 +128,28 @@ def fit(labelled: DataFrame, doc: str = "doc_id", text: str = "text", label: str
         return Model(np.zeros(BUCKETS, np.float32), 5.0 if len(y) and y[0] else -5.0, uuid.uuid4().hex)
     index: dict = {}
     words = np.array([index.setdefault(w, len(index)) for x in split for w in x], np.int64)
-    t = _Trainer(list(index), seed)
-    r = np.random.default_rng(seed)
     first = np.cumsum([0] + [len(x) for x in split[:-1]])
-    size = np.array([len(x) for x in split])
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
-
-    def go(first, size, y, weight, batch, rounds, rate):
-        for _ in range(rounds):
-            for part in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
-                starts = np.cumsum(size[part]) - size[part]
-                t.step(words[t._spans(first[part], size[part])], starts, y[part], weight[part], rate)
-
-    go(first, size, y, share, 64, 4, 0.3)
+    t = _Trainer(list(index), words, first, seed)
+    t.go(first, y, np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()), 32)
     seg, of = _bags(split, SEGMENT)
-    seg_size = np.diff(np.append(seg, len(words)))
-    for _ in range(3):
-        m = t.margins(words, seg)
-        worst = np.full(len(y), -np.inf)
+    for _ in range(2):
+        m, worst = t.margins(seg), np.full(len(y), -np.inf)
         np.maximum.at(worst, of, m)
-        use = np.flatnonzero((y[of] == 0) | (m == worst[of]))
-        sy = y[of][use]
-        w = np.where(sy == 1, 0.5 / max((sy == 1).sum(), 1), 0.5 / max((sy == 0).sum(), 1)).astype(np.float32)
-        go(seg[use], seg_size[use], sy, w, 512, 2, 0.1)
+        bad, good = (y[of] == 1) & (m == worst[of]), y[of] == 0
+        t.go(seg, y[of], np.where(bad, 0.5 / max(bad.sum(), 1), np.where(good, 0.5 / max(good.sum(), 1), 0.0)), 10)
     # the bias at which the texts of the sample are split best, each at its worst segment
-    m = t.margins(words, seg)
+    m = t.margins(seg)
     worst = np.full(len(y), -np.inf)
     np.maximum.at(worst, of, m)
     order = np.argsort(worst, kind="stable")
-    wrong = np.concatenate([[0.0], np.cumsum(np.where(y[order] == 1, 1.0, -4.0))]) + 4.0 * (y == 0).sum()
+    wrong = np.concatenate([[0.0], np.cumsum(np.where(y[order] == 1, 1.0, -8.0))]) + 8.0 * (y == 0).sum()
     at = np.flatnonzero(wrong == wrong.min())
     edge = np.concatenate([[worst.min() - 1], worst[order], [worst.max() + 1]])
     mid = at[len(at) // 2]
     move = float((edge[mid] + edge[mid + 1]) / 2)
-    return Model((t.e @ (t.w[:, 1] - t.w[:, 0])).astype(np.float32), float(t.b[1] - t.b[0]) - move, uuid.uuid4().hex)
+    grams = np.zeros(BUCKETS, np.float32)
+    grams[t.used] = t.scale * (t.e @ (t.w[:, 1] - t.w[:, 0]))
+    return Model(grams, float(t.b[1] - t.b[0]) - move, uuid.uuid4().hex)
 
 
 class _Scorer:
