@@ -33,6 +33,7 @@ FORMAT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+MOST_PARTS = 1 << 20
 SCHEMA = "part int, doc_id bigint, n_tokens bigint, part_start bigint, tokens array<int>"
 
 
@@ -102,6 +103,8 @@ def read_tokens(spark: SparkSession, path: str, tokens: bool = True, first: int
     t = spark.read.schema(SCHEMA).parquet(path)
     parts = t.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    if base.count() <= MOST_PARTS:      # a row of 16 bytes a file; beyond that the join is shuffled
+        base = F.broadcast(base)
     if first is not None:
         t = t.filter(F.col("doc_id") >= first)
     if last is not None:
