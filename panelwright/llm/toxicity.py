@@ -111,15 +111,19 @@ class _Trainer:
             self.b -= p.sum(0)
 
 
-def fit(labelled: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, seed: int = 5) -> Model:
-    """A model from up to ``rows`` rows of each label (0 and 1, of least hash) of ``labelled``.
+def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, seed: int = 5) -> Model:
+    """A model from up to ``rows`` documents of each label (0 and 1, of least hash of their id).
 
-    Rows with another or no label, without text, or of over SAMPLE_CHARS characters
-    are not used; with one label only, the model gives that label's share everywhere.
+    Documents with another or no label, without text, or of over SAMPLE_CHARS characters
+    are not used; with one label only, the model gives that label everywhere.  Ids are
+    matched with labels without their texts; the texts of those chosen are then fetched.
     """
-    usable = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(doc).alias("doc_id")).filter(
-        F.col("label").isin(0, 1) & (F.length("text") <= SAMPLE_CHARS))
-    got = sorted((r.label, r.text or "") for r in bounded_sample(usable, "label", rows, [F.col("doc_id"), F.col("text")], seed).collect())
+    told = labels.select(F.col(doc).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
+    fit_ = docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col(doc).alias("doc_id"))
+    chosen = bounded_sample(fit_.join(told, "doc_id"), "label", rows, [F.col("doc_id")], seed)
+    ids = docs.sparkSession.createDataFrame(chosen.toArrow())     # 2 x rows ids at most
+    found = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids.distinct()), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
+    got = sorted((r.label, r.text) for r in found.collect())
     y = np.array([v for v, _ in got], np.int64)
     split = [t.encode().lower().split() for _, t in got]
     have = np.array([bool(x) for x in split], bool)

@@ -192,12 +192,13 @@ def test_toxicity_of_odd_rows_and_unseen_spellings(spark, odd, none):
     plain = ["the", "hand", "of", "another", "thing", "was", "there", "and", "under"]
     rows = [(i, " ".join(list(r.choice(plain, 30)) + (["worthless", "scumbag"] if i % 2 else [])), i % 2) for i in range(200)]
     rows += [(None, None, 1), (300, "", 0), (301, "the", None), (302, "hand", 7)]
-    m = toxicity.fit(spark.createDataFrame(rows, "doc_id int, text string, toxic int"))
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    m = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
     ask = spark.createDataFrame([(1, "the hand of another worthles scumbags was there"), (2, "the hand of another thing was there"), (3, None), (4, " ")], "doc_id int, text string")
     assert [x.predicted for x in toxicity.score(ask, m).orderBy("doc_id").collect()] == [1, 0, 0, 0]
     out = toxicity.score(odd, m)
     assert out.count() == odd.count() and out.columns.count("score") == 1
-    assert toxicity.score(odd, toxicity.fit(none.withColumn("toxic", F.lit(1)))).filter("predicted = 1").count() == 0
+    assert toxicity.score(odd, toxicity.fit(none, none.select("doc_id", F.lit(1).alias("toxic")))).filter("predicted = 1").count() == 0
     assert toxicity.keep_clean(odd, m).columns == odd.columns
 
 
