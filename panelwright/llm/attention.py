@@ -197,7 +197,7 @@ class Words:
 
     def __init__(self, v, arrays, units: np.ndarray):
         self.segmenter, self.units, self.ids_of = Segmenter(v, arrays), units, len(v.pieces)
-        self.memo = ListMemo(self._learn, 1_000_000)
+        self.memo = ListMemo(self._learn, 500_000)
 
     def _learn(self, words):
         flat, size = self.segmenter._learn([MARK + w.decode("utf-8", "replace") for w in words])
@@ -373,7 +373,7 @@ def score(docs: DataFrame, is_train, model_file: str, doc: str = "doc_id", text:
         def __init__(self, key, v, arrays, units, m):
             self.words, self.scorer = Words(v, arrays, units), Scorer(m)
             self.h, self.log = Rows(dtype=np.int64), Rows(dtype=np.float64)
-            self.memo = WordMemo(self.learn, lambda: (self.h.clear(), self.log.clear()), 1_000_000)
+            self.memo = WordMemo(self.learn, lambda rows: (self.h.keep(rows), self.log.keep(rows)), 500_000)
 
         def learn(self, words):
             h = _digest(words)

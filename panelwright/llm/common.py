@@ -99,23 +99,39 @@ class _Index(dict):
 class WordMemo:
     """Row numbers of words; ``learn(new words)`` is called for those not yet known.
 
-    At ``limit`` words the memo starts anew (``forget``), so its memory is bounded
-    whatever the vocabulary; results do not depend on it.
+    At ``limit`` words the memo keeps those met at least twice, half of ``limit`` at
+    most, and ``keep(their rows)`` is called; so its memory is bounded whatever the
+    vocabulary, and results do not depend on it.
     """
 
-    def __init__(self, learn: Callable, forget: Callable, limit: int = 400_000):
-        self.index, self.learn, self.forget, self.limit = _Index(), learn, forget, limit
+    def __init__(self, learn: Callable, keep: Callable, limit: int = 400_000):
+        self.index, self.learn, self.keep, self.limit = _Index(), learn, keep, limit
+        self.met = np.zeros(1024, np.int64)
 
     def rows(self, words: list) -> np.ndarray:
         if len(self.index) > self.limit:
-            self.index = _Index()
-            self.forget()
+            self._shrink()
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.fresh:
             self.learn(self.index.fresh)
             self.index.fresh = []
+        while len(self.met) < len(self.index):
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        if len(at):
+            n = np.bincount(at)
+            self.met[: len(n)] += n
         return at
 
+    def _shrink(self):
+        met = self.met[: len(self.index)]
+        least = max(2, int(np.partition(met, -self.limit // 2)[-self.limit // 2]) + 1) if len(met) > self.limit // 2 else 2
+        rows = np.flatnonzero(met >= least)
+        words, self.index = list(self.index), _Index()
+        for i, r in enumerate(rows.tolist()):
+            self.index[words[r]] = i
+        self.met = np.concatenate([met[rows], np.zeros(1024, np.int64)])
+        self.keep(rows)
+
 
 class Rows:
     """An array that rows are added to."""
@@ -129,17 +145,18 @@ class Rows:
         self.data[self.n: self.n + len(more)] = more
         self.n += len(more)
 
-    def clear(self) -> None:
-        self.n = 0
+    def keep(self, rows: np.ndarray) -> None:
+        self.data[: len(rows)] = self.data[rows]
+        self.n = len(rows)
 
 
 class ListMemo:
     """Integer lists of words: ``learn(new words)`` gives their lists end to end, and the sizes."""
 
-    def __init__(self, learn: Callable, limit: int = 600_000):
+    def __init__(self, learn: Callable, limit: int = 500_000):
         self.make = learn
         self.ids, self.start, self.size = Rows(dtype=np.int32), Rows(dtype=np.int64), Rows(dtype=np.int64)
-        self.memo = WordMemo(self._learn, lambda: [x.clear() for x in (self.ids, self.start, self.size)], limit)
+        self.memo = WordMemo(self._learn, self._keep, limit)
 
     def _learn(self, words):
         flat, size = self.make(words)
@@ -147,6 +164,14 @@ class ListMemo:
         self.size.add(size)
         self.ids.add(flat)
 
+    def _keep(self, rows):
+        size = self.size.data[rows]
+        start = np.cumsum(size) - size
+        self.ids.keep(np.repeat(self.start.data[rows] - start, size) + np.arange(int(size.sum())))
+        self.size.keep(rows)
+        self.start.keep(rows)
+        self.start.data[: len(rows)] = start
+
     def lists(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """(the lists of all words of all texts end to end, where each text ends)."""
         at = self.memo.rows([w for x in split for w in x])

@@ -19,11 +19,11 @@ from panelwright.llm.vocabulary import Vocabulary, load, segments
 
 
 class Counter:
-    def __init__(self, v: Vocabulary, limit: int = 600_000):
+    def __init__(self, v: Vocabulary, limit: int = 500_000):
         import ahocorasick
 
         self.v, self.counts = v, Rows(dtype=np.int64)
-        self.memo = WordMemo(lambda parts: self.counts.add(np.array([self.count_part(p) for p in parts])), self.counts.clear, limit)
+        self.memo = WordMemo(lambda parts: self.counts.add(np.array([self.count_part(p) for p in parts])), self.counts.keep, limit)
         self.automaton = ahocorasick.Automaton()
         for i in v.matched:
             self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i]))

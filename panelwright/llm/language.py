@@ -141,7 +141,7 @@ def decide(m: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Scorer:
     def __init__(self, m: Model):
         self.m, self.margin, self.size = m, Rows((m.weights.shape[1],)), Rows()
-        self.memo = WordMemo(self.learn, lambda: (self.margin.clear(), self.size.clear()))
+        self.memo = WordMemo(self.learn, lambda rows: (self.margin.keep(rows), self.size.keep(rows)))
 
     def learn(self, words):
         grams, first = word_ngrams(words, SIZES, BUCKETS, False)

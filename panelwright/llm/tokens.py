@@ -48,7 +48,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_str(file), by_word
-        self.memo = ListMemo(self.learn)
+        self.memo = ListMemo(self.learn, 500_000)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

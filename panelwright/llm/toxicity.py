@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 class _Scorer:
     def __init__(self, m: Model):
         self.m, self.margin = m, Rows()
-        self.memo = WordMemo(self.learn, self.margin.clear)
+        self.memo = WordMemo(self.learn, self.margin.keep)
 
     def learn(self, words):
         grams, first = word_ngrams(words, SIZES, BUCKETS, True)
