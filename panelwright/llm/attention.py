@@ -34,11 +34,11 @@ from panelwright.llm.pieces import DoubleArray, Segmenter
 from panelwright.llm.vocabulary import MARK, load
 from panelwright.session import scratch_path
 
-WIDTH, PARTS, PAST, STRETCH = 16, 32, 8, 16
+WIDTH, PARTS, PAST, STRETCH = 16, 48, 8, 16
 SPAN = PAST + STRETCH
 BATCH = 256                 # windows a step
 TRAIN_EVERY = 8             # each training text's every eighth window is trained on, from a place set by its hash
-WARM_ROWS, WARM_CHARS, WARM_ROUNDS = 1200, 20_000, 4    # texts of the common start, none longer
+WARM_ROWS, WARM_CHARS, WARM_ROUNDS = 1200, 20_000, 6    # texts of the common start, none longer
 FREQUENT, UNITS = 1 << 18, 1 << 15      # a word of one in so many tokens: its count is sent to the tasks; it is an id
 SMOOTH = 200.0
 BLOCK = 2048                # ids in a block of parameters
@@ -90,7 +90,7 @@ def _attend(asks: np.ndarray, e: np.ndarray, near: np.ndarray, seen: np.ndarray)
     """Weights, not yet of sum one, of the places that each place may see."""
     s = asks @ e.transpose(0, 2, 1)
     s += near[np.maximum(_BACK, 0)]
-    np.minimum(s, np.float32(40), out=s)
+    np.clip(s, np.float32(-40), np.float32(40), out=s)
     np.exp(s, out=s)
     s *= _CAUSAL
     gap = np.flatnonzero(seen[:, 0] < 0)        # only a text's first window has places before the start
@@ -119,7 +119,7 @@ class Scorer:
             g = (o[:, :, :WIDTH] / o[:, :, WIDTH:]) @ m["seen"]
             g += own @ m["own"]
             g += m["bias"]
-            np.minimum(g, np.float32(40), out=g)
+            np.clip(g, np.float32(-40), np.float32(40), out=g)
             np.exp(g, out=g)
             all_ = g @ self.ones
             g *= self.parts[np.maximum(y, 0)]
@@ -150,7 +150,7 @@ class Trainer:
         a /= a.sum(2, keepdims=True) + np.float32(1e-30)
         o = a @ e
         share = own @ m["own"] + o @ m["seen"] + m["bias"]
-        np.exp(np.minimum(share, np.float32(40), out=share), out=share)
+        np.exp(np.clip(share, np.float32(-40), np.float32(40), out=share), out=share)
         share /= share.sum(2, keepdims=True)
         r = share * self.dist[y]
         p = r.sum(2)
@@ -269,7 +269,7 @@ def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_i
         ids = Words(v, arrays, units).ids(_split(texts))
         m["ids"] = np.bincount(np.concatenate(ids + [np.full(len(ids), END)]), minlength=all_).astype(np.float32)
         m["parts"] *= (m["ids"] / m["parts"].sum(1) / 4)[:, None].astype(np.float32)
-        t = Trainer(m, 0.6)
+        t = Trainer(m, 0.25)
         seen, goal, _, _ = windows(ids)
         r = np.random.default_rng(seed)
         for _ in range(WARM_ROUNDS):
@@ -284,7 +284,7 @@ def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_i
     def run(batches):
         one_thread()
         key, v, arrays, units, m = shared.value
-        words, t = kept(("words", key), lambda: Words(v, arrays, units)), Trainer(m, 0.15)
+        words, t = kept(("words", key), lambda: Words(v, arrays, units)), Trainer(m, 0.08)
         all_ids, held = np.zeros(all_), ([], [])
         for b in batches:
             for part, texts in text_slices(b, "text"):
