@@ -12,6 +12,7 @@ from panelwright.operators.ranks import exact_percentiles
 LAT_PAD, LON_PAD = 1.0, 1.5
 START_DATE = "2018-01-01"
 MAX_ROWS = 600_000
+OLDEST = "0001-01-01"
 PARKING_SENTINEL = 5555.0
 PROPERTY_CATEGORIES = ["Larceny Theft", "Burglary", "Motor Vehicle Theft", "Robbery", "Arson",
                        "Malicious Mischief", "Stolen Property"]
@@ -53,13 +54,16 @@ def median_anchor_filter(df: DataFrame, feed: str, lat: str = "lat", lon: str =
     return df.join(anchors, feed).where(near).drop("med_lat", "med_lon")
 
 
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy",
-                "MM/dd/yyyy HH:mm:ss"]
+DATE_FORMATS = ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a",
+                "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss"]
+ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 
 
 def parse_mixed(text: Column) -> Column:
-    """Try each known layout in turn; null where none fits."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    """ISO dates (a blank or T before the time, any fraction, any zone), then each layout in turn; null where none fits."""
+    iso = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp"))
+    plain = F.trim(text)
+    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in DATE_FORMATS])
 
 
 def parse_epoch_ms(text: Column) -> Column:
@@ -99,14 +103,15 @@ def robust_bbox(df: DataFrame, feed: str, pad_m: float = 1500.0,
 
 
 def cap_recent(df: DataFrame, feed: str, ts: str, tie: str, cap: int = MAX_ROWS) -> DataFrame:
-    """The newest ``cap`` rows of each feed, ties by ``tie`` ascending.
+    """The newest ``cap`` rows of each feed, ties by ``tie`` ascending; undated rows count as the oldest.
 
     Daily and then per-second counts locate the instant where the cap bites;
     only rows of that one instant are ever put in order, so a feed with a third
     of all rows is not sorted anywhere.
     """
-    day, sec = F.to_date(ts), F.date_trunc("second", F.col(ts))
-    d = df.where(F.col(ts).isNotNull()).withColumn("_day", day).withColumn("_sec", sec)
+    day = F.coalesce(F.to_date(ts), F.lit(OLDEST).cast("date"))
+    sec = F.coalesce(F.date_trunc("second", F.col(ts)), F.lit(OLDEST).cast("timestamp"))
+    d = df.withColumn("_day", day).withColumn("_sec", sec)
     w = Window.partitionBy(feed)
     newest = w.orderBy(F.col("_day").desc())
     days = d.groupBy(feed, "_day").agg(F.count("*").alias("_c")).withColumn(
@@ -130,13 +135,18 @@ def cap_recent(df: DataFrame, feed: str, ts: str, tie: str, cap: int = MAX_ROWS)
     return sure.unionByName(keep).select(*df.columns)
 
 
-def cap_start_date(df: DataFrame, feed: str, ts: str, cap: int = MAX_ROWS) -> DataFrame:
-    """Per feed, the earliest start day whose row count still fits under the cap."""
-    days = df.groupBy(feed, F.to_date(ts).alias("day")).agg(F.count("*").alias("_c"))
-    cum = days.withColumn("rows_kept", F.sum("_c").over(
-        Window.partitionBy(feed).orderBy(F.col("day").desc())))
-    return (cum.where(F.col("rows_kept") <= cap).groupBy(feed)
-               .agg(F.min("day").alias("start_day"), F.max("rows_kept").alias("rows_kept")))
+def cap_start_date(df: DataFrame, feed: str, ts: str, cap: int = MAX_ROWS, first: str = START_DATE) -> DataFrame:
+    """Per feed, the earliest start day, from ``first`` on, whose row count still fits under the cap.
+
+    A feed whose newest day alone is over the cap starts at ``first``, with all its rows.
+    """
+    days = (df.where(F.to_date(ts) >= F.lit(first).cast("date"))
+            .groupBy(feed, F.to_date(ts).alias("day")).agg(F.count("*").alias("_c")))
+    cum = days.withColumn("_k", F.sum("_c").over(Window.partitionBy(feed).orderBy(F.col("day").desc())))
+    fits = F.col("_k") <= cap
+    return cum.groupBy(feed).agg(
+        F.coalesce(F.min(F.when(fits, F.col("day"))), F.lit(first).cast("date")).alias("start_day"),
+        F.coalesce(F.max(F.when(fits, F.col("_k"))), F.sum("_c")).alias("rows_kept"))
 
 
 def sentinel_code_drop(df: DataFrame, value: str, sentinel: float = PARKING_SENTINEL) -> DataFrame:

@@ -116,7 +116,8 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Attach per-group aggregates by a partial-aggregated groupBy and a join.
 
     Unlike an unframed window this never gathers a hot group in one task; AQE
-    broadcasts the small side or splits the skewed join.
+    broadcasts the small side or splits the skewed join.  Rows with a null key stay,
+    with null aggregates.
     """
     g = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(g, keys)
+    return df.join(g, keys, "left")

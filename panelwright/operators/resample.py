@@ -181,9 +181,17 @@ def label_noise_draws(df: DataFrame, counts: DataFrame, confusion: DataFrame, pr
 
 
 def iid_bootstrap_wls(df: DataFrame, keys: list[str], x: str, y: str, w: Column, reps: int = 4000, seed: int = 7) -> DataFrame:
-    """Resample rows, refit the weighted line by its closed form, and report percentile bounds."""
-    d = df.withColumn("_w", w).withColumn("unit", F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
-    dup = d.groupBy(*keys, "unit").agg(F.first(x).alias("x"), F.first(y).alias("y"), F.first("_w").alias("_w"))
+    """Resample rows, refit the weighted line by its closed form, and report percentile bounds.
+
+    Each row is a unit of its own: equal rows are told apart by a number among them, dealt
+    in two steps so that no array is longer than about the root of their count.
+    """
+    d = df.withColumn("_w", w).withColumn("_same", F.xxhash64(*[F.col(c) for c in df.columns]))
+    n = d.groupBy(*keys, "_same").agg(F.first(x).alias("x"), F.first(y).alias("y"), F.first("_w").alias("_w"), F.count("*").alias("_n"))
+    step = F.ceil(F.sqrt("_n")).cast("bigint")
+    n = n.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, step)))
+    n = n.withColumn("_b", F.explode(F.sequence("_a", F.least(F.col("_a") + step, F.col("_n")) - 1)))
+    dup = n.withColumn("unit", F.concat_ws("-", "_same", "_b")).select(*keys, "unit", "x", "y", "_w")
     draws = draw_multiplicity(dup.select(*keys, "unit"), keys, reps, seed)
     r = dup.join(draws, [*keys, "unit"]).select(*keys, "x", "y", "_w", F.explode("draws").alias("_r"))
     m = F.col("_r.m") * F.col("_w")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.stats import safe_corr
-from panelwright.functions.text import ALL_CLASSES
+from panelwright.functions.text import ALL_CLASSES, PROPERTY_CLASSES
 from panelwright.operators.ranks import average_rank, exact_percentiles, with_group
 
 # ---- fixed values: subcategories regrouped by the target they attack ---------
@@ -102,12 +102,18 @@ def centroid_cell(df: DataFrame, x: Column, y: Column, x0: float, y0: float, ste
 
 
 # ---- aggregations ---------------------------------------------------------------
-def class_pivot(df: DataFrame, keys: list[str], klass: str = "klass", classes=None) -> DataFrame:
-    """Counts per key and class with every class present, and their sum."""
+SEGMENT_CLASSES = [c for c in ALL_CLASSES if c != "OTHER"]
+
+
+def class_pivot(df: DataFrame, keys: list[str], klass: str = "klass", classes=None, summed=PROPERTY_CLASSES) -> DataFrame:
+    """Counts per key and class with every class present, and n_total over the ``summed`` classes.
+
+    A grid's total is over the property classes; a segment's over all classes but OTHER (SEGMENT_CLASSES).
+    """
     classes = classes or ALL_CLASSES
     p = df.groupBy(*keys).pivot(klass, classes).agg(F.count(F.lit(1)))
     p = p.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(f"n_{c}") for c in classes])
-    total = reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in classes])
+    total = reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in classes if c in summed])
     return p.withColumn("n_total", total)
 
 

@@ -138,11 +138,22 @@ def _(t):
 
 
 # ---- counts ---------------------------------------------------------------------------
-@query("class_pivot", f"""WITH {KLASS_SQL} SELECT feed, {', '.join(f"count(*) FILTER (klass = '{c}') AS n_{c}" for c in text.ALL_CLASSES)}, count(*) AS n_total FROM kl GROUP BY feed""")
+def pivot_sql(key: str, summed) -> str:
+    counts = ", ".join(f"count(*) FILTER (klass = '{c}') AS n_{c}" for c in text.ALL_CLASSES)
+    some = ", ".join(f"'{c}'" for c in summed)
+    return f"WITH {KLASS_SQL} SELECT {key}, {counts}, count(*) FILTER (klass IN ({some})) AS n_total FROM kl GROUP BY {key}"
+
+
+@query("class_pivot", pivot_sql("feed", text.PROPERTY_CLASSES))
 def _(t):
     return tables.class_pivot(I.incidents(t).withColumn("klass", text.classify_text(F.col("desc1"))), ["feed"])
 
 
+@query("class_pivot_segments", pivot_sql("user_id", tables.SEGMENT_CLASSES))
+def _(t):
+    return tables.class_pivot(I.incidents(t).withColumn("klass", text.classify_text(F.col("desc1"))), ["user_id"], summed=tables.SEGMENT_CLASSES)
+
+
 @query("sum_classes", f"""WITH {PANEL_SQL} SELECT cell, "n_MASS_1" + "n_MASS_2" + "n_MASS_3" + "n_MASS_4" + "n_MASS_5" AS n_theft,
    "n_MASS_1" + "n_MASS_2" + "n_MASS_4" + "n_MASS_5" + "n_MVT" + "n_NO_LOOT" AS n_clean FROM panel""")
 def _(t):
