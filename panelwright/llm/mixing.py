@@ -146,11 +146,11 @@ def plan(rows: DataFrame, most: int = MOST, targets: dict | None = None) -> Plan
     bins = rows.groupBy("__p", "__bin").agg(F.sum("size").alias("n"))
     so_far = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("__p").orderBy("__bin"))).join(asked, "__p")
     edge = so_far.filter("upto > r AND upto - n <= r").select("__p", "q", "r", F.col("__bin").alias("edge"), (F.col("upto") - F.col("n")).alias("before"))
-    edge = cut(edge)
+    edge = _small(edge)
     inside = rows.join(edge, "__p").filter("__bin = edge").withColumn(
         "upto", F.col("before") + F.sum("size").over(Window.partitionBy("__p").orderBy("__h", "__d").rangeBetween(Window.unboundedPreceding, 0)))
     last = inside.filter("upto <= r").groupBy("__p").agg(F.max(F.struct("__h", "__d")).alias("m"), F.max("upto").alias("have"))
-    edge = cut(edge.join(last, "__p", "left").select("__p", "q", "edge", "m.__h", "m.__d", (F.col("r") - F.coalesce("have", "before")).alias("gap"))
+    edge = _small(edge.join(last, "__p", "left").select("__p", "q", "edge", "m.__h", "m.__d", (F.col("r") - F.coalesce("have", "before")).alias("gap"))
                .withColumnsRenamed({"__h": "cut_hash", "__d": "cut_doc"}))
     open_ = rows.join(edge, "__p").filter(~_first("__") & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
     fill = open_.groupBy("__p").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "__h", "__d")).alias("m"))
@@ -160,6 +160,11 @@ def plan(rows: DataFrame, most: int = MOST, targets: dict | None = None) -> Plan
     return Plan(sizes, goal, spark.createDataFrame([tuple(got[p]) if p in got else (p, q, 0, None, None, None, None) for p, q, _ in start], schema))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A row a pattern, through the driver, which holds the patterns: a join with it then needs no shuffle of the documents while it is small."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _first(prefix: str) -> Column:
     """Whether a row is before the point up to which documents are given once more."""
     h, d = F.col(f"{prefix}h"), F.col(f"{prefix}d")
