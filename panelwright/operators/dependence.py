@@ -22,7 +22,7 @@ def knn_weights(points: DataFrame, k: int = 8) -> DataFrame:
     return with_group(e, ["i"], _n=F.count("*")).select("i", "j", (1.0 / F.col("_n")).alias("w"))
 
 
-def cross_group_weights(points: DataFrame, k: int, group: str, rounds: int = 20) -> DataFrame:
+def cross_group_weights(points: DataFrame, k: int, group: str, rounds: int = 10_000) -> DataFrame:
     """Weights on links between groups only; units left without links go, to a fixed point."""
     g = points.select("id", F.col(group).alias("g"))
     e = knn_join(points, k).select("i", "j")
@@ -37,6 +37,8 @@ def cross_group_weights(points: DataFrame, k: int, group: str, rounds: int = 20)
         if left == n:
             break
         n = left
+    else:
+        raise RuntimeError(f"links still fall away after {rounds} rounds; raise rounds")
     return with_group(e, ["i"], _n=F.count("*")).select("i", "j", (1.0 / F.col("_n")).alias("w"))
 
 

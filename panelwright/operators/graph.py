@@ -18,7 +18,9 @@ from panelwright.operators.ranks import dense_index, with_group
 from panelwright.operators.tables import dedupe_undirected, shortest_undirected
 from panelwright.session import cut
 
-EXACT_NODES, PIVOTS = 4000, 2000
+
+def _unfinished(rounds: int):
+    return RuntimeError(f"not settled after {rounds} rounds; raise max_rounds")
 
 
 def street_segments(edges: DataFrame, nodes: DataFrame, core: tuple | None = None) -> DataFrame:
@@ -85,6 +87,8 @@ def dead_ends(edges: DataFrame, frozen: DataFrame, max_rounds: int = 10_000) ->
         gone.append(hit)
         alive = cut(alive.join(hit, ["net", "lo", "hi"], "left_anti"))
         tips = leaves(alive)
+    else:
+        raise _unfinished(max_rounds)
     pruned = reduce(lambda a, b: a.unionByName(b), gone) if gone else und.select("net", "lo", "hi").limit(0)
     leaf = first.withColumn("_leaf", F.lit(True))
     d = (und.join(leaf.select("net", F.col("node").alias("lo"), F.col("_leaf").alias("_a")), ["net", "lo"], "left")
@@ -110,6 +114,8 @@ def reachable(arcs: DataFrame, sources: DataFrame, radius: float, max_rounds: in
             break
         best = cut(best.join(better.select(*k), k, "left_anti").unionByName(better))
         moving = better
+    else:
+        raise _unfinished(max_rounds)
     return best
 
 
@@ -127,18 +133,22 @@ def egress_count(edges: DataFrame, radius: float = 200.0) -> DataFrame:
     return und.select("net", "lo", "hi").join(both, ["net", "lo", "hi"], "left").withColumn("egress_count", F.coalesce("egress_count", F.lit(0)))
 
 
-def pick_pivots(nodes: DataFrame, k: int | None, exact_max: int = EXACT_NODES, seed: int = 0) -> DataFrame:
-    """All nodes of small networks; k hash-drawn ones of large; ``scale`` corrects for the sampling."""
-    d = with_group(dense_index(nodes.select("net", "node"), ["net"], F.xxhash64(F.lit(seed), "net", "node"), "_i"), ["net"], _n=F.count("*"))
-    want = F.lit(k) if k is not None else F.when(F.col("_n") <= exact_max, F.col("_n")).otherwise(F.lit(PIVOTS))
-    want = F.least(want, F.col("_n"))
-    return d.withColumn("_k", want).where("_i < _k").select("net", "node", (F.col("_n") / F.col("_k")).alias("scale"))
+def pick_pivots(nodes: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
+    """All nodes, or ``k`` hash-drawn ones a network; ``scale`` corrects for the sampling (1 where exact)."""
+    d = nodes.select("net", "node")
+    if k is None:
+        return d.distinct().withColumn("scale", F.lit(1.0))
+    d = with_group(dense_index(d, ["net"], F.xxhash64(F.lit(seed), "net", "node"), "_i"), ["net"], _n=F.count("*"))
+    want = F.least(F.lit(k), F.col("_n"))
+    return d.where(F.col("_i") < want).select("net", "node", (F.col("_n") / want).alias("scale"))
 
 
 def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "travel_time", k: int | None = None,
                      max_rounds: int = 100_000, seed: int = 0) -> DataFrame:
     """Shortest-path share of every street, both directions summed and normalised by n(n-1).
 
+    Exact, from every node, unless ``k`` asks for that many sources a network; ``exact`` tells which.
+
     All sources advance together.  The first loop carries (distance, number of
     shortest paths): each round every node re-reads its in-neighbours and keeps
     the least distance with the path counts that attain it, until nothing
@@ -163,6 +173,8 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "travel_t
         state = nxt
         if same:
             break
+    else:
+        raise _unfinished(max_rounds)
     # arcs lying on shortest paths, with the share of the far end's paths they carry
     a = state.select("net", "s", F.col("v").alias("u"), F.col("d").alias("du"), F.col("c").alias("cu"))
     b = state.select("net", "s", F.col("v").alias("t"), F.col("d").alias("dt"), F.col("c").alias("ct"))
@@ -180,11 +192,14 @@ def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "travel_t
         dep = nxt
         if same:
             break
+    else:
+        raise _unfinished(max_rounds)
     far = dep.select("net", "s", F.col("u").alias("t"), F.col("delta").alias("dt"))
     flow = dag.join(far, ["net", "s", "t"], "left").withColumn("f", F.col("share") * (1.0 + F.coalesce("dt", F.lit(0.0))))
-    scale = pivots.select("net", "scale").distinct()
+    scale = pivots.groupBy("net").agg(F.max("scale").alias("scale"))
     tot = flow.groupBy("net", F.least("u", "t").alias("lo"), F.greatest("u", "t").alias("hi")).agg(F.sum("f").alias("f"))
     norm = tot.join(scale, "net").join(size, "net").select(
         "net", "lo", "hi", (F.col("f") * F.col("scale") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).alias("betweenness"))
+    exact = pivots.groupBy("net").agg((F.max("scale") == 1.0).alias("exact"))
     und = shortest_undirected(edges, ["net"]).select("net", "lo", "hi")
-    return cut(und.join(norm, ["net", "lo", "hi"], "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0))))
+    return cut(und.join(norm, ["net", "lo", "hi"], "left").join(exact, "net", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0))))

@@ -73,10 +73,10 @@ def slope_deg(px: DataFrame, cell: float, tile: int = TILE) -> DataFrame:
 def hillshade(px: DataFrame, cell: float, azimuth: float = 315.0, altitude: float = 45.0, zfactor: float = 1.5,
               tile: int = TILE) -> DataFrame:
     d = gradients(px, cell, tile)
+    # light vector against the surface normal (-gx', gy', 1), rows running down
+    az, alt = math.radians(azimuth), math.radians(altitude)
     gx, gy = F.col("gx") * zfactor, F.col("gy") * zfactor
-    s = F.lit(math.pi / 2.0) - F.atan(F.hypot(gx, gy))
-    az, alt = math.radians(360.0 - azimuth + 90.0), math.radians(altitude)
-    v = math.sin(alt) * F.sin(s) + math.cos(alt) * F.cos(s) * F.cos(az - F.atan2(-gx, gy))
+    v = (math.sin(alt) + math.cos(alt) * (math.sin(az) * gy - math.cos(az) * gx)) / F.sqrt(1.0 + gx * gx + gy * gy)
     # greatest and least skip nulls, so an unshadable pixel is kept null explicitly
     return d.withColumn("shade", F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))).drop("gx", "gy")
 
@@ -191,28 +191,30 @@ def _disk_moments(r: float):
     return run
 
 
-def offsets(radius: float, cell: float, n_dirs: int, n_rings: int) -> list[tuple[int, int, float]]:
-    """Ring-and-spoke pixel offsets (dx, dy, ring radius), half-even rounding, centre left out."""
-    out = []
-    for ring in range(1, n_rings + 1):
-        rad = radius * ring / n_rings
-        for k in range(n_dirs):
-            th = 2 * math.pi * k / n_dirs
-            dx, dy = int(round(rad * math.cos(th) / cell)), int(round(rad * math.sin(th) / cell))
-            if (dx, dy) != (0, 0):
-                out.append((dx, dy, rad))
-    return out
+def catchment(radius: float, cell: float, n_dirs: int, n_rings: int, decay_m: float | None = None) -> pd.DataFrame:
+    """The pixels that spokes meet on evenly spaced rings, each once: dx, dy, how often met, summed weight.
 
+    A ring weighs its radius, less with distance under ``decay_m``; the centre is left out.
+    """
+    ring = radius * np.arange(1, n_rings + 1) / n_rings
+    turn = 2.0 * np.pi * np.arange(n_dirs) / n_dirs
+    met = pd.DataFrame({"dx": np.rint(np.outer(ring, np.cos(turn)) / cell).astype(int).ravel(),
+                        "dy": np.rint(np.outer(ring, np.sin(turn)) / cell).astype(int).ravel(),
+                        "weight": np.repeat(ring * np.exp(-ring / decay_m) if decay_m else ring, n_dirs)})
+    met = met[(met["dx"] != 0) | (met["dy"] != 0)]
+    return met.groupby(["dx", "dy"], as_index=False).agg(met=("weight", "size"), weight=("weight", "sum"))
+
+
+def _reach(at: pd.DataFrame) -> int:
+    return int(at[["dx", "dy"]].abs().to_numpy().max())
 
-def _from(z: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """The value dy rows up and dx columns left of every pixel, NaN beyond the array."""
-    rows, cols = z.shape
-    out = np.full_like(z, np.nan)
-    if abs(dy) >= rows or abs(dx) >= cols:
-        return out
-    out[max(dy, 0):rows + min(dy, 0), max(dx, 0):cols + min(dx, 0)] = z[
-        max(-dy, 0):rows + min(-dy, 0), max(-dx, 0):cols + min(-dx, 0)]
-    return out
+
+def _neighbours(z: np.ndarray, at: pd.DataFrame):
+    """For each offset its row of ``at`` and a view of the once padded tile: the pixel dy rows up and dx columns left."""
+    r = _reach(at)
+    views = np.lib.stride_tricks.sliding_window_view(np.pad(z, r, constant_values=np.nan), z.shape)
+    for o in at.itertuples():
+        yield o, views[r - o.dy, r - o.dx]
 
 
 def round_trip_cost(px: DataFrame, cell: float, radius: float, loot_kg: float, body_kg: float = 75.0, n_dirs: int = 48,
@@ -224,27 +226,24 @@ def round_trip_cost(px: DataFrame, cell: float, radius: float, loot_kg: float, b
 def costs(px: DataFrame, cell: float, radius: float, loads: dict[str, float], body_kg: float = 75.0, n_dirs: int = 48,
           n_rings: int = 6, decay_m: float | None = None, tile: int = TILE) -> DataFrame:
     """Round-trip cost for several loads in one pass over the offsets."""
-    offs = offsets(radius, cell, n_dirs, n_rings)
+    at = catchment(radius, cell, n_dirs, n_rings, decay_m)
+    even, odd = COST_POLY[::-1][0::2], COST_POLY[::-1][1::2]
 
     def run(z):
-        poly = np.poly1d(COST_POLY)
-        total = {k: np.zeros(z.shape) for k in loads}
-        wsum = np.zeros(z.shape)
-        for dx, dy, rad in offs:
-            w = rad * (math.exp(-rad / decay_m) if decay_m else 1.0)
-            d = math.hypot(dx * cell, dy * cell)
-            g = np.clip((z - _from(z, dx, dy)) / d, -0.5, 0.5)
-            ok = np.isfinite(g)
-            up, down = poly(g), poly(-g)
-            wsum += np.where(ok, w, 0.0)
-            for k, kg in loads.items():
-                c = (up + down * (body_kg + kg) / body_kg) * d * w
-                total[k] += np.where(ok, c, 0.0)
-        seen = (wsum > 0) & np.isfinite(z)
-        return [np.where(seen, total[k] / np.maximum(wsum, 1e-9), np.nan) for k in loads]
-
-    rim = max(max(abs(dx), abs(dy)) for dx, dy, _ in offs)
-    return tile_apply(px, rim, run, list(loads), tile)
+        # cost(g) + f cost(-g) = (1 + f) even(g) + (1 - f) odd(g): the sums serve every load
+        both, tilt, weight = np.zeros(z.shape), np.zeros(z.shape), np.zeros(z.shape)
+        for o, n in _neighbours(z, at):
+            d = cell * math.hypot(o.dx, o.dy)
+            g = np.clip((z - n) / d, -0.5, 0.5)
+            ok, sq = np.isfinite(g), g * g
+            weight += ok * o.weight
+            both += np.where(ok, np.polynomial.polynomial.polyval(sq, even) * (d * o.weight), 0.0)
+            tilt += np.where(ok, np.polynomial.polynomial.polyval(sq, odd) * g * (d * o.weight), 0.0)
+        weight[(weight == 0) | np.isnan(z)] = np.nan
+        share = [(body_kg + kg) / body_kg for kg in loads.values()]
+        return [((1.0 + f) * both + (1.0 - f) * tilt) / weight for f in share]
+
+    return tile_apply(px, _reach(at), run, list(loads), tile)
 
 
 def loot_penalty(px: DataFrame, cell: float, radius: float, heavy_kg: float = 20.0, light_kg: float = 0.3, **kw) -> DataFrame:
@@ -254,19 +253,16 @@ def loot_penalty(px: DataFrame, cell: float, radius: float, heavy_kg: float = 20
 
 def viewshed_share(px: DataFrame, cell: float, radius: float = 500.0, n_dirs: int = 36, n_rings: int = 10, tile: int = TILE) -> DataFrame:
     """Share of the sampled surroundings that lies lower; invalid neighbours count in neither part."""
-    offs = offsets(radius, cell, n_dirs, n_rings)
+    at = catchment(radius, cell, n_dirs, n_rings)
 
     def run(z):
-        lower, total = np.zeros(z.shape), np.zeros(z.shape)
-        for dx, dy, _ in offs:
-            n = _from(z, dx, dy)
-            ok = np.isfinite(n) & np.isfinite(z)
-            lower += ok & (np.where(ok, z, 0) > np.where(ok, n, 0))
-            total += ok
-        return [np.where(total > 0, lower / np.maximum(total, 1), np.nan)]
-
-    rim = max(max(abs(dx), abs(dy)) for dx, dy, _ in offs)
-    return tile_apply(px, rim, run, ["viewshed"], tile)
+        lower, seen = np.zeros(z.shape), np.zeros(z.shape)
+        for o, n in _neighbours(z, at):
+            lower += o.met * (z > n)
+            seen += o.met * np.isfinite(z - n)
+        return [lower / np.where(seen > 0, seen, np.nan)]
+
+    return tile_apply(px, _reach(at), run, ["viewshed"], tile)
 
 
 # ---- blocks and cells -----------------------------------------------------------------

@@ -46,7 +46,7 @@ def weighted_replicates(d: DataFrame, draws: DataFrame, keys: list[str], unit: s
 
 def bootstrap_slopes(df: DataFrame, specs: list[Spec], keys: list[str], unit: Column, reps: int, seed: int,
                      group: str = "GEOID", max_iter: int = 60) -> DataFrame:
-    """First slope of every (key, spec, replicate): the refits behind each interval."""
+    """First slope of every (key, spec, replicate) that converged: the refits behind each interval."""
     d = build_design(df.withColumn("_unit", unit.cast("string")), specs, keys, group, carry=["_unit"])
     d = centre_within(d, [*keys, "model_id"]).persist()
     try:
@@ -54,7 +54,7 @@ def bootstrap_slopes(df: DataFrame, specs: list[Spec], keys: list[str], unit: Co
         draws = draw_multiplicity(units, keys, reps, seed).persist()
         rep = weighted_replicates(d, draws, keys, "_unit").drop("_unit")
         fit = newton_slopes(rep, [*keys, "model_id", "rep"], max_iter)
-        out = cut(fit.select(*keys, "model_id", "rep", F.get("b", F.lit(0)).alias("beta")))
+        out = cut(fit.where("converged").select(*keys, "model_id", "rep", F.get("b", F.lit(0)).alias("beta")))
         draws.unpersist()
         return out
     finally:
@@ -169,7 +169,7 @@ def label_noise_draws(df: DataFrame, counts: DataFrame, confusion: DataFrame, pr
     design = centre_within(build_design(d, [Spec("draw", "_tot", x, offset)], k, group), [*k, "model_id"]).persist()
     try:
         fit = newton_slopes(design, [*k, "model_id"], 60)
-        sd = cut(fit.groupBy(*keys).agg(F.count("*").alias("draws"), F.stddev_samp(F.get("b", F.lit(0))).alias("se_label")))
+        sd = cut(fit.where("converged").groupBy(*keys).agg(F.count("*").alias("draws"), F.stddev_samp(F.get("b", F.lit(0))).alias("se_label")))
     finally:
         design.unpersist()
     out = base.join(sd, keys) if keys else base.join(F.broadcast(sd))

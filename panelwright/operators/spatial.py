@@ -178,6 +178,8 @@ def knn_join(points: DataFrame, k: int, key: str = "id", x: str = "x", y: str =
         if whole or open_.isEmpty():
             break
         size *= 2.0
+    else:
+        raise RuntimeError(f"places still open after {max_levels} levels; raise max_levels")
     found = done[0]
     for f in done[1:]:
         found = found.unionByName(f)
@@ -351,11 +353,14 @@ def line_length_in_disk(query: DataFrame, lines: DataFrame, r: float, spacing: f
 
 def segment_mean_of_samples(lines: DataFrame, pixels: DataFrame, left: float, top: float, cell: float,
                             value: str = "z", spacing: float = 20.0, seg: str = "seg_id") -> DataFrame:
-    """Raster means along each line, end to end at even spacing, null pixels ignored."""
+    """Means of every raster along each line, end to end at even spacing, null pixels ignored.
+
+    One row a line and raster that it meets; a line that meets none has one row of nulls.
+    """
     n = F.greatest(F.rint(F.col("_len") / spacing).cast("int") + 1, F.lit(2))
     p = sample_line(lines, n, F.col("_i") / (F.col("_n") - 1))
     p = p.select(seg, F.floor((F.col("px") - left) / cell).cast("int").alias("col"), F.floor((top - F.col("py")) / cell).cast("int").alias("row"))
-    m = p.join(pixels.select("row", "col", value), ["row", "col"]).groupBy(seg).agg(F.avg(value).alias(value))
+    m = p.join(pixels.select("raster_id", "row", "col", value), ["row", "col"]).groupBy(seg, "raster_id").agg(F.avg(value).alias(value))
     return lines.join(m, seg, "left")
 
 

@@ -73,5 +73,6 @@ def _(t):
 @query("edge_betweenness")
 def _(t):
     n, e = I.streets(t)
-    # lattice of a nation; lengths are whole numbers, so equal paths tie exactly
-    return graph.edge_betweenness(e, n, "length", k=12)
+    # lattices of the nations; lengths are whole numbers, so equal paths tie exactly
+    by_length = graph.edge_betweenness(e, n, "length").withColumnRenamed("betweenness", "betweenness_len")
+    return graph.edge_betweenness(e, n, "travel_time").join(by_length.drop("exact"), ["net", "lo", "hi"])

@@ -113,10 +113,10 @@ def _(t):
 def _(t):
     off = "housing_units_cell"
     d = I.panel(t).withColumn("n_theft", sample.theft_total(I.panel(t)))
-    h1 = resample.cluster_bootstrap_diff(d, Spec("a", "n_theft", ["slope_deg"], off), Spec("b", "n_NO_LOOT", ["slope_deg"], off), ["city"], reps=60)
+    h1 = resample.cluster_bootstrap_diff(d, Spec("a", "n_theft", ["slope_deg"], off), Spec("b", "n_NO_LOOT", ["slope_deg"], off), ["city"], reps=600)
     ladder = ppml.coef_row(ppml.ppml_fe(d, specs.ladder_specs("slope_deg", [], offset=off), ["city"]))
     kg = F.element_at(F.create_map(*[F.lit(v) for c, w in (("n_MASS_1", 0.3), ("n_MASS_2", 2.0), ("n_MASS_3", 7.0), ("n_MASS_4", 14.0), ("n_MASS_5", 25.0)) for v in (c, w)]), F.col("model_id"))
-    h2 = resample.iid_bootstrap_wls(ladder.where("model_id like 'n_MASS%'").withColumn("kg", kg).select("city", "kg", "beta", "se"), [], "kg", "beta", 1 / (F.col("se") * F.col("se")), reps=500, seed=3)
+    h2 = resample.iid_bootstrap_wls(ladder.where("model_id like 'n_MASS%'").withColumn("kg", kg).select("city", "kg", "beta", "se"), [], "kg", "beta", 1 / (F.col("se") * F.col("se")), reps=4000, seed=3)
     h3 = specs.mediation(d, ["city"], "n_total", "slope_deg", ["elev"], [], off)
     from pyspark.sql import Window
     w = Window.partitionBy("city")

@@ -241,33 +241,34 @@ def _(t):
 def _(t):
     d = I.panel(t).withColumn("n_theft", sample.theft_total(I.panel(t)))
     a, b = Spec("theft", "n_theft", ["slope_deg"], OFF), Spec("noloot", "n_NO_LOOT", ["slope_deg"], OFF)
-    return resample.cluster_bootstrap_diff(d, a, b, ["city"], reps=100)
+    return resample.cluster_bootstrap_diff(d, a, b, ["city"], reps=600)
 
 
 @query("spatial_block_bootstrap")
 def _(t):
-    return resample.spatial_block_bootstrap(I.panel(t), ONE, ["city"], reps=100, tile_m=1000.0)
+    return resample.spatial_block_bootstrap(I.panel(t), ONE, ["city"], reps=400, tile_m=1000.0)
 
 
 @query("multi_spec_bootstrap")
 def _(t):
     sp = [Spec("slope", "n_returned", ["slope_deg"], OFF), Spec("tpi", "n_returned", ["tpi_500"], OFF), Spec("elev", "n_returned", ["elev"], OFF)]
-    return resample.multi_spec_bootstrap(I.panel(t), sp, ["city"], reps=60)
+    return resample.multi_spec_bootstrap(I.panel(t), sp, ["city"], reps=300)
 
 
-CONF_SQL = f"""{PANEL_SQL}, cf(pred, truth, p) AS (VALUES {', '.join(f"('{p}', '{q}', {v}::DOUBLE)" for p, q, v in [('MASS_1', 'MASS_1', .9), ('MASS_1', 'OTHER', .1), ('MASS_2', 'MASS_2', .8), ('MASS_2', 'MASS_3', .2), ('MASS_3', 'MASS_3', 1), ('NO_LOOT', 'NO_LOOT', .75), ('NO_LOOT', 'OTHER', .25)])}),
-  ct AS (SELECT cell, unnest(['MASS_1', 'MASS_2', 'MASS_3', 'NO_LOOT']) AS pred, unnest(["n_MASS_1", "n_MASS_2", "n_MASS_3", "n_NO_LOOT"]) AS n FROM panel)"""
+CONF_SQL = f"""{PANEL_SQL}, cf(pred, truth, p) AS (VALUES {', '.join(f"('{p}', '{q}', {v}::DOUBLE)" for p, q, v in [('MASS_1', 'MASS_1', .9), ('MASS_1', 'OTHER', .1), ('MASS_2', 'MASS_2', .8), ('MASS_2', 'MASS_3', .2), ('MASS_3', 'MASS_3', 1), ('MASS_4', 'MASS_4', .85), ('MASS_4', 'MASS_5', .15), ('MASS_5', 'MASS_5', .95), ('MASS_5', 'ROBBERY', .05), ('MVT', 'MVT', 1), ('NO_LOOT', 'NO_LOOT', .75), ('NO_LOOT', 'OTHER', .25)])}),
+  ct AS (SELECT cell, unnest([{', '.join(repr(c) for c in text.PROPERTY_CLASSES)}]) AS pred, unnest([{', '.join(f'"n_{c}"' for c in text.PROPERTY_CLASSES)}]) AS n FROM panel)"""
 
 
 def confusion_of(t):
     """Confusion shares derived from a taxonomy of labels present in the panel."""
     rows = [("MASS_1", "MASS_1", .9), ("MASS_1", "OTHER", .1), ("MASS_2", "MASS_2", .8), ("MASS_2", "MASS_3", .2),
-            ("MASS_3", "MASS_3", 1.0), ("NO_LOOT", "NO_LOOT", .75), ("NO_LOOT", "OTHER", .25)]
+            ("MASS_3", "MASS_3", 1.0), ("MASS_4", "MASS_4", .85), ("MASS_4", "MASS_5", .15), ("MASS_5", "MASS_5", .95),
+            ("MASS_5", "ROBBERY", .05), ("MVT", "MVT", 1.0), ("NO_LOOT", "NO_LOOT", .75), ("NO_LOOT", "OTHER", .25)]
     return t.spark.createDataFrame(rows, "pred string, truth string, p double")
 
 
 def class_counts(t, keys=("city", "cell")):
-    arms = F.array(*[F.struct(F.lit(c).alias("pred"), F.col(f"n_{c}").alias("n")) for c in ("MASS_1", "MASS_2", "MASS_3", "NO_LOOT")])
+    arms = F.array(*[F.struct(F.lit(c).alias("pred"), F.col(f"n_{c}").alias("n")) for c in text.PROPERTY_CLASSES])
     return I.panel(t).select(*keys, F.explode(arms).alias("_c")).select(*keys, "_c.*")
 
 
@@ -278,10 +279,10 @@ def _(t):
 
 @query("label_noise_draws")
 def _(t):
-    d = I.panel(t).withColumn("n_total", sample.sum_classes("n_MASS_1", "n_MASS_2", "n_MASS_3", "n_NO_LOOT"))
-    return resample.label_noise_draws(d, class_counts(t), confusion_of(t), text.PROPERTY_CLASSES, ["slope_deg"], ["city"], reps=20, offset=OFF)
+    d = I.panel(t).withColumn("n_total", sample.sum_classes(*[f"n_{c}" for c in text.PROPERTY_CLASSES]))
+    return resample.label_noise_draws(d, class_counts(t), confusion_of(t), text.PROPERTY_CLASSES, ["slope_deg"], ["city"], reps=200, offset=OFF)
 
 
 @query("iid_bootstrap_wls")
 def _(t):
-    return resample.iid_bootstrap_wls(I.studies(t), [], "xmod", "beta", 1 / (F.col("se") * F.col("se")), reps=2000)
+    return resample.iid_bootstrap_wls(I.studies(t), [], "xmod", "beta", 1 / (F.col("se") * F.col("se")), reps=4000)

@@ -79,8 +79,8 @@ def _(t):
 
 
 def off_sql(radius, dirs, rings):
-    rows = ", ".join(f"({dx}, {dy}, {r!r}::DOUBLE)" for dx, dy, r in raster.offsets(radius, 10.0, dirs, rings))
-    return f"""{PIX_SQL}, o(dx, dy, w) AS (VALUES {rows}), od AS (SELECT a.raster_id, a.row, a.col, a.z, b.z AS zj, w, sqrt((dx * 10.0) ** 2 + (dy * 10.0) ** 2) AS d,
+    rows = ", ".join(f"({o.dx}, {o.dy}, {o.met}, {o.weight!r}::DOUBLE)" for o in raster.catchment(radius, 10.0, dirs, rings).itertuples())
+    return f"""{PIX_SQL}, o(dx, dy, met, w) AS (VALUES {rows}), od AS (SELECT a.raster_id, a.row, a.col, a.z, b.z AS zj, met, w, sqrt((dx * 10.0) ** 2 + (dy * 10.0) ** 2) AS d,
       least(0.5::DOUBLE, greatest(-0.5::DOUBLE, (a.z - b.z) / sqrt((dx * 10.0) ** 2 + (dy * 10.0) ** 2))) AS g FROM px a CROSS JOIN o JOIN px b ON b.raster_id = a.raster_id AND b.row = a.row - dy AND b.col = a.col - dx
       WHERE a.z IS NOT NULL AND b.z IS NOT NULL)"""
 
@@ -99,7 +99,7 @@ def _(t):
     return raster.loot_penalty(I.pixels(t), 10.0, 80.0, n_dirs=12, n_rings=3, tile=TILE).select(*K, r6("loot_penalty", 4).alias("loot_penalty"))
 
 
-@query("viewshed_share", f"""WITH {off_sql(100.0, 9, 4)}, c AS (SELECT {KS}, avg((z > zj)::INT::DOUBLE) AS v FROM od GROUP BY 1, 2, 3) SELECT {KS}, {q6('v')} AS viewshed FROM px LEFT JOIN c USING ({KS})""")
+@query("viewshed_share", f"""WITH {off_sql(100.0, 9, 4)}, c AS (SELECT {KS}, sum(met * (z > zj)::INT) / sum(met)::DOUBLE AS v FROM od GROUP BY 1, 2, 3) SELECT {KS}, {q6('v')} AS viewshed FROM px LEFT JOIN c USING ({KS})""")
 def _(t):
     return raster.viewshed_share(I.pixels(t), 10.0, 100.0, 9, 4, TILE).select(*K, r6("viewshed").alias("viewshed"))
 

@@ -186,13 +186,13 @@ def _(t):
 RX, RY = AT("(i / (n - 1.0) * (l1 + l2))")
 
 
-@query("segment_mean_of_samples", f"""WITH {PIX_SQL}, p AS (SELECT row, col, z FROM px WHERE raster_id = 0), {LIN_SQL}, {SAMP_SQL.format(src='lin')},
+@query("segment_mean_of_samples", f"""WITH {PIX_SQL}, p AS (SELECT raster_id, row, col, z FROM px), {LIN_SQL}, {SAMP_SQL.format(src='lin')},
    sp AS (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, greatest(round_even((l1 + l2) / 20, 0) + 1, 2)::BIGINT AS n FROM ln)),
-   sm AS (SELECT seg_id, floor(({RX}) / 100)::INT AS col, floor((6000 - ({RY})) / 100)::INT AS row FROM sp), m AS (SELECT seg_id, avg(z) AS z FROM sm JOIN p USING (row, col) GROUP BY 1)
-   SELECT seg_id, {q6('z')} AS z FROM lin LEFT JOIN m USING (seg_id)""")
+   sm AS (SELECT seg_id, floor(({RX}) / 100)::INT AS col, floor((6000 - ({RY})) / 100)::INT AS row FROM sp), m AS (SELECT seg_id, raster_id, avg(z) AS z FROM sm JOIN p USING (row, col) GROUP BY 1, 2)
+   SELECT seg_id, raster_id, {q6('z')} AS z FROM lin LEFT JOIN m USING (seg_id)""")
 def _(t):
-    d = spatial.segment_mean_of_samples(I.lines(t), I.pixels(t).where("raster_id = 0"), 0.0, 6000.0, 100.0)
-    return d.select("seg_id", r6("z").alias("z"))
+    d = spatial.segment_mean_of_samples(I.lines(t), I.pixels(t), 0.0, 6000.0, 100.0)
+    return d.select("seg_id", "raster_id", r6("z").alias("z"))
 
 
 # ---- dependence -------------------------------------------------------------------------
