@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import components, fields, over_texts, run_starts, spread, tree, whole_runs, with_results
+from panelwright.llm.shingles import near_copies
 from panelwright.session import cut
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -196,6 +197,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each group of near-duplicates: that of least id (of equal rows, any one); columns unchanged."""
-    least = near_duplicates(docs, doc=doc, text=text, **how).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of least id (of equal rows, any one); columns unchanged."""
+    near = cut(near_copies(docs, doc=doc, text=text, **how))
+    least = near.groupBy("component").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
     return docs.join(least, F.col(doc).cast("bigint").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([doc])

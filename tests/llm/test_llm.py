@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from conftest import SMALL
 from harness import compare, duck
-from panelwright.llm import attention, common, counts, language, lattice, mixing, pieces, pivots, queries, simhash, tokens, toxicity, vocabulary
+from panelwright.llm import attention, common, counts, language, lattice, mixing, pieces, pivots, queries, shingles, simhash, tokens, toxicity, vocabulary
 
 MODEL, WORD_BPE = queries.tokenizer("piece_bpe_32k.model"), queries.tokenizer("word_bpe_49k.json")
 Q = queries.QUERIES
@@ -230,6 +230,35 @@ def test_simhash_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 3, 4, 5)) == [1, 4]
 
 
+def shingle_links(texts):
+    """Pairs of texts whose sets of five-word shingles have a similarity of 0.8 or more, by brute force."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[i: i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return [(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def test_near_copies_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    monkeypatch.setattr(shingles, "ROUNDS", (0, 1, 3, 1 << 62))
+    r, texts = np.random.default_rng(8), [x.text for x in docs.collect()]
+    for k in range(60):                     # copies with 0 to 8 changed words of 150, some far and some near 0.8
+        base = [f"w{x}" for x in r.integers(0, 5000, 150)]
+        texts.append(" ".join(base))
+        for _ in range(4 if k else 60):     # the first has a large group of copies
+            w = list(base)
+            for at in r.integers(0, 150, r.integers(0, 9)):
+                w[at] = f"v{r.integers(0, 10 ** 9)}"
+            texts.append(" ".join(w))
+    links = shingle_links(texts)
+    root = least_reachable(range(len(texts)), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    got = sorted(x.doc_id for x in simhash.keep_one(df).collect())
+    assert len(links) > 500 and got == sorted(set(root.values()))
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
 def test_bit_sliced_distances(radius):
     r = np.random.default_rng(radius)
