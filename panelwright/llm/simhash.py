@@ -197,7 +197,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of least id (of equal rows, any one); columns unchanged."""
-    near = cut(near_copies(docs, doc=doc, text=text, **how))
-    least = near.groupBy("component").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
-    return docs.join(least, F.col(doc).cast("bigint").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([doc])
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more); columns unchanged.
+
+    Rows are told apart by id and text: the one of least (id, hash of the text) stays,
+    a null id only where the group has no other.  Of rows equal in both, any one.
+    """
+    near = near_copies(docs, doc=doc, text=text, **how)
+    own = F.col(doc).cast("bigint")
+    key = {"__no_id": own.isNull(), "__id": F.coalesce(own, F.lit(0)), "__th": F.xxhash64(text)}
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("__no_id"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("th").alias("__th")))
+    least = near.groupBy("component").agg(first.alias("m")).select("m.*")
+    return docs.withColumns(key).join(least, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)

@@ -259,6 +259,15 @@ def test_near_copies_equal_brute_force(spark, docs, monkeypatch):
     assert len(links) > 500 and got == sorted(set(root.values()))
 
 
+def test_keep_one_tells_rows_of_equal_id_apart(spark, odd):
+    kept = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(odd).collect())
+    assert all(n == 1 for n in kept.values()) and {t for d, t in kept if d == 9} == {r.text for r in odd.collect() if r.doc_id == 9}
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, d), (None, d), (None, a), (3, b + " more"), (4, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(1, a), (2, b), (None, c), (None, d), (4, None)], "doc_id bigint, text string").collect()))
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
 def test_bit_sliced_distances(radius):
     r = np.random.default_rng(radius)
