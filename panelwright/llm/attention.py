@@ -9,7 +9,7 @@ positions once and sees some ids before the stretch, all windows of a batch at o
 one mask.
 
 Training is spread over the corpus: from a common start (fitted on a bounded sample, to
-break the symmetry) every task takes Adagrad steps over windows of its training texts and
+break the symmetry) every task takes Adagrad steps over all windows of its training texts and
 re-estimates the components from the shares of responsibility (stepwise EM); the tasks'
 parameters are then averaged by the ids they have seen.  Counts of words and of subwords
 cover every training text.
@@ -36,8 +36,8 @@ from panelwright.session import scratch_path
 
 WIDTH, PARTS, PAST, STRETCH = 16, 48, 8, 16
 SPAN = PAST + STRETCH
-BATCH = 256                 # windows a step
-TRAIN_EVERY = 8             # each training text's every eighth window is trained on, from a place set by its hash
+BATCH = 256                 # windows scored at a time, and in a step of the common start
+TRAIN_BATCH = 1024          # windows a step of the training over all texts
 WARM_ROWS, WARM_CHARS, WARM_ROUNDS = 1200, 20_000, 6    # texts of the common start, none longer
 FREQUENT, UNITS = 1 << 18, 1 << 15      # a word of one in so many tokens: its count is sent to the tasks; it is an id
 SMOOTH = 200.0
@@ -186,9 +186,9 @@ class Trainer:
             self.dist = components_of(self.m | {"parts": self.m["parts"] + self.got})
         return loss
 
-    def over(self, seen, goal):
-        for lo in range(0, len(seen), BATCH):
-            self.step(seen[lo: lo + BATCH], goal[lo: lo + BATCH])
+    def over(self, seen, goal, batch: int = BATCH):
+        for lo in range(0, len(seen), batch):
+            self.step(seen[lo: lo + batch], goal[lo: lo + batch])
 
 
 # ---- texts to ids ----------------------------------------------------------------
@@ -287,20 +287,18 @@ def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_i
         words, t = kept(("words", key), lambda: Words(v, arrays, units)), Trainer(m, 0.08)
         all_ids, held = np.zeros(all_), ([], [])
         for b in batches:
-            for part, texts in text_slices(b, "text"):
+            for _, texts in text_slices(b, "text"):
                 ids = words.ids(_split(texts))
                 all_ids += np.bincount(np.concatenate(ids), minlength=len(all_ids))
                 all_ids[END] += len(ids)
-                seen, goal, of, at = windows(ids)
-                place = part.column("h").to_numpy() % TRAIN_EVERY
-                use = np.flatnonzero((at + place[of]) % TRAIN_EVERY == 0)
-                held[0].append(seen[use]), held[1].append(goal[use])
+                seen, goal, _, _ = windows(ids)
+                held[0].append(seen), held[1].append(goal)
                 seen, goal = np.concatenate(held[0]), np.concatenate(held[1])
-                whole = len(seen) // BATCH * BATCH
-                t.over(seen[:whole], goal[:whole])
+                whole = len(seen) // TRAIN_BATCH * TRAIN_BATCH
+                t.over(seen[:whole], goal[:whole], TRAIN_BATCH)
                 held = ([seen[whole:]], [goal[whole:]])
         if held[0] and len(held[0][0]):
-            t.over(held[0][0], held[1][0])
+            t.over(held[0][0], held[1][0], TRAIN_BATCH)
         n = np.float32(t.used.sum())
         out = [(-1, np.concatenate([t.m[k].ravel() for k in flat] + [[1.0]]).astype(np.float32) * n)]
         for k in range(blocks):

@@ -433,6 +433,16 @@ def test_gradients():
         assert got == pytest.approx(want, abs=2e-3), name
 
 
+def test_every_window_of_every_text_trains(spark):
+    long, short = [f"w{i}q" for i in range(5000)], [[f"s{k}t{i}" for i in range(20)] for k in range(30)]
+    rows = [(0, "the cat sat on a mat"), (1, " ".join(long))] + [(2 + k, " ".join(w)) for k, w in enumerate(short)]
+    # texts above the limit of the common start: what is known of their words comes from the training alone
+    rows = [(i, t if i < 2 else t + " " * attention.WARM_CHARS) for i, t in rows]
+    units = np.sort(attention._digest([w.encode() for w in [*long, *itertools.chain(*short)]]))
+    m = attention.train(spark.createDataFrame(rows, "doc_id bigint, text string"), MODEL, units).value[-1]
+    assert (m["parts"][-len(units):].sum(1) > 0).all() and (m["ids"][-len(units):] == 1).all()
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     got = attention.score(odd, F.col("doc_id") != 5, MODEL).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) and r.score < 0 for r in got)
