@@ -79,7 +79,7 @@ def _(t):
         F.lit("Feature").alias("type"), F.struct(F.col("b").alias("id")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
     ).write.option("compression", "gzip").json(path)
-    return readers.scan_geojsonseq(t.spark, path, (500.0, 100.0, 4000.0, 3000.0)).drop("ring")
+    return readers.scan_geojsonseq(t.spark, path, (500.0, 100.0, 4000.0, 3000.0)).drop("parts")
 
 
 @query("scan_pixels", f"WITH {I.PIX_SQL} SELECT raster_id, row, col, CASE WHEN z < 60 THEN z END AS z FROM px")

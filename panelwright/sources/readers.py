@@ -57,15 +57,26 @@ def scan_json_pages(spark: SparkSession, path: str, attributes: str) -> DataFram
 
 
 def scan_geojsonseq(spark: SparkSession, path: str, box: tuple | None = None) -> DataFrame:
-    """Newline GeoJSON polygons (gzip as it lands) to outer rings with boxes, filtered by overlap."""
-    schema = ("properties struct<id: bigint>, "
-              "geometry struct<type: string, coordinates: array<array<array<double>>>>")
-    f = spark.read.schema(schema).json(path).where("geometry.type = 'Polygon'")
-    closed = F.transform(F.col("geometry.coordinates")[0],
-                         lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
-    ring = F.slice(closed, F.lit(1), F.greatest(F.size(closed) - 1, F.lit(0)))
-    d = f.select(F.col("properties.id").alias("id"), ring.alias("ring"))
-    x0, y0, x1, y1 = G.bbox(F.col("ring"))
+    """Newline GeoJSON polygons and multipolygons (gzip as it lands) to parts with boxes, filtered by overlap.
+
+    ``parts`` lists each polygon's outer ``ring`` and its ``holes``, all without the closing
+    point; the box is that of all outer rings.  Features of other types are no areas and are left out.
+    """
+    schema = "properties struct<id: bigint>, geometry struct<type: string, coordinates: string>"
+    f = spark.read.schema(schema).json(path).where("geometry.type IN ('Polygon', 'MultiPolygon')")
+    rings = "array<array<array<double>>>"
+    text = F.col("geometry.coordinates")
+    polygons = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json(text, rings))).otherwise(F.from_json(text, f"array<{rings}>"))
+
+    def opened(ring):
+        closed = F.transform(ring, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+        return F.slice(closed, F.lit(1), F.greatest(F.size(closed) - 1, F.lit(0)))
+
+    def part(p):
+        holes = F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+        return F.struct(opened(p[0]).alias("ring"), F.transform(holes, opened).alias("holes"))
+    d = f.select(F.col("properties.id").alias("id"), F.transform(polygons, part).alias("parts"))
+    x0, y0, x1, y1 = G.bbox(F.flatten(F.transform("parts", lambda p: p["ring"])))
     d = d.withColumns({"minx": x0, "miny": y0, "maxx": x1, "maxy": y1})
     if box:
         w, s, e, n = box
