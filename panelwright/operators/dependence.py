@@ -150,14 +150,15 @@ def conley_se(df: DataFrame, spec: Spec, fit: DataFrame, keys: list[str], cutoff
     return out
 
 
-def moran_eigenvectors(units: DataFrame, w: DataFrame, k: int, rounds: int = 20, inner: int = 4,
+def moran_eigenvectors(units: DataFrame, w: DataFrame, k: int, rounds: int = 500, inner: int = 4,
                        seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """Leading eigenpairs of M C M (C the symmetrised weights) by block subspace iteration.
 
     A product with C is one edge join and one grouped sum.  Centring is a mean.
     Only k-by-k Gram matrices reach the driver.  ``inner`` products are taken
     between orthonormalisations, on C plus the identity so that the algebraically
-    largest values lead.  Returns (vec, lam) values and (id, v[k]) vectors.
+    largest values lead.  ``converged`` is false where values
+    still move by 1e-9 after ``rounds``.  Returns (vec, lam, converged) values and (id, v[k]) vectors.
     """
     half = w.select("i", "j", (F.col("w") / 2).alias("w"))
     c = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
@@ -183,7 +184,7 @@ def moran_eigenvectors(units: DataFrame, w: DataFrame, k: int, rounds: int = 20,
     def rotate(f, m):
         return f.select("id", F.array(*[reduce(lambda x, y: x + y, [F.col("v")[q] * float(m[q, r]) for q in range(b)]) for r in range(b)]).alias("v"))
 
-    lam = None
+    lam, settled = None, False
     for _ in range(rounds):
         for _ in range(inner):
             _, nxt = product(v)
@@ -199,11 +200,11 @@ def moran_eigenvectors(units: DataFrame, w: DataFrame, k: int, rounds: int = 20,
         v = cut(rotate(v, vecs[:, order]))
         new = vals[order][:k]
         if lam is not None and np.max(np.abs(new - lam)) < 1e-9:
-            lam = new
+            lam, settled = new, True
             break
         lam = new
     spark = units.sparkSession
-    values = spark.createDataFrame([(i, float(x)) for i, x in enumerate(lam)], "vec int, lam double")
+    values = spark.createDataFrame([(i, float(x), settled) for i, x in enumerate(lam)], "vec int, lam double, converged boolean")
     return values, v.select("id", F.slice("v", 1, k).alias("v"))
 
 

@@ -127,7 +127,7 @@ def tau2_all(df: DataFrame, keys: list[str], y: str = "beta", s: str = "se", lev
             if open_ == 0:
                 break
         else:
-            finished.append(state)
+            raise RuntimeError(f"variances of {n} pools not settled after {MAX_STEPS} steps")
         fin = reduce(lambda p, q: p.unionByName(q), finished)
         return base.join(fin.select(*keys, F.col("t1").alias("tau2"), F.col("t2").alias("tau2_pm"),
                                     F.when(profile, F.col("t3")).otherwise(0.0).alias("tau2_lo"), F.col("t4").alias("tau2_hi")), keys)

@@ -224,7 +224,7 @@ def _(t):
 @query("morans_i_permutation")
 def _(t):
     p = I.points(t)
-    return dependence.morans_i(p.select("id", F.col("x").alias("e")), dependence.knn_weights(p, 8), permutations=99)
+    return dependence.morans_i(p.select("id", F.col("x").alias("e")), dependence.knn_weights(p, 8), permutations=999)
 
 
 @query("conley_se", f"""WITH {ONE_SQL}, e AS (SELECT city, cell, "GEOID" AS g, x, y AS yy, n_returned AS n, slope_deg AS s, exp(b * slope_deg) * {OFF} AS e FROM panel JOIN nfit ON k = city),
@@ -240,10 +240,18 @@ def _(t):
 
 @query("moran_eigenvectors")
 def _(t):
-    vals, _ = dependence.moran_eigenvectors(I.points(t).select("id"), dependence.knn_weights(I.points(t), 8), k=3, rounds=6)
+    vals, _ = dependence.moran_eigenvectors(I.points(t).select("id"), dependence.knn_weights(I.points(t), 8), k=3)
     return vals
 
 
+@query("moran_selected")
+def _(t):
+    p = I.points(t)
+    values, vectors = dependence.moran_eigenvectors(p.select("id"), dependence.knn_weights(p, 8), k=3)
+    long = p.select("id", "grp", F.col("x").alias("resid")).join(vectors.select("id", F.posexplode("v").alias("vec", "val")), "id")
+    return dependence.select_eigenvectors(long, values, "grp", most=2)
+
+
 @query("select_eigenvectors", f"""WITH {PTS_SQL}, v AS (SELECT id, grp, x AS resid, unnest([0, 1, 2]) AS vec, unnest([sin(id / 10.0), cos(id / 25.0), y]) AS val FROM pts),
    d AS (SELECT vec, val - avg(val) OVER (PARTITION BY vec, grp) AS v, resid - avg(resid) OVER (PARTITION BY vec, grp) AS r FROM v)
    SELECT vec::INT AS vec, {q6('abs(avg(v * r) / (stddev_pop(v) * stddev_pop(r) + 1e-30))')} AS score FROM d GROUP BY 1 ORDER BY score DESC LIMIT 2""")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import geometry as G
-from panelwright.operators import clean, dependence, graph, ppml, ranks, raster, resample, sample, spatial, tables
+from panelwright.operators import clean, dependence, graph, meta, ppml, ranks, raster, resample, sample, spatial, tables
 from panelwright.operators.ppml import Spec
 
 RNG = np.random.default_rng(3)
@@ -262,6 +262,17 @@ def test_edge_betweenness_exact(spark):
         assert r.betweenness == pytest.approx(want.get(frozenset((r.lo, r.hi)), 0.0), abs=1e-12)
 
 
+def test_unsettled_values_are_told(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(40, 2)))], "id bigint, x double, y double")
+    vals, _ = dependence.moran_eigenvectors(pts.select("id"), dependence.knn_weights(pts, 4), k=2, rounds=1)
+    assert [r.converged for r in vals.collect()] == [False, False]
+    monkeypatch.setattr(meta, "MAX_STEPS", 1)
+    pools = spark.createDataFrame([("a", float(b), 0.1) for b in r.normal(size=8)], "pool string, beta double, se double")
+    with pytest.raises(RuntimeError, match="not settled"):
+        meta.tau2_all(pools, ["pool"])
+
+
 def test_moran_eigenvalues(spark):
     pts = spark.createDataFrame([(i, float(RNG.uniform(0, 100)), float(RNG.uniform(0, 100))) for i in range(60)], "id int, x double, y double")
     w = dependence.knn_weights(pts, 4).cache()
