@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,8 @@ from panelwright.operators.ranks import dense_index, with_group
 from panelwright.operators.spatial import around, in_buckets, knn_join, salted_join
 from panelwright.session import cut
 
+BLOCK_COLUMNS = 1200            # columns of the basis between restarts, at most (a row of that many doubles a unit)
+
 
 def knn_weights(points: DataFrame, k: int = 8) -> DataFrame:
     """Row-standardised k-nearest-neighbour weights as an edge table (i, j, w)."""
@@ -150,62 +151,165 @@ def conley_se(df: DataFrame, spec: Spec, fit: DataFrame, keys: list[str], cutoff
     return out
 
 
-def moran_eigenvectors(units: DataFrame, w: DataFrame, k: int, rounds: int = 500, inner: int = 4,
-                       seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Leading eigenpairs of M C M (C the symmetrised weights) by block subspace iteration.
+def _advance(c: DataFrame, state: DataFrame, b: int) -> DataFrame:
+    """One more block of the Chebyshev basis: the row of a unit grows by 2 C t - s, t and s its last two blocks (first: by C t).
 
-    A product with C is one edge join and one grouped sum.  Centring is a mean.
-    Only k-by-k Gram matrices reach the driver.  ``inner`` products are taken
-    between orthonormalisations, on C plus the identity so that the algebraically
-    largest values lead.  ``converged`` is false where values
-    still move by 1e-9 after ``rounds``.  Returns (vec, lam, converged) values and (id, v[k]) vectors.
+    ``c`` has a row (id, id, null) for each unit, by which its own row comes along.
     """
-    half = w.select("i", "j", (F.col("w") / 2).alias("w"))
-    c = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
-    c = cut(c)
-    b = k + 4
-    start = F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(q), "id"), F.lit(1 << 40)) / float(1 << 40) - 0.5 for q in range(b)])
-    v = cut(units.select("id", start.alias("v")))
+    last = F.slice("v", F.size("v") - b + 1, b)
+    rows = (c.join(state.withColumnRenamed("id", "j"), "j")
+            .select(F.col("i").alias("id"), "w", F.when(F.col("w").isNull(), F.col("v")).otherwise(last).alias("v"))
+            .repartition("id").sortWithinPartitions("id"))
 
-    def centred(f):
-        m = f.agg(*[F.avg(F.col("v")[q]).alias(f"m{q}") for q in range(b)])
-        return f.join(F.broadcast(m)).select("id", F.array(*[F.col("v")[q] - F.col(f"m{q}") for q in range(b)]).alias("v"))
+    def run(batches):
+        held = None                                     # (id, sum of what came in, the own row) of the last unit so far
 
-    def product(f):
-        f = centred(f)
-        s = c.join(f.select(F.col("id").alias("j"), "v"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col("v")[q]).alias(f"p{q}") for q in range(b)])
-        return f, f.join(s, F.col("id") == F.col("i"), "left").select(
-            "id", F.col("v").alias("v0"), F.array(*[F.coalesce(f"p{q}", F.lit(0.0)) for q in range(b)]).alias("v"))
+        def grown(ids, total, whole):
+            width = whole.shape[1]
+            new = total if width == b else 2.0 * total - whole[:, width - 2 * b: width - b]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.hstack([whole, new]))], names=["id", "v"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            w, v = batch.column("w"), batch.column("v")
+            mine = np.asarray(w.is_null())
+            units, at = np.unique(ids, return_inverse=True)
+            total = np.zeros((len(units), b))
+            if not mine.all():
+                add = v.filter(pa.array(~mine)).flatten().to_numpy().reshape(-1, b) * w.drop_null().to_numpy()[:, None]
+                to = at[~mine]
+                new = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                total[to[new]] = np.add.reduceat(add, new, axis=0)
+            whole = {int(u): r for u, r in zip(at[mine], _dense(v.filter(pa.array(mine))))} if mine.any() else {}
+            if held is not None and held[0] == units[0]:
+                total[0] += held[1]
+                if held[2] is not None:
+                    whole[0] = held[2]
+            elif held is not None:
+                yield grown([held[0]], held[1][None], held[2][None])
+            last = len(units) - 1
+            held = (units[last], total[last], whole.pop(last, None))
+            if last:
+                yield grown(units[:last], total[:last], np.stack([whole[u] for u in range(last)]))
+        if held is not None:
+            yield grown([held[0]], held[1][None], held[2][None])
+    return rows.mapInArrow(run, "id bigint, v array<double>")
 
-    def gram(f, left, right):
-        row = f.agg(*[F.sum(F.col(left)[q] * F.col(right)[r]).alias(f"g{q}_{r}") for q in range(b) for r in range(b)]).first()
-        return np.array(row, float).reshape(b, b)
 
-    def rotate(f, m):
-        return f.select("id", F.array(*[reduce(lambda x, y: x + y, [F.col("v")[q] * float(m[q, r]) for q in range(b)]) for r in range(b)]).alias("v"))
+def _dense(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
-    lam, settled = None, False
-    for _ in range(rounds):
-        for _ in range(inner):
-            _, nxt = product(v)
-            shifted = F.zip_with("v0", "v", lambda x, y: x + y)
-            v = cut(nxt.select("id", shifted.alias("v")))
-        v = cut(centred(v))
-        u, s, _ = np.linalg.svd(gram(v, "v", "v"))
-        v = cut(rotate(v, u / np.sqrt(np.maximum(s, 1e-300))))
-        _, nxt = product(v)
-        h = gram(nxt, "v0", "v")
-        vals, vecs = np.linalg.eigh((h + h.T) / 2)
-        order = np.argsort(vals)[::-1]
-        v = cut(rotate(v, vecs[:, order]))
-        new = vals[order][:k]
-        if lam is not None and np.max(np.abs(new - lam)) < 1e-9:
-            lam, settled = new, True
-            break
-        lam = new
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+def _gram(f: DataFrame, width: int) -> np.ndarray:
+    """Sum over all rows of v v': a dense partial of each partition, added up row by row of the matrix."""
+    def part(batches):
+        g = np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                a = _dense(batch.column("v"))
+                g += a.T @ a
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), _lists(g)], names=["r", "g"])
+
+    def total(batches):
+        sums: dict = {}
+        for batch in batches:
+            for r, row in zip(batch.column("r").to_pylist(), _dense(batch.column("g")) if batch.num_rows else ()):
+                sums[r] = sums[r] + row if r in sums else row
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), _lists(np.stack(list(sums.values())))], names=["r", "g"])
+    got = f.select("v").mapInArrow(part, "r int, g array<double>").repartition("r").mapInArrow(total, "r int, g array<double>").toArrow()
+    out = np.zeros((width, width))
+    out[got.column("r").to_numpy()] = _dense(got.column("g").combine_chunks())
+    return out
+
+
+def _ritz(g: np.ndarray, b: int, steps: int, want: int):
+    """Ritz values, the basis columns' weights in each vector, and its residual, of M C M on the centred basis.
+
+    ``g``: Gram matrix of blocks 0 .. steps + 1, the last column of block 0 all ones, so that means,
+    row sums of C and products with C (each block's neighbours in the recurrence) can all be read from it.
+    """
+    m = (steps + 1) * b
+    shift = np.zeros((m + b, m))
+    for j in range(steps + 1):
+        at = np.arange(j * b, (j + 1) * b)
+        shift[at + b, at] = 1.0 if j == 0 else 0.5
+        if j:
+            shift[at - b, at] = 0.5
+    one, deg = b - 1, 2 * b - 1                             # columns 1 and C 1
+    n, mean = g[one, one], g[one] / g[one, one]
+    centred = g - n * np.outer(mean, mean)
+    basis = centred[:m, :m]
+    # M C M s = M (C s - mean(s) C 1), as columns of all blocks
+    product = shift.copy()
+    product[deg] -= mean[:m]
+    h = centred[:m] @ product
+    norm = np.sqrt(np.maximum(np.diag(basis), 1e-300))
+    norm[np.diag(basis) <= 1e-13 * np.diag(g)[:m]] = np.inf      # columns that are constant
+    size, turn = np.linalg.eigh(basis / np.outer(norm, norm))
+    keep = size > 1e-13 * size[-1]
+    q = (turn[:, keep] / np.sqrt(size[keep])) / norm[:, None]
+    vals, vecs = np.linalg.eigh((lambda x: (x + x.T) / 2)(q.T @ h @ q))
+    top = np.argsort(vals)[::-1][:want]
+    y, lam = q @ vecs[:, top], vals[top]
+    r = product @ y
+    r[:m] -= y * lam
+    worst = np.sqrt(np.maximum(np.einsum("ij,ij->j", r, centred @ r), 0.0))
+    y[one] -= mean[:m] @ y                                   # centres the vectors themselves
+    return lam, y, worst
+
+
+def moran_eigenvectors(units: DataFrame, w: DataFrame, k: int, tol: float = 1e-6, restarts: int = 200, steps: int | None = None,
+                       seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Leading eigenpairs of M C M (C the symmetrised weights) by a block Krylov method with restarts.
+
+    A round takes ``steps`` products with C, one after the other in one job, each an edge
+    join and a sum by unit; blocks follow Chebyshev's recurrence on C over its largest row
+    sum.  A column of ones goes along, from which centring, row sums and all products follow,
+    so that one Gram matrix a round is all that the driver gets: a dense partial of each
+    partition, summed.  The round's best vectors start the next one.  Ends when every
+    residual ||M C M v - lam v|| is at most ``tol``; raises if it does not after ``restarts``.
+    At most n - 1 pairs exist.  Returns (vec, lam, residual) values and (id, v[k]) vectors,
+    of unit length.  Units without links count; no units give no values.
+    """
     spark = units.sparkSession
-    values = spark.createDataFrame([(i, float(x), settled) for i, x in enumerate(lam)], "vec int, lam double, converged boolean")
-    return values, v.select("id", F.slice("v", 1, k).alias("v"))
+    half = w.select("i", "j", (F.col("w") / 2).alias("w"))
+    c = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    c = cut(c)
+    n = units.count()
+    k = max(min(k, n - 1), 0)
+    none = spark.createDataFrame([], "vec int, lam double, residual double"), spark.createDataFrame([], "id bigint, v array<double>")
+    if not k:
+        return none
+    b = min(k + max(4, k // 2), n - 1) + 1
+    steps = steps or max(2, min(12, BLOCK_COLUMNS // b - 2))
+    top = c.groupBy("i").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 1.0
+    c = cut(c.withColumn("w", F.col("w") / top).unionByName(units.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(None).cast("double").alias("w"))))
+    start = [F.pmod(F.xxhash64(F.lit(seed), F.lit(q), "id"), F.lit(1 << 40)) / float(1 << 40) - 0.5 for q in range(b - 1)]
+    state = cut(units.select(F.col("id").cast("bigint").alias("id"), F.array(*start, F.lit(1.0)).alias("v")))
+    for _ in range(restarts):
+        for _ in range(steps + 1):
+            state = _advance(c, state, b)
+        state = cut(state)
+        lam, y, worst = _ritz(_gram(state, (steps + 2) * b), b, steps, b - 1)
+        done = worst[:k].max() * top <= tol
+        shared = spark.sparkContext.broadcast(np.hstack([y, np.eye(len(y))[:, [b - 1]]]) if not done else y[:, :k])
+
+        def rotate(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    m = shared.value
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(_dense(batch.column("v"))[:, : len(m)] @ m)], names=["id", "v"])
+        state = cut(state.mapInArrow(rotate, "id bigint, v array<double>"))
+        if done:
+            rows = [(i, float(lam[i] * top), float(worst[i] * top)) for i in range(k)]
+            return spark.createDataFrame(rows, "vec int, lam double, residual double"), state
+    raise RuntimeError(f"residuals of up to {worst[:k].max() * top:.1e} are left after {restarts} restarts; raise restarts or tol")
 
 
 def select_eigenvectors(long: DataFrame, values: DataFrame, group: str, most: int = 50, min_ratio: float = 0.25) -> DataFrame:

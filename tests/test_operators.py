@@ -265,8 +265,8 @@ def test_edge_betweenness_exact(spark):
 def test_unsettled_values_are_told(spark, monkeypatch):
     r = np.random.default_rng(1)
     pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(40, 2)))], "id bigint, x double, y double")
-    vals, _ = dependence.moran_eigenvectors(pts.select("id"), dependence.knn_weights(pts, 4), k=2, rounds=1)
-    assert [r.converged for r in vals.collect()] == [False, False]
+    with pytest.raises(RuntimeError, match="residuals"):
+        dependence.moran_eigenvectors(pts.select("id"), dependence.knn_weights(pts, 4), k=2, tol=1e-15, restarts=1, steps=2)
     monkeypatch.setattr(meta, "MAX_STEPS", 1)
     pools = spark.createDataFrame([("a", float(b), 0.1) for b in r.normal(size=8)], "pool string, beta double, se double")
     with pytest.raises(RuntimeError, match="not settled"):
@@ -281,10 +281,17 @@ def test_moran_eigenvalues(spark):
         c[r.i, r.j] = r.w
     c = (c + c.T) / 2
     m = np.eye(60) - 1 / 60
-    want = np.sort(np.linalg.eigvalsh(m @ c @ m))[::-1][:2]
-    vals, vecs = dependence.moran_eigenvectors(pts.select("id"), w, k=2, rounds=12)
-    assert np.allclose([r.lam for r in vals.orderBy("vec").collect()], want, atol=1e-4)
-    assert vecs.count() == 60
+    a = m @ c @ m
+    for k, have in ((2, 2), (200, 59)):
+        vals, vecs = dependence.moran_eigenvectors(pts.select("id"), w, k=k)
+        lam = np.array([r.lam for r in vals.orderBy("vec").collect()])
+        assert len(lam) == have and np.allclose(lam, np.sort(np.linalg.eigvalsh(a))[::-1][:have], atol=1e-9)
+        v = np.zeros((60, have))
+        for r in vecs.collect():
+            v[r.id] = r.v
+        assert np.linalg.norm(a @ v - v * lam, axis=0).max() <= 2e-6 and np.allclose(v.T @ v, np.eye(have), atol=1e-8)
+    none, _ = dependence.moran_eigenvectors(pts.select("id").limit(0), w.limit(0), k=2)
+    assert none.count() == 0
     big = dependence.morans_i(pts.select("id", F.col("x").alias("e")), w, permutations=49).first()
     assert big.morans_i > 0.3 and big.p_sim == pytest.approx(1 / 50) and big.p_norm < 0.01
 
