@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.ranks import dense_index, with_group
 from panelwright.operators.tables import dedupe_undirected, shortest_undirected
-from panelwright.session import cut
+from panelwright.session import cut, partitions
 
 
 def _unfinished(rounds: int):
@@ -143,63 +145,151 @@ def pick_pivots(nodes: DataFrame, k: int | None = None, seed: int = 0) -> DataFr
     return d.where(F.col("_i") < want).select("net", "node", (F.col("_n") / want).alias("scale"))
 
 
-def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "travel_time", k: int | None = None,
-                     max_rounds: int = 100_000, seed: int = 0) -> DataFrame:
-    """Shortest-path share of every street, both directions summed and normalised by n(n-1).
+BLOCK = 64                      # sources whose values ride in one row
+STRIDE = 8                      # steps in one job
+_KEY = ["net", "metric", "blk", "node"]
+_STATE = "net {net}, metric int, blk bigint, node {node}, d array<double>, acc array<double>, inc array<double>, live boolean"
+
+
+def _rows(lists) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _arrays(m: np.ndarray):
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+def _settled(kind: str, d, acc, new, live, at, w, sent, inc):
+    """Values of the nodes after the messages ``sent`` to nodes ``at`` (in order) along arcs of weight ``w``."""
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    to = at[first]
+    if kind == "distance":
+        low = np.minimum.reduceat(sent + w[:, None], first, axis=0)
+        live[to] |= (low < d[to]).any(axis=1)
+        d[to] = np.minimum(d[to], low)
+        return
+    tight = sent + w[:, None] == d[at] if kind == "paths" else d[at] + w[:, None] == sent
+    new[to] += np.add.reduceat(np.where(tight & np.isfinite(sent), inc, 0.0), first, axis=0)
+
+
+def _step(arcs: DataFrame, state: DataFrame, kind: str, schema: str) -> DataFrame:
+    """Nodes that changed in the last step send their rows along the arcs; every node takes in what it gets.
+
+    ``arcs``: (net, metric, node, v, w), with a row (node, node, null) for each node, by which its own row comes along.
+    """
+    own = F.col("w").isNull()
+    rows = (arcs.join(state, ["net", "metric", "node"]).where(own | F.col("live"))
+            .select("net", "metric", "blk", F.col("v").alias("node"), "w", "d", F.when(own, F.col("acc")).alias("acc"), "inc")
+            .repartition(*_KEY).sortWithinPartitions(*_KEY, F.asc_nulls_first("w")))
+
+    def run(batches):
+        held = None                             # key and values of the last node so far
+
+        def out(keys, d, acc, new, live):
+            if kind != "distance":
+                acc, live = acc + new, (new != 0).any(axis=1)
+            return pa.RecordBatch.from_arrays([*keys, _arrays(d), _arrays(acc), _arrays(new), pa.array(live)],
+                                              names=[*_KEY, "d", "acc", "inc", "live"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in _KEY]
+            fresh = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
+            start, at = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            n, mine = len(start), np.asarray(b.column("w").is_null())
+            sent = _rows(b.column("d"))
+            d, acc, new = (np.empty((n, sent.shape[1])) for _ in range(3))
+            live = np.zeros(n, bool)
+            new[:] = 0.0
+            d[at[mine]] = sent[mine]
+            acc[at[mine]] = _rows(b.column("acc").filter(pa.array(mine))) if mine.any() else 0.0
+            if held is not None:
+                if all(c[0] == h[0].as_py() for c, h in zip(cols, held[0])):
+                    d[0], acc[0], new[0], live[0] = (x[0] for x in held[1:])
+                else:
+                    yield out(*held)
+            if not mine.all():
+                some = ~mine
+                _settled(kind, d, acc, new, live, at[some], b.column("w").drop_null().to_numpy(), sent[some], _rows(b.column("inc"))[some])
+            keys = [b.column(c).take(pa.array(start)) for c in _KEY]
+            if n > 1:
+                yield out([k.slice(0, n - 1) for k in keys], d[:-1], acc[:-1], new[:-1], live[:-1])
+            held = ([k.slice(n - 1) for k in keys], d[-1:].copy(), acc[-1:].copy(), new[-1:].copy(), live[-1:].copy())
+        if held is not None:
+            yield out(*held)
+    return rows.mapInArrow(run, schema)
+
+
+def _until_still(arcs: DataFrame, state: DataFrame, kind: str, schema: str, max_rounds: int) -> DataFrame:
+    for _ in range(0, max_rounds, STRIDE):
+        for _ in range(STRIDE):
+            state = _step(arcs, state, kind, schema)
+        state = cut(state)
+        if state.where("live").isEmpty():
+            return state
+    raise _unfinished(max_rounds)
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, weights: list[str], k: int | None = None, max_rounds: int = 100_000,
+                seed: int = 0) -> DataFrame:
+    """Shortest-path share of every street by each of ``weights`` (metric: its place in the list), both directions summed and normalised by n(n-1).
 
     Exact, from every node, unless ``k`` asks for that many sources a network; ``exact`` tells which.
 
-    All sources advance together.  The first loop carries (distance, number of
-    shortest paths): each round every node re-reads its in-neighbours and keeps
-    the least distance with the path counts that attain it, until nothing
-    moves.  The second loop passes dependencies back along shortest-path arcs
-    the same way.
+    All weights, networks and sources advance together.  A row holds the values of a node for
+    a block of neighbouring sources, and moves on only in the steps after it changed, so a block's wave
+    passes a node once.  Three sweeps follow each other: distances fall to their least;
+    numbers of shortest paths go out along the arcs that attain them, and each node passes on
+    what it has just received; and (1 + dependency) / paths comes back the same way.  A street carries the
+    product of its near end's paths and its far end's sum.  Several steps make a job, and
+    streaming sums hold one node's row, whatever its number of arcs.  Weights must be above
+    zero; arcs of weight null or not above zero are left out.
     """
-    arcs = cut(edges.where("src != dst").groupBy("net", "src", "dst").agg(F.min(weight).alias("w")))
+    of = lambda i, c: edges.where(F.col("src") != F.col("dst")).where(F.col(c) > 0).groupBy("net", "src", "dst").agg(
+        F.min(F.col(c).cast("double")).alias("w")).select("net", F.lit(i).alias("metric"), F.col("src").alias("node"), F.col("dst").alias("v"), "w")
+    arcs = cut(reduce(lambda a, b: a.unionByName(b), [of(i, c) for i, c in enumerate(weights)]))
+    metrics = F.explode(F.array(*[F.lit(i) for i in range(len(weights))])).alias("metric")
+    ends = nodes.select("net", "node").distinct()
+    own = ends.select("net", metrics, "node", F.col("node").alias("v"), F.lit(None).cast("double").alias("w"))
+    out_, back = (cut(own.unionByName(a)) for a in (arcs, arcs.select("net", "metric", F.col("v").alias("node"), F.col("node").alias("v"), "w")))
     pivots = cut(pick_pivots(nodes, k, seed=seed))
+    # neighbouring sources share a block: numbered in the order of the node ids, which dense_index cuts by its top bits
+    low, high = pivots.agg(F.min("node"), F.max("node")).first()
+    low, span, slices = low or 0, (high or 0) - (low or 0) + 1, max(2, min(1024, partitions(edges.sparkSession)))
+    place = (F.col("node") - low).cast("bigint")
+    order = F.shiftleft(F.floor(place / float(span) * slices).cast("bigint"), 40) + F.pmod(place, F.lit(1 << 40))
+    src = dense_index(pivots, ["net"], order, "_i").select("net", F.col("node").alias("s"), F.floor(F.col("_i") / BLOCK).alias("blk"), (F.col("_i") % BLOCK).cast("int").alias("slot"))
+    src = cut(src)
+    types = {**dict(nodes.dtypes)}
+    schema = _STATE.format(net=types["net"], node=types["node"])
+    full = lambda x: F.array_repeat(F.lit(x).cast("double"), BLOCK)
+    spot = lambda hit, rest: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.when(i == F.col("slot"), F.lit(hit)).otherwise(F.lit(rest)))
+    blocks = src.select("net", "blk").distinct()
+    grid = ends.join(blocks, "net").join(src.withColumnRenamed("s", "node"), ["net", "blk", "node"], "left")
+    start = grid.select("net", metrics, "blk", "node", spot(0.0, float("inf")).alias("d"), spot(1.0, 0.0).alias("acc"), spot(1.0, 0.0).alias("inc"),
+                        F.col("slot").isNotNull().alias("live"))
+    start = cut(start)
+    far = _until_still(out_, start, "distance", schema, max_rounds).select(*_KEY, "d")
+    paths = far.join(start.select(*_KEY, "acc", "inc", "live"), _KEY)
+    paths = _until_still(out_, paths, "paths", schema, max_rounds)
+    each = F.transform("acc", lambda c: F.when(c > 0, 1.0 / c).otherwise(F.lit(0.0)))
+    dep = paths.select(*_KEY, "d", each.alias("acc"), each.alias("inc"), F.lit(True).alias("live"))
+    dep = _until_still(back, dep, "back", schema, max_rounds)
+    near = paths.select(*_KEY, F.col("d").alias("du"), F.col("acc").alias("cu"))
+    to = dep.select("net", "metric", "blk", F.col("node").alias("v"), F.col("d").alias("dt"), F.col("acc").alias("xt"))
+    on = arcs.join(near, ["net", "metric", "node"]).join(to, ["net", "metric", "blk", "v"])
+    carried = F.aggregate(F.arrays_zip("du", "cu", "dt", "xt"), F.lit(0.0), lambda a, z: a + F.when(
+        (z["du"] + F.col("w") == z["dt"]) & (z["dt"] < float("inf")), z["cu"] * z["xt"]).otherwise(F.lit(0.0)))
+    tot = on.groupBy("net", "metric", F.least("node", "v").alias("lo"), F.greatest("node", "v").alias("hi")).agg(F.sum(carried).alias("f"))
     size = nodes.groupBy("net").agg(F.count("*").cast("double").alias("n"))
-    key = ["net", "s", "v"]
-    root = pivots.select("net", F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d"), F.lit(1.0).alias("c"))
-    root = cut(root)
-    state = root
-    into = arcs.select("net", F.col("src").alias("v"), F.col("dst").alias("t"), "w")
-    for _ in range(max_rounds):
-        m = state.join(into, ["net", "v"]).select("net", "s", F.col("t").alias("v"), (F.col("d") + F.col("w")).alias("d"), "c")
-        m = m.where("v != s").groupBy(*key, "d").agg(F.sum("c").alias("c"))
-        m = m.groupBy(*key).agg(F.min(F.struct("d", "c")).alias("_m")).select(*key, "_m.d", "_m.c")
-        nxt = cut(root.unionByName(m))
-        same = nxt.join(state.select(*key, F.col("d").alias("d0"), F.col("c").alias("c0")), key, "left").where(
-            "d0 is null or d0 != d or c0 != c").isEmpty()
-        state = nxt
-        if same:
-            break
-    else:
-        raise _unfinished(max_rounds)
-    # arcs lying on shortest paths, with the share of the far end's paths they carry
-    a = state.select("net", "s", F.col("v").alias("u"), F.col("d").alias("du"), F.col("c").alias("cu"))
-    b = state.select("net", "s", F.col("v").alias("t"), F.col("d").alias("dt"), F.col("c").alias("ct"))
-    dag = (arcs.select("net", F.col("src").alias("u"), F.col("dst").alias("t"), "w").join(a, ["net", "u"]).join(b, ["net", "s", "t"])
-               .where(F.col("du") + F.col("w") == F.col("dt")).select("net", "s", "u", "t", (F.col("cu") / F.col("ct")).alias("share")))
-    dag = cut(dag)
-    dep = cut(dag.groupBy("net", "s", "u").agg(F.sum("share").alias("delta")))
-    for _ in range(max_rounds):
-        far = dep.select("net", "s", F.col("u").alias("t"), F.col("delta").alias("dt"))
-        nxt = dag.join(far, ["net", "s", "t"], "left").groupBy("net", "s", "u").agg(
-            F.sum(F.col("share") * (1.0 + F.coalesce("dt", F.lit(0.0)))).alias("delta"))
-        nxt = cut(nxt)
-        same = nxt.join(dep.withColumnRenamed("delta", "d0"), ["net", "s", "u"]).where(
-            F.abs(F.col("delta") - F.col("d0")) > 1e-9 * F.greatest(F.lit(1.0), F.col("delta"))).isEmpty()
-        dep = nxt
-        if same:
-            break
-    else:
-        raise _unfinished(max_rounds)
-    far = dep.select("net", "s", F.col("u").alias("t"), F.col("delta").alias("dt"))
-    flow = dag.join(far, ["net", "s", "t"], "left").withColumn("f", F.col("share") * (1.0 + F.coalesce("dt", F.lit(0.0))))
-    scale = pivots.groupBy("net").agg(F.max("scale").alias("scale"))
-    tot = flow.groupBy("net", F.least("u", "t").alias("lo"), F.greatest("u", "t").alias("hi")).agg(F.sum("f").alias("f"))
-    norm = tot.join(scale, "net").join(size, "net").select(
-        "net", "lo", "hi", (F.col("f") * F.col("scale") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).alias("betweenness"))
-    exact = pivots.groupBy("net").agg((F.max("scale") == 1.0).alias("exact"))
-    und = shortest_undirected(edges, ["net"]).select("net", "lo", "hi")
-    return cut(und.join(norm, ["net", "lo", "hi"], "left").join(exact, "net", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0))))
+    scale = pivots.groupBy("net").agg(F.max("scale").alias("scale"), (F.max("scale") == 1.0).alias("exact"))
+    und = shortest_undirected(edges, ["net"]).select("net", "lo", "hi", metrics)
+    share = F.col("f") * F.col("scale") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))
+    return cut(und.join(tot, ["net", "metric", "lo", "hi"], "left").join(scale, "net", "left").join(size, "net", "left")
+               .select("net", "metric", "lo", "hi", F.coalesce(share, F.lit(0.0)).alias("betweenness"), "exact"))
+
+
+def edge_betweenness(edges: DataFrame, nodes: DataFrame, weight: str = "travel_time", k: int | None = None,
+                     max_rounds: int = 100_000, seed: int = 0) -> DataFrame:
+    """``betweenness`` by one weight: (net, lo, hi, betweenness, exact)."""
+    return betweenness(edges, nodes, [weight], k, max_rounds, seed).drop("metric")

@@ -12,7 +12,7 @@ FOLDER = os.environ.get("TWIN_DIR", "/root/testdata/sf0.001")
 WIDER = {"tau2_dl", "tau2_reml", "city_profile", "corr_pearson"}
 WIDER_DIR = os.environ.get("TWIN_DIR", "/root/testdata/sf0.01")
 SQL = entry.oracle_sql()
-LONG = {"edge_betweenness", "moran_eigenvectors", "hypothesis_report", "attenuation_path", "denominator_swap_samples"}
+LONG = {"hypothesis_report", "attenuation_path", "denominator_swap_samples"}
 
 
 @pytest.fixture(scope="module")
