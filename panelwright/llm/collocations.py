@@ -35,7 +35,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _FROM = bytes(range(65, 91)) + b"\t" + ENDS
 _TABLE = bytes.maketrans(_FROM, bytes(range(97, 123)) + b" " + b"\n" * len(ENDS))
 STOP = b"\n"                    # stands in word lists where a piece ends
-HOLD, CHUNK, WORDS = 1 << 21, 200_000, 400_000
+HOLD, CHUNK, WORDS, PART = 1 << 21, 200_000, 400_000, 100_000
+DEALT = 64                      # numbers that edges are dealt by, for each partition
 SLICES = 64
 
 
@@ -131,10 +132,10 @@ def _is_hot(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _edges(texts: DataFrame, seed: int, most_words: int, hot: np.ndarray) -> DataFrame:
-    """(p, k, w1, ..., n): longest grams counted within a task; p deals them out, k puts equal ones together."""
-    bits = _bits(most_words)
+    """(p, w1, ..., n): longest grams counted within a task; p, a small number, deals them out."""
+    bits, many_parts = _bits(most_words), np.uint64(DEALT * partitions(texts.sparkSession))
     names = [f"w{i + 1}" for i in range(most_words)]
-    schema = "p bigint, k bigint, " + ", ".join(f"{c} bigint" for c in names) + ", n bigint"
+    schema = "p bigint, " + ", ".join(f"{c} bigint" for c in names) + ", n bigint"
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -154,8 +155,10 @@ def _edges(texts: DataFrame, seed: int, most_words: int, hot: np.ndarray) -> Dat
             for a, b in zip(words, words[1:]):
                 spread &= _is_hot(a, shared.value)
                 p[spread] = (p[spread] ^ (b[spread] >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
-            if len(n):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (p, key, *words)] + [pa.array(n)], names=["p", "k", *names, "n"])
+            p = (p >> np.uint64(20)) % many_parts
+            for lo in range(0, len(n), PART):
+                cols = [x[lo: lo + PART].view(np.int64) for x in (p, *words)] + [n[lo: lo + PART]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["p", *names, "n"])
         for batch in batches:
             for part, raw in text_slices(batch, "text"):
                 for lang, text in zip(part.column("lang").to_pylist(), raw):
@@ -173,6 +176,16 @@ def _edges(texts: DataFrame, seed: int, most_words: int, hot: np.ndarray) -> Dat
     return texts.mapInArrow(run, schema)
 
 
+def sorted_edges(edges: DataFrame, most_words: int, many: int) -> DataFrame:
+    """Edges dealt to tasks and ordered by k, which is ``_sort_key`` of their words, computed where they arrive."""
+    bits = _bits(most_words)
+    tops = [F.shiftleft(F.shiftrightunsigned(f"w{i + 1}", 64 - bits), bits * (most_words - 1 - i)) for i in range(most_words)]
+    key = tops[0]
+    for t in tops[1:]:
+        key = key.bitwiseOR(t)
+    return edges.repartition(many, "p").drop("p").withColumn("k", key).sortWithinPartitions("k")
+
+
 class _Level:
     """Counts of the grams of one length in a stream ordered by key; a gram is complete once the key has moved on."""
 
@@ -229,9 +242,9 @@ def gram_counts(texts: DataFrame, words: DataFrame, seed: int, most_words: int,
     total = words.agg(F.sum("n")).first()[0] or 0
     often = words.filter(F.col("n") > max(total // (4 * many), least)).select("h").toPandas()["h"]     # 4 * many at most
     hot = np.sort(often.to_numpy(np.int64).view(np.uint64))
-    e = _edges(texts, seed, most_words, hot).repartition(many, "p").sortWithinPartitions("k")
+    e = sorted_edges(_edges(texts, seed, most_words, hot), most_words, many)
     names = [f"w{i + 1}" for i in range(most_words)]
-    g = _counted(e.drop("p"), most_words, least, hot).groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    g = _counted(e, most_words, least, hot).groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return cut(g.select(F.filter(F.array(*names), lambda x: x != 0).alias("gram"), "n"))
 
 

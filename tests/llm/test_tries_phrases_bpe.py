@@ -153,8 +153,8 @@ def test_phrases_of_hot_words_and_small_chunks(spark, chatter, monkeypatch):
     counts = {}
     for held in (0, 4 ** 9):
         hot = np.sort(np.array([r.h for r in words.filter("n > 0").collect()][:: 1 if held else 10 ** 9], np.int64).view(np.uint64))
-        e = collocations._edges(texts, seed, 3, hot).repartition(6, "p").sortWithinPartitions("k")
-        g = collocations._counted(e.drop("p"), 3, 10, hot).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n")).filter("n >= 10")
+        e = collocations.sorted_edges(collocations._edges(texts, seed, 3, hot), 3, 6)
+        g = collocations._counted(e, 3, 10, hot).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n")).filter("n >= 10")
         counts[held] = sorted(map(tuple, g.collect()))
     assert counts[0] == counts[4 ** 9] and len(counts[0]) > 100
 
