@@ -118,23 +118,40 @@ def nearest_line_join(points: DataFrame, lines: DataFrame, max_dist: float, key:
 
 def pip_join(points: DataFrame, polygons: DataFrame, size: float, key: str = "id", x: str = "px", y: str = "py",
              ring: str = "ring", poly: str = "zone", how: str = "left", first: bool = True) -> DataFrame:
-    """Point in polygon; where several hold a point, the smallest polygon id is kept (``first``)."""
-    x0, y0, x1, y1 = G.bbox(F.col(ring))
-    z = over_box(polygons.select(poly, ring), x0, y0, x1, y1, size)
-    p = in_buckets(points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", "_y", size)
-    hit = salted_join(p, z, ["_bx", "_by"], key).where(G.in_ring(F.col("_x"), F.col("_y"), F.col(ring)))
-    pairs = hit.groupBy(key).agg(F.min(poly).alias(poly)) if first else hit.select(key, poly)
+    """Point in polygon; where several hold a point, the smallest polygon id is kept (``first``).
+
+    ``ring`` names a column of simple rings or of parts with holes.  Polygons are not copied
+    into the cells of width ``size``: see ``areas.cover``.
+    """
+    from panelwright.operators.areas import points_in_areas
+    hit = points_in_areas(points, polygons, size, key, x, y, ring, poly)
+    pairs = hit.groupBy(key).agg(F.min(poly).alias(poly)) if first else hit
     return points.join(pairs, key, how)
 
 
-def point_in_footprint_flag(buildings: DataFrame, shops: DataFrame, size: float, key: str = "b") -> DataFrame:
+def point_in_footprint_flag(buildings: DataFrame, shops: DataFrame, size: float, key: str = "b", shape: str = "ring") -> DataFrame:
     """Unknown or other buildings holding any shop/office point become commercial."""
-    hits = pip_join(shops, buildings, size, poly=key, how="inner", first=False).select(key).distinct()
+    hits = pip_join(shops, buildings, size, ring=shape, poly=key, how="inner", first=False).select(key).distinct()
     d = buildings.join(hits.withColumn("_hit", F.lit(True)), key, "left")
     up = F.col("_hit") & F.col("bldg_class").isin("unknown", "other")
     return d.withColumn("bldg_class", F.when(up, "commercial").otherwise(F.col("bldg_class"))).drop("_hit")
 
 
+def tag_footprints(buildings: DataFrame, shapes: DataFrame, shops: DataFrame, size: float, key: str = "b", shape: str = "ring",
+                   tag: str = "tag", tagged: str = "parts") -> DataFrame:
+    """Use classes of mapped shapes (shape_id, tag, parts) and shop points moved onto footprints, as ``bldg_class``.
+
+    A footprint takes the class of the shape that holds its interior point, of several the one of
+    smallest id; without one it is unknown.  Unknown and other footprints that hold a shop or office point become commercial.
+    """
+    from panelwright.operators.areas import with_interior_point
+    at = with_interior_point(buildings.select(key, shape), shape, "_px", "_py").select(key, "_px", "_py")
+    hit = pip_join(at, shapes, size, key, "_px", "_py", ring=tagged, poly="shape_id", how="inner")
+    got = hit.join(shapes.select("shape_id", F.col(tag).alias("_tag")), "shape_id").select(key, "_tag")
+    d = buildings.drop("bldg_class").join(got, key, "left").withColumn("bldg_class", F.coalesce("_tag", F.lit("unknown"))).drop("_tag")
+    return point_in_footprint_flag(d, shops, size, key, shape)
+
+
 def knn_join(points: DataFrame, k: int, key: str = "id", x: str = "x", y: str = "y", crowd: int = 64,
              max_levels: int = 60) -> DataFrame:
     """Each point's k nearest others (i, j, d, rank), ties by (distance, id).
@@ -221,33 +238,35 @@ def buffer_count_len(segs: DataFrame, ways: DataFrame, r: float, seg: str = "seg
         {"n_within": F.coalesce("n_within", F.lit(0)), "len_within": F.coalesce("len_within", F.lit(0.0))})
 
 
-def area_overlay(buildings: DataFrame, step: float, x0: float, y0: float, key: str = "b") -> DataFrame:
+def area_overlay(buildings: DataFrame, step: float, x0: float, y0: float, key: str = "b", shape: str = "ring") -> DataFrame:
     """Share of each building's area in every grid cell it covers (cells centred on x0 + col*step).
 
-    Buildings inside one cell skip the clipping, as most do.
+    ``shape`` holds simple rings or parts with holes.  Buildings inside one cell skip the
+    geometry, as most do; of the others only border cells are measured.
     """
-    bx0, by0, bx1, by1 = G.bbox(F.col("ring"))
-    d = buildings.withColumns({"_c0": F.floor((bx0 - x0 + step / 2) / step), "_c1": F.floor((bx1 - x0 + step / 2) / step),
-                               "_r0": F.floor((y0 + step / 2 - by1) / step), "_r1": F.floor((y0 + step / 2 - by0) / step)})
+    from panelwright.operators import areas as A
+    d = A.as_parts(buildings.select(key, shape), shape)
+    bx0, by0, bx1, by1 = G.bbox(F.flatten(F.transform(F.col(shape), lambda p: p["ring"])))
+    d = d.withColumns({"_c0": F.floor((bx0 - x0 + step / 2) / step), "_c1": F.floor((bx1 - x0 + step / 2) / step),
+                       "_r0": F.floor((y0 + step / 2 - by1) / step), "_r1": F.floor((y0 + step / 2 - by0) / step)})
     one = (F.col("_c0") == F.col("_c1")) & (F.col("_r0") == F.col("_r1"))
     whole = d.where(one).select(key, F.col("_r0").alias("row_"), F.col("_c0").alias("col_"), F.lit(1.0).alias("frac"))
-    many = d.where(~one).withColumn("col_", F.explode(F.sequence("_c0", "_c1"))).withColumn("row_", F.explode(F.sequence("_r0", "_r1")))
-    left, top = x0 + (F.col("col_") - 0.5) * step, y0 - (F.col("row_") - 0.5) * step
-    many = G.pin(many, _area=G.ring_area(F.col("ring"))).withColumns({"_x0": left, "_x1": left + step, "_y0": top - step, "_y1": top})
-    for axis, side, above in G.CLIP_SIDES:
-        many = G.pin(many, ring=G.clip_side(F.col("ring"), axis, F.col(f"_{side}"), above))
-    frac = G.ring_area(F.col("ring")) / F.greatest("_area", F.lit(1e-9))
-    return whole.unionByName(many.select(key, "row_", "col_", frac.alias("frac")).where("frac > 1e-6"))
+    many = d.where(~one).select(key, shape)
+    cells = A.cell_areas(many, step, x0 - step / 2, y0 + step / 2, key, shape)
+    size = many.select(key, F.greatest(A.area(F.col(shape)), F.lit(1e-9)).alias("_area"))
+    frac = cells.join(size, key).select(key, (-F.col("_by") - 1).alias("row_"), F.col("_bx").alias("col_"), (F.col("inside") / F.col("_area")).alias("frac"))
+    return whole.unionByName(frac.where("frac > 1e-6"))
 
 
 def bldg_apportion(buildings: DataFrame, zones: DataFrame, cells: DataFrame, step: float, x0: float, y0: float,
-                   bucket_size: float, min_area: float = 20.0) -> DataFrame:
+                   bucket_size: float, min_area: float = 20.0, shape: str = "ring") -> DataFrame:
     """Zone totals to buildings by residential area, then to cells by area share.
 
-    ``zones``: zone, ring, housing_units, population.  ``cells``: cell, zone, row_, col_, ALAND, land_frac.
+    ``shape`` of buildings and zones holds simple rings or parts with holes.  ``zones``: zone, shape, housing_units, population.  ``cells``: cell, zone, row_, col_, ALAND, land_frac.
     Zones without residential area fall back to land area and are flagged.
     """
-    b = pip_join(G.with_representative_point(buildings), zones, bucket_size, key="b", poly="zone")
+    from panelwright.operators.areas import with_interior_point
+    b = pip_join(with_interior_point(buildings, shape), zones, bucket_size, key="b", ring=shape, poly="zone")
     resid = ~F.col("bldg_class").isin("commercial", "other") & (F.col("area_m2") >= min_area)
     b = b.withColumns({"resid_area": F.when(resid, F.col("area_m2")).otherwise(0.0),
                        "comm_area": F.when(F.col("bldg_class") == "commercial", F.col("area_m2")).otherwise(0.0)})
@@ -257,7 +276,7 @@ def bldg_apportion(buildings: DataFrame, zones: DataFrame, cells: DataFrame, ste
     b = b.join(per, "zone", "left").join(z, "zone", "left")
     w = F.col("resid_area") / F.when(F.col("bg_resid_bldg_area_m2") != 0, F.col("bg_resid_bldg_area_m2"))
     b = b.withColumns({"_units": F.coalesce(F.col("housing_units") * w, F.lit(0.0)), "_pop": F.coalesce(F.col("population") * w, F.lit(0.0))})
-    ov = area_overlay(buildings, step, x0, y0).join(
+    ov = area_overlay(buildings, step, x0, y0, shape=shape).join(
         b.select("b", "area_m2", "resid_area", "comm_area", "_units", "_pop", "px", "py"), "b")
     own = ((F.floor((F.col("px") - x0) / step + 0.5) == F.col("col_")) & (F.floor((y0 - F.col("py")) / step + 0.5) == F.col("row_")))
     part = lambda c, n: F.sum(F.col(c) * F.col("frac")).alias(n)

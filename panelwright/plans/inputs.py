@@ -231,6 +231,33 @@ IN_ZONE_SQL = """(px >= zx AND px < zx + 300 AND py >= zy AND py < zy + 300
     AND NOT (ell AND px >= zx + 150 AND py >= zy + 150))"""
 
 
+def areas(t) -> DataFrame:
+    """Areas as parts: squares, squares with a hole, pairs of strips, and area -1 over all of them, with a hole."""
+    k = F.col("s_suppkey")
+    x0, y0 = (k % 20) * 300.0, F.floor(k / 20) * 300.0
+    box = lambda a, b, c, d: G.rect_ring(x0 + a, y0 + b, x0 + c, y0 + d)
+    none = F.slice(F.array(box(0, 0, 1, 1)), 1, 0)
+    part = lambda ring, *holes: F.struct(ring.alias("ring"), (F.array(*holes) if holes else none).alias("holes"))
+    parts = (F.when(k % 3 == 0, F.array(part(box(0, 0, 300, 300), box(100, 100, 200, 200))))
+             .when(k % 3 == 1, F.array(part(box(0, 0, 100, 300)), part(box(200, 0, 300, 300)))).otherwise(F.array(part(box(0, 0, 300, 300)))))
+    tag = F.element_at(F.array(*[F.lit(v) for v in ["residential", "commercial", "other", "unknown"]]), (k % 4 + 1).cast("int"))
+    d = t.supplier.select(k.alias("zone"), parts.alias("parts"), tag.alias("tag"))
+    far = lambda a, b, c, d: G.rect_ring(*[F.lit(v) for v in (a, b, c, d)])
+    # as many rows as the smallest key has, which is one
+    over = t.supplier.where(k == 1).select(F.lit(-1).cast("bigint").alias("zone"), F.array(F.struct(
+        far(-50.0, -50.0, 6050.0, 6050.0).alias("ring"), F.array(far(40.0, 700.0, 2150.0, 1250.0)).alias("holes"))).alias("parts"), F.lit("other").alias("tag"))
+    return d.unionByName(over)
+
+
+#: Rectangles that areas are made of, with sign 1 or -1 (holes).
+ARE_SQL = """abox AS (SELECT s_suppkey AS zone, (s_suppkey % 20) * 300.0::DOUBLE AS ax, (s_suppkey // 20) * 300.0::DOUBLE AS ay FROM supplier),
+arect AS (SELECT zone, ax AS x0, ay AS y0, CASE WHEN zone % 3 = 1 THEN ax + 100 ELSE ax + 300 END AS x1, ay + 300 AS y1, 1 AS sign FROM abox
+  UNION ALL SELECT zone, ax + 200, ay, ax + 300, ay + 300, 1 FROM abox WHERE zone % 3 = 1
+  UNION ALL SELECT zone, ax + 100, ay + 100, ax + 200, ay + 200, -1 FROM abox WHERE zone % 3 = 0
+  UNION ALL SELECT -1, -50, -50, 6050, 6050, 1 FROM abox WHERE zone = 1 UNION ALL SELECT -1, 40, 700, 2150, 1250, -1 FROM abox WHERE zone = 1),
+atag AS (SELECT zone, (['residential','commercial','other','unknown'])[(zone % 4 + 1)::INT] AS tag FROM abox UNION ALL SELECT -1, 'other')"""
+
+
 def lines(t) -> DataFrame:
     """Street lines of two edges from a customer's seat on a 60-wide grid."""
     k = F.col("c_custkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import geometry as G
 from panelwright.operators import dependence, ppml, spatial
 from panelwright.plans import inputs as I
-from panelwright.plans.inputs import BLD_SQL, IN_ZONE_SQL, LIN_SQL, PANEL_SQL, PIX_SQL, PLC_SQL, PTS_SQL, ZON_SQL, q6, r6
+from panelwright.plans.inputs import ARE_SQL, BLD_SQL, IN_ZONE_SQL, LIN_SQL, PANEL_SQL, PIX_SQL, PLC_SQL, PTS_SQL, ZON_SQL, q6, r6
 from panelwright.plans.queries_models import OFF, ONE, ONE_SQL
 from panelwright.plans.registry import query
 
@@ -26,6 +26,12 @@ def _(t):
     return spatial.pip_join(I.places(t), I.zones(t), 300.0).select("id", "zone")
 
 
+@query("pip_join_parts", f"""WITH {PLC_SQL}, {ARE_SQL} SELECT id, zone FROM plc JOIN arect ON px >= x0 AND px < x1 AND py >= y0 AND py < y1 GROUP BY 1, 2 HAVING sum(sign) = 1""")
+def _(t):
+    # holes, two parts, and one area that is 200 buckets wide
+    return spatial.pip_join(I.places(t), I.areas(t), 30.0, ring="parts", how="inner", first=False).select("id", "zone")
+
+
 @query("subset_by_place", f"""WITH {PLC_SQL}, {ZON_SQL}, b AS (SELECT * FROM zon WHERE zone % 4 = 1 ORDER BY housing_units DESC, zone DESC LIMIT 1) SELECT id FROM plc JOIN b ON {IN_ZONE_SQL}""")
 def _(t):
     z = I.zones(t).withColumns({"place_name": F.concat(F.lit("p"), F.col("zone") % 4), "aland": F.col("housing_units")})
@@ -38,6 +44,15 @@ def _(t):
     return spatial.point_in_footprint_flag(I.buildings(t), I.places(t).where("id % 5 = 0"), 150.0).select("b", "bldg_class")
 
 
+@query("tag_footprints", f"""WITH {BLD_SQL}, {PLC_SQL}, {ARE_SQL}, z AS (SELECT b, zone FROM bld, arect r WHERE (bld.x0 + bld.x1) / 2 >= r.x0 AND (bld.x0 + bld.x1) / 2 < r.x1
+     AND (bld.y0 + bld.y1) / 2 >= r.y0 AND (bld.y0 + bld.y1) / 2 < r.y1 GROUP BY 1, 2 HAVING sum(sign) = 1), m AS (SELECT b, min(zone) AS zone FROM z WHERE zone <> -1 GROUP BY 1),
+   h AS (SELECT DISTINCT b FROM bld JOIN plc ON px >= x0 AND px < x1 AND py >= y0 AND py < y1 AND id % 5 = 0), c AS (SELECT b, coalesce(tag, 'unknown') AS c FROM bld LEFT JOIN m USING (b) LEFT JOIN atag USING (zone))
+   SELECT c.b, CASE WHEN h.b IS NOT NULL AND c IN ('unknown', 'other') THEN 'commercial' ELSE c END AS bldg_class FROM c LEFT JOIN h ON h.b = c.b""")
+def _(t):
+    shapes = I.areas(t).where("zone <> -1").withColumnRenamed("zone", "shape_id")
+    return spatial.tag_footprints(I.buildings(t), shapes, I.places(t).where("id % 5 = 0"), 150.0).select("b", "bldg_class")
+
+
 @query("nearest_line_join", f"WITH {PLC_SQL}, {LIN_SQL}, {near_sql('plc', 60)} SELECT id, seg_id, {q6('d')} AS snap_m FROM plc LEFT JOIN nr USING (id)")
 def _(t):
     return spatial.nearest_line_join(I.places(t), I.lines(t), 60.0).select("id", "seg_id", r6("snap_m").alias("snap_m"))
@@ -105,6 +120,15 @@ def _(t):
     return spatial.area_overlay(I.buildings(t), 100.0, 0.0, 10000.0).select("b", "row_", "col_", r6("frac").alias("frac"))
 
 
+@query("area_overlay_parts", f"""WITH {ARE_SQL}, g AS (SELECT *, unnest(range(floor((x0 + 50) / 100)::BIGINT, floor((x1 + 50) / 100)::BIGINT + 1)) AS col_ FROM arect),
+   c AS (SELECT *, unnest(range(floor((10050 - y1) / 100)::BIGINT, floor((10050 - y0) / 100)::BIGINT + 1)) AS row_ FROM g),
+   p AS (SELECT zone, row_, col_, sum(sign * greatest(0, least(x1, col_ * 100 + 50) - greatest(x0, col_ * 100 - 50)) * greatest(0, least(y1, 10050 - row_ * 100) - greatest(y0, 9950 - row_ * 100))) AS part FROM c GROUP BY 1, 2, 3),
+   a AS (SELECT zone, sum(sign * (x1 - x0) * (y1 - y0)) AS area FROM arect GROUP BY 1)
+   SELECT zone, row_, col_, {q6('part / area')} AS frac FROM p JOIN a USING (zone) WHERE part / area > 1e-6""")
+def _(t):
+    return spatial.area_overlay(I.areas(t), 100.0, 0.0, 10000.0, key="zone", shape="parts").select("zone", "row_", "col_", r6("frac").alias("frac"))
+
+
 def zone_cells(t):
     """100 m cells over the zones' squares: nine per zone, each knowing its zone."""
     z = I.zones(t).select("zone", (F.col("zone") % 20 * 3).alias("cz"), (F.floor(F.col("zone") / 20) * 3).alias("rz"))
