@@ -9,13 +9,16 @@ one row a pattern, never one a document.
 Documents are selected in the order of a seeded hash.  A pattern that has to give q times
 its words and r more gives every document q times and, once more, the documents up to a
 point in that order: the point is found from sums over 65,536 hash bins and from the rows
-of the one bin that holds it, and one further document of the size that is left over
-closes the gap.  What decides is thus a few numbers a pattern, and each row is decided
+of the one bin that holds it.  Where a document is too large for what is left, the order is
+gone on with among the documents that are not larger, again and again, until what is left is
+below ``NEAR`` of the words asked for or no document is that small; single documents, added, left or
+exchanged, then close the gap as long as one such step makes it smaller.  What decides is thus a few numbers a pattern, and each row is decided
 where it is read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from dataclasses import dataclass
 
@@ -27,15 +30,16 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import fields, over_texts, with_results
 from panelwright.session import cut
 
-MOST, SEED = 3, 23
+MOST, SEED, NEAR = 3, 23, 0.0005
 LOWEST = -(2 ** 63)
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 @dataclass
 class Plan:
     sizes: dict             # words of each source (documents of several sources count in each)
     targets: dict           # target of each source
-    decisions: DataFrame    # pattern, q, edge, cut_hash, cut_doc, fill_hash, fill_doc: a row a pattern
+    decisions: DataFrame    # pattern, q, cuts (largest size, bin, hash, id), single documents to add and to leave: a row a pattern
 
 
 def shares(sizes: dict, total: float, most: int = MOST) -> dict:
@@ -142,39 +146,99 @@ def plan(rows: DataFrame, most: int = MOST, targets: dict | None = None) -> Plan
     give = route([n for _, _, n in per], [[order.index(s) for s in names] for names, _, _ in per], [int(goal.get(s, 0)) for s in order], most)
     spark = rows.sparkSession
     start = [(p, *(divmod(g, n) if n else (0, 0))) for (_, p, n), g in zip(per, give)]
-    asked = spark.createDataFrame(start, "__p string, q int, r bigint")
-    bins = rows.groupBy("__p", "__bin").agg(F.sum("size").alias("n"))
-    so_far = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("__p").orderBy("__bin"))).join(asked, "__p")
-    edge = so_far.filter("upto > r AND upto - n <= r").select("__p", "q", "r", F.col("__bin").alias("edge"), (F.col("upto") - F.col("n")).alias("before"))
-    edge = _small(edge)
-    inside = rows.join(edge, "__p").filter("__bin = edge").withColumn(
-        "upto", F.col("before") + F.sum("size").over(Window.partitionBy("__p").orderBy("__h", "__d").rangeBetween(Window.unboundedPreceding, 0)))
-    last = inside.filter("upto <= r").groupBy("__p").agg(F.max(F.struct("__h", "__d")).alias("m"), F.max("upto").alias("have"))
-    edge = _small(edge.join(last, "__p", "left").select("__p", "q", "edge", "m.__h", "m.__d", (F.col("r") - F.coalesce("have", "before")).alias("gap"))
-               .withColumnsRenamed({"__h": "cut_hash", "__d": "cut_doc"}))
-    open_ = rows.join(edge, "__p").filter(~_first("__") & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
-    fill = open_.groupBy("__p").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "__h", "__d")).alias("m"))
-    decided = edge.join(fill, "__p", "left").select("__p", "q", "edge", "cut_hash", "cut_doc", F.col("m.__h").alias("fill_hash"), F.col("m.__d").alias("fill_doc"))
-    got = {r[0]: r for r in decided.collect()}
-    schema = "__p string, q int, edge int, cut_hash bigint, cut_doc bigint, fill_hash bigint, fill_doc bigint"
-    return Plan(sizes, goal, spark.createDataFrame([tuple(got[p]) if p in got else (p, q, 0, None, None, None, None) for p, q, _ in start], schema))
+    cuts: dict = {p: [] for p, _, _ in start}
+    left = {p: r for p, _, r in start if r}
+    goal_ = {p: give_ for (_, p, _), give_ in zip(per, give)}
+    quotient, open_ = {p: q for p, q, _ in start}, dict(left)
+    while open_:
+        now = spark.createDataFrame([(p, quotient[p], cuts[p], [], [], g) for p, g in open_.items()], _DECISION + ", gap bigint")
+        free = rows.join(F.broadcast(now), "__p").filter(~_taken("size") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        free = free.select("__p", "__bin", "__h", "__d", "size", "gap")
+        bins = free.groupBy("__p", "__bin", "gap").agg(F.sum("size").alias("n"))
+        so_far = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("__p").orderBy("__bin")))
+        edge = so_far.groupBy("__p").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("__bin"))).alias("edge"), F.max("upto").alias("all_"))
+        edge = so_far.join(edge, "__p").filter("edge IS NULL OR __bin = edge").groupBy("__p", "edge", "all_").agg(F.min(F.col("upto") - F.col("n")).alias("before"))
+        edge = _small(edge)
+        inside = free.join(F.broadcast(edge), "__p").filter("__bin = edge").withColumn(
+            "upto", F.col("before") + F.sum("size").over(Window.partitionBy("__p").orderBy("__h", "__d").rangeBetween(Window.unboundedPreceding, 0)))
+        last = inside.filter("upto <= gap").groupBy("__p").agg(F.max(F.struct("__h", "__d")).alias("m"), F.max("upto").alias("have"))
+        found = {r["__p"]: r for r in edge.join(last, "__p", "left").select("__p", "edge", "all_", "before", "m.__h", "m.__d", "have").collect()}
+        still = {}
+        for p, gap in open_.items():
+            r = found.get(p)
+            if r is None:                                   # no document is that small
+                continue
+            took = r.all_ if r.edge is None else r.have if r.have is not None else r.before
+            cuts[p].append((gap, 1 << 16 if r.edge is None else r.edge, r["__h"], r["__d"]))
+            left[p] = gap - took
+            if took and left[p] > max(NEAR * goal_[p], 0):
+                still[p] = left[p]
+        open_ = still
+    added: dict = {p: ([], []) for p in cuts}
+    open_ = {p: g for p, g in left.items() if g > NEAR * goal_[p]}
+    while open_:
+        now = spark.createDataFrame([(p, quotient[p], cuts[p], *added[p], g) for p, g in open_.items()], _DECISION + ", gap bigint")
+        found = _closing(rows, now)
+        for p, (gap, fill, drop) in found.items():
+            open_[p] = gap
+            for k, row in zip((0, 1), (fill, drop)):
+                if row[1] is not None:
+                    added[p][k].append(row[1:])
+        open_ = {p: open_[p] for p in found if abs(open_[p]) > NEAR * goal_[p]}
+    return Plan(sizes, goal, spark.createDataFrame([(p, q, cuts[p], *added[p]) for p, q, _ in start], _DECISION))
+
+
+def _closing(rows: DataFrame, now: DataFrame) -> dict:
+    """For each pattern of ``now`` that can come closer: (gap then left, document to add, document to leave), each (size, hash, id).
+
+    One row for each size that is still free or taken, of the patterns whose gap is not closed, comes to the driver.
+    """
+    by_size = (rows.join(F.broadcast(now), "__p").filter("size > 0").select("__p", "gap", "size", _once_more("size").alias("t"), "__h", "__d")
+               .groupBy("__p", "gap", "size", "t").agg(F.min(F.struct("__h", "__d")).alias("m")))
+    seen: dict = {}
+    for r in by_size.select("__p", "gap", "size", "t", "m.*").collect():
+        seen.setdefault((r["__p"], r.gap), ([(0, None, None)], [(0, None, None)]))[r.t].append((r.size, r["__h"], r["__d"]))
+    out = {}
+    for (p, gap), (free, taken) in seen.items():
+        free.sort(key=lambda x: x[0])
+        sizes, least = [x[0] for x in free], abs(gap)
+        for drop in sorted(taken, key=lambda x: x[0]):
+            i = bisect_left(sizes, gap + drop[0])
+            for fill in free[max(i - 1, 0): i + 1]:
+                if abs(gap + drop[0] - fill[0]) < least:
+                    least = abs(gap + drop[0] - fill[0])
+                    out[p] = (gap + drop[0] - fill[0], fill, drop)
+    return out
+
+
+_DECISION = "__p string, q int, cuts array<struct<most: bigint, edge: int, hash: bigint, doc: bigint>>, fills array<struct<hash: bigint, doc: bigint>>, drops array<struct<hash: bigint, doc: bigint>>"
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A row a pattern, through the driver, which holds the patterns: a join with it then needs no shuffle of the documents while it is small."""
+    """A row a pattern, through the driver, which holds the patterns: a join with it then needs no shuffle of the documents."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def _first(prefix: str) -> Column:
-    """Whether a row is before the point up to which documents are given once more."""
-    h, d = F.col(f"{prefix}h"), F.col(f"{prefix}d")
-    upto = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (d <= F.col("cut_doc")))
-    return (F.col(f"{prefix}bin") < F.col("edge")) | ((F.col(f"{prefix}bin") == F.col("edge")) & F.coalesce(upto, F.lit(False)))
+def _taken(size: str) -> Column:
+    """Whether one of the cuts gives a row once more: it is small enough and comes before the cut's point."""
+    h, d, b, n = (F.col(c) for c in ("__h", "__d", "__bin", size))
+    return F.exists("cuts", lambda c: (n <= c["most"]) & ((b < c["edge"]) | ((b == c["edge"]) & F.coalesce(
+        (h < c["hash"]) | ((h == c["hash"]) & (d <= c["doc"])), F.lit(False)))))
+
+
+def _once_more(size: str) -> Column:
+    """1 for a row that is given once more than q times."""
+    is_in = lambda k: F.exists(k, lambda c: (F.col("__h") == c["hash"]) & (F.col("__d") == c["doc"]))
+    return ((_taken(size) | is_in("fills")) & ~is_in("drops")).cast("int")
+
 
+def _copies(size: str = "size") -> Column:
+    return F.least(F.col("q") + _once_more(size), F.lit(MOST))
 
-def _copies() -> Column:
-    fill = F.coalesce((F.col("__h") == F.col("fill_hash")) & (F.col("__d") == F.col("fill_doc")), F.lit(False))
-    return F.least(F.col("q") + (_first("__") | fill).cast("int"), F.lit(MOST))
+
+def _decided(rows: DataFrame, p: Plan) -> DataFrame:
+    """Rows with their pattern's decision, which the driver holds anyway (a row a pattern)."""
+    return rows.join(F.broadcast(p.decisions), "__p")
 
 
 def copies(rows: DataFrame, p: Plan) -> DataFrame:
@@ -182,14 +246,18 @@ def copies(rows: DataFrame, p: Plan) -> DataFrame:
 
     Rows of equal id and text are decided alike, as they share their place in the order.
     """
-    return rows.join(p.decisions, "__p").select("doc_id", "source", "size", _copies().alias("copies"))
+    return _decided(rows, p).select("doc_id", "source", "size", _copies().alias("copies"))
 
 
 def mixed(docs: DataFrame, p: Plan, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; columns unchanged."""
-    names = docs.columns
-    d = docs.withColumns(_keys(doc, text, source, dict(docs.dtypes)[source], seed)).join(p.decisions, "__p")
-    return d.withColumn("__c", F.explode(F.array_repeat(F.lit(0), _copies()))).select(*names)
+    """The rows of ``docs``, each as often as the mix takes it; columns unchanged, whatever their names.
+
+    Null and empty texts have no words and are given q times like the others of their pattern; a null source is a source of its own; an
+    empty table gives no rows.
+    """
+    keys = {**_keys(doc, text, source, dict(docs.dtypes)[source], seed), "__n": F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0))}
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+    return _decided(d, p).withColumn("__c", F.explode(F.array_repeat(F.lit(0), _copies("__n")))).select("row.*")
 
 
 def source_table(spark, p: Plan) -> DataFrame:

@@ -338,21 +338,29 @@ def test_pieces_of_odd_rows(spark, odd, none, library):
 
 
 # ---- 8 -----------------------------------------------------------------------
-def test_op8(spark, docs):
-    rows = [(r.doc_id, len((r.text or "").encode().split()), r.source) for r in docs.collect()]
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_op8(spark, folder):
+    """Within 2 % and 20 words of each target; of ten documents a source, that fails only where no document added, left or exchanged comes closer."""
+    rows = [(r.doc_id, len((r.text or "").encode().split()), r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     size = collections.Counter()
     for _, n, s in rows:
         size[s] += n
     goal = mixing.shares(size, sum(size.values()))
-    got = Q["op8_mixing"](spark, SMALL).collect()
+    got = Q["op8_mixing"](spark, folder).collect()
     assert sorted((r.doc_id, r.size, r.source_size) for r in got) == sorted((d, n, size[s]) for d, n, s in rows)
     source, taken = {d: s for d, _, s in rows}, collections.Counter()
     for r in got:
         assert r.taken in (0, r.size, 2 * r.size, 3 * r.size) and r.target == goal[source[r.doc_id]]
         taken[source[r.doc_id]] += r.taken
-    largest = {s: max(n for _, n, of in rows if of == s) for s in goal}
-    assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 + 1 for s in goal)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, Q["op8_mixing"](spark, SMALL).collect()))
+    for s, asked in goal.items():
+        gap = asked - taken[s]
+        if abs(gap) > 0.02 * asked + 20:
+            assert folder == SMALL
+            mine = [r for r in got if source[r.doc_id] == s and r.size]
+            q = min(r.taken // r.size for r in mine)
+            drop, fill = ([0] + [r.size for r in mine if (r.taken // r.size > q) == t] for t in (True, False))
+            assert all(abs(gap + a - b) >= abs(gap) - 1 for a in drop for b in fill)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, Q["op8_mixing"](spark, folder).collect()))
 
 
 def test_shares_stop_and_pass_on():
@@ -369,11 +377,31 @@ def test_flow_is_cheapest():
     assert sum(give) == 19 and sum(map(cost, give, supply)) == best
 
 
+@pytest.mark.parametrize("offset", range(0, 120, 10))
+def test_gaps_after_a_long_document_are_filled(spark, offset):
+    """Twenty documents of 500 words in one source, one of 15,000 in the next: a target of 16,333 leaves half a small document open at most."""
+    rows = [(offset + i, "w " * 500, "b") for i in range(20)] + [(offset + 20, "w " * 15_000, "b"), (offset + 21, "w " * 24_000, "a")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    r = mixing.sized(d)
+    p = mixing.plan(r)
+    got = {x.source: x.n for x in mixing.copies(r, p).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
+    asked = int(p.targets["b"])
+    best = min((abs(500 * k + 15_000 * j - asked) for k in range(61) for j in range(4)))
+    assert abs(got["b"] - asked) <= max(best, 0.02 * asked)
+    again = mixing.mixed(d, p).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    assert {x.source: x.n for x in again} == got
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     rows = mixing.sized(odd)
     p = mixing.plan(rows)
     assert mixing.copies(rows, p).count() == odd.count()
-    assert mixing.mixed(odd, p).columns == odd.columns
+    names = ["q", "edge", "cuts", "fill_hash", "__p", "__bin", "__d", "__n", "__c", "row", "gap"]
+    wide = odd.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = mixing.mixed(wide, p)
+    assert out.columns == wide.columns and out.schema == wide.schema
+    assert all(tuple(r[n] for n in names) == tuple(f"own {n}" for n in names) and r["__h"] == "h" for r in out.collect())
+    assert {tuple(r) for r in out.select(odd.columns).collect()} <= {tuple(r) for r in odd.collect()}
     empty = mixing.sized(none)
     assert mixing.copies(empty, mixing.plan(empty)).count() == 0
     several = odd.withColumn("source", F.array("source", F.lit("all")))
