@@ -72,11 +72,18 @@ def with_results(rows: pa.RecordBatch, results: dict, drop=("text",)) -> pa.Reco
 
 
 def keep_rows(df: DataFrame, start: Callable, text: str = "text") -> DataFrame:
-    """The rows that f(rows, texts) marks, f = ``start()``; all columns as they are."""
-    def begin():
+    """The rows that f(rows, texts) marks, f = ``start()``; all columns as they are.
+
+    Only the text goes to Python (``rows`` holds that column alone), and only a flag comes back.
+    """
+    @F.arrow_udf("boolean")
+    def marked(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one_thread()
         f = start()
-        return lambda rows, texts: rows.filter(pa.array(f(rows, texts)))
-    return over_texts(df, df.schema, begin, text)
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            yield pa.chunked_array([pa.array(f(rows, texts), pa.bool_()) for rows, texts in text_slices(batch, "text")] or [[]], pa.bool_()).combine_chunks()
+    return df.filter(marked(F.col(text)))
 
 
 def fields(df: DataFrame, results: dict, drop=("text",)) -> str:

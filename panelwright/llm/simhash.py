@@ -204,7 +204,8 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) ->
     """
     near = near_copies(docs, doc=doc, text=text, **how)
     own = F.col(doc).cast("bigint")
-    key = {"__no_id": own.isNull(), "__id": F.coalesce(own, F.lit(0)), "__th": F.xxhash64(text)}
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("__no_id"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("th").alias("__th")))
+    key = {"no_id": own.isNull(), "id": F.coalesce(own, F.lit(0)), "th": F.xxhash64(text)}
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th"))
     least = near.groupBy("component").agg(first.alias("m")).select("m.*")
-    return docs.withColumns(key).join(least, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in key.items()])
+    return rows.join(least, list(key), "left_semi").dropDuplicates(list(key)).select("row.*")
