@@ -5,14 +5,16 @@ Each grid is a list of specs fitted in one batched job per call.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.stats import pct_per_sd
 from panelwright.functions.text import PROPERTY_CLASSES
-from panelwright.operators.ppml import Spec, coef_row, poisson_glm, ppml_fe, refuse_unreliable
+from panelwright.operators.ppml import Spec, _full, coef_row, poisson_glm, ppml_fe, refuse_unreliable
 from panelwright.operators.ranks import with_group
 from panelwright.operators.sample import SES
+from panelwright.session import cut
 
 ATTENUATION_THRESHOLD = 0.40
 MIN_SPLIT_EVENTS = 5000
@@ -111,47 +113,90 @@ def headline_repro_check(stored: DataFrame, fresh: DataFrame, keys: list[str], t
     return j.withColumn("abs_diff", gap).withColumn("ok", gap < tol)
 
 
-def dummy_fe_check(df: DataFrame, y: str, x: str, offset: str = "exposure", group: str = "GEOID",
-                   max_groups: int = 4000) -> DataFrame:
-    """Effects as explicit dummies (Spark ML) against the absorbed fit, on the identifying sample.
+def _identifying(df: DataFrame, y: str, x: list[str], keys: list[str], offset: str, group: str, least: int = 3) -> DataFrame:
+    """(keys, grp, y, off, x0, ...): complete rows of groups with events and ``least`` rows or more."""
+    num = lambda c: F.col(c).cast("double")
+    ok = num(offset) > 0
+    for c in [y, *x]:
+        ok = ok & num(c).isNotNull()
+    d = df.where(ok).select(*keys, F.col(group).cast("string").alias("grp"), num(y).alias("y"), F.log(num(offset)).alias("off"),
+                            *[num(c).alias(f"x{j}") for j, c in enumerate(x)])
+    return with_group(d, [*keys, "grp"], _sy=F.sum("y"), _sz=F.count("*")).where(f"_sy > 0 and _sz >= {least}").drop("_sy", "_sz")
 
-    The ML solver holds one normal-equation matrix, so the number of groups is
-    checked first; beyond the limit the comparison is refused, not truncated.
+
+def dummy_fit(d: DataFrame, keys: list[str], n_x: int, max_iter: int = 100, tol: float = 1e-10) -> DataFrame:
+    """Group dummies and slopes fitted jointly: (keys, b, se, n, groups, iters, converged), clustered by group.
+
+    The Newton system is block diagonal with a border: an intercept a group and the slopes.
+    Intercepts are state of their own, a row a group; the slopes' step solves the Schur
+    complement, summed over groups, and each intercept then follows from its own row.  No
+    matrix holds the dummies, so any number of groups and keys is one job.
+    """
+    xs, p = [f"x{j}" for j in range(n_x)], n_x
+    tri = [(j, k) for j in range(p) for k in range(j + 1)]
+    mean = d.groupBy(*keys).agg(*[F.avg(v).alias(f"_m{v}") for v in xs])
+    d = (d.join(mean, keys) if keys else d.join(F.broadcast(mean))).withColumns({v: F.col(v) - F.col(f"_m{v}") for v in xs}).drop(*[f"_m{v}" for v in xs])
+    d = cut(d)
+    kg = [*keys, "grp"]
+    start = d.groupBy(*kg).agg((F.log(F.sum("y")) - F.log(F.sum(F.exp("off")))).alias("a")).withColumns({f"b{j}": F.lit(0.0) for j in range(p)})
+    state = cut(start)
+
+    def sums(state):
+        eta = sum((F.col(f"b{j}") * F.col(v) for j, v in enumerate(xs)), F.col("a") + F.col("off"))
+        m, r = F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))), F.col("y") - F.col("_mu")
+        g = d.join(state, kg).withColumn("_mu", m).groupBy(*kg).agg(
+            F.first("a").alias("a"), *[F.first(f"b{j}").alias(f"b{j}") for j in range(p)], F.count("*").alias("n"), F.sum("_mu").alias("m"), F.sum(r).alias("r"),
+            *[F.sum(F.col("_mu") * F.col(v)).alias(f"m{j}") for j, v in enumerate(xs)], *[F.sum(r * F.col(v)).alias(f"r{j}") for j, v in enumerate(xs)],
+            *[F.sum(F.col("_mu") * F.col(xs[j]) * F.col(xs[k])).alias(f"h{j}_{k}") for j, k in tri])
+        return cut(g)
+
+    def schur(g):
+        left = [F.col(f"r{j}") - F.col(f"m{j}") * F.col("r") / F.col("m") for j in range(p)]
+        return g.groupBy(*keys).agg(
+            F.array(*[F.sum(v) for v in left]).alias("score"), F.array(*[F.sum(F.col(f"h{j}_{k}") - F.col(f"m{j}") * F.col(f"m{k}") / F.col("m")) for j, k in tri]).alias("hess"),
+            F.array(*[F.sum(left[j] * left[k]) for j, k in tri]).alias("meat"), F.max(F.abs("r")).alias("worst"), F.sum("n").alias("n"), F.count("*").alias("groups"),
+            *[F.first(f"b{j}").alias(f"b{j}") for j in range(p)])
+
+    types = dict(d.dtypes)
+    ks = "".join(f"`{k}` {types[k]}, " for k in keys)
+
+    def solve(batches):
+        for pdf in batches:
+            steps, move, se = [], [], []
+            for score, hess, meat, n, groups in zip(pdf["score"], pdf["hess"], pdf["meat"], pdf["n"], pdf["groups"]):
+                inv = np.linalg.pinv(_full(hess, p), hermitian=True)
+                step = inv @ np.asarray(score, float)
+                cov = inv @ _full(meat, p) @ inv * (groups / max(groups - 1, 1) * (n - 1) / max(n - groups - p, 1))
+                steps.append(list(step))
+                move.append(float(np.max(np.abs(step))))
+                se.append(list(np.sqrt(np.maximum(np.diag(cov), 0))))
+            pdf["step"], pdf["move"], pdf["se"] = steps, move, se
+            pdf["b"] = [[float(pdf[f"b{j}"].iloc[i]) for j in range(p)] for i in range(len(pdf))]
+            yield pdf[[*keys, "b", "se", "step", "move", "worst", "n", "groups"]]
+    out = ks + "b array<double>, se array<double>, step array<double>, move double, worst double, n bigint, groups bigint"
+    for it in range(1, max_iter + 1):
+        g = sums(state)
+        told = cut(schur(g).mapInPandas(solve, out))
+        still = told.where(f"NOT (move < {tol} AND worst < 1e-8)").count()
+        if not still or it == max_iter:
+            return told.select(*keys, "b", "se", "n", "groups", F.lit(it).alias("iters"), F.expr(f"move < {tol} AND worst < 1e-8").alias("converged"))
+        s = told.select(*keys, "step")
+        j = g.join(s, keys) if keys else g.join(F.broadcast(s))
+        step = [F.get("step", F.lit(q)) for q in range(p)]
+        da = (F.col("r") - sum((F.col(f"m{q}") * step[q] for q in range(p)), F.lit(0.0))) / F.col("m")
+        state = cut(j.select(*kg, (F.col("a") + da).alias("a"), *[(F.col(f"b{q}") + step[q]).alias(f"b{q}") for q in range(p)]))
+
+
+def dummy_fe_check(df: DataFrame, y: str, x, keys: list[str] = (), offset: str = "exposure", group: str = "GEOID") -> DataFrame:
+    """Effects of explicit group dummies against the absorbed fit, on the identifying sample, for every key at once.
+
+    ``x``: the effect and its controls.  Compared are the first one's slope and error.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    d = with_group(df, [group], _sy=F.sum(y), _sz=F.count("*")).where("_sy > 0 and _sz >= 3")
-    d = d.select(F.col(group).cast("string").alias("GEOID"), F.col(y).cast("double").alias("y"),
-                 F.col(x).cast("double").alias("x"), F.col(offset).cast("double").alias("exposure"))
-    d = d.withColumn("off", F.log("exposure")).persist()
-    try:
-        groups = d.select("GEOID").distinct().count()
-        if groups > max_groups:
-            raise ValueError(f"{groups} groups exceed the dummy limit {max_groups}")
-        mean = d.agg(F.avg("x")).first()[0]
-        d2 = d.withColumn("xc", F.col("x") - F.lit(mean))
-        model = Pipeline(stages=[
-            StringIndexer(inputCol="GEOID", outputCol="gi"), OneHotEncoder(inputCol="gi", outputCol="gv"),
-            VectorAssembler(inputCols=["xc", "gv"], outputCol="features"),
-            GeneralizedLinearRegression(family="poisson", link="log", offsetCol="off", labelCol="y",
-                                        maxIter=100, tol=1e-12, predictionCol="mu")]).fit(d2)
-        beta = float(model.stages[-1].coefficients[0])
-        mu = model.transform(d2).select("GEOID", "y", "xc", "mu")
-        g = mu.groupBy("GEOID").agg(F.sum("mu").alias("m"), F.sum(F.col("mu") * F.col("xc")).alias("mx"),
-                                    F.sum(F.col("mu") * F.col("xc") * F.col("xc")).alias("mxx"),
-                                    F.sum(F.col("y") - F.col("mu")).alias("r"),
-                                    F.sum((F.col("y") - F.col("mu")) * F.col("xc")).alias("rx"), F.count("*").alias("n"))
-        s = F.col("rx") - F.col("mx") / F.col("m") * F.col("r")
-        one = g.agg(F.sum(s * s).alias("meat"), F.sum(F.col("mxx") - F.col("mx") * F.col("mx") / F.col("m")).alias("h"),
-                    F.count("*").alias("gr"), F.sum("n").alias("n"))
-        fix = F.col("gr") / (F.col("gr") - 1) * (F.col("n") - 1) / (F.col("n") - F.col("gr") - 1)
-        dummy = one.select(F.lit(beta).alias("beta_dummy"), (F.sqrt(F.col("meat") * fix) / F.col("h")).alias("se_dummy"),
-                           F.lit("m").alias("model_id"))
-        fit = coef_row(ppml_fe(d, [Spec("m", "y", ["x"])], []))
-        return fit.join(dummy, "model_id").select(
-            "nobs", "n_groups", "beta", "beta_dummy", F.abs(F.col("beta") - F.col("beta_dummy")).alias("beta_diff"),
-            "se", "se_dummy", (F.col("se_dummy") / F.col("se")).alias("se_ratio"))
-    finally:
-        d.unpersist()
+    x, keys = [x] if isinstance(x, str) else list(x), list(keys)
+    d = cut(_identifying(df, y, x, keys, offset, group))
+    dummy = dummy_fit(d, keys, len(x)).select(*keys, F.get("b", F.lit(0)).alias("beta_dummy"), F.get("se", F.lit(0)).alias("se_dummy"), "converged")
+    own = d.withColumnsRenamed({"y": "_y"}).withColumns({"exposure": F.exp("off"), "GEOID": F.col("grp")})
+    fit = coef_row(ppml_fe(own, [Spec("m", "_y", [f"x{j}" for j in range(len(x))])], keys)).drop("converged")
+    both = fit.join(dummy, keys) if keys else fit.join(F.broadcast(dummy))
+    return both.select(*keys, "nobs", "n_groups", "beta", "beta_dummy", F.abs(F.col("beta") - F.col("beta_dummy")).alias("beta_diff"),
+                       "se", "se_dummy", (F.col("se_dummy") / F.col("se")).alias("se_ratio"), "converged")

@@ -129,10 +129,13 @@ def _(t):
     return ppml.coef_row(one_fit(t)).join(sd, "city").select("city", r6(pct_per_sd(F.col("beta"), F.col("sd"))).alias("pct_per_sd"))
 
 
-@query("dummy_fe_check")
+@query("dummy_fe_check", f"""WITH {PANEL_SQL}, idn AS (SELECT * FROM panel WHERE {OFF} > 0 QUALIFY sum(n_returned) OVER (PARTITION BY city, "GEOID") > 0 AND count(*) OVER (PARTITION BY city, "GEOID") >= 3),
+   {newton_sql('idn', 'n_returned', 'slope_deg', OFF, '"GEOID"')}
+   SELECT k AS city, nobs::DOUBLE AS nobs, n_groups, {q6('b', 7)} AS beta, {q6('b', 7)} AS beta_dummy, {q6('se', 7)} AS se, {q6('se * sqrt((nobs - 1) / (nobs - n_groups - 1))', 7)} AS se_dummy, true AS converged FROM nfit""")
 def _(t):
-    d = I.panel(t).where("city = 'city_1'")
-    return specs.dummy_fe_check(d, "n_returned", "slope_deg", OFF)
+    """Every city in one job, a row a city."""
+    d = specs.dummy_fe_check(I.panel(t), "n_returned", "slope_deg", ["city"], OFF)
+    return d.select("city", "nobs", "n_groups", *[r6(c, 7).alias(c) for c in ("beta", "beta_dummy", "se", "se_dummy")], "converged")
 
 
 def _ladder_sql():
