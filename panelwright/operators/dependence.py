@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.permute import permuted, permuted_column
 from panelwright.functions.stats import norm_cdf
 from panelwright.operators import ppml
 from panelwright.operators.ppml import Spec
@@ -44,14 +45,15 @@ def cross_group_weights(points: DataFrame, k: int, group: str, rounds: int = 10_
 
 
 def morans_i(values: DataFrame, w: DataFrame, permutations: int = 999, seed: int = 1) -> DataFrame:
-    """I, its expectation, normal z and p, and a permutation p over hash-drawn permutations.
+    """I, its expectation, normal z and p, and a permutation p over keyed permutations.
 
-    Each permutation is a dense numbering by ``xxhash64(seed, rep, id)``; all
-    permutations are one batch and none is sorted in a single task.
+    Units are numbered once (``pos``, if ``values`` has it: 0 .. n - 1); where a permutation
+    puts a unit is computed from its number and the permutation's, so none is stored or sorted.
     """
-    v = values.select(F.col("id"), F.col("e").cast("double").alias("e"))
+    numbered = "pos" in values.columns
+    v = values.select(F.col("id"), F.col("e").cast("double").alias("e"), *(["pos"] if numbered else []))
     m = v.agg(F.avg("e").alias("m"), F.count("*").alias("n"))
-    z = v.join(F.broadcast(m)).select("id", (F.col("e") - F.col("m")).alias("z"), "n").persist()
+    z = v.join(F.broadcast(m)).select("id", (F.col("e") - F.col("m")).alias("z"), "n", *(["pos"] if numbered else [])).persist()
     one = z.agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n_units"))
     lag = lambda t, keys: (w.join(t.select(*keys, F.col("id").alias("i"), F.col("z").alias("zi")), "i")
                             .join(t.select(*keys, F.col("id").alias("j"), F.col("z").alias("zj")), ["j", *keys]))
@@ -69,11 +71,9 @@ def morans_i(values: DataFrame, w: DataFrame, permutations: int = 999, seed: int
     r = r.withColumns({"morans_i": i_stat, "expected_i": e_i}).withColumn("z_norm", (F.col("morans_i") - e_i) / F.sqrt(var))
     r = r.withColumn("p_norm", 2 * (1 - norm_cdf(F.abs("z_norm"))))
     if permutations:
-        idx = dense_index(z.select("id", "z"), [], F.xxhash64(F.lit(seed), F.lit(-1), "id"), "pos").select("id", "z", "pos")
-        idx = cut(idx)
-        reps = idx.select("id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
-        moved = dense_index(reps, ["rep"], F.xxhash64(F.lit(seed), "rep", "id"), "pos").join(idx.select("pos", "z"), "pos")
-        sim = _permuted(w, moved)
+        number = F.xxhash64(F.lit(seed), F.lit(-1), "id")
+        idx = cut(z.select("id", "z", "pos", "n") if numbered else dense_index(z.select("id", "z", "n"), [], number, "pos").select("id", "z", "pos", "n"))
+        sim = _permuted(w, idx, idx.count(), permutations, seed)
         c = sim.join(F.broadcast(r.select("morans_i", "zz", "s0", "n_units"))).agg(
             F.count_if(F.col("n_units") / F.col("s0") * F.col("num") / F.col("zz") >= F.col("morans_i")).alias("_c"))
         r = r.join(F.broadcast(c))
@@ -84,10 +84,49 @@ def morans_i(values: DataFrame, w: DataFrame, permutations: int = 999, seed: int
     return out
 
 
-def _permuted(w: DataFrame, moved: DataFrame) -> DataFrame:
-    """Cross-products per replicate; a unit's permuted values ride as one array of R entries."""
-    arr = moved.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "z"))), lambda s: s["z"]).alias("zs"))
-    arr = cut(arr)
+BROADCAST_UNITS = 4_000_000     # values of up to so many units (8 bytes each) go to every task; beyond, they are joined
+EDGES_AT_ONCE = 500_000
+
+
+def _permuted(w: DataFrame, idx: DataFrame, n: int, reps: int, seed: int) -> DataFrame:
+    """(rep, num): the cross-product under every permutation.  ``idx``: id, z, pos."""
+    if n > BROADCAST_UNITS:
+        return _permuted_by_join(w, idx, n, reps, seed)
+    got = idx.select("pos", "z").toArrow()
+    values = np.empty(n)
+    values[got.column("pos").to_numpy()] = got.column("z").to_numpy()
+    shared = w.sparkSession.sparkContext.broadcast(values)
+    at = lambda c: idx.select(F.col("id").alias(c), F.col("pos").alias(f"p{c}"))
+    edges = w.join(at("i"), "i").join(at("j"), "j").select("pi", "pj", "w")
+
+    def run(batches):
+        held, many = [], 0
+
+        def sums():
+            t = pa.Table.from_batches(held)
+            units, where = np.unique(np.concatenate([t.column("pi").to_numpy(), t.column("pj").to_numpy()]), return_inverse=True)
+            i, j, weight, z = where[: len(t)], where[len(t):], t.column("w").to_numpy(), shared.value
+            out = np.empty(reps)
+            for r in range(reps):
+                v = z[permuted(units, r, n, seed)]
+                out[r] = np.dot(weight * v[i], v[j])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(reps, dtype=np.int32)), pa.array(out)], names=["rep", "num"])
+        for b in batches:
+            held.append(b)
+            many += b.num_rows
+            if many >= EDGES_AT_ONCE:
+                yield sums()
+                held, many = [], 0
+        if many:
+            yield sums()
+    return edges.mapInArrow(run, "rep int, num double").groupBy("rep").agg(F.sum("num").alias("num"))
+
+
+def _permuted_by_join(w: DataFrame, idx: DataFrame, n: int, reps: int, seed: int) -> DataFrame:
+    """The same where the values are too many to send around: a unit's permuted values come by joins and ride as one array."""
+    far = idx.select("id", "pos", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    far = far.select("id", "rep", permuted_column(F.col("pos"), F.col("rep"), n, seed).alias("pos")).join(idx.select("pos", "z"), "pos")
+    arr = cut(far.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "z"))), lambda s: s["z"]).alias("zs")))
     j = w.join(arr.select(F.col("id").alias("i"), F.col("zs").alias("a")), "i").join(
         arr.select(F.col("id").alias("j"), F.col("zs").alias("b")), "j")
     prod = F.zip_with("a", "b", lambda p, q: p * q)

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.ranks import dense_index, with_group
+from panelwright.operators.ranks import dense_index, ordered_index, with_group
 from panelwright.operators.tables import dedupe_undirected, shortest_undirected
-from panelwright.session import cut, partitions
+from panelwright.session import cut
 
 
 def _unfinished(rounds: int):
@@ -253,12 +253,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weights: list[str], k: int |
     own = ends.select("net", metrics, "node", F.col("node").alias("v"), F.lit(None).cast("double").alias("w"))
     out_, back = (cut(own.unionByName(a)) for a in (arcs, arcs.select("net", "metric", F.col("v").alias("node"), F.col("node").alias("v"), "w")))
     pivots = cut(pick_pivots(nodes, k, seed=seed))
-    # neighbouring sources share a block: numbered in the order of the node ids, which dense_index cuts by its top bits
-    low, high = pivots.agg(F.min("node"), F.max("node")).first()
-    low, span, slices = low or 0, (high or 0) - (low or 0) + 1, max(2, min(1024, partitions(edges.sparkSession)))
-    place = (F.col("node") - low).cast("bigint")
-    order = F.shiftleft(F.floor(place / float(span) * slices).cast("bigint"), 40) + F.pmod(place, F.lit(1 << 40))
-    src = dense_index(pivots, ["net"], order, "_i").select("net", F.col("node").alias("s"), F.floor(F.col("_i") / BLOCK).alias("blk"), (F.col("_i") % BLOCK).cast("int").alias("slot"))
+    # neighbouring sources share a block: numbered in the order of the node ids
+    src = ordered_index(pivots, ["net"], "node", "_i").select("net", F.col("node").alias("s"), F.floor(F.col("_i") / BLOCK).alias("blk"), (F.col("_i") % BLOCK).cast("int").alias("slot"))
     src = cut(src)
     types = {**dict(nodes.dtypes)}
     schema = _STATE.format(net=types["net"], node=types["node"])

@@ -112,6 +112,15 @@ def dense_index(df: DataFrame, keys: list[str], order: Column, out: str = "idx")
              .drop("_h", "_b", "_r", "_o"))
 
 
+def ordered_index(df: DataFrame, keys: list[str], number: str, out: str = "idx") -> DataFrame:
+    """Number rows 0..n-1 inside each key in the order of a whole ``number``, cut into slices by its value."""
+    low, high = df.agg(F.min(number), F.max(number)).first()
+    low, span = low or 0, (high or 0) - (low or 0) + 1
+    place = (F.col(number) - low).cast("bigint")
+    slices = max(2, min(1024, partitions(df.sparkSession)))
+    return dense_index(df, keys, F.shiftleft(F.floor(place / float(span) * slices).cast("bigint"), 40) + F.pmod(place, F.lit(1 << 40)), out)
+
+
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Attach per-group aggregates by a partial-aggregated groupBy and a join.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import geometry as G
+from panelwright.functions.permute import permuted_sql
 from panelwright.operators import dependence, ppml, spatial
+from panelwright.operators.ranks import ordered_index
 from panelwright.plans import inputs as I
 from panelwright.plans.inputs import ARE_SQL, BLD_SQL, IN_ZONE_SQL, LIN_SQL, PANEL_SQL, PIX_SQL, PLC_SQL, PTS_SQL, ZON_SQL, q6, r6
 from panelwright.plans.queries_models import OFF, ONE, ONE_SQL
@@ -245,10 +247,20 @@ def _(t):
     return m.select(r6("morans_i", 8).alias("morans_i"), r6("expected_i", 8).alias("expected_i"), "n_units")
 
 
-@query("morans_i_permutation")
+@query("morans_i_permutation", f"""WITH RECURSIVE {KNN_SQL}, z AS (SELECT id, x - avg(x) OVER () AS z, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM pts),
+   b AS (SELECT *, greatest(2, ceil(log2(n))::BIGINT) AS bits FROM z), h AS (SELECT *, bits - bits // 2 AS hi, bits // 2 AS lo FROM b), reps AS (SELECT unnest(range(999)) AS rep),
+   wk AS (SELECT pos, rep, n, hi, lo, {permuted_sql('pos', 'rep', 1)} AS v FROM h, reps UNION ALL SELECT pos, rep, n, hi, lo, {permuted_sql('v', 'rep', 1)} FROM wk WHERE v >= n),
+   zz AS MATERIALIZED (SELECT w.pos, w.rep, z.z FROM wk w JOIN z ON z.pos = w.v WHERE w.v < w.n), e AS MATERIALIZED (SELECT a.pos AS pi, c.pos AS pj FROM kn JOIN z a ON a.id = i JOIN z c ON c.id = j),
+   s AS (SELECT sum(z * z) AS zz, count(*) AS n FROM z), k AS (SELECT sum(0.125 * a.z * c.z) AS num, count(*) * 0.125 AS s0 FROM e JOIN z a ON a.pos = pi JOIN z c ON c.pos = pj),
+   sim AS (SELECT a.rep, sum(0.125 * a.z * c.z) AS num FROM e JOIN zz a ON a.pos = pi JOIN zz c ON c.pos = pj AND c.rep = a.rep GROUP BY 1),
+   c AS (SELECT count(*) FILTER (sim.num >= k.num) AS c FROM sim, k), bw AS (SELECT pi, pj FROM e UNION ALL SELECT pj, pi FROM e),
+   s1 AS (SELECT sum(ws * ws) / 2 AS s1 FROM (SELECT count(*) * 0.125 AS ws FROM bw GROUP BY pi, pj)), s2 AS (SELECT sum(r * r) AS s2 FROM (SELECT count(*) * 0.125 AS r FROM bw GROUP BY pi)),
+   v AS (SELECT *, n / s0 * num / zz AS i, -1.0::DOUBLE / (n - 1) AS ei, (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1.0::DOUBLE) * s0 * s0) - (1.0::DOUBLE / (n - 1)) ** 2 AS var FROM s, k, s1, s2)
+   SELECT {q6('i', 8)} AS morans_i, {q6('ei', 8)} AS expected_i, n AS n_units, {q6('(i - ei) / sqrt(var)')} AS z_norm, {q6('(least(c, 999 - c) + 1) / 1000.0')} AS p_sim FROM v, c""")
 def _(t):
-    p = I.points(t)
-    return dependence.morans_i(p.select("id", F.col("x").alias("e")), dependence.knn_weights(p, 8), permutations=999)
+    p = ordered_index(I.points(t), [], "id", "pos")
+    m = dependence.morans_i(p.select("id", F.col("x").alias("e"), "pos"), dependence.knn_weights(p, 8), permutations=999)
+    return m.select(r6("morans_i", 8).alias("morans_i"), r6("expected_i", 8).alias("expected_i"), "n_units", r6("z_norm").alias("z_norm"), r6("p_sim").alias("p_sim"))
 
 
 @query("conley_se", f"""WITH {ONE_SQL}, e AS (SELECT city, cell, "GEOID" AS g, x, y AS yy, n_returned AS n, slope_deg AS s, exp(b * slope_deg) * {OFF} AS e FROM panel JOIN nfit ON k = city),
