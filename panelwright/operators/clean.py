@@ -138,15 +138,17 @@ def cap_recent(df: DataFrame, feed: str, ts: str, tie: str, cap: int = MAX_ROWS)
 def cap_start_date(df: DataFrame, feed: str, ts: str, cap: int = MAX_ROWS, first: str = START_DATE) -> DataFrame:
     """Per feed, the earliest start day, from ``first`` on, whose row count still fits under the cap.
 
-    A feed whose newest day alone is over the cap starts at ``first``, with all its rows.
+    A feed whose newest day alone is over the cap starts at ``first``, with all its rows; so does, with
+    none, a feed that has only undated and earlier rows.
     """
     days = (df.where(F.to_date(ts) >= F.lit(first).cast("date"))
             .groupBy(feed, F.to_date(ts).alias("day")).agg(F.count("*").alias("_c")))
     cum = days.withColumn("_k", F.sum("_c").over(Window.partitionBy(feed).orderBy(F.col("day").desc())))
     fits = F.col("_k") <= cap
-    return cum.groupBy(feed).agg(
-        F.coalesce(F.min(F.when(fits, F.col("day"))), F.lit(first).cast("date")).alias("start_day"),
-        F.coalesce(F.max(F.when(fits, F.col("_k"))), F.sum("_c")).alias("rows_kept"))
+    got = cum.groupBy(feed).agg(F.min(F.when(fits, F.col("day"))).alias("_day"), F.coalesce(F.max(F.when(fits, F.col("_k"))), F.sum("_c")).alias("_rows"))
+    feeds = df.select(feed).distinct().withColumnRenamed(feed, "_feed")
+    return feeds.join(got, feeds["_feed"].eqNullSafe(got[feed]), "left").select(
+        F.col("_feed").alias(feed), F.coalesce("_day", F.lit(first).cast("date")).alias("start_day"), F.coalesce("_rows", F.lit(0)).alias("rows_kept"))
 
 
 def sentinel_code_drop(df: DataFrame, value: str, sentinel: float = PARKING_SENTINEL) -> DataFrame:

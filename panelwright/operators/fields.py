@@ -32,11 +32,29 @@ DESC_GOOD = (r"(crm_cd_desc|offense|offence|nibrs|ucr|charge|statute|"
              r"crime|incident|violation)")
 DESC_BAD = (r"(weapon|premis|vict|status|suspect|arrest|disposition|"
             r"resolution|report_type|agency|beat|district|sector)")
+LAT_CATALOG = r"^(lat|latitude|y|point_y|lat_?y|ycoord|y_coord)$"
+LON_CATALOG = r"^(lon|long|lng|longitude|x|point_x|lon_?x|xcoord|x_coord)$"
+DATE_TIME = r"(date|datetime|occur|report|time)"
+DESC_CATALOG = r"(desc|offense|offence|category|type|crime|nibrs|ucr|charge|statute)"
+LAT_LAYER = (r"^((geo|map|pt|point|incident)_?)?(lat|latitude|y|ycoord|y_coord|lat_?y)"
+             r"(_?(public|wgs84|dd))?$")
+LON_LAYER = (r"^((geo|map|pt|point|incident)_?)?(lon|long|lng|longitude|x|xcoord|"
+             r"x_coord|lon_?x)(_?(public|wgs84|dd))?$")
+DESC_LAYER = (r"(desc|offen|categ|type|crime|nibrs|ucr|charge|statute|text|"
+              r"narrat|classif|title|nature|hierarchy)")
 OCCURRENCE_NAME = r"(occur|incident|began|start)"
 EMPTY_WORDS = ["none", "nan", "null"]
 # ---- end of fixed values ----------------------------------------------------
 
 
+#: Name rules by where a feed was found: registered feeds, catalogue entries, map layers.
+DIALECTS = {
+    "registry": {"lat": LAT_NAME, "lon": LON_NAME, "date": DATE_NAME, "desc": DESC_NAME, "not_coord": NOT_COORD_NAME},
+    "catalog": {"lat": LAT_CATALOG, "lon": LON_CATALOG, "date": DATE_TIME, "desc": DESC_CATALOG, "not_coord": None},
+    "layer": {"lat": LAT_LAYER, "lon": LON_LAYER, "date": DATE_TIME, "desc": DESC_LAYER, "not_coord": None},
+}
+
+
 def _like(col: Column, pattern: str) -> Column:
     return F.coalesce(col.rlike(FLAGS + pattern), F.lit(False))
 
@@ -50,28 +68,32 @@ def desc_score(name: Column) -> Column:
     return (points(DESC_GOOD, 2) + points("desc", 1) + points("categor", -1) + points(DESC_BAD, -3))
 
 
-def rank_desc(cols: DataFrame, feed: str = "feed", pos: str = "pos", name: str = "column_name"):
+def rank_desc(cols: DataFrame, feed: str = "feed", pos: str = "pos", name: str = "column_name", dialect: str = "registry"):
     """Description-like columns, most offence-like first, original order within a score."""
     w = Window.partitionBy(feed).orderBy(F.col("score").desc(), F.col(pos))
-    return (cols.where(_like(F.col(name), DESC_NAME))
+    return (cols.where(_like(F.col(name), DIALECTS[dialect]["desc"]))
                 .withColumn("score", desc_score(F.col(name)))
                 .withColumn("place", F.row_number().over(w)))
 
 
 def pick_coord(cols: DataFrame, pattern: str, out: str, feed: str = "feed", pos: str = "pos",
-               name: str = "column_name") -> DataFrame:
-    """First column of a feed whose name looks like the coordinate and nothing else."""
-    ok = _like(F.col(name), pattern) & ~_like(F.col(name), NOT_COORD_NAME)
+               name: str = "column_name", but_not: str | None = NOT_COORD_NAME) -> DataFrame:
+    """First column of a feed whose name looks like the coordinate and not like ``but_not``."""
+    ok = _like(F.col(name), pattern)
+    if but_not:
+        ok = ok & ~_like(F.col(name), but_not)
     return cols.where(ok).groupBy(feed).agg(F.min_by(name, pos).alias(out))
 
 
-def pick_field(cols: DataFrame, feed: str = "feed", pos: str = "pos", name: str = "column_name"):
+def pick_field(cols: DataFrame, feed: str = "feed", pos: str = "pos", name: str = "column_name", dialect: str = "registry"):
+    """Coordinate, date and description columns of every feed by the name rules of a dialect."""
+    rule = DIALECTS[dialect]
     feeds = cols.select(feed).distinct()
-    date_ok = _like(F.col(name), DATE_NAME) & ~_like(F.col(name), NOT_DATE_NAME)
-    best = rank_desc(cols, feed, pos, name).where("place = 1").select(
+    date_ok = _like(F.col(name), rule["date"]) & ~_like(F.col(name), NOT_DATE_NAME)
+    best = rank_desc(cols, feed, pos, name, dialect).where("place = 1").select(
         feed, F.col(name).alias("desc_col"))
-    return (feeds.join(pick_coord(cols, LAT_NAME, "lat_col", feed, pos, name), feed, "left")
-                 .join(pick_coord(cols, LON_NAME, "lon_col", feed, pos, name), feed, "left")
+    coord = lambda axis: pick_coord(cols, rule[axis], f"{axis}_col", feed, pos, name, rule["not_coord"])
+    return (feeds.join(coord("lat"), feed, "left").join(coord("lon"), feed, "left")
                  .join(cols.where(date_ok).groupBy(feed).agg(F.min_by(name, pos).alias("date_col")),
                        feed, "left")
                  .join(best, feed, "left"))
@@ -106,18 +128,23 @@ def score_desc_fields(values: DataFrame, feed: str = "feed", min_values: int = 2
 
 
 def pick_date_field(values: DataFrame, parsed: Column, feed: str = "feed",
-                    start: str = "2018-01-01") -> DataFrame:
-    """The date column with the most rows in the window, occurrence names ahead of paperwork."""
+                    start: str = "2018-01-01", now: Column | None = None) -> DataFrame:
+    """The date column with the most rows in the window, occurrence names ahead of paperwork.
+
+    A column whose latest date is not between 1990 and 400 days from ``now`` holds no dates of events.
+    """
+    now = F.current_timestamp() if now is None else now
     v = values.withColumn("_t", parsed)
     filled = F.col("value").isNotNull() & (F.col("value") != "")
     s = v.groupBy(feed, "column_name").agg(
         F.count("*").alias("_n"), F.count_if(filled).alias("_filled"),
-        F.count("_t").alias("_ok"), F.countDistinct(F.to_date("_t")).alias("_days"),
+        F.count("_t").alias("_ok"), F.max("_t").alias("_last"), F.countDistinct(F.to_date("_t")).alias("_days"),
         F.count_if(F.col("_t") >= F.lit(start).cast("timestamp")).alias("rows"))
     cover = F.col("_filled") / F.col("_n")
     bonus = F.when(_like(F.col("column_name"), OCCURRENCE_NAME), 1.15).otherwise(1.0)
     good = ((F.col("_filled") >= 20) & (F.col("_ok") >= 0.8 * F.col("_filled"))
             & (F.col("_days") >= 2) & (cover >= 0.5) & (F.col("rows") > 0)
+            & (F.col("_last") > F.lit("1990-01-01").cast("timestamp")) & (F.col("_last") < now + F.expr("INTERVAL 400 DAYS"))
             & ~_like(F.col("column_name"), NOT_DATE_NAME))
     s = s.where(good).withColumn("score", F.col("rows") * bonus * cover)
     best = F.max_by(F.struct("column_name", "rows", "score"),

@@ -348,8 +348,8 @@ def ring_front_join(buildings: DataFrame, segs: DataFrame, max_dist: float, key:
 
 
 def target_counts(segs: DataFrame, addresses: DataFrame, parcels: DataFrame, buildings: DataFrame,
-                  point_m: float = 60.0, front_m: float = 15.0) -> DataFrame:
-    """Street-facing targets per segment: doors, address units, parcels and fronting buildings."""
+                  point_m: float = 60.0, front_m: float = 15.0, entrances: DataFrame | None = None, entrance_m: float = 30.0) -> DataFrame:
+    """Street-facing targets per segment: doors, address units, parcels, fronting buildings and, if given, mapped entrances."""
     from panelwright.operators.tables import join_many_outer
     one = addresses.groupBy("addr").agg(F.min_by(F.struct("id", "px", "py"), "id").alias("_m")).select("_m.*")
     doors = count_points(one, segs, point_m, {"front_doors": F.count("*")})
@@ -357,8 +357,9 @@ def target_counts(segs: DataFrame, addresses: DataFrame, parcels: DataFrame, bui
     lots = count_points(parcels, segs, point_m, {"parcel_n": F.count("*"), "resunits": F.sum("units"),
                                                  "retail_sqft": F.sum("retail"), "garage_parcels": F.sum("garage")})
     front = ring_front_join(buildings, segs, front_m).where("seg_id is not null").groupBy("seg_id").agg(
-        F.count("*").alias("bldg_front"), F.count_if(F.col("bldg_class").contains("resid")).alias("bldg_front_resid"))
-    return join_many_outer([doors, units, lots, front], "seg_id")
+        F.count("*").alias("bldg_front"), F.count_if(F.lower("bldg_class").contains("resid")).alias("bldg_front_resid"))
+    ways = [] if entrances is None else [count_points(entrances, segs, entrance_m, {"osm_entrances": F.count("*")})]
+    return join_many_outer([doors, units, lots, front, *ways], "seg_id")
 
 
 def line_length_in_disk(query: DataFrame, lines: DataFrame, r: float, spacing: float = 20.0, key: str = "id",

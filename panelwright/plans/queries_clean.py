@@ -70,6 +70,30 @@ def _(t):
     return readers.scan_json_pages(t.spark, path, "record_id: bigint, desc1: string")
 
 
+PAGES_SQL = f"""WITH {INC_SQL} SELECT feed AS source, event_id AS record_id, desc1, lat, lon FROM inc WHERE lat IS NOT NULL AND desc1 IS NOT NULL"""
+
+
+def _pages(t, page):
+    """Rows landed in pages of 50, every tenth record also on the next page, as (source, page) with ``page`` made of the rows."""
+    path = scratch_path(t.spark, "pages")
+    rows = I.incidents(t).where("lat is not null and desc1 is not null")
+    at = F.array(F.floor(F.col("event_id") / 50), F.when(F.col("event_id") % 10 == 0, F.floor(F.col("event_id") / 50) + 1))
+    rec = F.struct(F.col("event_id").cast("string").alias("record_id"), "desc1", F.col("lat").cast("string").alias("latitude"), "lon")
+    d = rows.select(F.col("feed").alias("source"), F.explode(F.array_compact(at)).alias("n"), rec.alias("r"))
+    d.groupBy("source", "n").agg(F.collect_list("r").alias("r")).select("source", page.alias("page")).write.json(path)
+    return readers.scan_json_pages(t.spark, path, "record_id: bigint, desc1: string", lat="latitude", lon="lon")
+
+
+@query("scan_json_rows", PAGES_SQL)
+def _(t):
+    return _pages(t, F.col("r"))
+
+
+@query("scan_json_records", PAGES_SQL)
+def _(t):
+    return _pages(t, F.struct(F.struct(F.col("r").alias("records"), F.size("r").alias("total")).alias("result")))
+
+
 @query("scan_geojsonseq", f"""WITH {I.BLD_SQL} SELECT b AS id, x0 AS minx, y0 AS miny, x1 AS maxx, y1 AS maxy FROM bld
   WHERE x1 >= 500 AND x0 <= 4000 AND y1 >= 100 AND y0 <= 3000""")
 def _(t):
@@ -98,13 +122,16 @@ def _(t):
     return I.incidents(t).orderBy(F.col("ts").desc(), "event_id").limit(100).select("feed", "event_id")
 
 
-@query("cap_start_date", f"""WITH {INC_SQL}, d AS (SELECT feed, ts::DATE AS day, count(*) AS c FROM inc WHERE ts >= DATE '2018-01-01' GROUP BY 1, 2),
+@query("cap_start_date", f"""WITH {INC_SQL}, a AS (SELECT feed, ts FROM inc UNION ALL SELECT feed || '_old', CASE WHEN event_id % 2 = 0 THEN ts - INTERVAL 30 YEARS END FROM inc WHERE event_id % 40 = 0),
+  d AS (SELECT feed, ts::DATE AS day, count(*) AS c FROM a WHERE ts >= DATE '2018-01-01' GROUP BY 1, 2), f AS (SELECT DISTINCT feed FROM a),
   r AS (SELECT feed, day, c, sum(c) OVER (PARTITION BY feed ORDER BY day DESC) AS k FROM d)
   SELECT feed, coalesce(min(day) FILTER (k <= CASE WHEN feed = 'feed_3' THEN 1 ELSE 700 END), DATE '2018-01-01')::VARCHAR AS start_day,
-    coalesce(max(k) FILTER (k <= CASE WHEN feed = 'feed_3' THEN 1 ELSE 700 END), sum(c))::BIGINT AS rows_kept FROM r GROUP BY feed""")
+    coalesce(max(k) FILTER (k <= CASE WHEN feed = 'feed_3' THEN 1 ELSE 700 END), sum(c), 0)::BIGINT AS rows_kept FROM f LEFT JOIN r USING (feed) GROUP BY feed""")
 def _(t):
-    # one feed is held to a cap that its newest day exceeds
-    inc, one = I.incidents(t), F.col("feed") == "feed_3"
+    # one feed is held to a cap that its newest day exceeds; feeds with old and undated rows only stay
+    inc, one, k = I.incidents(t), F.col("feed") == "feed_3", F.col("event_id")
+    old = inc.where(k % 40 == 0).select(F.concat("feed", F.lit("_old")).alias("feed"), F.when(k % 2 == 0, F.col("ts") - F.expr("INTERVAL 30 YEARS")).alias("ts"))
+    inc = inc.select("feed", "ts").unionByName(old)
     got = clean.cap_start_date(inc.where(~one), "feed", "ts", 700).unionByName(clean.cap_start_date(inc.where(one), "feed", "ts", 1))
     return got.withColumn("start_day", F.col("start_day").cast("string"))
 
@@ -574,16 +601,31 @@ def _(t):
     return fields.pick_coord(feed_columns(t), fields.LAT_NAME, "lat_col")
 
 
-@query("pick_field", f"""WITH {FEEDS_SQL}, c AS (SELECT DISTINCT feed FROM nm),
-  la AS (SELECT feed, arg_min(column_name, pos) AS lat_col FROM nm WHERE {_m('column_name', fields.LAT_NAME)} AND NOT {_m('column_name', fields.NOT_COORD_NAME)} GROUP BY 1),
-  lo AS (SELECT feed, arg_min(column_name, pos) AS lon_col FROM nm WHERE {_m('column_name', fields.LON_NAME)} AND NOT {_m('column_name', fields.NOT_COORD_NAME)} GROUP BY 1),
-  da AS (SELECT feed, arg_min(column_name, pos) AS date_col FROM nm WHERE {_m('column_name', fields.DATE_NAME)} AND NOT {_m('column_name', fields.NOT_DATE_NAME)} GROUP BY 1),
-  de AS (SELECT feed, column_name AS desc_col FROM nm WHERE {_m('column_name', fields.DESC_NAME)} QUALIFY row_number() OVER (PARTITION BY feed ORDER BY {SCORE_SQL} DESC, pos) = 1)
-  SELECT feed, lat_col, lon_col, date_col, desc_col FROM c LEFT JOIN la USING (feed) LEFT JOIN lo USING (feed) LEFT JOIN da USING (feed) LEFT JOIN de USING (feed)""")
+def _pick_sql(dialect):
+    rule = fields.DIALECTS[dialect]
+    coord = lambda axis: (f"SELECT feed, arg_min(column_name, pos) AS {axis}_col FROM nm WHERE {_m('column_name', rule[axis])}"
+                          + (f" AND NOT {_m('column_name', rule['not_coord'])}" if rule["not_coord"] else "") + " GROUP BY 1")
+    return f"""WITH {FEEDS_SQL}, c AS (SELECT DISTINCT feed FROM nm), la AS ({coord('lat')}), lo AS ({coord('lon')}),
+  da AS (SELECT feed, arg_min(column_name, pos) AS date_col FROM nm WHERE {_m('column_name', rule['date'])} AND NOT {_m('column_name', fields.NOT_DATE_NAME)} GROUP BY 1),
+  de AS (SELECT feed, column_name AS desc_col FROM nm WHERE {_m('column_name', rule['desc'])} QUALIFY row_number() OVER (PARTITION BY feed ORDER BY {SCORE_SQL} DESC, pos) = 1)
+  SELECT feed, lat_col, lon_col, date_col, desc_col FROM c LEFT JOIN la USING (feed) LEFT JOIN lo USING (feed) LEFT JOIN da USING (feed) LEFT JOIN de USING (feed)"""
+
+
+@query("pick_field", _pick_sql("registry"))
 def _(t):
     return fields.pick_field(feed_columns(t))
 
 
+@query("pick_field_catalog", _pick_sql("catalog"))
+def _(t):
+    return fields.pick_field(feed_columns(t), dialect="catalog")
+
+
+@query("pick_field_layer", _pick_sql("layer"))
+def _(t):
+    return fields.pick_field(feed_columns(t), dialect="layer")
+
+
 LONG_SQL = f"""{INC_SQL}, vals AS (SELECT feed, 'desc1' AS column_name, desc1 AS value FROM inc UNION ALL SELECT feed, 'event_type', event_type FROM inc
    UNION ALL SELECT feed, 'subcat', subcat FROM inc UNION ALL SELECT feed, 'value', value::VARCHAR || ' theft' FROM inc)"""
 NORM = "regexp_replace(coalesce(value, ''), '[-_/|]+', ' ', 'g')"
@@ -612,17 +654,19 @@ def _(t):
 
 
 @query("pick_date_field", f"""WITH d AS (SELECT user_id % 7 AS feed, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END AS occurred, ts AS report_time,
-      CASE WHEN event_id % 3 = 0 THEN ts END AS began FROM events),
-  l AS (SELECT feed, 'occurred' AS column_name, occurred AS v FROM d UNION ALL SELECT feed, 'report_time', report_time FROM d UNION ALL SELECT feed, 'began', began FROM d),
-  s AS (SELECT feed, column_name, count(*) AS n, count(v) AS f, count(DISTINCT v::DATE) AS days FROM l GROUP BY 1, 2),
+      CASE WHEN event_id % 3 = 0 THEN ts END AS began, ts + INTERVAL 60 YEARS AS start_expiry FROM events),
+  l AS (SELECT feed, 'occurred' AS column_name, occurred AS v FROM d UNION ALL SELECT feed, 'report_time', report_time FROM d UNION ALL SELECT feed, 'began', began FROM d
+    UNION ALL SELECT feed, 'start_expiry', start_expiry FROM d),
+  s AS (SELECT feed, column_name, count(*) AS n, count(v) AS f, count(DISTINCT v::DATE) AS days FROM l GROUP BY 1, 2 HAVING max(v) BETWEEN TIMESTAMP '1990-01-01' AND now()::TIMESTAMP + INTERVAL 400 DAYS),
   s2 AS (SELECT feed, column_name, f AS rows, f * CASE WHEN column_name IN ('occurred', 'began') THEN 1.15::DOUBLE ELSE 1 END * (f::DOUBLE / n) AS score FROM s
     WHERE f >= 20 AND days >= 2 AND f::DOUBLE / n >= 0.5)
   SELECT feed::BIGINT AS feed, column_name, rows, {q6('score')} AS score FROM s2 QUALIFY row_number() OVER (PARTITION BY feed ORDER BY score DESC, column_name DESC) = 1""")
 def _(t):
     k, ts = F.col("event_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     d = t.events.select((F.col("user_id") % 7).alias("feed"), F.when(k % 4 != 0, ts).alias("occurred"),
-                        ts.alias("report_time"), F.when(k % 3 == 0, ts).alias("began"))
-    best = fields.pick_date_field(fields.long_values(d, "feed", ["occurred", "report_time", "began"]), clean.parse_mixed(F.col("value")))
+                        ts.alias("report_time"), F.when(k % 3 == 0, ts).alias("began"),
+                        F.date_format(F.col("ts").cast("timestamp") + F.expr("INTERVAL 60 YEARS"), "yyyy-MM-dd HH:mm:ss").alias("start_expiry"))
+    best = fields.pick_date_field(fields.long_values(d, "feed", ["occurred", "report_time", "began", "start_expiry"]), clean.parse_mixed(F.col("value")))
     return best.withColumn("score", r6("score"))
 
 

@@ -184,12 +184,14 @@ def _(t):
    be AS (SELECT b, bldg_class, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2 FROM bld UNION ALL SELECT b, bldg_class, x1, y0, x1, y1 FROM bld UNION ALL SELECT b, bldg_class, x1, y1, x0, y1 FROM bld UNION ALL SELECT b, bldg_class, x0, y1, x0, y0 FROM bld),
    bd AS (SELECT b.b, b.bldg_class, a.seg_id, min(CASE WHEN a.x1 >= w.x0 AND a.x1 < w.x1 AND a.y1 >= w.y0 AND a.y1 < w.y1 THEN 0 ELSE {EE('a.', 'b.')} END) AS d FROM be b JOIN bld w ON w.b = b.b JOIN le a ON abs(a.x1 - b.x1) < 350 AND abs(a.y1 - b.y1) < 350 GROUP BY 1, 2, 3),
    bb AS (SELECT * FROM bd WHERE d <= 15 QUALIFY row_number() OVER (PARTITION BY b ORDER BY d, seg_id) = 1), f AS (SELECT seg_id, count(*) AS bldg_front, count(*) FILTER (bldg_class = 'residential') AS bldg_front_resid FROM bb GROUP BY 1)
+   , {near_sql('(SELECT id, px, py FROM plc WHERE id % 4 = 1)', 30, name='en')}, n AS (SELECT seg_id, count(*) AS osm_entrances FROM en GROUP BY 1)
    SELECT seg_id, coalesce(front_doors, 0) AS front_doors, coalesce(addr_units, 0) AS addr_units, coalesce(resunits, 0) AS resunits, coalesce(retail_sqft, 0) AS retail_sqft, coalesce(garage_parcels, 0) AS garage_parcels,
-     coalesce(bldg_front, 0) AS bldg_front, coalesce(bldg_front_resid, 0) AS bldg_front_resid FROM a FULL JOIN f USING (seg_id)""")
+     coalesce(bldg_front, 0) AS bldg_front, coalesce(bldg_front_resid, 0) AS bldg_front_resid, coalesce(osm_entrances, 0) AS osm_entrances FROM a FULL JOIN f USING (seg_id) FULL JOIN n USING (seg_id)""")
 def _(t):
     p = I.places(t)
     lots = p.withColumns({"retail": F.col("units") * 10, "garage": (F.col("id") % 2).cast("double")})
-    return spatial.target_counts(I.lines(t), p, lots, I.buildings(t)).drop("parcel_n")
+    houses = I.buildings(t).withColumn("bldg_class", F.initcap("bldg_class"))        # classes come in any case
+    return spatial.target_counts(I.lines(t), p, lots, houses, entrances=p.where("id % 4 = 1")).drop("parcel_n")
 
 
 DISK_SQL = f"""{LIN_SQL}, {SAMP_SQL.format(src='lin')}, sp AS (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, greatest(round_even((l1 + l2) / 20, 0), 1)::BIGINT AS n FROM ln)),

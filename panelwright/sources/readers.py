@@ -43,16 +43,30 @@ def scan_psv_acs(spark: SparkSession, path: str, rename: dict[str, str]) -> Data
                        *[F.col(c).try_cast("double").alias(n) for c, n in rename.items()])
 
 
-def scan_json_pages(spark: SparkSession, path: str, attributes: str) -> DataFrame:
-    """Feature pages ``{"features": [{"attributes": {...}, "geometry": {"x":, "y":}}]}`` to rows.
+RECORDS = ["$.features", "$.result.records", "$.records", "$.rows", "$"]
 
+
+def scan_json_pages(spark: SparkSession, path: str, attributes: str, lat: str | None = None, lon: str | None = None) -> DataFrame:
+    """REST pages, one JSON object a line, to rows (source, attributes, lat, lon).
+
+    The page itself is the object or its ``page``; its records are the first array among ``features``
+    (with ``attributes`` and ``geometry``), ``result.records``, ``records``, ``rows`` and the page as
+    an array.  Coordinates come from the geometry, else from the fields ``lat`` and ``lon``.  Values
+    of another type are converted, null where that cannot be done; lines that are no JSON are left out.
     Paging may repeat a record, so rows are unique on (source, record_id).
     """
-    schema = ("source string, features array<struct<attributes: struct<" + attributes
-              + ">, geometry: struct<x: double, y: double>>>")
-    pages = spark.read.schema(schema).json(path)
-    rows = pages.select("source", F.explode("features").alias("f")).select(
-        "source", "f.attributes.*", F.col("f.geometry.x").alias("lon"), F.col("f.geometry.y").alias("lat"))
+    named = [[x.strip() for x in f.split(":", 1)] for f in attributes.split(",")]
+    whole = F.try_parse_json("value")
+    d = spark.read.text(path).select(whole.alias("v")).where("v IS NOT NULL")
+    d = d.select(F.try_variant_get("v", "$.source", "string").alias("source"), F.coalesce(F.try_variant_get("v", "$.page", "variant"), "v").alias("page"))
+    lists = [F.try_variant_get("page", p, "array<variant>") for p in RECORDS]
+    d = d.select("source", F.explode(F.coalesce(*lists)).alias("r"))
+    d = d.select("source", "r", F.coalesce(F.try_variant_get("r", "$.attributes", "variant"), "r").alias("a"))
+
+    def place(axis, field):
+        own = F.try_variant_get("r", f"$.geometry.{axis}", "double")
+        return F.coalesce(own, F.try_variant_get("a", f"$['{field}']", "double")) if field else own
+    rows = d.select("source", *[F.try_variant_get("a", f"$['{n}']", kind).alias(n) for n, kind in named], place("y", lat).alias("lat"), place("x", lon).alias("lon"))
     return rows.dropDuplicates(["source", "record_id"])
 
 
