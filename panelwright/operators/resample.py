@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.ppml import Spec, build_design, centre_within, coef_row, newton_slopes, ppml_fe
 from panelwright.operators.ranks import dense_index, with_group
+from panelwright.operators.replicates import replicate_slopes, with_weights
 from panelwright.session import cut
 
 
@@ -45,16 +46,23 @@ def weighted_replicates(d: DataFrame, draws: DataFrame, keys: list[str], unit: s
 
 
 def bootstrap_slopes(df: DataFrame, specs: list[Spec], keys: list[str], unit: Column, reps: int, seed: int,
-                     group: str = "GEOID", max_iter: int = 60) -> DataFrame:
-    """First slope of every (key, spec, replicate) that converged: the refits behind each interval."""
+                     group: str = "GEOID", max_iter: int = 60, start: DataFrame | None = None) -> DataFrame:
+    """First slope of every (key, spec, replicate) that converged: the refits behind each interval.
+
+    Replicates go as weight vectors (``replicates``) and begin at the slopes of ``start``, the
+    base fit; only where the slopes of all models are too many to send around, rows are copied by replicate.
+    """
+    km = [*keys, "model_id"]
     d = build_design(df.withColumn("_unit", unit.cast("string")), specs, keys, group, carry=["_unit"])
-    d = centre_within(d, [*keys, "model_id"]).persist()
+    d = centre_within(d, km).persist()
     try:
         units = df.select(*keys, unit.cast("string").alias("unit")).distinct()
         draws = draw_multiplicity(units, keys, reps, seed).persist()
-        rep = weighted_replicates(d, draws, keys, "_unit").drop("_unit")
-        fit = newton_slopes(rep, [*keys, "model_id", "rep"], max_iter)
-        out = cut(fit.where("converged").select(*keys, "model_id", "rep", F.get("b", F.lit(0)).alias("beta")))
+        at = {} if start is None else {tuple(r[k] for k in km): r["b"] for r in start.select(*km, "b").limit(100_000).collect()}
+        fit = replicate_slopes(with_weights(d, draws, keys, "_unit", reps), km, reps, at, max_iter)
+        if fit is None:
+            fit = newton_slopes(weighted_replicates(d, draws, keys, "_unit").drop("_unit"), [*km, "rep"], max_iter)
+        out = cut(fit.where("converged").select(*km, "rep", F.get("b", F.lit(0)).alias("beta")))
         draws.unpersist()
         return out
     finally:
@@ -71,10 +79,11 @@ def _interval(g: list[str], d: DataFrame, col: str, names: tuple[str, str]) -> D
 def cluster_bootstrap_diff(df: DataFrame, a: Spec, b: Spec, keys: list[str], reps: int = 600, seed: int = 17,
                            group: str = "GEOID", cap: float = 5.0) -> DataFrame:
     """Difference of two outcomes' coefficients with both refitted inside every cluster draw."""
-    base = coef_row(ppml_fe(df, [a, b], keys, group)).groupBy(*keys).agg(
+    first = ppml_fe(df, [a, b], keys, group)
+    base = coef_row(first).groupBy(*keys).agg(
         *[F.max(F.when(F.col("model_id") == s.model_id, F.col(c))).alias(f"{c}_{n}")
           for s, n in ((a, "a"), (b, "b")) for c in ("beta", "pct")])
-    s = bootstrap_slopes(df, [a, b], keys, F.col(group), reps, seed, group)
+    s = bootstrap_slopes(df, [a, b], keys, F.col(group), reps, seed, group, start=first)
     pick = lambda m: F.max(F.when(F.col("model_id") == m, F.col("beta")))
     w = s.groupBy(*keys, "rep").agg(pick(a.model_id).alias("ba"), pick(b.model_id).alias("bb"))
     good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < cap)
@@ -97,7 +106,8 @@ def spatial_block_bootstrap(df: DataFrame, spec: Spec, keys: list[str], reps: in
                             tile_m: float = 1000.0, group: str = "GEOID", cap: float = 2.0) -> DataFrame:
     """Resample square tiles.  A copy of a tile keeps its own effects, so the effect key is
     (group, tile) with the tile's draw count as weight; thin pieces (<3 rows) drop out."""
-    base = coef_row(ppml_fe(df, [spec], keys, group)).select(*keys, "beta", "se", "pct", "lo", "hi")
+    first = ppml_fe(df, [spec], keys, group)
+    base = coef_row(first).select(*keys, "beta", "se", "pct", "lo", "hi")
     d = df.withColumn("_tile", tile_of(F.col("x"), F.col("y"), tile_m))
     tiles = d.groupBy(*keys).agg(F.countDistinct("_tile").alias("n_tiles"))
     d = d.withColumn("_fe", F.concat_ws("|", F.col(group).cast("string"), "_tile"))
@@ -105,7 +115,7 @@ def spatial_block_bootstrap(df: DataFrame, spec: Spec, keys: list[str], reps: in
     # every tile is a unit to draw, also one whose pieces are all thin: its rows carry no weight
     d = thin.withColumn("_in", F.col("_sz") >= 3)
     one = Spec(spec.model_id, spec.y, spec.x, spec.offset, where=F.col("_in"))
-    s = bootstrap_slopes(d, [one], keys, F.col("_tile"), reps, seed, "_fe")
+    s = bootstrap_slopes(d, [one], keys, F.col("_tile"), reps, seed, "_fe", start=first)
     ok = s.where(F.col("beta").isNotNull() & ~F.isnan("beta") & (F.abs("beta") < cap))
     ci = _interval(keys, ok, "beta", ("_lo", "_hi"))
     return (base.join(tiles, keys).join(ci, keys, "left")
@@ -117,7 +127,7 @@ def spatial_block_bootstrap(df: DataFrame, spec: Spec, keys: list[str], reps: in
 def multi_spec_bootstrap(df: DataFrame, specs: list[Spec], keys: list[str], reps: int = 300, seed: int = 11,
                          group: str = "GEOID") -> DataFrame:
     """Several specs refitted on the same draws; intervals of each and of its gap to the first."""
-    s = bootstrap_slopes(df, specs, keys, F.col(group), reps, seed, group)
+    s = bootstrap_slopes(df, specs, keys, F.col(group), reps, seed, group, start=ppml_fe(df, specs, keys, group))
     s = s.where(~F.isnan("beta"))
     first = s.where(F.col("model_id") == specs[0].model_id).select(*keys, "rep", F.col("beta").alias("b0"))
     w = s.join(first, [*keys, "rep"]).withColumn("gap", F.col("beta") - F.col("b0"))
