@@ -11,6 +11,8 @@ from panelwright.operators.ppml import Spec
 from panelwright.plans import inputs as I
 from panelwright.plans.inputs import PANEL_SQL, q6, r6
 from panelwright.plans.registry import query
+from panelwright.session import scratch_path
+from panelwright.sources import writers
 
 OFF = "housing_units_cell"
 
@@ -233,29 +235,34 @@ def _(t):
     return s.select("city", "period", F.col("events").cast("bigint").alias("events"), r6("beta", 7).alias("beta"))
 
 
-@query("headline_repro_check")
+@query("headline_repro_check", f"WITH {ONE_SQL} SELECT k AS city, {q6('b', 6)} AS stored, {q6('b', 6)} AS recomputed, true AS ok FROM nfit")
 def _(t):
-    a = ppml.coef_row(one_fit(t)).withColumn("beta", F.round("beta", 7))
-    return specs.headline_repro_check(a, ppml.coef_row(one_fit(t)), ["city"])
+    """The fit as stored once against one from the rows in another order and dealing."""
+    path = scratch_path(t.spark, "headline")
+    writers.sink_parquet(ppml.coef_row(one_fit(t)), path)
+    other = I.panel(t).repartition(7, "cell").sortWithinPartitions(F.xxhash64("cell"))
+    d = specs.headline_repro_check(t.spark.read.parquet(path), ppml.coef_row(ppml.ppml_fe(other, [ONE], ["city"])), ["city"])
+    return d.select("city", r6("stored").alias("stored"), r6("recomputed").alias("recomputed"), "ok")
 
 
 # ---- resampling (rows-only: the draws are hashes) -------------------------------------------
 @query("cluster_bootstrap_diff")
 def _(t):
-    d = I.panel(t).withColumn("n_theft", sample.theft_total(I.panel(t)))
-    a, b = Spec("theft", "n_theft", ["slope_deg"], OFF), Spec("noloot", "n_NO_LOOT", ["slope_deg"], OFF)
-    return resample.cluster_bootstrap_diff(d, a, b, ["city"], reps=600)
+    d = sample.prep_sample(I.panel(t), "cells")
+    d, xs = d.withColumn("n_theft", sample.theft_total(d)), ["slope_deg_raw", *sample.SES]
+    return resample.cluster_bootstrap_diff(d, Spec("theft", "n_theft", xs), Spec("noloot", "n_NO_LOOT", xs), ["city"], reps=600)
 
 
 @query("spatial_block_bootstrap")
 def _(t):
-    return resample.spatial_block_bootstrap(I.panel(t), ONE, ["city"], reps=400, tile_m=1000.0)
+    spec = Spec("m", "n_total", ["slope_deg_raw", *sample.SES])
+    return resample.spatial_block_bootstrap(sample.prep_sample(I.panel(t), "cells"), spec, ["city"], reps=400, tile_m=1000.0)
 
 
 @query("multi_spec_bootstrap")
 def _(t):
-    sp = [Spec("slope", "n_returned", ["slope_deg"], OFF), Spec("tpi", "n_returned", ["tpi_500"], OFF), Spec("elev", "n_returned", ["elev"], OFF)]
-    return resample.multi_spec_bootstrap(I.panel(t), sp, ["city"], reps=300)
+    sp = [Spec(x, "n_total", [x, *sample.SES]) for x in ("slope_deg_raw", "tpi_500_z", "elev")]
+    return resample.multi_spec_bootstrap(sample.prep_sample(I.panel(t), "cells"), sp, ["city"], reps=300)
 
 
 CONF_SQL = f"""{PANEL_SQL}, cf(pred, truth, p) AS (VALUES {', '.join(f"('{p}', '{q}', {v}::DOUBLE)" for p, q, v in [('MASS_1', 'MASS_1', .9), ('MASS_1', 'OTHER', .1), ('MASS_2', 'MASS_2', .8), ('MASS_2', 'MASS_3', .2), ('MASS_3', 'MASS_3', 1), ('MASS_4', 'MASS_4', .85), ('MASS_4', 'MASS_5', .15), ('MASS_5', 'MASS_5', .95), ('MASS_5', 'ROBBERY', .05), ('MVT', 'MVT', 1), ('NO_LOOT', 'NO_LOOT', .75), ('NO_LOOT', 'OTHER', .25)])}),
