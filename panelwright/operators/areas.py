@@ -32,9 +32,10 @@ def as_parts(df: DataFrame, shape: str) -> DataFrame:
 
 
 def rings(parts: Column) -> Column:
-    """All rings as array<struct<ring, role>>, role 1 for outer rings and -1 for holes."""
+    """All rings of three vertices or more as array<struct<ring, role>>, role 1 for outer rings and -1 for holes."""
     one = lambda r, role: F.struct(r.alias("ring"), F.lit(role).alias("role"))
-    return F.flatten(F.transform(parts, lambda p: F.concat(F.array(one(p["ring"], 1.0)), F.transform(p["holes"], lambda h: one(h, -1.0)))))
+    found = F.flatten(F.transform(parts, lambda p: F.concat(F.array(one(p["ring"], 1.0)), F.transform(p["holes"], lambda h: one(h, -1.0)))))
+    return F.filter(found, lambda r: F.size(r["ring"]) >= 3)
 
 
 def _twice(ring: Column) -> Column:
@@ -45,12 +46,12 @@ def _twice(ring: Column) -> Column:
 
 
 def area(parts: Column) -> Column:
-    return F.aggregate(rings(parts), F.lit(0.0), lambda a, r: a + F.when(F.size(r["ring"]) < 3, 0.0).otherwise(r["role"] * F.abs(_twice(r["ring"])) / 2.0))
+    return F.aggregate(rings(parts), F.lit(0.0), lambda a, r: a + r["role"] * F.abs(_twice(r["ring"])) / 2.0)
 
 
 def area_edges(areas: DataFrame, key: str, shape: str) -> DataFrame:
     """(key, x1, y1, x2, y2, turn) of all rings; turn is 1 where the edge has the inside on its left, else -1."""
-    d = areas.select(key, F.explode(rings(F.col(shape))).alias("_r")).where(F.size("_r.ring") >= 3)
+    d = areas.select(key, F.explode(rings(F.col(shape))).alias("_r"))
     d = G.pin(d, _t=F.signum(_twice(F.col("_r.ring"))) * F.col("_r.role"))
     e = d.select(key, F.explode(G.edges(G.close_ring(F.col("_r.ring")))).alias("_e"), F.col("_t").alias("turn"))
     return e.select(key, "_e.*", "turn")
@@ -109,10 +110,11 @@ def cover(areas: DataFrame, key: str, shape: str, size: float, ox: float = 0.0,
 
 # ---- points ----------------------------------------------------------------------
 def points_in_areas(points: DataFrame, areas: DataFrame, size: float, key: str, x: str, y: str, shape: str, poly: str) -> DataFrame:
-    """(key, poly) for every point in an area."""
+    """(key, poly) for every point in an area; points without finite coordinates are in none."""
     s = float(size)
     border, corner, inside = cover(as_parts(areas.select(poly, shape), shape), poly, shape, size)
-    p = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumns(
+    p = points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
+        (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf"))).withColumns(
         {"_bx": F.floor(F.col("_x") / s), "_by": F.floor(F.col("_y") / s)})
     parity = corner.select(poly, "_bx", "_by", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("edge"), "base")
     rows = border.select(poly, "_bx", "_by", "edge", F.lit(0).alias("base")).unionByName(parity)
