@@ -65,10 +65,9 @@ class _Moments:
         self.p, self.tri = p, [(j, k) for j in range(p) for k in range(j + 1)]
         self.n = 2 + 2 * p + len(self.tri)
 
-    def of(self, x: np.ndarray, y: np.ndarray, off: np.ndarray, m: np.ndarray, slopes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """``x`` rows x p, ``m`` rows x active, ``slopes`` active x p, ``starts`` where groups begin."""
+    def of(self, x: np.ndarray, my: np.ndarray, off: np.ndarray, m, slopes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``x`` rows x p, ``my`` weighted outcomes and ``m`` weights (or 1) rows x active, ``slopes`` active x p, ``starts`` where groups begin."""
         e = m * np.exp(np.clip(x @ slopes.T + off[:, None], -ETA_CAP, ETA_CAP))
-        my = m * y[:, None]
         add = lambda a: np.add.reduceat(a, starts, axis=0)
         parts = [add(my), add(e)]
         parts += [add(my * x[:, [j]]) for j in range(self.p)] + [add(e * x[:, [j]]) for j in range(self.p)]
@@ -99,7 +98,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_iter: int = 60) -> DataFrame | None:
-    """(keys, rep, b, iters, converged) for design rows with weights ``m``; ``start``: slopes by model key (else zero).
+    """(keys, rep, b, iters, converged) for design rows with weights ``m``, or with outcomes ``ys`` in place of y and no weights.
+
+    ``start``: slopes by model key (else zero).
 
     Returns None where the slopes of all models would be more than MOST_BYTES.
     """
@@ -112,7 +113,8 @@ def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_
     hot = d.groupBy(*keys, "grp").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_n")).where("_n > 1")
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_n")), F.lit(0)).cast("int")
     rows = d.join(F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot, [*keys, "grp"], "left").withColumn("_s", salt)
-    rows = cut(rows.select(*keys, "grp", "y", "off", F.array(*xs).alias("x"), "m", "_s").repartition(*keys, "grp", "_s").sortWithinPartitions(*keys, "grp"))
+    outcomes = "ys" in d.columns
+    rows = cut(rows.select(*keys, "grp", "y", "off", F.array(*xs).alias("x"), F.col("ys" if outcomes else "m").alias("m"), "_s").repartition(*keys, "grp", "_s").sortWithinPartitions(*keys, "grp"))
     mom, types = _Moments(p), dict(d.dtypes)
     ks = ", ".join(f"`{k}` {types[k]}" for k in keys)
     slopes = {m: np.tile(np.asarray(start.get(m, np.zeros(p)), float)[:p], (reps, 1)) for m in models}
@@ -131,8 +133,9 @@ def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_
                     part = b.slice(lo, step)
                     grp = part.column("grp").to_numpy(zero_copy_only=False)
                     starts = _runs([grp])
-                    g = mom.of(_dense(part.column("x")), part.column("y").to_numpy(), part.column("off").to_numpy(),
-                               _dense(part.column("m"))[:, at].astype(np.float64), slope, starts)
+                    m = _dense(part.column("m"))[:, at].astype(np.float64)
+                    my = m if outcomes else m * part.column("y").to_numpy()[:, None]
+                    g = mom.of(_dense(part.column("x")), my, part.column("off").to_numpy(), 1.0 if outcomes else m, slope, starts)
                     n = len(starts)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * n, part.schema.field(c).type) for k, c in zip(key, keys)] +
                                                      [part.column("grp").take(pa.array(starts)), _lists(g.reshape(n, -1))], names=[*keys, "grp", "g"])

@@ -9,6 +9,8 @@ the plan or the partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,28 +138,121 @@ def multi_spec_bootstrap(df: DataFrame, specs: list[Spec], keys: list[str], reps
         _interval(k, w, "gap", ("gap_lo", "gap_hi")).drop("n_boot_ok", "se_boot"), k)
 
 
-def relabel_draws(counts: DataFrame, confusion: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
-    """Reassign every counted incident by P(true | predicted), ``reps`` times.
+TRIALS = 512                    # of one binomial draw; more are drawn in parts, whose sum has the same law
+GOLD, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _uniform(base: np.ndarray, *steps) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit keys and counters, mixed one after the other."""
+    h = base.astype(np.uint64)
+    for s in steps:
+        h = h + (np.asarray(s).astype(np.uint64) + np.uint64(1)) * GOLD
+        h = (h ^ (h >> np.uint64(30))) * MIX_A
+        h = (h ^ (h >> np.uint64(27))) * MIX_B
+        h = h ^ (h >> np.uint64(31))
+    return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
-    ``counts`` is (keys, pred, n); each incident's uniform number is a hash of
-    (seed, rep, keys, pred, unit).  Incidents become rows only inside the map
-    side and leave it as counts; the confusion table is a taxonomy squared.
+
+def binomial_quantile(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Least k with P(X <= k) >= u for X binomial (n up to TRIALS, p), by adding up probabilities from 0.
+
+    Where p is above one half the failures are drawn, so the first probability never underflows.
+    """
+    n, p, u = np.broadcast_arrays(n.astype(np.int64), np.clip(p, 0.0, 1.0), u)
+    turn = p > 0.5
+    q = np.where(turn, 1 - p, p)
+    odds = q / (1 - q)
+    term = np.power(1 - q, n)
+    total, k = term.copy(), np.zeros(n.shape, np.int64)
+    open_ = (total < u) & (k < n)
+    while open_.any():
+        at = np.nonzero(open_)
+        k[at] += 1
+        term[at] *= (n[at] - k[at] + 1) / k[at] * odds[at]
+        total[at] += term[at]
+        open_[at] = (total[at] < u[at]) & (k[at] < n[at])
+    return np.where(turn, n - k, k)
+
+
+def _binomial(n: np.ndarray, p: float, key: np.ndarray, reps: np.ndarray, cls: int) -> np.ndarray:
+    """Draws (rows x replicates) from Bin(n, p); n is rows x replicates."""
+    out, left, part = np.zeros(n.shape, np.int64), n.copy(), 0
+    while left.any():
+        now = np.minimum(left, TRIALS)
+        some = np.nonzero(now)
+        u = _uniform(key[some[0]], reps[some[1]], np.full(len(some[0]), cls), np.full(len(some[0]), part))
+        out[some] += binomial_quantile(now[some], np.full(len(some[0]), p), u)
+        left, part = left - now, part + 1
+    return out
+
+
+def relabelled(counts: DataFrame, confusion: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """(keys, truth, ns): counts of true classes in every replicate as one array, given P(true | predicted).
+
+    ``counts`` is (keys, pred, n).  The n incidents of a row are split over the true classes by
+    binomial draws, each from what the classes before it have left, so neither an incident nor a replicate is ever a
+    row.  Draws depend on (seed, keys, pred, replicate) alone; classes without a confusion row stay as they are.
     """
-    cdf = confusion.where("p > 0").groupBy("pred").agg(
-        F.array_sort(F.collect_list(F.struct("truth", "p"))).alias("row"))
-    seen = counts.join(cdf, "pred", "left")
-    unit = seen.where("n > 0").select(*keys, "pred", "row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("unit"))
-    draw = unit.select(*keys, "pred", "row", "unit", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", *[F.col(k) for k in keys], "pred", "unit"), F.lit(1 << 52)) / float(1 << 52)
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("string").alias("t"))
+    shares = {r.pred: [(t, p) for t, p in r.row] for r in confusion.where("p > 0").groupBy("pred").agg(
+        F.array_sort(F.collect_list(F.struct("truth", "p"))).alias("row")).collect()}            # a taxonomy squared
+    key = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], "pred").alias("_key")
+    d = counts.where("n > 0").select(*keys, "pred", F.col("n").cast("bigint").alias("n"), key)
+    types = dict(d.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", truth string, ns array<bigint>"
+
+    def run(batches):
+        every = np.arange(reps)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                pred = np.array(part.column("pred").to_pylist(), object)
+                n, base = part.column("n").to_numpy(), part.column("_key").to_numpy().view(np.uint64)
+                for c in sorted(set(pred)):
+                    rows = np.flatnonzero(pred == c)
+                    left, rest = np.repeat(n[rows][:, None], reps, axis=1), 1.0
+                    row = shares.get(c) or [(c, 1.0)]
+                    whole = sum(p for _, p in row)
+                    for q, (truth, p) in enumerate(row):
+                        last = q == len(row) - 1
+                        got = left if last else _binomial(left, min(p / whole / rest, 1.0), base[rows], every, q)
+                        left, rest = left - got, max(rest - p / whole, 1e-300)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * reps), pa.array(got.ravel()))
+                        yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(rows)) for k in keys] + [pa.array([truth] * len(rows)), lists],
+                                                         names=[*keys, "truth", "ns"])
+    return d.mapInArrow(run, schema)
 
-    def walk(acc, e):
-        c = acc["c"] + e["p"]
-        return F.struct(c.alias("c"), F.when(acc["t"].isNull() & (F.col("_u") < c), e["truth"]).otherwise(acc["t"]).alias("t"))
 
-    got = F.aggregate("row", start, walk)["t"]
-    truth = F.coalesce(got, F.element_at("row", -1)["truth"], F.col("pred"))
-    return draw.withColumn("_u", u).withColumn("truth", truth).groupBy(*keys, "rep", "truth").agg(F.count("*").alias("n"))
+def relabel_draws(counts: DataFrame, confusion: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """``relabelled`` as rows (keys, rep, truth, n)."""
+    d = relabelled(counts, confusion, keys, reps, seed).select(*keys, "truth", F.posexplode("ns").alias("rep", "n"))
+    return d.where("n > 0").groupBy(*keys, "rep", "truth").agg(F.sum("n").alias("n"))
+
+
+def _summed(d: DataFrame, keys: list[str], outcomes: dict[str, list[str]], reps: int) -> DataFrame:
+    """(keys, one array an outcome): class counts of each replicate added up over the outcome's classes."""
+    types = dict(d.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + "".join(f", `{o}` array<bigint>" for o in outcomes)
+
+    def run(batches):
+        held = None
+
+        def out(key, sums):
+            return pa.RecordBatch.from_arrays([pa.array([k]) for k in key] + [pa.array([sums[o].tolist()], pa.list_(pa.int64())) for o in outcomes], names=[*keys, *outcomes])
+        for b in batches:
+            cols, truth = [b.column(k).to_pylist() for k in keys], b.column("truth").to_pylist()
+            ns = b.column("ns").flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else None
+            for i in range(b.num_rows):
+                key = tuple(c[i] for c in cols)
+                if held is None or held[0] != key:
+                    if held is not None:
+                        yield out(*held)
+                    held = (key, {o: np.zeros(reps, np.int64) for o in outcomes})
+                for o, classes in outcomes.items():
+                    if truth[i] in classes:
+                        held[1][o] += ns[i]
+        if held is not None:
+            yield out(*held)
+    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def expected_relabel(counts: DataFrame, confusion: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,20 +263,36 @@ def expected_relabel(counts: DataFrame, confusion: DataFrame, keys: list[str]) -
 
 def label_noise_draws(df: DataFrame, counts: DataFrame, confusion: DataFrame, property_classes: list[str], x: list[str],
                       keys: list[str], cell: str = "cell", reps: int = 200, seed: int = 20260804,
-                      offset: str = "exposure", group: str = "GEOID") -> DataFrame:
-    """Refit the total under every relabelling; label sd joins the sampling error."""
-    base = coef_row(ppml_fe(df, [Spec("base", "n_total", x, offset)], keys, group)).select(*keys, "beta", "se", "pct")
-    drawn = relabel_draws(counts, confusion, [*keys, cell], reps, seed)
-    tot = drawn.where(F.col("truth").isin(property_classes)).groupBy(*keys, cell, "rep").agg(F.sum("n").alias("_tot"))
-    grid = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    d = grid.join(tot, [*keys, cell, "rep"], "left").withColumn("_tot", F.coalesce("_tot", F.lit(0)))
-    k = [*keys, "rep"]
-    design = centre_within(build_design(d, [Spec("draw", "_tot", x, offset)], k, group), [*k, "model_id"]).persist()
+                      offset: str = "exposure", group: str = "GEOID", theft: list[str] = (), no_loot: str = "NO_LOOT") -> DataFrame:
+    """Refit the total under every relabelling; label sd joins the sampling error.
+
+    diff_sd_label is the spread of the theft coefficient minus that of incidents without loot (``theft`` lists the classes).
+    """
+    first = ppml_fe(df, [Spec("base", "n_total", x, offset)], keys, group)
+    base = coef_row(first).select(*keys, "beta", "se", "pct")
+    outcomes = {"total": list(property_classes)} | ({"theft": list(theft), "noloot": [no_loot]} if theft else {})
+    at = [*keys, cell]
+    drawn = _summed(relabelled(counts, confusion, at, reps, seed), at, outcomes, reps)
+    zero = F.array_repeat(F.lit(0).cast("bigint"), reps)
+    d = df.join(drawn, at, "left").withColumns({o: F.coalesce(o, zero) for o in outcomes})
+    specs_ = [Spec(o, "_one", x, offset) for o in outcomes]
+    design = build_design(d.withColumn("_one", F.lit(1.0)), specs_, keys, group, carry=list(outcomes))
+    ys = F.element_at(F.create_map(*[c for o in outcomes for c in (F.lit(o), F.col(o))]), F.col("model_id"))
+    km = [*keys, "model_id"]
+    design = centre_within(design.withColumn("ys", ys).drop(*outcomes), km).persist()
     try:
-        fit = newton_slopes(design, [*k, "model_id"], 60)
-        sd = cut(fit.where("converged").groupBy(*keys).agg(F.count("*").alias("draws"), F.stddev_samp(F.get("b", F.lit(0))).alias("se_label")))
+        start = {(*[r[k] for k in keys], o): r["b"] for r in first.select(*keys, "b").limit(100_000).collect() for o in outcomes}
+        fit = replicate_slopes(design, km, reps, start)
+        if fit is None:
+            long = design.select(*[c for c in design.columns if c not in ("ys", "y")], F.posexplode("ys").alias("rep", "y"))
+            fit = newton_slopes(long.withColumn("y", F.col("y").cast("double")), [*km, "rep"], 60)
+        fit = cut(fit.where("converged").select(*km, "rep", F.get("b", F.lit(0)).alias("b")))
     finally:
         design.unpersist()
+    of = lambda o: F.max(F.when(F.col("model_id") == o, F.col("b")))
+    wide = fit.groupBy(*keys, "rep").agg(of("total").alias("t"), (of("theft") - of("noloot") if theft else F.lit(None).cast("double")).alias("diff"))
+    sd = wide.groupBy(*keys).agg(F.count("t").alias("draws"), F.stddev_samp("t").alias("se_label"),
+                                 F.when(F.count("diff") > 2, F.stddev_samp("diff")).alias("diff_sd_label"))
     out = base.join(sd, keys) if keys else base.join(F.broadcast(sd))
     total = F.sqrt(F.col("se") * F.col("se") + F.col("se_label") * F.col("se_label"))
     return out.withColumns({

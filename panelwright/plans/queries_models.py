@@ -290,7 +290,8 @@ def _(t):
 @query("label_noise_draws")
 def _(t):
     d = I.panel(t).withColumn("n_total", sample.sum_classes(*[f"n_{c}" for c in text.PROPERTY_CLASSES]))
-    return resample.label_noise_draws(d, class_counts(t), confusion_of(t), text.PROPERTY_CLASSES, ["slope_deg"], ["city"], reps=200, offset=OFF)
+    return resample.label_noise_draws(d, class_counts(t), confusion_of(t), text.PROPERTY_CLASSES, ["slope_deg"], ["city"], reps=200, offset=OFF,
+                                      theft=[c for c in text.PROPERTY_CLASSES if c.startswith("MASS_")])
 
 
 @query("iid_bootstrap_wls")

@@ -56,3 +56,33 @@ def test_too_many_slopes_go_the_other_way(spark, panel, monkeypatch):
     rows = resample.bootstrap_slopes(panel, [spec], ["city"], F.col("GEOID"), 8, 5)
     a, b = ({(r.city, r.rep): r.beta for r in d.collect()} for d in (small, rows))
     assert set(a) == set(b) and np.allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(a)], atol=1e-7)
+
+
+def test_binomial_quantiles_have_the_law():
+    import math
+    r = np.random.default_rng(1)
+    for n, p in ((1, 0.3), (7, 0.5), (40, 0.02), (512, 0.97), (512, 0.5)):
+        cdf = np.cumsum([math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(n + 1)])
+        u = r.uniform(size=400)
+        got = resample.binomial_quantile(np.full(400, n), np.full(400, p), u)
+        if p <= 0.5:
+            assert (got == np.searchsorted(cdf, u)).all()
+        else:
+            assert abs(got.mean() - n * p) < 5 * math.sqrt(n * p * (1 - p) / 400)
+    assert (resample.binomial_quantile(np.array([5, 5, 0]), np.array([0.0, 1.0, 0.5]), np.array([0.9, 0.1, 0.5])) == [0, 5, 0]).all()
+
+
+def test_relabelling_has_the_law_and_keeps_all(spark):
+    counts = spark.createDataFrame([(c, p, n) for c in range(40) for p, n in (("A", 1500), ("B", 3), ("C", 9))], "cell int, pred string, n bigint")
+    conf = spark.createDataFrame([("A", "A", .6), ("A", "B", .3), ("A", "C", .1), ("B", "B", .5), ("B", "D", .5)], "pred string, truth string, p double")
+    got = resample.relabel_draws(counts, conf, ["cell"], 50, 7).toPandas()
+    assert (got.groupby(["cell", "rep"]).n.sum() == 1512).all()
+    again = resample.relabel_draws(counts.repartition(9), conf, ["cell"], 50, 7).toPandas()
+    order = ["cell", "rep", "truth"]
+    assert got.sort_values(order).n.tolist() == again.sort_values(order).n.tolist()
+    wide = got.pivot_table(index=["cell", "rep"], columns="truth", values="n", fill_value=0)
+    mean = {"A": 900, "B": 451.5, "C": 159, "D": 1.5}
+    var = {"A": 1500 * .24, "B": 1500 * .21 + .75, "C": 1500 * .09, "D": .75}
+    for c in mean:
+        assert abs(wide[c].mean() - mean[c]) < 5 * np.sqrt(var[c] / len(wide)) and wide[c].var() == pytest.approx(var[c], rel=0.15)
+    assert np.corrcoef(wide["A"], wide["B"])[0, 1] == pytest.approx(-np.sqrt(.6 * .3 / (.4 * .7)), abs=0.08)
