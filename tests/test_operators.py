@@ -282,10 +282,12 @@ def test_moran_eigenvalues(spark):
     c = (c + c.T) / 2
     m = np.eye(60) - 1 / 60
     a = m @ c @ m
+    ev = np.linalg.eigvalsh(a)
+    ev = np.sort(np.delete(ev, np.argmin(np.abs(ev))))[::-1]       # constants, which centring takes away, are no pattern
     for k, have in ((2, 2), (200, 59)):
         vals, vecs = dependence.moran_eigenvectors(pts.select("id"), w, k=k)
         lam = np.array([r.lam for r in vals.orderBy("vec").collect()])
-        assert len(lam) == have and np.allclose(lam, np.sort(np.linalg.eigvalsh(a))[::-1][:have], atol=1e-9)
+        assert len(lam) == have and np.allclose(lam, ev[:have], atol=1e-9)
         v = np.zeros((60, have))
         for r in vecs.collect():
             v[r.id] = r.v
