@@ -12,7 +12,6 @@ FOLDER = os.environ.get("TWIN_DIR", "/root/testdata/sf0.001")
 WIDER = {"tau2_dl", "tau2_reml", "city_profile", "corr_pearson"}
 WIDER_DIR = os.environ.get("TWIN_DIR", "/root/testdata/sf0.01")
 SQL = entry.oracle_sql()
-LONG = {"hypothesis_report", "attenuation_path", "denominator_swap_samples"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def test_twin(spark, con, name):
     assert got in (None, "no rows")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SQL and n not in LONG])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SQL])
 def test_runs(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     assert df.collect()
