@@ -31,6 +31,19 @@ def newton_sql(source: str, y: str, x: str, off: str, grp: str, key: str = "city
           FROM (SELECT nd.*, b, exp(b * x + o) AS e FROM nd JOIN nb{steps} USING (k)) GROUP BY k, g) GROUP BY k)"""
 
 
+def newton_pair_sql(source: str, y: str, x1: str, x2: str, off: str, grp: str, key: str = "city", steps: int = 8) -> str:
+    """``newton_sql`` for two slopes: nb{steps} holds k, b1, b2 and the Hessian's entries of the last step."""
+    out = f"""pd AS (SELECT {key} AS k, {grp} AS g, ({y})::DOUBLE AS y, ({x1})::DOUBLE - avg({x1}) OVER w AS x1, ({x2})::DOUBLE - avg({x2}) OVER w AS x2, ln({off}) AS o FROM {source} WHERE {off} > 0
+        WINDOW w AS (PARTITION BY {key}, {grp})), pb0 AS (SELECT DISTINCT k, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM pd)"""
+    for i in range(steps):
+        out += f""", pg{i} AS MATERIALIZED (SELECT k, g, any_value(b1) AS b1, any_value(b2) AS b2, sum(y) AS sy, sum(e) AS se, sum(y * x1) AS y1, sum(y * x2) AS y2, sum(e * x1) AS e1, sum(e * x2) AS e2,
+          sum(e * x1 * x1) AS e11, sum(e * x1 * x2) AS e12, sum(e * x2 * x2) AS e22 FROM (SELECT pd.*, b1, b2, exp(b1 * x1 + b2 * x2 + o) AS e FROM pd JOIN pb{i} USING (k)) GROUP BY k, g),
+        ph{i} AS (SELECT k, any_value(b1) AS b1, any_value(b2) AS b2, sum(y1 - sy / se * e1) AS s1, sum(y2 - sy / se * e2) AS s2, sum(sy / se * (e11 - e1 * e1 / se)) + 1e-10 AS h11,
+          sum(sy / se * (e12 - e1 * e2 / se)) AS h12, sum(sy / se * (e22 - e2 * e2 / se)) + 1e-10 AS h22 FROM pg{i} GROUP BY k),
+        pb{i + 1} AS MATERIALIZED (SELECT k, b1 + (h22 * s1 - h12 * s2) / (h11 * h22 - h12 * h12) AS b1, b2 + (h11 * s2 - h12 * s1) / (h11 * h22 - h12 * h12) AS b2 FROM ph{i})"""
+    return out + f", pfit AS (SELECT * FROM pb{steps})"
+
+
 ONE = Spec("m", "n_returned", ["slope_deg"], OFF)
 ONE_SQL = f"""{PANEL_SQL}, {newton_sql('panel', 'n_returned', 'slope_deg', OFF, '"GEOID"')}"""
 
@@ -161,6 +174,16 @@ def _(t):
     return fit.select("city", "model_id", "beta", "se", "pct", "lo", "hi", "z")
 
 
+RADII = ["slope_deg", "tpi_500", "elev"]
+
+
+@query("spec_grid_radius_plain", f"""WITH {PANEL_SQL}, lg AS ({' UNION ALL '.join(f"SELECT '{m}|' || city AS ck, *, {m} AS xx FROM panel" for m in RADII)}), {newton_sql('lg', 'n_total', 'xx', OFF, '"GEOID"', key='ck')}
+   SELECT split_part(k, '|', 2) AS city, split_part(k, '|', 1) AS model_id, {q6('b', 7)} AS beta, {q6('se', 7)} AS se FROM nfit""")
+def _(t):
+    fit = ppml.coef_row(ppml.ppml_fe(I.panel(t), specs.radius_specs("n_total", RADII, [], OFF), ["city"]))
+    return fit.select("city", "model_id", r6("beta", 7).alias("beta"), r6("se", 7).alias("se"))
+
+
 @query("attenuation_path")
 def _(t):
     return specs.attenuation_path(sample.prep_sample(I.panel(t), "cells"), ["city"], "n_total", "tpi_500_z")
@@ -192,6 +215,14 @@ def _(t):
     return specs.mediation(d, ["city"], "n_total", "slope_deg_raw", ["betweenness_z", "egress_count_z"])
 
 
+@query("mediation_pair", f"""WITH {ONE_SQL}, {newton_pair_sql('panel', 'n_returned', 'slope_deg', 'elev', OFF, '"GEOID"')}
+   SELECT k AS city, {q6('b', 7)} AS before_beta, {q6('b1', 7)} AS after_beta, {q6('CASE WHEN abs(b) > 1e-9 THEN 1 - abs(b1) / abs(b) END', 5)} AS attenuation, 1 - abs(b1) / abs(b) >= 0.4 AS supports FROM nfit JOIN pfit USING (k)""")
+def _(t):
+    """One mediator and no controls, so that two slopes are all there is to solve for."""
+    d = specs.mediation(I.panel(t), ["city"], "n_returned", "slope_deg", ["elev"], [], OFF)
+    return d.select("city", r6("before_beta", 7).alias("before_beta"), r6("after_beta", 7).alias("after_beta"), r6("attenuation", 5).alias("attenuation"), "supports")
+
+
 def targets(t):
     k = F.col("cell")
     return I.panel(t).withColumns({"park_spaces": (k * 5) % 17, "front_doors": F.col("n_MASS_1") + 1, "garage_parcels": k % 3,
@@ -226,6 +257,17 @@ def _(t):
         "city", F.col("model_id").alias("target"), "beta", "se", "pct", "nobs")
 
 
+DENSE = {"park_spaces": "(cell * 5) % 17", "front_doors": '"n_MASS_1" + 1', "bldg_front": "cell % 6"}
+
+
+@query("denominator_test_plain", f"""WITH {PANEL_SQL}, al AS ({' UNION ALL '.join(f"SELECT '{n}|' || city AS ck, *, ({e})::DOUBLE AS yy FROM panel" for n, e in DENSE.items())}),
+   lg AS (SELECT * FROM al WHERE yy > 0 QUALIFY count(*) OVER (PARTITION BY ck, "GEOID") >= 3), {newton_sql('lg', 'yy', 'slope_deg', OFF, '"GEOID"', key='ck')}
+   SELECT split_part(k, '|', 2) AS city, split_part(k, '|', 1) AS target, {q6('b', 7)} AS beta, {q6('se', 7)} AS se, nobs::DOUBLE AS nobs FROM nfit""")
+def _(t):
+    d = specs.denominator_test(targets(t), ["city"], list(DENSE), "slope_deg", OFF, [])
+    return d.select("city", F.col("model_id").alias("target"), r6("beta", 7).alias("beta"), r6("se", 7).alias("se"), "nobs")
+
+
 @query("temporal_split", f"""WITH {PANEL_SQL}, lg AS (SELECT 'pre|' || city AS ck, *, "n_MASS_1" + "n_MASS_2" + "n_MASS_3" AS yy FROM panel UNION ALL SELECT 'post|' || city, *, "n_MVT" FROM panel),
    {newton_sql('lg', 'yy', 'slope_deg', OFF, '"GEOID"', key='ck')}
    SELECT split_part(k, '|', 2) AS city, split_part(k, '|', 1) AS period, events::BIGINT AS events, {q6('CASE WHEN events >= 3000 THEN b END', 7)} AS beta FROM nfit""")
