@@ -8,6 +8,8 @@ bounded memo of the Python worker and done anew only for words that it lacks.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -25,11 +27,24 @@ _KEPT: dict = {}
 
 
 def kept(key, build: Callable):
-    """One object a kind for the life of a Python worker; another key of that kind replaces it."""
-    kind, _ = key
-    if kind not in _KEPT or _KEPT[kind][0] != key:
-        _KEPT[kind] = (key, build())
-    return _KEPT[kind][1]
+    """One object for the life of a Python worker; another key replaces it, whatever its kind.
+
+    Workers are used again by later stages, so what each stage keeps would otherwise add up.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Hands freed memory to the system where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def one_thread() -> None:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import Rows, WordMemo, bounded_sample, fields, keep_rows, kept, over_texts, sums, with_results, word_ngrams
+from panelwright.llm.common import Rows, WordMemo, bounded_sample, fields, give_back, keep_rows, kept, over_texts, sums, with_results, word_ngrams
 
 # Families of common language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -73,6 +73,7 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "l
     Rows without text or language, and texts of over SAMPLE_CHARS characters, are not
     used; None if nothing is left.
     """
+    give_back()
     usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc).alias("doc_id")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.length("text") <= SAMPLE_CHARS))
     n = usable.select("lang").distinct().count()
@@ -90,15 +91,18 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "l
             return pa.RecordBatch.from_arrays([b.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))],
                                               names=["lang", "at", "share"])
         return count
-    got = over_texts(some.select("lang", "text"), "lang string, at array<int>, share array<float>", start).toArrow().to_pydict()
-    langs = sorted(set(got["lang"]))
-    x = np.zeros((len(got["lang"]), BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(got["at"], got["share"])):
-        x[i, at] = share
+    got = over_texts(some.select("lang", "text"), "lang string, at array<int>, share array<float>", start).toArrow()
+    lang_of, lists = got.column("lang").to_pylist(), got.column("at").combine_chunks()
+    ends, at, share = lists.offsets.to_numpy(), lists.values.to_numpy(), got.column("share").combine_chunks().values.to_numpy()
+    langs = sorted(set(lang_of))
+    x = np.zeros((len(lang_of), BUCKETS), np.float32)
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        x[i, at[a:b]] = share[a:b]
+    del got, lists, at, share
     scale = 1 / np.sqrt(x.mean(0) + 1e-5).astype(np.float32)
     x *= scale
-    x = x[(order := np.lexsort([x.sum(1), np.array(got["lang"])]))]
-    of = np.array([langs.index(v) for v in got["lang"]])[order]
+    x = x[(order := np.lexsort([x.sum(1), np.array(lang_of)]))]
+    of = np.array([langs.index(v) for v in lang_of])[order]
     names = sorted({family(v) for v in langs})
     groups = [[i for i, v in enumerate(langs) if family(v) == f] for f in names]
     pairs = [p for g in groups for p in itertools.combinations(g, 2)]
@@ -141,12 +145,13 @@ def decide(m: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Scorer:
     def __init__(self, m: Model):
         self.m, self.margin, self.size = m, Rows((m.weights.shape[1],)), Rows()
-        self.memo = WordMemo(self.learn, lambda rows: (self.margin.keep(rows), self.size.keep(rows)))
+        self.memo = WordMemo(self.learn, lambda rows: (self.margin.keep(rows), self.size.keep(rows)), 200_000)
 
     def learn(self, words):
-        grams, first = word_ngrams(words, SIZES, BUCKETS, False)
-        self.margin.add(sums(self.m.weights[grams], first))
-        self.size.add(np.diff(np.append(first, len(grams))))
+        for lo in range(0, len(words), 10_000):         # a row of weights an n-gram is held at once
+            grams, first = word_ngrams(words[lo: lo + 10_000], SIZES, BUCKETS, False)
+            self.margin.add(sums(self.m.weights[grams], first))
+            self.size.add(np.diff(np.append(first, len(grams))))
 
     def __call__(self, texts):
         split = [(t or b"").lower().split() for t in texts]

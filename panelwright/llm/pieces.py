@@ -79,7 +79,7 @@ class DoubleArray:
 class Segmenter:
     """Encodes with the trie's arrays; made once a worker."""
 
-    def __init__(self, v: Vocabulary, arrays: tuple, limit: int = 500_000):
+    def __init__(self, v: Vocabulary, arrays: tuple, limit: int = 250_000):
         self.v, self.memo = v, ListMemo(self._learn, limit)
         scores = np.array(v.scores)
         scores[v.unknown] = v.unknown_score

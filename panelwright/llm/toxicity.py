@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import Rows, WordMemo, bounded_sample, fields, keep_rows, kept, over_texts, sums, with_results, word_ngrams
+from panelwright.llm.common import Rows, WordMemo, bounded_sample, fields, give_back, keep_rows, kept, over_texts, sums, with_results, word_ngrams
 
 SIZES, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 4
 SEGMENT, NEUTRAL = 40, 4
@@ -118,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     are not used; with one label only, the model gives that label everywhere.  Ids are
     matched with labels without their texts; the texts of those chosen are then fetched.
     """
+    give_back()
     told = labels.select(F.col(doc).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     fit_ = docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col(doc).alias("doc_id"))
     chosen = bounded_sample(fit_.join(told, "doc_id"), "label", rows, [F.col("doc_id")], seed)
@@ -126,12 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     got = sorted((r.label, r.text) for r in found.collect())
     y = np.array([v for v, _ in got], np.int64)
     split = [t.encode().lower().split() for _, t in got]
+    del got
     have = np.array([bool(x) for x in split], bool)
     split, y = [x for x in split if x], y[have]
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 5.0 if len(y) and y[0] else -5.0, uuid.uuid4().hex)
     index: dict = {}
-    words = np.array([index.setdefault(w, len(index)) for x in split for w in x], np.int64)
+    words = np.fromiter((index.setdefault(w, len(index)) for x in split for w in x), np.int64)
+    split = [range(len(x)) for x in split]          # from here on only the sizes count
     first = np.cumsum([0] + [len(x) for x in split[:-1]])
     t = _Trainer(list(index), words, first, seed)
     t.go(first, y, np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()), 32)
@@ -159,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 class _Scorer:
     def __init__(self, m: Model):
         self.m, self.margin = m, Rows()
-        self.memo = WordMemo(self.learn, self.margin.keep)
+        self.memo = WordMemo(self.learn, self.margin.keep, 200_000)
 
     def learn(self, words):
         grams, first = word_ngrams(words, SIZES, BUCKETS, True)
