@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import geometry as G
-from panelwright.operators.ranks import dense_index
 from panelwright.session import cut
 
 SALT_ROWS = 50_000
