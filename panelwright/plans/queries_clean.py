@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import geo, terrain, text
-from panelwright.functions.stats import _ERFC, norm_cdf
+from panelwright.functions.stats import _ERFC, ln, norm_cdf
 from panelwright.operators import clean, fields, sample
 from panelwright.plans import inputs as I
 from panelwright.plans.inputs import INC_SQL, PANEL_SQL, q6, r6
@@ -460,7 +460,7 @@ def _(t):
    {q6('degrees(atan(value / 100))')} AS d, {q6('100 * (exp(value / 1000) - 1)')} AS e, floor(value)::BIGINT AS f FROM events""")
 def _(t):
     v = F.col("value")
-    return t.events.select("event_id", r6(F.log(v)).alias("a"), r6(F.log1p(v)).alias("b"), r6(F.hypot(v, F.lit(3.0))).alias("c"),
+    return t.events.select("event_id", r6(ln(v)).alias("a"), r6(ln(v, 1.0)).alias("b"), r6(F.hypot(v, F.lit(3.0))).alias("c"),
                            r6(F.degrees(F.atan(v / 100))).alias("d"), r6(100 * (F.exp(v / 1000) - 1)).alias("e"), F.floor(v).alias("f"))
 
 

@@ -301,3 +301,22 @@ def test_moran_eigenvalues(spark):
 def test_checkpoint_folder_is_the_cluster_one(spark):
     from panelwright.session import shared_dir
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_logs_at_and_below_zero(spark):
+    from panelwright.functions.stats import ln
+    v = spark.createDataFrame([(x,) for x in (0.0, -0.0, -1.0, -2.0, 1.0, math.nan, None)], "v double")
+    got = v.select(ln(F.col("v")).alias("a"), ln(F.col("v"), 1.0).alias("b")).collect()
+    inf, nan = math.inf, math.nan
+    want = [(-inf, 0.0), (-inf, 0.0), (nan, -inf), (nan, nan), (0.0, math.log(2.0)), (nan, nan), (None, None)]
+    assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, nan_ok=True)) for r, w in zip(got, want) for x, y in zip(r, w))
+
+
+def test_math_functions_of_zero(spark, tmp_path):
+    import __spark_entry__ as entry
+    from harness import compare
+    import duckdb
+    duckdb.sql(f"COPY (SELECT range::BIGINT AS event_id, [0.0, 0.01, -0.5, 560.2, NULL][range + 1]::DOUBLE AS value FROM range(5)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert compare(entry.queries()["math_functions"](spark, str(tmp_path)), con, entry.oracle_sql()["math_functions"]) is None
