@@ -320,3 +320,27 @@ def test_math_functions_of_zero(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert compare(entry.queries()["math_functions"](spark, str(tmp_path)), con, entry.oracle_sql()["math_functions"]) is None
+
+
+def test_bucketed_joins_never_broadcast_repeated_rows(spark):
+    """The planner takes a repeated row for one: ten megabytes of its estimate may be gigabytes on the driver."""
+    line = F.array(G.point(F.col("id") * 10.0, F.lit(0.0)), G.point(F.col("id") * 10.0 + 8, F.lit(5.0)))
+    lines = spark.range(200).select(F.col("id").alias("seg_id"), line.alias("line"), F.lit(1.0).alias("value"))
+    q = spark.range(50).select("id", (F.col("id") * 10.0).alias("x"), F.lit(3.0).alias("y"))
+    edge = [spatial.line_length_in_disk(q, lines, 40.0), spatial.ring_cross_count(q, lines, 40.0),
+            spatial.buffer_count_len(lines.select("seg_id", "line"), lines.select(F.col("seg_id").alias("way_id"), "line"), 20.0)]
+    for d in edge:
+        plan = d._jdf.queryExecution().sparkPlan().toString()
+        joins = [x for x in plan.splitlines() if "_bx" in x and "Join" in x]
+        assert joins and not [x for x in joins if "Broadcast" in x and "_n" not in x and "LeftOuter" not in x], plan
+
+
+def test_buffer_takes_each_pair_once_at_the_rim(spark):
+    rows = [(i, [(float(x), float(y)), (float(x + dx), float(y + dy))]) for i, (x, y, dx, dy) in enumerate(
+        [tuple(RNG.integers(-300, 300, 2)) + tuple(RNG.integers(-900, 900, 2)) for _ in range(40)] + [(0, 0, 50, 0), (0, 100, 50, 0)])]
+    d = spark.createDataFrame(rows, "seg_id int, line array<struct<x:double,y:double>>")
+    got = {r.seg_id: (r.n_within, r.len_within) for r in spatial.buffer_count_len(d, d.withColumnRenamed("seg_id", "way_id"), 100.0).collect()}
+    every = d.alias("a").join(d.alias("b").withColumnRenamed("seg_id", "way_id").withColumnRenamed("line", "_w"), how="cross").where(
+        G.line_line_distance(F.col("line"), F.col("_w")) <= 100.0).groupBy("seg_id").agg(F.count("*").alias("n"), F.sum(G.line_length(F.col("_w"))).alias("l")).collect()
+    assert len(got) == len(every) and all(got[r.seg_id][0] == r.n and got[r.seg_id][1] == pytest.approx(r.l) for r in every)
+    assert got[40][0] >= 2
