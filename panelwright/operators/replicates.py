@@ -1,9 +1,10 @@
 """Newton steps of many weighted replicates at once: one vector of weights a row, dense sums by group and replicate.
 
 A row carries its unit's weights in all replicates.  A round takes rows x replicates as
-matrices, batch by batch, into sums of each group (one block of replicates x moments),
-adds the blocks up by group, where the group effects drop out in closed form, and adds the
-scores and Hessians up by model.  The driver holds the slopes: models x replicates x slopes, of a checked size.
+matrices, batch by batch, into sums of each group (one block of replicates x moments); from a
+whole group's block the group effects drop out in closed form, and scores and Hessians are
+added up by model.  Groups lie whole in one partition; only of groups so large that they are
+dealt out do blocks move.  The driver gets one row a model and holds the slopes: models x replicates x slopes, of a checked size.
 Replicates that have settled leave the blocks.
 """
 
@@ -112,17 +113,30 @@ def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_
         return None
     hot = d.groupBy(*keys, "grp").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_n")).where("_n > 1")
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_n")), F.lit(0)).cast("int")
-    rows = d.join(F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot, [*keys, "grp"], "left").withColumn("_s", salt)
+    split = hot.limit(10_001).count()
+    rows = d.join(F.broadcast(hot) if split <= 10_000 else hot, [*keys, "grp"], "left").withColumn("_s", salt)
     outcomes = "ys" in d.columns
-    rows = cut(rows.select(*keys, "grp", "y", "off", F.array(*xs).alias("x"), F.col("ys" if outcomes else "m").alias("m"), "_s").repartition(*keys, "grp", "_s").sortWithinPartitions(*keys, "grp"))
+    rows = cut(rows.select(*keys, "grp", "y", "off", F.array(*xs).alias("x"), F.col("ys" if outcomes else "m").alias("m"), "_s", F.col("_n").isNull().alias("whole")).repartition(*keys, "grp", "_s").sortWithinPartitions(*keys, "grp"))
     mom, types = _Moments(p), dict(d.dtypes)
     ks = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    sent = ks + ", grp string, whole boolean, g array<double>"
     slopes = {m: np.tile(np.asarray(start.get(m, np.zeros(p)), float)[:p], (reps, 1)) for m in models}
     active = {m: np.arange(reps) for m in models}
     done: list = []
 
+    def totals(total):
+        for key, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]) for k in key] + [pa.array([None], pa.string()), pa.array([True]), _lists(s.reshape(1, -1))],
+                                             names=[*keys, "grp", "whole", "g"])
+
     def sums(shared):
+        """Steps of each model from the groups that lie here whole, and sums of each group that is dealt out."""
         def run(batches):
+            total, open_ = {}, None
+
+            def add(key, g):
+                s = mom.steps(g)
+                total[key] = total[key] + s if key in total else s
             for key, b in _blocks(batches, keys):
                 state = shared.value.get(key)
                 if state is None:
@@ -136,47 +150,75 @@ def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_
                     m = _dense(part.column("m"))[:, at].astype(np.float64)
                     my = m if outcomes else m * part.column("y").to_numpy()[:, None]
                     g = mom.of(_dense(part.column("x")), my, part.column("off").to_numpy(), 1.0 if outcomes else m, slope, starts)
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * n, part.schema.field(c).type) for k, c in zip(key, keys)] +
-                                                     [part.column("grp").take(pa.array(starts)), _lists(g.reshape(n, -1))], names=[*keys, "grp", "g"])
+                    whole = part.column("whole").to_numpy(zero_copy_only=False)[starts]
+                    dealt, here = np.flatnonzero(~whole), np.flatnonzero(whole)
+                    if len(dealt):
+                        n = len(dealt)
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * n, part.schema.field(c).type) for k, c in zip(key, keys)] + [
+                            part.column("grp").take(pa.array(starts[dealt])), pa.array(np.zeros(n, bool)), _lists(g[dealt].reshape(n, -1))],
+                            names=[*keys, "grp", "whole", "g"])
+                    if len(here):
+                        # a group may go on over several batches: the last one stays open
+                        if open_ is not None and open_[:2] == (key, grp[starts[here[0]]]):
+                            g[here[0]] += open_[2]
+                        elif open_ is not None:
+                            add(open_[0], open_[2][None])
+                        if len(here) > 1:
+                            add(key, g[here[:-1]])
+                        open_ = key, grp[starts[here[-1]]], g[here[-1]].copy()
+            if open_ is not None:
+                add(open_[0], open_[2][None])
+            yield from totals(total)
         return run
 
-    def by_model(batches):
-        """Blocks come ordered by group: adds those of a group up, then all groups of a model."""
+    def by_group(batches):
+        """Blocks come ordered by group: adds those of a group that was dealt out up, then all of a model."""
         total, open_ = {}, None
-        def close():
-            key, _, g = open_
-            s = mom.steps(g[None])
+
+        def add(key, s):
             total[key] = total[key] + s if key in total else s
         for key, b in _blocks(batches, keys):
+            whole = b.column("whole")
+            ready = b.filter(whole)
+            if ready.num_rows:
+                add(key, _dense(ready.column("g")).sum(0).reshape(p + len(mom.tri) + 1, -1))
+            b = b.filter(pa.array(~whole.to_numpy(zero_copy_only=False)))
+            if not b.num_rows:
+                continue
             grp = b.column("grp").to_numpy(zero_copy_only=False)
             g = _dense(b.column("g"))
             g = g.reshape(len(g), mom.n, -1)
             starts = _runs([grp])
             sums_ = np.add.reduceat(g, starts, axis=0)
             for q, s in enumerate(starts.tolist()):
-                if open_ is not None and open_[0] == key and open_[1] == grp[s]:
-                    open_ = (key, grp[s], open_[2] + sums_[q])
+                if open_ is not None and open_[:2] == (key, grp[s]):
+                    open_ = key, grp[s], open_[2] + sums_[q]
                 else:
                     if open_ is not None:
-                        close()
-                    open_ = (key, grp[s], sums_[q])
+                        add(open_[0], mom.steps(open_[2][None]))
+                    open_ = key, grp[s], sums_[q]
         if open_ is not None:
-            close()
-        for key, s in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]) for k in key] + [_lists(s.reshape(1, -1))], names=[*keys, "s"])
+            add(open_[0], mom.steps(open_[2][None]))
+        yield from totals(total)
+
+    def by_model(batches):
+        total: dict = {}
+        for key, b in _blocks(batches, keys):
+            s = _dense(b.column("g")).sum(0)
+            total[key] = total[key] + s if key in total else s
+        yield from totals(total)
 
     for it in range(1, max_iter + 1):
         live = {m: (active[m], slopes[m][active[m]]) for m in models if len(active[m])}
         if not live:
             break
         shared = spark.sparkContext.broadcast(live)
-        part = rows.mapInArrow(sums(shared), ks + ", grp string, g array<double>")
-        told = part.repartition(*keys, "grp").sortWithinPartitions(*keys, "grp").mapInArrow(by_model, ks + ", s array<double>").collect()
-        added: dict = {}
-        for r in told:
-            key, s = tuple(r[k] for k in keys), np.asarray(r["s"])
-            added[key] = added[key] + s if key in added else s
+        told = rows.mapInArrow(sums(shared), sent)
+        if split:
+            told = told.repartition(*keys, "grp").sortWithinPartitions(*keys, "grp").mapInArrow(by_group, sent)
+        # one row a model comes to the driver
+        told = told.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_model, sent).toArrow()
+        added = {tuple(told[k][i].as_py() for k in keys): told["g"][i].values.to_numpy() for i in range(told.num_rows)}
         for m, (at, _) in live.items():
             s = added.get(m, np.zeros((p + len(mom.tri) + 1) * len(at))).reshape(-1, len(at))
             h = np.zeros((len(at), p, p))

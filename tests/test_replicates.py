@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import replicates, resample
@@ -86,3 +87,25 @@ def test_relabelling_has_the_law_and_keeps_all(spark):
     for c in mean:
         assert abs(wide[c].mean() - mean[c]) < 5 * np.sqrt(var[c] / len(wide)) and wide[c].var() == pytest.approx(var[c], rel=0.15)
     assert np.corrcoef(wide["A"], wide["B"])[0, 1] == pytest.approx(-np.sqrt(.6 * .3 / (.4 * .7)), abs=0.08)
+
+
+def test_only_blocks_of_dealt_groups_move(spark, panel, monkeypatch):
+    """Rounds send scores and Hessians of each partition and model, not a block of every group."""
+    def moved(salt):
+        monkeypatch.setattr(replicates, "SALT_ROWS", salt)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        seen = {stages().apply(i).stageId() for i in range(stages().size())}
+        got = {(r.city, r.rep): r.b for r in replicates.replicate_slopes(d, ["city", "model_id"], 40, {}).collect()}
+        now = stages()
+        new = [now.apply(i) for i in range(now.size()) if now.apply(i).stageId() not in seen]
+        return sum(s.shuffleWriteBytes() for s in new), got
+    spec = Spec("one", "n", ["x", "z"])
+    many = panel.withColumn("GEOID", F.row_number().over(Window.partitionBy("city").orderBy("x", "z")) % 100)
+    d = centre_within(build_design(many, [spec], ["city"]), ["city", "model_id"])
+    d = d.withColumn("m", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: (1 + (k + F.hash("grp")) % 3 % 2).cast("smallint"))).cache()
+    d.count()
+    here, a = moved(50_000)
+    dealt, b = moved(1)
+    assert set(a) == set(b) and all(np.allclose(a[k], b[k], atol=1e-7) for k in a)
+    assert here < dealt / 3
