@@ -344,3 +344,21 @@ def test_buffer_takes_each_pair_once_at_the_rim(spark):
         G.line_line_distance(F.col("line"), F.col("_w")) <= 100.0).groupBy("seg_id").agg(F.count("*").alias("n"), F.sum(G.line_length(F.col("_w"))).alias("l")).collect()
     assert len(got) == len(every) and all(got[r.seg_id][0] == r.n and got[r.seg_id][1] == pytest.approx(r.l) for r in every)
     assert got[40][0] >= 2
+
+
+def test_let_go_deletes_shuffle_files(spark):
+    import time
+    from panelwright.session import let_go
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    let_go(spark)
+    time.sleep(2)
+    before = disk.getAllFiles().size()
+    def work():
+        d = spark.range(100_000).repartition(8, "id").groupBy((F.col("id") % 1000).alias("k")).count()
+        return len(d.collect())
+    assert work() == 1000
+    made = disk.getAllFiles().size()
+    for _ in range(8):
+        let_go(spark)
+        time.sleep(0.5)
+    assert made > before and disk.getAllFiles().size() <= before
