@@ -145,86 +145,121 @@ def pick_pivots(nodes: DataFrame, k: int | None = None, seed: int = 0) -> DataFr
 
 
 BLOCK = 64                      # sources whose values ride in one row
-STRIDE = 8                      # steps in one job
+REGION = 256                    # neighbouring nodes that settle among themselves before they send anything on
 _KEY = ["net", "metric", "blk", "node"]
-_STATE = "net {net}, metric int, blk bigint, node {node}, d array<double>, acc array<double>, inc array<double>, live boolean"
+_GROUP = ["net", "metric", "blk", "reg"]
+_STATE = "net {net}, metric int, blk bigint, reg bigint, node {node}, d array<double>, acc array<double>, inc array<double>, live boolean"
 
 
 def _rows(lists) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return pa.concat_arrays(lists.chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _arrays(m: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
 
 
-def _settled(kind: str, d, acc, new, live, at, w, sent, inc):
-    """Values of the nodes after the messages ``sent`` to nodes ``at`` (in order) along arcs of weight ``w``."""
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    to = at[first]
-    if kind == "distance":
-        low = np.minimum.reduceat(sent + w[:, None], first, axis=0)
-        live[to] |= (low < d[to]).any(axis=1)
-        d[to] = np.minimum(d[to], low)
-        return
-    tight = sent + w[:, None] == d[at] if kind == "paths" else d[at] + w[:, None] == sent
-    new[to] += np.add.reduceat(np.where(tight & np.isfinite(sent), inc, 0.0), first, axis=0)
+def _by_end(ends: np.ndarray, values: np.ndarray, how) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``ends`` (given in order) and ``how`` over the rows of each."""
+    first = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+    return ends[first], how.reduceat(values, first, axis=0)
+
+
+def _fall(d, at, sent, w, a, b, wab) -> np.ndarray:
+    """Distances fall by the messages (``sent`` + ``w`` to ``at``), then along the arcs a-b until they are still; nodes that changed."""
+    fresh = np.zeros(len(d), bool)
+    ends, low = _by_end(at, sent + w[:, None], np.minimum)
+    while True:
+        moved = np.zeros(len(d), bool)
+        moved[ends] = (low < d[ends]).any(axis=1)
+        d[ends] = np.minimum(d[ends], low)
+        fresh |= moved
+        use = moved[a]
+        if not use.any():
+            return fresh
+        ends, low = _by_end(b[use], d[a[use]] + wab[use][:, None], np.minimum)
+
+
+def _add(d, at, sent, w, inc, a, b, wab, back: bool) -> np.ndarray:
+    """What each node newly receives: by the messages along tight arcs, then from each other along tight arcs a-b."""
+    tight = lambda from_, to, w: np.isfinite(from_) & ((to + w[:, None] == from_) if back else (from_ + w[:, None] == to))
+    ends, got = _by_end(at, np.where(tight(sent, d[at], w), inc, 0.0), np.add)
+    of = tight(d[a], d[b], wab)
+    total = np.zeros_like(d)
+    while got.any():
+        now = np.zeros_like(d)
+        now[ends] = got
+        total += now
+        use = (now != 0).any(axis=1)[a]
+        if not use.any():
+            break
+        ends, got = _by_end(b[use], np.where(of[use], now[a[use]], 0.0), np.add)
+    return total
 
 
-def _step(arcs: DataFrame, state: DataFrame, kind: str, schema: str) -> DataFrame:
-    """Nodes that changed in the last step send their rows along the arcs; every node takes in what it gets.
+def _settle(kind: str):
+    """One region under one block of sources takes in its messages.
 
-    ``arcs``: (net, metric, node, v, w), with a row (node, node, null) for each node, by which its own row comes along.
+    Rows: own values (``w`` null), messages (``w`` given), arcs inside the region (``v`` given).
+    """
+    def run(t: pa.Table) -> pa.Table:
+        node, w = t.column("node").to_numpy(), t.column("w").to_numpy()
+        arc = t.column("v").is_valid().to_numpy()
+        own = ~arc & t.column("w").is_null().to_numpy()
+        v = t.filter(pa.array(arc)).column("v").to_numpy()
+        held = t.filter(pa.array(own))
+        msg = np.flatnonzero(~arc & ~own)
+        msg = msg[np.argsort(node[msg], kind="stable")]
+        ids = np.unique(np.concatenate([node, v]))
+        at, mine = np.searchsorted(ids, node[msg]), np.searchsorted(ids, node[own])
+        a, b, wab = np.searchsorted(ids, node[arc]), np.searchsorted(ids, v), w[arc]
+        order = np.argsort(b, kind="stable")
+        a, b, wab = a[order], b[order], wab[order]
+        came = t.take(pa.array(msg))
+        sent = _rows(came.column("d"))
+        d = np.full((len(ids), sent.shape[1]), np.inf)
+        if len(mine):
+            d[mine] = _rows(held.column("d"))
+        if kind == "distance":
+            live, more = _fall(d, at, sent, w[msg], a, b, wab), None
+        else:
+            inc = _add(d, at, sent, w[msg], _rows(came.column("inc")), a, b, wab, kind == "back")
+            acc = inc.copy()
+            if len(mine):
+                acc[mine] += _rows(held.column("acc"))
+            live, more = (inc != 0).any(axis=1), (acc, inc)
+        keep = np.isfinite(d).any(axis=1)
+        n = int(keep.sum())
+        lists = [pa.nulls(n, pa.list_(pa.float64()))] * 2 if more is None else [_arrays(m[keep]) for m in more]
+        return pa.Table.from_arrays(
+            [*[pa.repeat(t.column(c)[0], n) for c in _GROUP], pa.array(ids[keep], t.schema.field("node").type), _arrays(d[keep]), *lists, pa.array(live[keep])],
+            names=[*_GROUP, "node", "d", "acc", "inc", "live"])
+    return run
+
+
+def _until_still(arcs: DataFrame, state: DataFrame | None, sent: DataFrame, kind: str, schema: str, max_rounds: int) -> DataFrame:
+    """``state`` after the messages ``sent`` and all that follow from them.
+
+    ``arcs``: (net, metric, node, reg, v, to, w), ``to`` being the region of v.  Only regions that get messages are worked on.
     """
-    own = F.col("w").isNull()
-    rows = (arcs.join(state, ["net", "metric", "node"]).where(own | F.col("live"))
-            .select("net", "metric", "blk", F.col("v").alias("node"), "w", "d", F.when(own, F.col("acc")).alias("acc"), "inc")
-            .repartition(*_KEY).sortWithinPartitions(*_KEY, F.asc_nulls_first("w")))
-
-    def run(batches):
-        held = None                             # key and values of the last node so far
-
-        def out(keys, d, acc, new, live):
-            if kind != "distance":
-                acc, live = acc + new, (new != 0).any(axis=1)
-            return pa.RecordBatch.from_arrays([*keys, _arrays(d), _arrays(acc), _arrays(new), pa.array(live)],
-                                              names=[*_KEY, "d", "acc", "inc", "live"])
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c).to_numpy() for c in _KEY]
-            fresh = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
-            start, at = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            n, mine = len(start), np.asarray(b.column("w").is_null())
-            sent = _rows(b.column("d"))
-            d, acc, new = (np.empty((n, sent.shape[1])) for _ in range(3))
-            live = np.zeros(n, bool)
-            new[:] = 0.0
-            d[at[mine]] = sent[mine]
-            acc[at[mine]] = _rows(b.column("acc").filter(pa.array(mine))) if mine.any() else 0.0
-            if held is not None:
-                if all(c[0] == h[0].as_py() for c, h in zip(cols, held[0])):
-                    d[0], acc[0], new[0], live[0] = (x[0] for x in held[1:])
-                else:
-                    yield out(*held)
-            if not mine.all():
-                some = ~mine
-                _settled(kind, d, acc, new, live, at[some], b.column("w").drop_null().to_numpy(), sent[some], _rows(b.column("inc"))[some])
-            keys = [b.column(c).take(pa.array(start)) for c in _KEY]
-            if n > 1:
-                yield out([k.slice(0, n - 1) for k in keys], d[:-1], acc[:-1], new[:-1], live[:-1])
-            held = ([k.slice(n - 1) for k in keys], d[-1:].copy(), acc[-1:].copy(), new[-1:].copy(), live[-1:].copy())
-        if held is not None:
-            yield out(*held)
-    return rows.mapInArrow(run, schema)
-
-
-def _until_still(arcs: DataFrame, state: DataFrame, kind: str, schema: str, max_rounds: int) -> DataFrame:
-    for _ in range(0, max_rounds, STRIDE):
-        for _ in range(STRIDE):
-            state = _step(arcs, state, kind, schema)
-        state = cut(state)
-        if state.where("live").isEmpty():
+    inner, border = arcs.where("reg = to"), arcs.where("reg <> to").select("net", "metric", "node", F.col("to").alias("_to"), "v", "w")
+    none = lambda t: F.lit(None).cast(t)
+    node, lists = dict(arcs.dtypes)["node"], "array<double>"
+    order = [*_GROUP, "node", "v", "w", "d", "acc", "inc"]
+    for _ in range(max_rounds):
+        hot = sent.select(*_GROUP).distinct()
+        rows = sent.select(*_GROUP, "node", none(node).alias("v"), "w", "d", none(lists).alias("acc"), "inc").unionByName(
+            hot.join(inner, ["net", "metric", "reg"]).select(*_GROUP, "node", "v", "w", *[none(lists).alias(c) for c in ("d", "acc", "inc")]))
+        if state is not None:
+            rows = rows.unionByName(state.join(hot, _GROUP, "left_semi").select(
+                *_GROUP, "node", none(node).alias("v"), none("double").alias("w"), "d", "acc", none(lists).alias("inc")))
+        new = rows.select(*order).groupBy(*_GROUP).applyInArrow(_settle(kind), schema)
+        if state is not None:
+            new = new.unionByName(state.join(hot, _GROUP, "left_anti").withColumn("live", F.lit(False)))
+        state = cut(new)
+        sent = cut(state.where("live").join(border, ["net", "metric", "node"]).select(
+            "net", "metric", "blk", F.col("_to").alias("reg"), F.col("v").alias("node"), "w", "d", "inc"))
+        if sent.isEmpty():
             return state
     raise _unfinished(max_rounds)
 
@@ -236,43 +271,39 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weights: list[str], k: int |
     Exact, from every node, unless ``k`` asks for that many sources a network; ``exact`` tells which.
 
     All weights, networks and sources advance together.  A row holds the values of a node for
-    a block of neighbouring sources, and moves on only in the steps after it changed, so a block's wave
-    passes a node once.  Three sweeps follow each other: distances fall to their least;
-    numbers of shortest paths go out along the arcs that attain them, and each node passes on
+    a block of neighbouring sources that reach it; nodes out of reach have no row.  Three sweeps follow each other:
+    distances fall to their least; numbers of shortest paths go out along the arcs that attain them, and each node passes on
     what it has just received; and (1 + dependency) / paths comes back the same way.  A street carries the
-    product of its near end's paths and its far end's sum.  Several steps make a job, and
-    streaming sums hold one node's row, whatever its number of arcs.  Weights must be above
+    product of its near end's paths and its far end's sum.  Neighbouring nodes form regions of bounded size: in a
+    round a region settles within, and only what changed at its border is sent on, so the rounds are as many as
+    regions lie along a path, not as many as its streets.  Weights must be above
     zero; arcs of weight null or not above zero are left out.
     """
+    ends = nodes.select("net", "node").distinct()
+    # neighbours share a region, neighbouring sources a block: numbered in the order of the node ids
+    seat = cut(ordered_index(ends, ["net"], "node", "_i").select("net", "node", F.floor(F.col("_i") / REGION).alias("reg")))
     of = lambda i, c: edges.where(F.col("src") != F.col("dst")).where(F.col(c) > 0).groupBy("net", "src", "dst").agg(
         F.min(F.col(c).cast("double")).alias("w")).select("net", F.lit(i).alias("metric"), F.col("src").alias("node"), F.col("dst").alias("v"), "w")
-    arcs = cut(reduce(lambda a, b: a.unionByName(b), [of(i, c) for i, c in enumerate(weights)]))
+    arcs = reduce(lambda a, b: a.unionByName(b), [of(i, c) for i, c in enumerate(weights)])
+    out_ = cut(arcs.join(seat, ["net", "node"]).join(seat.select("net", F.col("node").alias("v"), F.col("reg").alias("to")), ["net", "v"]))
+    back = out_.select("net", "metric", F.col("v").alias("node"), F.col("to").alias("reg"), F.col("node").alias("v"), F.col("reg").alias("to"), "w")
     metrics = F.explode(F.array(*[F.lit(i) for i in range(len(weights))])).alias("metric")
-    ends = nodes.select("net", "node").distinct()
-    own = ends.select("net", metrics, "node", F.col("node").alias("v"), F.lit(None).cast("double").alias("w"))
-    out_, back = (cut(own.unionByName(a)) for a in (arcs, arcs.select("net", "metric", F.col("v").alias("node"), F.col("node").alias("v"), "w")))
     pivots = cut(pick_pivots(nodes, k, seed=seed))
-    # neighbouring sources share a block: numbered in the order of the node ids
-    src = ordered_index(pivots, ["net"], "node", "_i").select("net", F.col("node").alias("s"), F.floor(F.col("_i") / BLOCK).alias("blk"), (F.col("_i") % BLOCK).cast("int").alias("slot"))
-    src = cut(src)
+    src = ordered_index(pivots, ["net"], "node", "_i").select("net", "node", F.floor(F.col("_i") / BLOCK).alias("blk"), (F.col("_i") % BLOCK).cast("int").alias("slot"))
     types = {**dict(nodes.dtypes)}
     schema = _STATE.format(net=types["net"], node=types["node"])
-    full = lambda x: F.array_repeat(F.lit(x).cast("double"), BLOCK)
     spot = lambda hit, rest: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.when(i == F.col("slot"), F.lit(hit)).otherwise(F.lit(rest)))
-    blocks = src.select("net", "blk").distinct()
-    grid = ends.join(blocks, "net").join(src.withColumnRenamed("s", "node"), ["net", "blk", "node"], "left")
-    start = grid.select("net", metrics, "blk", "node", spot(0.0, float("inf")).alias("d"), spot(1.0, 0.0).alias("acc"), spot(1.0, 0.0).alias("inc"),
-                        F.col("slot").isNotNull().alias("live"))
-    start = cut(start)
-    far = _until_still(out_, start, "distance", schema, max_rounds).select(*_KEY, "d")
-    paths = far.join(start.select(*_KEY, "acc", "inc", "live"), _KEY)
-    paths = _until_still(out_, paths, "paths", schema, max_rounds)
+    # every sweep begins with messages that nodes send to themselves
+    start = cut(src.join(seat, ["net", "node"]).select("net", metrics, "blk", "reg", "node", F.lit(0.0).alias("w"), spot(0.0, float("inf")).alias("d"), spot(1.0, 0.0).alias("inc")))
+    far = _until_still(out_, None, start, "distance", schema, max_rounds)
+    blank = lambda df: df.withColumns({"acc": F.transform("d", lambda _: F.lit(0.0)), "inc": F.lit(None).cast("array<double>"), "live": F.lit(False)})
+    paths = _until_still(out_, blank(far), start, "paths", schema, max_rounds)
     each = F.transform("acc", lambda c: F.when(c > 0, 1.0 / c).otherwise(F.lit(0.0)))
-    dep = paths.select(*_KEY, "d", each.alias("acc"), each.alias("inc"), F.lit(True).alias("live"))
-    dep = _until_still(back, dep, "back", schema, max_rounds)
+    home = paths.select(*_GROUP, "node", F.lit(0.0).alias("w"), "d", each.alias("inc"))
+    dep = _until_still(back, blank(far), home, "back", schema, max_rounds)
     near = paths.select(*_KEY, F.col("d").alias("du"), F.col("acc").alias("cu"))
     to = dep.select("net", "metric", "blk", F.col("node").alias("v"), F.col("d").alias("dt"), F.col("acc").alias("xt"))
-    on = arcs.join(near, ["net", "metric", "node"]).join(to, ["net", "metric", "blk", "v"])
+    on = out_.join(near, ["net", "metric", "node"]).join(to, ["net", "metric", "blk", "v"])
     carried = F.aggregate(F.arrays_zip("du", "cu", "dt", "xt"), F.lit(0.0), lambda a, z: a + F.when(
         (z["du"] + F.col("w") == z["dt"]) & (z["dt"] < float("inf")), z["cu"] * z["xt"]).otherwise(F.lit(0.0)))
     tot = on.groupBy("net", "metric", F.least("node", "v").alias("lo"), F.greatest("node", "v").alias("hi")).agg(F.sum(carried).alias("f"))

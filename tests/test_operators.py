@@ -262,6 +262,20 @@ def test_edge_betweenness_exact(spark):
         assert r.betweenness == pytest.approx(want.get(frozenset((r.lo, r.hi)), 0.0), abs=1e-12)
 
 
+def test_edge_betweenness_by_regions(spark, monkeypatch):
+    monkeypatch.setattr(graph, "REGION", 2)
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    test_edge_betweenness_exact(spark)
+    monkeypatch.undo()
+    # a street of 300 nodes settles in as many rounds as it has regions, and pairs out of reach have no row
+    both = [(net, a, b, 0, 1.0, 1.0) for net in (0, 1) for u in range(299) if not (net and u == 149) for a, b in ((u, u + 1), (u + 1, u))]
+    e = spark.createDataFrame(both, "net int, src long, dst long, key int, length double, travel_time double")
+    n = spark.createDataFrame([(net, i, 0.0, 0.0) for net in (0, 1) for i in range(300)], "net int, node long, x double, y double")
+    for r in graph.edge_betweenness(e, n, max_rounds=8).collect():
+        left, right = (r.hi, 300 - r.hi) if r.net == 0 else (r.hi % 150, 150 - r.hi % 150)
+        assert r.betweenness == pytest.approx(2 * left * right / (300 * 299), abs=1e-12)
+
+
 def test_unsettled_values_are_told(spark, monkeypatch):
     r = np.random.default_rng(1)
     pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(40, 2)))], "id bigint, x double, y double")
