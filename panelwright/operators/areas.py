@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import geometry as G
 from panelwright.operators.spatial import salted_join
+from panelwright.session import cut
 
 SLACK = 1e-9                    # of a cell: how far an edge's cells reach beyond it, against rounding
 
@@ -51,7 +52,8 @@ def area(parts: Column) -> Column:
 
 def area_edges(areas: DataFrame, key: str, shape: str) -> DataFrame:
     """(key, x1, y1, x2, y2, turn) of all rings; turn is 1 where the edge has the inside on its left, else -1."""
-    d = areas.select(key, F.explode(rings(F.col(shape))).alias("_r"))
+    # dealt out first: a file of few bytes is read in one task, however many edges its areas have
+    d = areas.select(key, shape).repartition(key).select(key, F.explode(rings(F.col(shape))).alias("_r"))
     d = G.pin(d, _t=F.signum(_twice(F.col("_r.ring"))) * F.col("_r.role"))
     e = d.select(key, F.explode(G.edges(G.close_ring(F.col("_r.ring")))).alias("_e"), F.col("_t").alias("turn"))
     return e.select(key, "_e.*", "turn")
@@ -84,6 +86,7 @@ def cover(areas: DataFrame, key: str, shape: str, size: float, ox: float = 0.0,
     crossed = (F.col("y1") > bottom) != (F.col("y2") > bottom)
     e = e.withColumns({"_a": F.floor((F.least(a, b) - ox - slack) / s), "_z": F.floor((F.greatest(a, b) - ox + slack) / s),
                        "_c": F.when(crossed, F.ceil((_crossing_x(bottom) - ox) / s) - 1)})
+    e = cut(e)                                  # read below by each of the three results, as is the row of corners
     cells = e.withColumn("_bx", F.explode(F.sequence("_a", "_z")))
     border = cells.select(key, "_bx", "_by", F.struct("x1", "y1", "x2", "y2").alias("edge"), "turn")
     # parity at the corners: crossings of the row's lower line further right
@@ -93,6 +96,7 @@ def cover(areas: DataFrame, key: str, shape: str, size: float, ox: float = 0.0,
     right = Window.partitionBy(key, "_by").orderBy(F.desc("_bx"))
     row = row.withColumn("_sum", F.sum("_n").over(right)).withColumn("_next", F.min(F.when(F.col("_own"), F.col("_bx"))).over(
         right.rowsBetween(Window.unboundedPreceding, -1)))
+    row = cut(row)
     corner = row.where("_own").select(key, "_bx", "_by", (F.col("_sum") % 2).cast("int").alias("base"))
     run = row.where("_own AND _next > _bx + 1").select(key, "_by", "_bx", "_next", ((F.col("_sum") - F.col("_n")) % 2).alias("_in"))
     # crossings that lie in cells without an edge (exactly on a corner) sit between a border cell and its run
@@ -201,9 +205,9 @@ def with_interior_point(areas: DataFrame, shape: str = "parts", px: str = "px",
     d = G.pin(d, _s=total("s"), _sx=total("x"), _sy=total("y"))
     d = G.pin(d, _cx=F.when(F.col("_s") != 0, F.col("_sx") / (3 * F.col("_s"))), _cy=F.when(F.col("_s") != 0, F.col("_sy") / (3 * F.col("_s"))))
     x_at = lambda e, y: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
-    cut = lambda y: F.filter("_e", lambda e: (e["y1"] > y) != (e["y2"] > y))
-    d = G.pin(d, _ok=F.coalesce(F.size(F.filter(cut(F.col("_cy")), lambda e: x_at(e, F.col("_cy")) > F.col("_cx"))) % 2 == 1, F.lit(False)))
-    d = G.pin(d, _xs=F.array_sort(F.transform(cut(F.col("_mid")), lambda e: x_at(e, F.col("_mid")))))
+    meets = lambda y: F.filter("_e", lambda e: (e["y1"] > y) != (e["y2"] > y))
+    d = G.pin(d, _ok=F.coalesce(F.size(F.filter(meets(F.col("_cy")), lambda e: x_at(e, F.col("_cy")) > F.col("_cx"))) % 2 == 1, F.lit(False)))
+    d = G.pin(d, _xs=F.array_sort(F.transform(meets(F.col("_mid")), lambda e: x_at(e, F.col("_mid")))))
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_xs") - 1, F.lit(1)), F.lit(2)), lambda i: F.struct(
         (F.get("_xs", i) - F.get("_xs", i - 1)).alias("w"), ((F.get("_xs", i) + F.get("_xs", i - 1)) / 2).alias("x")))
     d = G.pin(d, _best=F.array_max(spans))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.functions import geometry as G
 from panelwright.operators import areas as A
 from panelwright.operators import spatial
 
@@ -125,3 +126,11 @@ def test_area_and_nulls(spark):
     out = {r.id: r.zone for r in spatial.pip_join(pts, d, 10.0, ring="parts").collect()}
     assert out == {1: 0, 2: None, 3: None}
     assert spatial.pip_join(pts, d.limit(0), 10.0, ring="parts").where("zone is not null").count() == 0
+
+
+def test_areas_are_dealt_out_before_the_geometry(spark):
+    """A file of few bytes is one task when read; its edges and interior points must not be worked out in that task."""
+    one = spark.range(3).coalesce(1).select(F.col("id").alias("b"), G.rect_ring(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("ring"))
+    plan = lambda d: d._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_COL" in plan(A.area_edges(A.as_parts(one, "ring"), "b", "ring"))
+    assert "REPARTITION_BY_COL" in plan(spatial.area_overlay(one, 5.0, 0.0, 0.0))
