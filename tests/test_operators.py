@@ -276,6 +276,19 @@ def test_edge_betweenness_by_regions(spark, monkeypatch):
         assert r.betweenness == pytest.approx(2 * left * right / (300 * 299), abs=1e-12)
 
 
+def test_knn_reads_its_points_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def column(i):
+        seen.add(1)
+        return float(i % 20)
+    pts = spark.range(400).select("id", column("id").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
+    got = spatial.knn_join(pts, 4).where("i = 210 or i = 0").collect()
+    assert sorted((r.i, r.rank, r.j) for r in got) == [(0, 1, 1), (0, 2, 20), (0, 3, 21), (0, 4, 2), (210, 1, 190), (210, 2, 209), (210, 3, 211), (210, 4, 230)]
+    assert seen.value == 400
+
+
 def test_unsettled_values_are_told(spark, monkeypatch):
     r = np.random.default_rng(1)
     pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(40, 2)))], "id bigint, x double, y double")
