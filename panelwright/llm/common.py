@@ -259,14 +259,14 @@ def bounded_sample(df: DataFrame, by: str, most: int, key: list[Column], seed: i
 
 
 # ---- buckets of candidates -----------------------------------------------------
-def spread(df: DataFrame, key: str, row: Column, limit: int) -> DataFrame:
+def spread(df: DataFrame, key: str, row: Column, limit: int, weight: Column | None = None) -> DataFrame:
     """Adds ``lo``, ``hi`` and ``own``: the pair of blocks in which a row meets others of its key.
 
-    Keys of up to ``limit`` rows have the one pair (0, 0).  A larger key is dealt to
+    Keys of up to ``limit`` rows (or whole ``weight``) have the one pair (0, 0).  A larger key is dealt to
     blocks of about that size, and each row goes to every pair its block (``own``)
     is part of, so that any two rows of the key still meet and no task holds the key.
     """
-    big = df.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
+    big = df.groupBy(key).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n")).filter(F.col("__n") > limit)
     blocks = F.ceil(F.coalesce("__n", F.lit(1)) / float(limit)).cast("int")
     d = (df.join(big, key, "left").withColumn("__b", blocks)
          .withColumn("own", F.pmod(F.xxhash64(F.lit(7), row), F.col("__b")).cast("int")))
@@ -275,15 +275,15 @@ def spread(df: DataFrame, key: str, row: Column, limit: int) -> DataFrame:
     return d.withColumns({"lo": F.least("own", "__o"), "hi": F.greatest("own", "__o")}).drop("__n", "__b", "__o")
 
 
-def whole_runs(batches, columns: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal ``columns`` from sorted batches; a run is never cut."""
+def whole_runs(batches, columns: list[str], rows: int = 50_000, size: int = 1 << 62) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal ``columns`` from sorted batches, of about ``rows`` rows or ``size`` bytes; a run is never cut."""
     held, n = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         n += batch.num_rows
-        if n < rows:
+        if n < rows and sum(b.nbytes for b in held) < size:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         same = np.ones(len(t), bool)
