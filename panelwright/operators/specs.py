@@ -36,7 +36,11 @@ def enough_events(fit: DataFrame, least: int = 500) -> DataFrame:
 
 def attenuation_path(df: DataFrame, keys: list[str], y: str, x: str, controls=SES,
                      offset: str = "exposure") -> DataFrame:
-    """Terrain only, plus controls, plus absorbed groups: three effect rows per city."""
+    """Terrain only, plus controls, plus absorbed groups: three effect rows per city.
+
+    The sample is worked out once, not anew for each fit.
+    """
+    df = cut(df.select(*dict.fromkeys([*keys, "GEOID", y, x, *controls, offset])))
     cols = [*keys, "spec", "nobs", "beta", "se", "pct", "lo", "hi", "z"]
     out = None
     for label, xs, fe in (("1. terrain only", [x], False), ("2. + SES controls", [x, *controls], False),

@@ -11,7 +11,7 @@ from panelwright.operators.ppml import Spec
 from panelwright.plans import inputs as I
 from panelwright.plans.inputs import PANEL_SQL, q6, r6
 from panelwright.plans.registry import query
-from panelwright.session import scratch_path
+from panelwright.session import cut, scratch_path
 from panelwright.sources import writers
 
 OFF = "housing_units_cell"
@@ -186,7 +186,7 @@ def _(t):
 
 @query("attenuation_path")
 def _(t):
-    return specs.attenuation_path(sample.prep_sample(I.panel(t), "cells"), ["city"], "n_total", "tpi_500_z")
+    return specs.attenuation_path(sample.prep_sample(cut(I.panel(t)), "cells"), ["city"], "n_total", "tpi_500_z")
 
 
 @query("robustness_drop_mass3")
