@@ -12,7 +12,8 @@ Training is spread over the corpus: from a common start (fitted on a bounded sam
 break the symmetry) every task takes Adagrad steps over all windows of its training texts and
 re-estimates the components from the shares of responsibility (stepwise EM); the tasks'
 parameters are then averaged by the ids they have seen.  Counts of words and of subwords
-cover every training text.
+cover every training text.  Texts are encoded once, to a scratch table of ids that training
+and scoring read.
 
 Beside the model's score stands an add-one unigram score over words.  Its counts stay
 distributed: words of at least 2^-18 of all tokens, of which there can be no more than
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import ListMemo, Rows, WordMemo, bounded_sample, kept, one_thread, over_texts, sums, text_slices
+from panelwright.llm.common import ListMemo, Rows, bounded_sample, fields, kept, one_thread, over_texts, sums, text_slices, with_results
 from panelwright.llm.pieces import DoubleArray, Segmenter
 from panelwright.llm.vocabulary import MARK, load
 from panelwright.session import scratch_path
@@ -38,6 +39,7 @@ WIDTH, PARTS, PAST, STRETCH = 16, 48, 8, 16
 SPAN = PAST + STRETCH
 BATCH = 256                 # windows scored at a time, and in a step of the common start
 TRAIN_BATCH = 1024          # windows a step of the training over all texts
+PIECE = 128                 # of them worked on at a time
 WARM_ROWS, WARM_CHARS, WARM_ROUNDS = 1200, 20_000, 6    # texts of the common start, none longer
 FREQUENT, UNITS = 1 << 18, 1 << 15      # a word of one in so many tokens: its count is sent to the tasks; it is an id
 SMOOTH = 200.0
@@ -128,6 +130,14 @@ class Scorer:
         return out
 
 
+def _grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ids, where the run of each begins in ``order``, ``order``: places by id)."""
+    order = np.argsort(ids, kind="stable")
+    s = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[first], first, order
+
+
 class Trainer:
     def __init__(self, m: dict, rate: float):
         self.m, self.rate = {k: v.copy() for k, v in m.items()}, rate
@@ -135,56 +145,82 @@ class Trainer:
         self.dist, self.steps = components_of(self.m), 0
         self.got = np.zeros_like(m["parts"])        # responsibilities of this trainer's own windows
         self.used = np.zeros(len(m["e"]), np.float32)
+        self.turn = np.zeros_like(m["e"])
 
     def _move(self, name, d, at=slice(None)):
         self.past[name][at] += d * d
         self.m[name][at] -= self.rate * d / np.sqrt(self.past[name][at])
 
     def step(self, seen: np.ndarray, goal: np.ndarray) -> float:
-        m, x, y = self.m, np.maximum(seen, 0), np.maximum(goal, 0)
-        live = ((goal >= 0) & (seen[:, PAST:] >= 0)).astype(np.float32)
-        e = m["e"][x]
-        own = e[:, PAST:]
-        asks = own @ m["meet"]
-        a = _attend(asks, e, m["near"], seen)
-        a /= a.sum(2, keepdims=True) + np.float32(1e-30)
-        o = a @ e
-        share = own @ m["own"] + o @ m["seen"] + m["bias"]
-        np.exp(np.clip(share, np.float32(-40), np.float32(40), out=share), out=share)
-        share /= share.sum(2, keepdims=True)
-        r = share * self.dist[y]
-        p = r.sum(2)
-        r /= p[:, :, None]
-        r *= live[:, :, None]
-        loss = float(-(np.log(p) * live).sum() / max(live.sum(), 1))
-        flat, rr = y.ravel(), r.reshape(-1, PARTS)
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        self.got[ids] += np.add.reduceat(rr[order], first, axis=0)
-        n = np.float32(max(live.sum(), 1))
-        dg = (share * live[:, :, None] - r) / n
-        do = dg @ m["seen"].T
-        da = do @ e.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(2, keepdims=True))
-        d_asks = ds @ e
-        f = lambda z: z.reshape(-1, z.shape[-1])
-        de = ds.transpose(0, 2, 1) @ asks + a.transpose(0, 2, 1) @ do
-        de[:, PAST:] += d_asks @ m["meet"].T + dg @ m["own"].T
-        grads = {"meet": f(own).T @ f(d_asks), "own": f(own).T @ f(dg), "seen": f(o).T @ f(dg), "bias": f(dg).sum(0),
-                 "near": np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), SPAN).astype(np.float32)}
-        for name, d in grads.items():
+        """One step over all windows; ``PIECE`` of them are worked on at a time, which stay in the cache."""
+        m, into = self.m, np.concatenate([self.m["own"], self.m["seen"]])
+        live = (goal >= 0) & (seen[:, PAST:] >= 0)
+        n = np.float32(max(np.count_nonzero(live), 1))
+        total, loss, touched = {}, 0.0, []
+        for lo in range(0, len(seen), PIECE):
+            at = slice(lo, lo + PIECE)
+            part, ids, grads = self._part(into, seen[at], goal[at], live[at].astype(np.float32).ravel(), n)
+            loss += part
+            touched.append(ids)
+            for k, d in grads.items():
+                total[k] = total[k] + d if k in total else d
+        total["own"], total["seen"] = np.split(total.pop("into"), 2)
+        for name, d in total.items():
             self._move(name, d)
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        self._move("e", np.add.reduceat(f(de)[order], first, axis=0), ids)
-        self.used[ids] += np.diff(np.append(first, len(flat)))
+        ids = np.unique(np.concatenate(touched))
+        self._move("e", self.turn[ids], ids)
+        self.turn[ids] = 0
         self.steps += 1
         if self.steps % 10 == 0:
-            self.m["parts"] *= np.float32(0.95)
+            m["parts"] *= np.float32(0.95)
             self.got *= np.float32(0.98)
-            self.dist = components_of(self.m | {"parts": self.m["parts"] + self.got})
-        return loss
+            self.dist = components_of(m | {"parts": m["parts"] + self.got})
+        return float(loss / n)
+
+    def _part(self, into, seen, goal, live, n):
+        """(summed loss, ids seen, gradients) of some windows; adds to ``got``, ``used`` and ``turn``, the gradient of ``e``."""
+        m, b = self.m, len(seen)
+        x, y = np.maximum(seen, 0), np.maximum(goal, 0).ravel()
+        e = m["e"][x]
+        both = np.empty((b, STRETCH, 2 * WIDTH), np.float32)            # own, what is attended to
+        pair = np.empty((b, 2 * STRETCH, WIDTH), np.float32)            # asks, do
+        pull = np.empty((b, 2 * STRETCH, SPAN), np.float32)             # ds, a
+        asks, do, ds, a = pair[:, :STRETCH], pair[:, STRETCH:], pull[:, :STRETCH], pull[:, STRETCH:]
+        both[:, :, :WIDTH] = e[:, PAST:]
+        own = both[:, :, :WIDTH].reshape(-1, WIDTH)
+        asks[:] = (own @ m["meet"]).reshape(b, STRETCH, WIDTH)
+        a[:] = _attend(asks, e, m["near"], seen)
+        a /= a.sum(2, keepdims=True) + np.float32(1e-30)
+        both[:, :, WIDTH:] = a @ e
+        flat, ones = both.reshape(-1, 2 * WIDTH), np.ones(PARTS, np.float32)
+        share = flat @ into
+        share += m["bias"]
+        np.clip(share, np.float32(-40), np.float32(40), out=share)
+        np.exp(share, out=share)
+        share /= (share @ ones)[:, None]
+        r = self.dist[y]
+        r *= share
+        p = r @ ones
+        r *= (live / p)[:, None]
+        ids, first, order = _grouped(y)
+        self.got[ids] += np.add.reduceat(r[order], first, axis=0)
+        share *= live[:, None]
+        share -= r
+        share *= np.float32(1) / n                                      # the shares' gradient
+        d = (share @ into.T).reshape(b, STRETCH, 2 * WIDTH)
+        do[:] = d[:, :, WIDTH:]
+        np.multiply(a, do @ e.transpose(0, 2, 1), out=ds)
+        ds -= a * ds.sum(2, keepdims=True)
+        d_asks = (ds @ e).reshape(-1, WIDTH)
+        de = pull.transpose(0, 2, 1) @ pair
+        de[:, PAST:] += d[:, :, :WIDTH]
+        de[:, PAST:] += (d_asks @ m["meet"].T).reshape(b, STRETCH, WIDTH)
+        grads = {"meet": own.T @ d_asks, "into": flat.T @ share, "bias": share.sum(0),
+                 "near": np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), SPAN).astype(np.float32)}
+        ids, first, order = _grouped(x.ravel())
+        self.turn[ids] += np.add.reduceat(de.reshape(-1, WIDTH)[order], first, axis=0)
+        self.used[ids] += np.diff(np.append(first, len(order)))
+        return -float(np.log(p) @ live), ids, grads
 
     def over(self, seen, goal, batch: int = BATCH):
         for lo in range(0, len(seen), batch):
@@ -193,25 +229,36 @@ class Trainer:
 
 # ---- texts to ids ----------------------------------------------------------------
 class Words:
-    """Ids of texts, word by word: ASCII letters lower-cased; pieces have the marker before the word."""
+    """Ids and base scores of words; ASCII letters lower-cased; pieces have the marker before the word.
+
+    ``known``: sorted hashes of words and their base scores.  A memo of words serves both.
+    """
 
-    def __init__(self, v, arrays, units: np.ndarray):
-        self.segmenter, self.units, self.ids_of = Segmenter(v, arrays), units, len(v.pieces)
-        self.memo = ListMemo(self._learn, 500_000)
+    def __init__(self, v, arrays, units: np.ndarray, known: tuple):
+        self.segmenter, self.units, self.known, self.ids_of = Segmenter(v, arrays), units, known, len(v.pieces)
+        self.h, self.log = Rows(dtype=np.int64), Rows(dtype=np.float64)
+        self.memo = ListMemo(self._learn, 500_000, lambda rows: (self.h.keep(rows), self.log.keep(rows)))
 
     def _learn(self, words):
         flat, size = self.segmenter._learn([MARK + w.decode("utf-8", "replace") for w in words])
-        at, hit = _find(self.units, _digest(words))
+        h = _digest(words)
+        at, hit = _find(self.units, h)
         first = np.cumsum(size) - size
         flat[first[hit]] = self.ids_of + at[hit]
         keep = np.ones(len(flat), bool)
         keep[np.repeat(hit, size)] = False
         keep[first[hit]] = True
+        score = np.full(len(h), np.nan)
+        at, found = _find(self.known[0], h)
+        score[found] = self.known[1][at[found]]
+        self.h.add(h)
+        self.log.add(score)
         return flat[keep], np.where(hit, 1, size)
 
-    def ids(self, split: list[list[bytes]]) -> list[np.ndarray]:
-        flat, ends = self.memo.lists(split)
-        return np.split(flat, ends[:-1]) if len(split) else []
+    def of(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of every word, ids of all texts end to end, where each text ends)."""
+        at = self.memo.rows(split)
+        return at, *self.memo.gather(at, split)
 
 
 def _find(sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +281,10 @@ def _digest(words: list[bytes]) -> np.ndarray:
 
 def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
     """h (64-bit hash of a word), c: counts over all texts."""
+    key = uuid.uuid4().hex
+
     def run(batches):
+        kept(("counted", key), dict)        # lets what earlier stages kept go
         seen: Counter = Counter()
 
         def out():
@@ -244,7 +294,7 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
             for _, texts in text_slices(b, "text"):
                 for x in _split(texts):
                     seen.update(x)
-                if len(seen) > 700_000:
+                if len(seen) > 400_000:
                     yield out()
                     seen.clear()
         if seen:
@@ -252,21 +302,66 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
     return train.select(F.col(text).alias("text")).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_id", text: str = "text", seed: int = 31):
-    """A broadcast (key, vocabulary, trie, units, parameters) fitted on all texts of ``docs``; units: sorted hashes of words."""
+def encode(rows: DataFrame, model_file: str, units: np.ndarray, known: tuple, seed: int = 31) -> tuple[DataFrame, int]:
+    """(table of the encoded ``rows``, number of ids); rows have doc_id, text and train; units: sorted hashes of words.
+
+    ids: those of the text, as bytes; n_tokens: words and the end; sure, base: number and base
+    score of the words in ``known``; rare_h, rare_n: hashes and numbers of the others.
+    """
     one_thread()
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     with open(model_file, "rb") as f:
         v = load(f.read())
     arrays = DoubleArray({v.pieces[i].encode(): i for i in v.matched}).arrays()
-    key = uuid.uuid4().hex
-    rows = docs.select(F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(doc), F.col(text)).alias("h"))
-    all_ = len(v.pieces) + len(units)
+    shared, key, all_ = spark.sparkContext.broadcast((v, arrays, units, known)), uuid.uuid4().hex, len(v.pieces) + len(units)
+    kind = _kind(all_)
+
+    def start():
+        own = kept(("words", key), lambda: Words(*shared.value))
+
+        def run(b, texts):
+            split = _split(texts)
+            at, ids, ends = own.of(split)
+            many = np.fromiter(map(len, split), np.int64, len(split))
+            doc, first, log = np.repeat(np.arange(len(split)), many), np.cumsum(many) - many, own.log.data[at]
+            rare = np.isnan(log)
+            code, n = np.unique(doc[rare] * np.int64(1 << 32) + at[rare], return_counts=True)
+            cuts = pa.array(np.searchsorted(code, np.arange(len(split) + 1) << 32).astype(np.int32))
+            ids = ids.astype(kind)
+            return with_results(b, {
+                "ids": pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary()), "n_tokens": many + 1,
+                "sure": sums((~rare).astype(np.int64), first).astype(np.int64), "base": sums(np.where(rare, 0.0, log), first),
+                "rare_h": pa.ListArray.from_arrays(cuts, pa.array(own.h.data[code & ((1 << 32) - 1)])),
+                "rare_n": pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))})
+        return run
+
+    d = rows.select("doc_id", "train", "text", F.monotonically_increasing_id().alias("rid"), F.length("text").alias("chars"),
+                    F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    schema = fields(d, {"ids": "binary", "n_tokens": "bigint", "sure": "bigint", "base": "double", "rare_h": "array<bigint>", "rare_n": "array<int>"})
+    path = scratch_path(spark, "encoded")
+    over_texts(d, schema, start).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path), all_
+
+
+def _kind(ids: int):
+    return np.uint16 if ids <= 1 << 16 else np.int32
+
+
+def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_id", text: str = "text", seed: int = 31):
+    """A broadcast (key, parameters) fitted on all texts of ``docs``; units: sorted hashes of words."""
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("train"))
+    return fit(*encode(rows, model_file, units, (np.zeros(0, np.int64), np.zeros(0)), seed), seed)
+
+
+def fit(encoded: DataFrame, all_: int, seed: int = 31):
+    """A broadcast (key, parameters) fitted on all encoded texts that are marked ``train``."""
+    one_thread()
+    spark, kind, key = encoded.sparkSession, _kind(all_), uuid.uuid4().hex
+    rows = encoded.filter("train")
     m = fresh(all_)
-    some = bounded_sample(rows.filter(F.length("text").between(1, WARM_CHARS)).withColumn("one", F.lit(1)), "one", WARM_ROWS, [F.col("h")], seed)
-    texts = [r.text.encode() for r in some.orderBy("h").collect()]
-    if texts:
-        ids = Words(v, arrays, units).ids(_split(texts))
+    some = bounded_sample(rows.filter(F.col("chars").between(1, WARM_CHARS)).select("ids", "h", F.lit(1).alias("one")), "one", WARM_ROWS, [F.col("h")], seed)
+    ids = [np.frombuffer(r.ids, kind).astype(np.int32) for r in some.orderBy("h").collect()]
+    if ids:
         m["ids"] = np.bincount(np.concatenate(ids + [np.full(len(ids), END)]), minlength=all_).astype(np.float32)
         m["parts"] *= (m["ids"] / m["parts"].sum(1) / 4)[:, None].astype(np.float32)
         t = Trainer(m, 0.25)
@@ -277,18 +372,17 @@ def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_i
             t.over(seen[o], goal[o])
             t.m["parts"], t.got = t.got, np.zeros_like(t.got)
         m = t.m
-    shared = spark.sparkContext.broadcast((key, v, arrays, units, m))
+    shared = spark.sparkContext.broadcast(m)
     flat = [k for k in sorted(m) if k not in ("e", "parts", "ids")]
     blocks = -(-all_ // BLOCK)
 
     def run(batches):
         one_thread()
-        key, v, arrays, units, m = shared.value
-        words, t = kept(("words", key), lambda: Words(v, arrays, units)), Trainer(m, 0.08)
+        t = Trainer(kept(("start", key), lambda: shared.value), 0.08)
         all_ids, held = np.zeros(all_), ([], [])
         for b in batches:
-            for _, texts in text_slices(b, "text"):
-                ids = words.ids(_split(texts))
+            for _, texts in text_slices(b, "ids"):
+                ids = [np.frombuffer(x, kind) for x in texts]
                 all_ids += np.bincount(np.concatenate(ids), minlength=len(all_ids))
                 all_ids[END] += len(ids)
                 seen, goal, _, _ = windows(ids)
@@ -307,7 +401,7 @@ def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_i
                 out.append((k, np.concatenate([(t.m["e"][s] * t.used[s, None]).ravel(), t.used[s], t.got[s].ravel(), all_ids[s]]).astype(np.float32)))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["block", "x"])
 
-    got = rows.mapInArrow(run, "block int, x binary")
+    got = rows.select("ids").mapInArrow(run, "block int, x binary")
     summed = _summed(got, "block").collect()
     m = {k: x.copy() for k, x in m.items()}
     m["ids"] = np.zeros(all_, np.float32)
@@ -327,7 +421,7 @@ def train(docs: DataFrame, model_file: str, units: np.ndarray, doc: str = "doc_i
         m["e"][lo: lo + n][hit] = (e.reshape(n, WIDTH)[hit] / used[hit, None]).astype(np.float32)
         m["parts"][lo: lo + n] += parts.reshape(n, PARTS)
         m["ids"][lo: lo + n] = ids
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, v, arrays, units, m))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, m))
 
 
 def _summed(df: DataFrame, key: str) -> DataFrame:
@@ -362,58 +456,28 @@ def score(docs: DataFrame, is_train, model_file: str, doc: str = "doc_id", text:
     n, kinds = total + ends, kinds + (ends > 0)
     often = counts.filter(F.col("c") * FREQUENT >= n).toArrow()
     order = np.argsort(often.column("h").to_numpy())
-    known = spark.sparkContext.broadcast((often.column("h").to_numpy()[order], often.column("c").to_numpy()[order]))
-    model = train(learn, model_file, known.value[0][known.value[1] * UNITS >= n])
+    h, c = often.column("h").to_numpy()[order], often.column("c").to_numpy()[order]
     unit = float(n + kinds + 1)
+    encoded, all_ = encode(rows, model_file, h[c * UNITS >= n], (h, np.log10((c + 1) / unit)))
+    model, kind = fit(encoded, all_), _kind(all_)
     end_base, end_known = float(np.log10((ends + 1) / unit)), int(ends > 0)
 
-    class Of:
-        def __init__(self, key, v, arrays, units, m):
-            self.words, self.scorer = Words(v, arrays, units), Scorer(m)
-            self.h, self.log = Rows(dtype=np.int64), Rows(dtype=np.float64)
-            self.memo = WordMemo(self.learn, lambda rows: (self.h.keep(rows), self.log.keep(rows)), 500_000)
-
-        def learn(self, words):
-            h = _digest(words)
-            at, hit = _find(known.value[0], h)
-            c = known.value[1][at] if len(known.value[1]) else np.zeros(len(h))
-            self.h.add(h)
-            self.log.add(np.where(hit, np.log10((c + 1) / unit), np.nan))
-
     def start():
-        own = kept(("scored", model.value[0]), lambda: Of(*model.value))
+        scorer = kept(("scored", model.value[0]), lambda: Scorer(model.value[1]))
 
         def run(b, texts):
-            split = _split(texts)
-            at = own.memo.rows([w for x in split for w in x])
-            many = np.fromiter(map(len, split), np.int64, len(split))
-            of, first, log = np.repeat(np.arange(len(split)), many), np.cumsum(many) - many, own.log.data[at]
-            rare = np.isnan(log)
-            base = sums(np.where(rare, 0.0, log), first) + end_base
-            sure = sums((~rare).astype(np.int64), first).astype(np.int64) + end_known
-            seen, goal, owner, _ = windows(own.words.ids(split))
-            s = np.bincount(owner, np.where(goal >= 0, own.scorer(seen, goal), 0).sum(1), len(split))
-            rid = b.column("rid").to_numpy()
-            code, n_ = np.unique(of[rare] * np.int64(1 << 32) + at[rare], return_counts=True)
-            k, doc_of, word = len(code), code >> 32, code & ((1 << 32) - 1)
-            info = pa.StructArray.from_arrays(
-                [b.column("doc_id"), b.column("train"), pa.array(many + 1), pa.array(sure), pa.array(base), pa.array(s)],
-                names=["doc_id", "train", "n_tokens", "sure", "base", "score"])
-            none = pa.nulls(k, info.type)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([rid[doc_of], rid])), pa.array(np.concatenate([own.h.data[word], rid * np.int64(0x9E3779B97F4A7C1)])),
-                 pa.array(np.concatenate([n_, np.zeros(len(rid), np.int64)]).astype(np.int32)), pa.concat_arrays([none, info])],
-                names=["rid", "h", "n", "info"])
+            seen, goal, owner, _ = windows([np.frombuffer(x, kind) for x in texts])
+            return with_results(b, {"score": np.bincount(owner, np.where(goal >= 0, scorer(seen, goal), 0).sum(1), len(texts))}, ("ids",))
         return run
 
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"rid bigint, h bigint, n int, info struct<doc_id:{kind},train:boolean,n_tokens:bigint,sure:bigint,base:double,score:double>"
-    parts = over_texts(rows.withColumn("rid", F.monotonically_increasing_id()), schema, start)
-    met = parts.join(counts, "h", "left")
+    whole = encoded.select("rid", "doc_id", "train", "n_tokens", "sure", "base", "ids")
+    whole = over_texts(whole, fields(whole, {"score": "double"}, ("ids",)), start, "ids")
+    whole = whole.select("rid", F.struct(*[x for x in whole.columns if x != "rid"]).alias("info"), F.lit(0.0).alias("b"), F.lit(0).cast("bigint").alias("k"))
+    rare = encoded.select("rid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("w")).select("rid", F.col("w.rare_h").alias("h"), F.col("w.rare_n").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    done = met.groupBy("rid").agg(F.first("info", ignorenulls=True).alias("info"),
-                                  F.sum(F.when(F.col("n") > 0, F.col("n") * F.log10((c + 1) / F.lit(unit)))).alias("b"),
-                                  F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"))
+    met = rare.join(counts, "h", "left").select("rid", F.lit(None).cast(whole.schema["info"].dataType).alias("info"),
+                                                (F.col("n") * F.log10((c + 1) / F.lit(unit))).alias("b"), F.when(c > 0, F.col("n")).otherwise(0).cast("bigint").alias("k"))
+    done = whole.union(met).groupBy("rid").agg(F.first("info", ignorenulls=True).alias("info"), F.sum("b").alias("b"), F.sum("k").alias("k"))
     return done.select("info.doc_id", (~F.col("info.train")).alias("held_out"), "info.n_tokens",
-                       (F.col("info.sure") + F.coalesce("k", F.lit(0))).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-                       (F.col("info.base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), F.col("info.score").alias("score"))
+                       (F.col("info.sure") + F.col("k") + end_known).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+                       (F.col("info.base") + end_base + F.col("b")).alias("base_score"), F.col("info.score").alias("score"))

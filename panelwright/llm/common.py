@@ -173,10 +173,10 @@ class Rows:
 
 
 class ListMemo:
-    """Integer lists of words: ``learn(new words)`` gives their lists end to end, and the sizes."""
+    """Integer lists of words: ``learn(new words)`` gives their lists end to end, and the sizes; ``also`` is told which rows stay."""
 
-    def __init__(self, learn: Callable, limit: int = 500_000):
-        self.make = learn
+    def __init__(self, learn: Callable, limit: int = 500_000, also: Callable | None = None):
+        self.make, self.also = learn, also
         self.ids, self.start, self.size = Rows(dtype=np.int32), Rows(dtype=np.int64), Rows(dtype=np.int64)
         self.memo = WordMemo(self._learn, self._keep, limit)
 
@@ -193,10 +193,19 @@ class ListMemo:
         self.size.keep(rows)
         self.start.keep(rows)
         self.start.data[: len(rows)] = start
+        if self.also:
+            self.also(rows)
+
+    def rows(self, split: list[list]) -> np.ndarray:
+        """Rows of all words of all texts end to end."""
+        return self.memo.rows([w for x in split for w in x])
 
     def lists(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """(the lists of all words of all texts end to end, where each text ends)."""
-        at = self.memo.rows([w for x in split for w in x])
+        return self.gather(self.rows(split), split)
+
+    def gather(self, at: np.ndarray, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words whose rows are known."""
         start, size = self.start.data[at], self.size.data[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         words = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
