@@ -13,6 +13,9 @@ whole stream follows from the parts' totals, one row a part.
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import uuid
 import zlib
 
@@ -37,11 +40,30 @@ MOST_PARTS = 1 << 20
 SCHEMA = "part int, doc_id bigint, n_tokens bigint, part_start bigint, tokens array<int>"
 
 
+#: A normalizer and a pre-tokenizer under which plain words fall into runs that the merges take as they are.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")                   # no apostrophe, nothing that NFC or case rules treat apart
+LETTERS_SIGNS = re.compile("([a-zß-öø-ÿ]*)([^a-z0-9ß-öø-ÿ]*)")
+RUNS = re.compile("([a-zß-öø-ÿ]+)|([0-9]|[^a-z0-9ß-öø-ÿ]+)")
+
+
+def _byte_level() -> dict:
+    """Characters from U+00C0 on as the byte-level alphabet writes their UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in shown)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class _Encoder:
     """Token ids of texts by a ``tokenizers`` file.
 
     With ``by_word`` the text is cut at ASCII white space and each word is encoded
     once: right for tokenizers that drop white space and never join across it.
+    Plain words go straight to the file's merges where its normalizer and pre-tokenizer are those known here.
     """
 
     def __init__(self, file: str, by_word: bool):
@@ -49,14 +71,47 @@ class _Encoder:
 
         self.tokenizer, self.by_word = Tokenizer.from_str(file), by_word
         self.memo = ListMemo(self.learn, 500_000)
+        has = json.loads(file)
+        self.plain = (has["normalizer"], has["pre_tokenizer"], has["model"]["type"]) == (NORMALIZER, PRE_TOKENIZER, "BPE")
+        self.added = {t["content"].lower()[0] for t in has["added_tokens"]}         # words with such a character may hold an added token
+        self.model, self.alphabet, self.short = self.tokenizer.model, _byte_level(), {}
+
+    def of_plain(self, word: str) -> list[int] | None:
+        """Ids of a word of plain characters, else None."""
+        if not PLAIN.fullmatch(word):
+            return None
+        low = word.lower()
+        for c in self.added:
+            if c in low:
+                return None
+        letters, signs = LETTERS_SIGNS.match(low).groups()
+        if len(letters) + len(signs) == len(low):
+            ids = [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.translate(self.alphabet))] if letters else []
+            return ids + self.of_signs(signs) if signs else ids
+        return [i for x, y in RUNS.findall(low) for i in (self.of_run(x) if x else self.of_signs(y))]
+
+    def of_run(self, x: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.alphabet))]
+
+    def of_signs(self, x: str) -> list[int]:
+        got = self.short.get(x)
+        if got is None:
+            if len(self.short) > 10_000:
+                self.short.clear()
+            got = self.short[x] = self.of_run(x)
+        return got
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words):
-        lists = self.encode([w.decode("utf-8", "replace") for w in words])
+        words = [w.decode("utf-8", "replace") for w in words]
+        lists = [self.of_plain(w) for w in words] if self.plain else [None] * len(words)
+        rest = [i for i, x in enumerate(lists) if x is None]
+        for i, x in zip(rest, self.encode([words[i] for i in rest])):
+            lists[i] = x
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())), size
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size
 
     def lists(self, texts: list, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; each text's number of ids)."""
