@@ -1,7 +1,8 @@
 """Newton steps of many weighted replicates at once: one vector of weights a row, dense sums by group and replicate.
 
-A row carries its unit's weights in all replicates.  A round takes rows x replicates as
-matrices, batch by batch, into sums of each group (one block of replicates x moments); from a
+Rows of one group and one unit come packed as one piece, with that unit's weights in all replicates; where
+replicates differ by their outcomes, a piece has the outcomes' sums in their place, which no slope changes.  A round takes
+rows x replicates as matrices, batch by batch, into sums of each piece and group (one block of replicates x moments); from a
 whole group's block the group effects drop out in closed form, and scores and Hessians are
 added up by model.  Groups lie whole in one partition; only of groups so large that they are
 dealt out do blocks move.  The driver gets one row a model and holds the slopes: models x replicates x slopes, of a checked size.
@@ -66,14 +67,26 @@ class _Moments:
         self.p, self.tri = p, [(j, k) for j in range(p) for k in range(j + 1)]
         self.n = 2 + 2 * p + len(self.tri)
 
-    def of(self, x: np.ndarray, my: np.ndarray, off: np.ndarray, m, slopes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """``x`` rows x p, ``my`` weighted outcomes and ``m`` weights (or 1) rows x active, ``slopes`` active x p, ``starts`` where groups begin."""
-        e = m * np.exp(np.clip(x @ slopes.T + off[:, None], -ETA_CAP, ETA_CAP))
-        add = lambda a: np.add.reduceat(a, starts, axis=0)
-        parts = [add(my), add(e)]
-        parts += [add(my * x[:, [j]]) for j in range(self.p)] + [add(e * x[:, [j]]) for j in range(self.p)]
-        parts += [add(e * (x[:, [j]] * x[:, [k]])) for j, k in self.tri]
-        return np.stack(parts, axis=1)
+    def of(self, x: np.ndarray, off: np.ndarray, sizes: np.ndarray, y: np.ndarray, m, slopes: np.ndarray) -> np.ndarray:
+        """Sums of pieces, of which ``sizes`` tells the rows.
+
+        ``x`` rows x p, ``y`` outcomes' sums and those with each of x, pieces x (1 + p) x active or 1, ``m`` weights
+        pieces x active (or None), ``slopes`` active x p.
+        """
+        if m is not None and (slopes == slopes[0]).all():
+            slopes = slopes[:1]                             # the first step, from the base fit
+        e = x @ slopes.T
+        e += off[:, None]
+        np.exp(np.clip(e, -ETA_CAP, ETA_CAP, out=e), out=e)
+        by = np.concatenate([np.ones((len(x), 1)), x, *[x[:, [j]] * x[:, [k]] for j, k in self.tri]], axis=1)
+        sums, first = np.empty((len(sizes), by.shape[1], e.shape[1])), np.cumsum(sizes) - sizes
+        for n in np.unique(sizes):
+            these = np.flatnonzero(sizes == n)
+            rows = first[these][:, None] + np.arange(n)
+            sums[these] = np.matmul(by[rows].transpose(0, 2, 1), e[rows])
+        if m is not None:
+            sums, y = sums * m[:, None, :], y * m[:, None, :]
+        return np.concatenate([y[:, :1], sums[:, :1], y[:, 1:], sums[:, 1:]], axis=1)
 
     def steps(self, g: np.ndarray) -> np.ndarray:
         """From whole groups' sums to (scores, Hessian triangle, events) x replicates, added up over the groups."""
@@ -98,26 +111,71 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             yield tuple(c[s] for c in cols), b.slice(s, e - s)
 
 
-def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_iter: int = 60) -> DataFrame | None:
-    """(keys, rep, b, iters, converged) for design rows with weights ``m``, or with outcomes ``ys`` in place of y and no weights.
+def _packed(d: DataFrame, keys: list[str], xs: list[str], unit: str) -> DataFrame:
+    """(keys, grp, unit, y, off, x, _s, whole): a group's rows of one unit as one row of arrays, of a dealt group in parts."""
+    row = F.struct("y", "off", F.array(*xs).alias("x"))
+    got = d.groupBy(*keys, "grp", unit, "_s", "whole").agg(F.collect_list(row).alias("_r"))
+    return got.select(*keys, "grp", unit, "_s", "whole", F.col("_r.y").alias("y"), F.col("_r.off").alias("off"), F.flatten("_r.x").alias("x"))
 
-    ``start``: slopes by model key (else zero).
+
+def _outcomes_summed(d: DataFrame, keys: list[str], kinds: str, outcomes: dict, p: int) -> DataFrame:
+    """(keys, model_id, grp, whole, x, off, y): pieces with sums of each replicate's outcomes, alone and with each of x, drawn here and not kept."""
+    names, draw = outcomes["names"], outcomes["draw"]
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                starts = _runs([part.column(k).to_numpy(zero_copy_only=False) for k in (*keys, "grp")])
+                x, off, n = _dense(part.column("x")), part.column("off").to_numpy(), len(starts)
+                ends = np.append(starts, part.num_rows)
+                lists = lambda v, width: pa.ListArray.from_arrays(pa.array((ends * width).astype(np.int32)), pa.array(np.ascontiguousarray(v).ravel()))
+                head = part.take(pa.array(starts))
+                for name, ys in zip(names, draw(part.column(outcomes["from"]))):
+                    ys = ys.astype(np.float64)
+                    y = np.stack([np.add.reduceat(ys if j < 0 else ys * x[:, [j]], starts, axis=0) for j in range(-1, p)], axis=1)
+                    yield pa.RecordBatch.from_arrays([head.column(k) for k in keys] + [pa.array([name] * n), head.column("grp"), head.column("whole"), lists(x, p), lists(off, 1), _lists(y.reshape(n, -1))],
+                                                     names=[*keys, "model_id", "grp", "whole", "x", "off", "y"])
+    return d.mapInArrow(run, f"{kinds}model_id string, grp string, whole boolean, x array<double>, off array<double>, y array<double>")
+
+
+def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_iter: int = 60, draws: DataFrame | None = None, unit: str = "_unit",
+                     outcomes: dict | None = None) -> DataFrame | None:
+    """(keys, rep, b, iters, converged) for design rows with weights ``m``, or with a ``unit`` whose weights are in ``draws``.
+
+    ``start``: slopes by model key (else zero).  ``outcomes``: rows without a model and weights; ``draw`` makes of the column
+    ``from`` rows x replicates for each of ``names``, the models (the last of ``keys``).
 
     Returns None where the slopes of all models would be more than MOST_BYTES.
     """
     spark = d.sparkSession
     xs = sorted((c for c in d.columns if c[0] == "x" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     p = len(xs)
-    models = [tuple(r) for r in d.select(*keys).distinct().limit(MOST_BYTES // (8 * reps * p) + 1).collect()]
-    if len(models) * reps * p * 8 > MOST_BYTES:
+    types = dict(d.dtypes) | {"model_id": "string"}
+    at = keys[:-1] if outcomes else keys
+    many = len(outcomes["names"]) if outcomes else 1
+    models = [tuple(r) for r in d.select(*at).distinct().limit(MOST_BYTES // (8 * reps * p) + 1).collect()] if at else [()]
+    if len(models) * many * reps * p * 8 > MOST_BYTES:
         return None
-    hot = d.groupBy(*keys, "grp").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_n")).where("_n > 1")
+    if outcomes:
+        models = [(*m, o) for m in models for o in outcomes["names"]]
+    hot = d.groupBy(*at, "grp").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_n")).where("_n > 1")
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_n")), F.lit(0)).cast("int")
     split = hot.limit(10_001).count()
-    rows = d.join(F.broadcast(hot) if split <= 10_000 else hot, [*keys, "grp"], "left").withColumn("_s", salt)
-    outcomes = "ys" in d.columns
-    rows = cut(rows.select(*keys, "grp", "y", "off", F.array(*xs).alias("x"), F.col("ys" if outcomes else "m").alias("m"), "_s", F.col("_n").isNull().alias("whole")).repartition(*keys, "grp", "_s").sortWithinPartitions(*keys, "grp"))
-    mom, types = _Moments(p), dict(d.dtypes)
+    rows = d.join(F.broadcast(hot) if split <= 10_000 else hot, [*at, "grp"], "left").withColumn("_s", salt).withColumn("whole", F.col("_n").isNull())
+    if outcomes:
+        rows = rows.select(*at, "grp", "off", F.array(*xs).alias("x"), outcomes["from"], "_s", "whole")
+    elif draws is not None:
+        keep = [k for k in draws.columns if k in keys]
+        rows = with_weights(_packed(rows, keys, xs, unit), draws, keep, unit, reps)
+    else:
+        rows = rows.select(*keys, "grp", F.array("y").alias("y"), F.array("off").alias("off"), F.array(*xs).alias("x"), "m", "_s", "whole")
+    rows = rows.repartition(*at, "grp", "_s").sortWithinPartitions(*at, "grp")
+    if outcomes:
+        rows = _outcomes_summed(rows, at, "".join(f"`{k}` {types[k]}, " for k in at), outcomes, p)
+        rows = rows.sortWithinPartitions(*keys, "grp")
+    rows = cut(rows)
+    mom = _Moments(p)
     ks = ", ".join(f"`{k}` {types[k]}" for k in keys)
     sent = ks + ", grp string, whole boolean, g array<double>"
     slopes = {m: np.tile(np.asarray(start.get(m, np.zeros(p)), float)[:p], (reps, 1)) for m in models}
@@ -142,14 +200,22 @@ def replicate_slopes(d: DataFrame, keys: list[str], reps: int, start: dict, max_
                 if state is None:
                     continue
                 at, slope = state
-                step = max(1, BLOCK_VALUES // len(at))
-                for lo in range(0, b.num_rows, step):
-                    part = b.slice(lo, step)
+                sizes = b.column("off").value_lengths().to_numpy()
+                cost = np.cumsum(sizes + mom.n) * len(at)
+                lo = 0
+                while lo < b.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + BLOCK_VALUES, side="right")))
+                    part, size = b.slice(lo, hi - lo), sizes[lo:hi]
+                    lo = hi
                     grp = part.column("grp").to_numpy(zero_copy_only=False)
                     starts = _runs([grp])
-                    m = _dense(part.column("m"))[:, at].astype(np.float64)
-                    my = m if outcomes else m * part.column("y").to_numpy()[:, None]
-                    g = mom.of(_dense(part.column("x")), my, part.column("off").to_numpy(), 1.0 if outcomes else m, slope, starts)
+                    x, off = part.column("x").flatten().to_numpy().reshape(-1, p), part.column("off").flatten().to_numpy()
+                    if outcomes:
+                        m, y = None, _dense(part.column("y")).reshape(len(part), 1 + p, -1)[:, :, at]
+                    else:
+                        m, one = _dense(part.column("m"))[:, at].astype(np.float64), part.column("y").flatten().to_numpy()
+                        y = np.add.reduceat(np.column_stack([one, one[:, None] * x]), np.cumsum(size) - size, axis=0)[:, :, None]
+                    g = np.add.reduceat(mom.of(x, off, size, y, m, slope), starts, axis=0)
                     whole = part.column("whole").to_numpy(zero_copy_only=False)[starts]
                     dealt, here = np.flatnonzero(~whole), np.flatnonzero(whole)
                     if len(dealt):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.ppml import Spec, build_design, centre_within, coef_row, newton_slopes, ppml_fe
 from panelwright.operators.ranks import dense_index, with_group
-from panelwright.operators.replicates import replicate_slopes, with_weights
+from panelwright.operators.replicates import replicate_slopes
 from panelwright.session import cut
 
 
@@ -61,7 +61,7 @@ def bootstrap_slopes(df: DataFrame, specs: list[Spec], keys: list[str], unit: Co
         units = df.select(*keys, unit.cast("string").alias("unit")).distinct()
         draws = draw_multiplicity(units, keys, reps, seed).persist()
         at = {} if start is None else {tuple(r[k] for k in km): r["b"] for r in start.select(*km, "b").limit(100_000).collect()}
-        fit = replicate_slopes(with_weights(d, draws, keys, "_unit", reps), km, reps, at, max_iter)
+        fit = replicate_slopes(d, km, reps, at, max_iter, draws=draws, unit="_unit")
         if fit is None:
             fit = newton_slopes(weighted_replicates(d, draws, keys, "_unit").drop("_unit"), [*km, "rep"], max_iter)
         out = cut(fit.where("converged").select(*km, "rep", F.get("b", F.lit(0)).alias("beta")))
@@ -186,6 +186,25 @@ def _binomial(n: np.ndarray, p: float, key: np.ndarray, reps: np.ndarray, cls: i
     return out
 
 
+def _shares(confusion: DataFrame) -> dict:
+    return {r.pred: [(t, p) for t, p in r.row] for r in confusion.where("p > 0").groupBy("pred").agg(
+        F.array_sort(F.collect_list(F.struct("truth", "p"))).alias("row")).collect()}            # a taxonomy squared
+
+
+def _splits(pred: np.ndarray, n: np.ndarray, base: np.ndarray, shares: dict, every: np.ndarray):
+    """(rows, true class, their counts of it in every replicate) for counts ``n`` of predicted classes."""
+    for c in sorted(set(pred)):
+        rows = np.flatnonzero(pred == c)
+        left, rest = np.repeat(n[rows][:, None], len(every), axis=1), 1.0
+        row = shares.get(c) or [(c, 1.0)]
+        whole = sum(p for _, p in row)
+        for q, (truth, p) in enumerate(row):
+            last = q == len(row) - 1
+            got = left if last else _binomial(left, min(p / whole / rest, 1.0), base[rows], every, q)
+            left, rest = left - got, max(rest - p / whole, 1e-300)
+            yield rows, truth, got
+
+
 def relabelled(counts: DataFrame, confusion: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
     """(keys, truth, ns): counts of true classes in every replicate as one array, given P(true | predicted).
 
@@ -193,8 +212,7 @@ def relabelled(counts: DataFrame, confusion: DataFrame, keys: list[str], reps: i
     binomial draws, each from what the classes before it have left, so neither an incident nor a replicate is ever a
     row.  Draws depend on (seed, keys, pred, replicate) alone; classes without a confusion row stay as they are.
     """
-    shares = {r.pred: [(t, p) for t, p in r.row] for r in confusion.where("p > 0").groupBy("pred").agg(
-        F.array_sort(F.collect_list(F.struct("truth", "p"))).alias("row")).collect()}            # a taxonomy squared
+    shares = _shares(confusion)
     key = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], "pred").alias("_key")
     d = counts.where("n > 0").select(*keys, "pred", F.col("n").cast("bigint").alias("n"), key)
     types = dict(d.dtypes)
@@ -207,18 +225,10 @@ def relabelled(counts: DataFrame, confusion: DataFrame, keys: list[str], reps: i
                 part = b.slice(lo, 2000)
                 pred = np.array(part.column("pred").to_pylist(), object)
                 n, base = part.column("n").to_numpy(), part.column("_key").to_numpy().view(np.uint64)
-                for c in sorted(set(pred)):
-                    rows = np.flatnonzero(pred == c)
-                    left, rest = np.repeat(n[rows][:, None], reps, axis=1), 1.0
-                    row = shares.get(c) or [(c, 1.0)]
-                    whole = sum(p for _, p in row)
-                    for q, (truth, p) in enumerate(row):
-                        last = q == len(row) - 1
-                        got = left if last else _binomial(left, min(p / whole / rest, 1.0), base[rows], every, q)
-                        left, rest = left - got, max(rest - p / whole, 1e-300)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * reps), pa.array(got.ravel()))
-                        yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(rows)) for k in keys] + [pa.array([truth] * len(rows)), lists],
-                                                         names=[*keys, "truth", "ns"])
+                for rows, truth, got in _splits(pred, n, base, shares, every):
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * reps), pa.array(got.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(rows)) for k in keys] + [pa.array([truth] * len(rows)), lists],
+                                                     names=[*keys, "truth", "ns"])
     return d.mapInArrow(run, schema)
 
 
@@ -228,31 +238,24 @@ def relabel_draws(counts: DataFrame, confusion: DataFrame, keys: list[str], reps
     return d.where("n > 0").groupBy(*keys, "rep", "truth").agg(F.sum("n").alias("n"))
 
 
-def _summed(d: DataFrame, keys: list[str], outcomes: dict[str, list[str]], reps: int) -> DataFrame:
-    """(keys, one array an outcome): class counts of each replicate added up over the outcome's classes."""
-    types = dict(d.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + "".join(f", `{o}` array<bigint>" for o in outcomes)
+def _drawn(shares: dict, outcomes: dict[str, list[str]], reps: int):
+    """From lists (pred, n, key) of each row to the rows x replicates of every outcome."""
+    every = np.arange(reps)
 
-    def run(batches):
-        held = None
-
-        def out(key, sums):
-            return pa.RecordBatch.from_arrays([pa.array([k]) for k in key] + [pa.array([sums[o].tolist()], pa.list_(pa.int64())) for o in outcomes], names=[*keys, *outcomes])
-        for b in batches:
-            cols, truth = [b.column(k).to_pylist() for k in keys], b.column("truth").to_pylist()
-            ns = b.column("ns").flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else None
-            for i in range(b.num_rows):
-                key = tuple(c[i] for c in cols)
-                if held is None or held[0] != key:
-                    if held is not None:
-                        yield out(*held)
-                    held = (key, {o: np.zeros(reps, np.int64) for o in outcomes})
-                for o, classes in outcomes.items():
-                    if truth[i] in classes:
-                        held[1][o] += ns[i]
-        if held is not None:
-            yield out(*held)
-    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    def draw(lists: pa.ListArray) -> list[np.ndarray]:
+        sums = [np.zeros((len(lists), reps), np.int64) for _ in outcomes]
+        flat = lists.flatten()
+        of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        pred = np.array(flat.field("pred").to_pylist(), object)
+        n, base = flat.field("n").to_numpy(), flat.field("key").to_numpy().view(np.uint64)
+        for lo in range(0, len(of), 2000):
+            now = slice(lo, lo + 2000)
+            for rows, truth, got in _splits(pred[now], n[now], base[now], shares, every):
+                for total, classes in zip(sums, outcomes.values()):
+                    if truth in classes:
+                        np.add.at(total, of[now][rows], got)
+        return sums
+    return draw
 
 
 def expected_relabel(counts: DataFrame, confusion: DataFrame, keys: list[str]) -> DataFrame:
@@ -261,6 +264,23 @@ def expected_relabel(counts: DataFrame, confusion: DataFrame, keys: list[str]) -
     return j.groupBy(*keys, "truth").agg(F.sum(F.col("n") * F.col("p")).alias("n"))
 
 
+def _with_outcomes(design: DataFrame, names: list[str], draw) -> DataFrame:
+    """One row for each design row, outcome (``model_id``) and replicate (``rep``), with its ``y``."""
+    d = design.drop("y")
+    cols = [c for c in d.columns if c != "_counts"]
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                for name, ys in zip(names, draw(part.column("_counts"))):
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ys) + 1, dtype=np.int32) * ys.shape[1]), pa.array(ys.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in cols] + [pa.array([name] * len(ys)), lists], names=[*cols, "model_id", "ys"])
+    types = dict(d.dtypes)
+    wide = d.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", model_id string, ys array<bigint>")
+    return wide.select(*cols, "model_id", F.posexplode("ys").alias("rep", "y")).withColumn("y", F.col("y").cast("double"))
+
+
 def label_noise_draws(df: DataFrame, counts: DataFrame, confusion: DataFrame, property_classes: list[str], x: list[str],
                       keys: list[str], cell: str = "cell", reps: int = 200, seed: int = 20260804,
                       offset: str = "exposure", group: str = "GEOID", theft: list[str] = (), no_loot: str = "NO_LOOT") -> DataFrame:
@@ -271,21 +291,18 @@ def label_noise_draws(df: DataFrame, counts: DataFrame, confusion: DataFrame, pr
     first = ppml_fe(df, [Spec("base", "n_total", x, offset)], keys, group)
     base = coef_row(first).select(*keys, "beta", "se", "pct")
     outcomes = {"total": list(property_classes)} | ({"theft": list(theft), "noloot": [no_loot]} if theft else {})
-    at = [*keys, cell]
-    drawn = _summed(relabelled(counts, confusion, at, reps, seed), at, outcomes, reps)
-    zero = F.array_repeat(F.lit(0).cast("bigint"), reps)
-    d = df.join(drawn, at, "left").withColumns({o: F.coalesce(o, zero) for o in outcomes})
-    specs_ = [Spec(o, "_one", x, offset) for o in outcomes]
-    design = build_design(d.withColumn("_one", F.lit(1.0)), specs_, keys, group, carry=list(outcomes))
-    ys = F.element_at(F.create_map(*[c for o in outcomes for c in (F.lit(o), F.col(o))]), F.col("model_id"))
-    km = [*keys, "model_id"]
-    design = centre_within(design.withColumn("ys", ys).drop(*outcomes), km).persist()
+    at, km = [*keys, cell], [*keys, "model_id"]
+    # a cell's counts ride along as they are: draws are made where a group's rows meet, and only their sums by group are kept
+    key = F.xxhash64(F.lit(seed), *[F.col(k) for k in at], "pred").alias("key")
+    own = counts.where("n > 0").groupBy(*at).agg(F.collect_list(F.struct("pred", F.col("n").cast("bigint").alias("n"), key)).alias("_counts"))
+    design = build_design(df.join(own, at, "left").withColumn("_one", F.lit(1.0)), [Spec("all", "_one", x, offset)], keys, group, carry=["_counts"])
+    design = centre_within(design, km).drop("model_id").persist()
+    draw = _drawn(_shares(confusion), outcomes, reps)
     try:
         start = {(*[r[k] for k in keys], o): r["b"] for r in first.select(*keys, "b").limit(100_000).collect() for o in outcomes}
-        fit = replicate_slopes(design, km, reps, start)
+        fit = replicate_slopes(design, km, reps, start, outcomes={"names": list(outcomes), "from": "_counts", "draw": draw})
         if fit is None:
-            long = design.select(*[c for c in design.columns if c not in ("ys", "y")], F.posexplode("ys").alias("rep", "y"))
-            fit = newton_slopes(long.withColumn("y", F.col("y").cast("double")), [*km, "rep"], 60)
+            fit = newton_slopes(_with_outcomes(design, list(outcomes), draw), [*km, "rep"], 60)
         fit = cut(fit.where("converged").select(*km, "rep", F.get("b", F.lit(0)).alias("b")))
     finally:
         design.unpersist()
