@@ -49,7 +49,7 @@ def with_weights(d: DataFrame, draws: DataFrame, keys: list[str], unit: str, rep
             out[row, flat.field("rep").to_numpy()] = flat.field("m").to_numpy().astype(np.int16)
             m = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * reps), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in (*keys, "unit")] + [m], names=[*keys, "unit", "m"])
-    wide = draws.select(*keys, "unit", "draws").mapInArrow(dense, schema)
+    wide = draws.select(*keys, "unit", "m") if "m" in draws.columns else draws.select(*keys, "unit", "draws").mapInArrow(dense, schema)
     return d.join(wide.withColumnRenamed("unit", unit), [*keys, unit])
 
 

@@ -20,23 +20,69 @@ from panelwright.operators.replicates import replicate_slopes
 from panelwright.session import cut
 
 
-def draw_multiplicity(units: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
-    """Draw G of each key's G units with replacement, ``reps`` times: (keys, unit, [(rep, m)]).
+UNITS_AT_ONCE = 1024            # units whose draws are counted together
+SLOTS_AT_ONCE = 1 << 20         # draws of one replicate that are made together
+PRIMES = [np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _hash_longs(v: np.ndarray, seed: int) -> np.ndarray:
+    """What ``xxhash64`` gives for each long ``v`` after columns that hash to ``seed``."""
+    turn = lambda h, n: (h << np.uint64(n)) | (h >> np.uint64(64 - n))
+    p1, p2, p3, p4, p5 = PRIMES
+    h = np.uint64((seed + int(p5) + 8) % (1 << 64)) ^ (turn(v.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def multiplicities(units: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """Draw G of each key's G units with replacement, ``reps`` times: (keys, unit, m), m the number of times in each replicate.
 
     ``units`` has one row per (keys, unit).  Slot j of replicate r picks index
-    hash(seed, r, key, j) mod G; every draw is its own row, so no key is
-    sampled in one task.  The array holds at most ``reps`` entries per unit.
+    hash(seed, r, key, j) mod G.  A task draws SLOTS_AT_ONCE slots of one key and replicate at most and sends
+    what it picked as lists for UNITS_AT_ONCE units each, so neither a draw is a row nor a key sampled in one task.  Units never drawn have no row.
     """
-    idx = dense_index(units, keys, F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], F.col("unit")), "j")
-    idx = cut(idx)
-    idx = with_group(idx, keys, _g=F.count("*")) if keys else idx.join(
-        F.broadcast(idx.agg(F.count("*").alias("_g"))))
-    picks = idx.select(*keys, "_g", "j", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    hit = F.pmod(F.xxhash64(F.lit(seed), "rep", *[F.col(c) for c in keys], "j"), F.col("_g"))
-    m = picks.select(*keys, "rep", hit.alias("j")).groupBy(*keys, "rep", "j").agg(
-        F.count("*").cast("double").alias("m"))
-    per = m.groupBy(*keys, "j").agg(F.collect_list(F.struct("rep", "m")).alias("draws"))
-    return idx.select(*keys, "unit", "j").join(per, [*keys, "j"]).drop("j")
+    idx = cut(dense_index(units, keys, F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], F.col("unit")), "j").select(
+        *keys, "unit", F.col("j").cast("bigint").alias("j"), F.floor(F.col("j") / UNITS_AT_ONCE).cast("bigint").alias("_jb")))
+    size = idx.groupBy(*keys).agg(F.count("*").alias("_g"))
+    size = size.where("_g > 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1, F.lit(SLOTS_AT_ONCE).cast("bigint"))))
+    size = size.repartition(*keys, "rep", "_lo").withColumn("_h", F.xxhash64(F.lit(seed), "rep", *[F.col(c) for c in keys]))
+    types = dict(units.dtypes)
+    ks = "".join(f"`{k}` {types[k]}, " for k in keys)
+
+    def pick(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                g, lo, h = (b.column(c)[i].as_py() for c in ("_g", "_lo", "_h"))
+                at = np.sort(_hash_longs(np.arange(lo, min(lo + SLOTS_AT_ONCE, g)), h) % g)
+                blk = at // UNITS_AT_ONCE
+                first = np.flatnonzero(np.append(True, blk[1:] != blk[:-1]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at % UNITS_AT_ONCE).astype(np.int16)))
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(b.column(k)[i], n) for k in keys], pa.array(blk[first]), pa.repeat(b.column("rep")[i], n), lists], names=[*keys, "_jb", "rep", "at"])
+
+    def count(key, own: pa.Table, picked: pa.Table) -> pa.Table:
+        lists = picked.column("at").combine_chunks()
+        rep = np.repeat(picked.column("rep").to_numpy(), lists.value_lengths().to_numpy())
+        m = np.bincount(lists.flatten().to_numpy().astype(np.int64) * reps + rep, minlength=UNITS_AT_ONCE * reps).reshape(-1, reps)
+        m = m[own.column("j").to_numpy() % UNITS_AT_ONCE].astype(np.int16)
+        some = np.flatnonzero(m.any(axis=1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * reps), pa.array(m[some].ravel()))
+        return pa.Table.from_arrays([*[own.column(k).take(pa.array(some)) for k in (*keys, "unit")], lists], names=[*keys, "unit", "m"])
+    picked = size.mapInArrow(pick, f"{ks}_jb bigint, rep int, at array<smallint>")
+    return idx.groupBy(*keys, "_jb").cogroup(picked.groupBy(*keys, "_jb")).applyInArrow(count, f"{ks}unit {types['unit']}, m array<smallint>")
+
+
+def as_draws(m: DataFrame) -> DataFrame:
+    """``multiplicities`` with (rep, m) of the replicates that drew the unit, as ``draws``."""
+    each = F.transform("m", lambda v, i: F.struct(i.alias("rep"), v.cast("double").alias("m")))
+    return m.withColumn("draws", F.filter(each, lambda z: z["m"] > 0)).drop("m")
+
+
+def draw_multiplicity(units: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """``multiplicities`` as (keys, unit, [(rep, m)])."""
+    return as_draws(multiplicities(units, keys, reps, seed))
 
 
 def weighted_replicates(d: DataFrame, draws: DataFrame, keys: list[str], unit: str) -> DataFrame:
@@ -59,11 +105,11 @@ def bootstrap_slopes(df: DataFrame, specs: list[Spec], keys: list[str], unit: Co
     d = centre_within(d, km).persist()
     try:
         units = df.select(*keys, unit.cast("string").alias("unit")).distinct()
-        draws = draw_multiplicity(units, keys, reps, seed).persist()
+        draws = multiplicities(units, keys, reps, seed).persist()
         at = {} if start is None else {tuple(r[k] for k in km): r["b"] for r in start.select(*km, "b").limit(100_000).collect()}
         fit = replicate_slopes(d, km, reps, at, max_iter, draws=draws, unit="_unit")
         if fit is None:
-            fit = newton_slopes(weighted_replicates(d, draws, keys, "_unit").drop("_unit"), [*km, "rep"], max_iter)
+            fit = newton_slopes(weighted_replicates(d, as_draws(draws), keys, "_unit").drop("_unit"), [*km, "rep"], max_iter)
         out = cut(fit.where("converged").select(*km, "rep", F.get("b", F.lit(0)).alias("beta")))
         draws.unpersist()
         return out

@@ -62,3 +62,19 @@ def test_label_draws_are_not_kept(spark, cells, monkeypatch):
             total, diff = [b[r.city, "total", k] for k in range(reps)], [b[r.city, "theft", k] - b[r.city, "noloot", k] for k in range(reps)]
             assert r.draws == reps and r.se_label == pytest.approx(np.std(total, ddof=1), rel=1e-6)
             assert r.diff_sd_label == pytest.approx(np.std(diff, ddof=1), rel=1e-6)
+
+
+def test_draws_counted_in_lists_are_the_hashes(spark, monkeypatch):
+    """Slots and units dealt to many tasks give the draws that one row a draw gives."""
+    monkeypatch.setattr(resample, "UNITS_AT_ONCE", 4)
+    monkeypatch.setattr(resample, "SLOTS_AT_ONCE", 7)
+    units = spark.createDataFrame([(c, f"u{i}") for c, n in (("a", 23), ("b", 5), ("c", 1)) for i in range(n)], "city string, unit string")
+    got = {(r.city, r.unit): list(r.m) for r in resample.multiplicities(units, ["city"], 9, 3).collect()}
+    idx = resample.dense_index(units, ["city"], F.xxhash64(F.lit(3), "city", "unit"), "j").cache()
+    size = idx.groupBy("city").agg(F.count("*").alias("g"))
+    slots = idx.join(size, "city").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    picks = slots.select("city", "rep", F.pmod(F.xxhash64(F.lit(3), "rep", "city", F.col("j").cast("bigint")), F.col("g")).alias("j"))
+    want = {k: [0] * 9 for k in got}
+    for r in picks.join(idx, ["city", "j"]).collect():
+        want[r.city, r.unit][r.rep] += 1
+    assert got == want and sum(map(sum, got.values())) == 29 * 9
